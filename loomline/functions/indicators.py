@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.panel import BY_SYM, TO_HERE, last_rows
+from loomline.operators.panel import by_sym, last_rows, to_here
 
 
 @dataclass(frozen=True)
@@ -129,11 +129,11 @@ def rolled(agg, x, n: int) -> Column:
 
 
 def lagged(x: str, k: int = 1) -> Column:
-    return F.lag(x, k).over(BY_SYM)
+    return F.lag(x, k).over(by_sym())
 
 
 def index() -> Column:
-    return F.row_number().over(BY_SYM).cast("double")
+    return F.row_number().over(by_sym()).cast("double")
 
 
 def true_range() -> Column:
@@ -158,9 +158,7 @@ _simple("VAR", F.var_samp, 20)
 _simple("MAX", F.max)
 _simple("MIN", F.min)
 _simple("SUM", F.sum)
-_simple("MEDIAN", F.median)
 _simple("SKEW", F.skewness)
-_simple("MIDPOINT", lambda x: x, 14)
 
 
 @windowed("MIDPOINT", timeperiod=14, source="close")
@@ -188,8 +186,8 @@ _price("BOP", lambda: F.try_divide(_c("close") - _c("open"), _c("high") - _c("lo
 _price("LOGPRICE", lambda: F.ln("close"))
 _price("HL_RANGE", lambda: _c("high") - _c("low"))
 _price("TRANGE", true_range)
-_price("CUMRET", lambda: F.try_divide(_c("close"), F.first("close").over(TO_HERE)) - 1)
-_price("DRAWDOWN", lambda: F.try_divide(_c("close"), F.max("close").over(TO_HERE)) - 1)
+_price("CUMRET", lambda: F.try_divide(_c("close"), F.first("close").over(to_here())) - 1)
+_price("DRAWDOWN", lambda: F.try_divide(_c("close"), F.max("close").over(to_here())) - 1)
 _price("LOGRET", lambda: F.ln(F.try_divide(_c("close"), lagged("close"))))
 _price("GAP", lambda: F.try_divide(_c("open"), lagged("close")) - 1)
 
@@ -197,7 +195,7 @@ _price("GAP", lambda: F.try_divide(_c("open"), lagged("close")) - 1)
 def _change(name, expr, period=10):
     @windowed(name, timeperiod=period, source="close")
     def fn(df, outs, timeperiod, source):
-        return df.withColumn(outs[0], expr(F.col(source), F.lag(source, timeperiod).over(BY_SYM)))
+        return df.withColumn(outs[0], expr(F.col(source), F.lag(source, timeperiod).over(by_sym())))
 
 
 _change("MOM", lambda x, p: x - p)
@@ -382,7 +380,7 @@ def _beta(df, outs, timeperiod):
 def _obv(df, outs):
     s = F.sign(F.col("close") - lagged("close"))
     df = df.withColumn("_sv", F.coalesce(s, F.lit(1.0)) * F.col("volume"))
-    return df.withColumn(outs[0], F.sum("_sv").over(TO_HERE))
+    return df.withColumn(outs[0], F.sum("_sv").over(to_here()))
 
 
 def _flow() -> Column:
@@ -392,7 +390,7 @@ def _flow() -> Column:
 
 @windowed("AD")
 def _ad(df, outs):
-    return df.withColumn(outs[0], F.sum(_flow()).over(TO_HERE))
+    return df.withColumn(outs[0], F.sum(_flow()).over(to_here()))
 
 
 @windowed("CMF", timeperiod=20)
@@ -474,7 +472,18 @@ def _prank(df, outs, timeperiod):
 
 @windowed("QUANTILE", timeperiod=30, q=0.5)
 def _quantile(df, outs, timeperiod, q):
-    return df.withColumn(outs[0], rolled(lambda x: F.percentile(x, F.lit(q)), "close", timeperiod))
+    """Linear interpolation between the two rows around position (n - 1) q."""
+    n = timeperiod
+    df = df.withColumn("_list", F.sort_array(F.collect_list("close").over(last_rows(n))))
+    at = (n - 1) * q
+    lo, frac = int(at), at - int(at)
+    a, b = F.get("_list", F.lit(lo)), F.get("_list", F.lit(min(lo + 1, n - 1)))
+    return df.withColumn(outs[0], F.when(F.size("_list") == n, a + (b - a) * frac))
+
+
+@windowed("MEDIAN", timeperiod=30)
+def _median(df, outs, timeperiod):
+    return _quantile(df, outs, timeperiod, 0.5)
 
 
 @windowed("EOM", timeperiod=14)
@@ -488,7 +497,7 @@ def _eom(df, outs, timeperiod):
 @windowed("PVT")
 def _pvt(df, outs):
     df = df.withColumn("_v", F.coalesce(F.try_divide("close", lagged("close")) - 1, F.lit(0.0)) * F.col("volume"))
-    return df.withColumn(outs[0], F.sum("_v").over(TO_HERE))
+    return df.withColumn(outs[0], F.sum("_v").over(to_here()))
 
 
 @windowed("NEW_HIGH", timeperiod=250)
@@ -562,7 +571,8 @@ def _stochrsi(g, timeperiod, fastk_period, fastd_period):
 def _macd(g, fastperiod, slowperiod, signalperiod):
     line = ema(g["close"], fastperiod) - ema(g["close"], slowperiod)
     sig = ema(line, signalperiod)
-    return line, sig, line - sig
+    n = slowperiod + signalperiod - 2
+    return _after(line, slowperiod - 1), _after(sig, n), _after(line - sig, n)
 
 
 @recursive("APO", fastperiod=12, slowperiod=26)

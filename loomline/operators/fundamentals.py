@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomline.functions.calendar import visible_from
 from loomline.operators.panel import as_of
 
-BY_QUARTER = Window.partitionBy("sym").orderBy("quarter")
+
+def by_quarter():
+    return Window.partitionBy("sym").orderBy("quarter")
 
 
 def with_lag(statements: DataFrame, lag_days: int = 45) -> DataFrame:
@@ -35,6 +37,6 @@ def valuation(bars: DataFrame, statements: DataFrame) -> DataFrame:
 def growth(statements: DataFrame, periods: int = 4) -> DataFrame:
     """Change against the period a year before, and log share issuance."""
     return statements.withColumns({
-        "revenue_growth": F.try_divide("revenue", F.lag("revenue", periods).over(BY_QUARTER)) - 1,
-        "net_issuance": F.ln(F.try_divide("shares", F.lag("shares", periods).over(BY_QUARTER))),
+        "revenue_growth": F.try_divide("revenue", F.lag("revenue", periods).over(by_quarter())) - 1,
+        "net_issuance": F.ln(F.try_divide("shares", F.lag("shares", periods).over(by_quarter()))),
     })

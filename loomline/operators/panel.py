@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 
 from loomline.functions.calendar import period_key
 
-BY_SYM = Window.partitionBy("sym").orderBy("date")
-TO_HERE = BY_SYM.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_sym():
+    return Window.partitionBy("sym").orderBy("date")
+
+
+def to_here():
+    return by_sym().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last_rows(n: int):
-    return BY_SYM.rowsBetween(-(n - 1), 0)
+    return by_sym().rowsBetween(-(n - 1), 0)
 
 
 # ---- bars and resampling ----------------------------------------------
@@ -88,7 +93,7 @@ def carry_forward(panel: DataFrame, step_days: int) -> DataFrame:
     j = grid.join(panel.withColumn("_seen", F.lit(True)), ["sym", "date"], "left")
     return j.select(
         "date", "sym",
-        *[F.last(v, ignorenulls=True).over(TO_HERE).alias(v) for v in values],
+        *[F.last(v, ignorenulls=True).over(to_here()).alias(v) for v in values],
         F.col("_seen").isNull().alias("filled"),
     )
 
@@ -199,7 +204,7 @@ def top(panel: DataFrame, value: str, n: int, keys: tuple[str, ...] = ("date",),
 def hold_until(panel: DataFrame, entry: str = "entry", exit_: str = "exit", out: str = "held") -> DataFrame:
     """Held from an entry until an exit; both on one date means exit."""
     ev = F.when(F.col(exit_), F.lit(False)).when(F.col(entry), F.lit(True))
-    return panel.withColumn(out, F.coalesce(F.last(ev, ignorenulls=True).over(TO_HERE), F.lit(False)))
+    return panel.withColumn(out, F.coalesce(F.last(ev, ignorenulls=True).over(to_here()), F.lit(False)))
 
 
 def hold_until_slots(

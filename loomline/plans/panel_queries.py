@@ -6,17 +6,13 @@ from loomline.functions.calendar import period_key, season_flags, visible_from
 from loomline.functions.indicators import indicator, rolled
 from loomline.operators import fundamentals as fund
 from loomline.operators import panel as P
-from loomline.plans.registry import query, r
+from loomline.plans.registry import query, r, rd
 from loomline.plans.sqlviews import month, quarter, week
 from loomline.session import new_path
 from loomline.sources import store, workspace
 from loomline.sources.catalog import Catalog
 
 
-def r6(c, d=6):
-    return F.round(c, d)
-
-
 SMA = "CASE WHEN count({x}) OVER w{n} = {n} THEN avg({x}) OVER w{n} END"
 
 
@@ -41,7 +37,7 @@ def momentum_top10(t):
     b = indicator(b, "RETURN", prefix="mom", timeperiod=4)
     b = indicator(b, "SMA", prefix="ma", timeperiod=10)
     k = P.top(b.where(F.col("close") > F.col("ma")), "mom", 10)
-    return k.select("date", "sym", F.col("rank").cast("bigint").alias("rank"), r6("close").alias("close"), r6("mom").alias("mom"))
+    return k.select("date", "sym", F.col("rank").cast("bigint").alias("rank"), rd("close").alias("close"), rd("mom").alias("mom"))
 
 
 # ---- sources ------------------------------------------------------------
@@ -49,14 +45,14 @@ def momentum_top10(t):
 
 @query("s01_get_field", f"SELECT date, sym, {r('close')} AS value FROM bars_w")
 def s01(t):
-    return Catalog(t).get("price:close").withColumn("value", r6("value"))
+    return Catalog(t).get("price:close").withColumn("value", rd("value"))
 
 
 @query("s02_get_fields", f"""
 SELECT date, sym, {r('close')} AS close, {r('high')} AS high, volume FROM bars_w""")
 def s02(t):
     d = Catalog(t).get_many({"close": "price:close", "high": "price:high", "volume": "price:volume"})
-    return d.select("date", "sym", r6("close").alias("close"), r6("high").alias("high"), "volume")
+    return d.select("date", "sym", rd("close").alias("close"), rd("high").alias("high"), "volume")
 
 
 @query("s03_search_datasets", """
@@ -72,7 +68,7 @@ def s04(t):
     c = Catalog(t)
     c.set_storage()
     c.get("price:close")
-    return c.get("price:close").withColumn("value", r6("value"))  # second read hits the store
+    return c.get("price:close").withColumn("value", rd("value"))  # second read hits the store
 
 
 @query("s05_universe", """
@@ -90,7 +86,7 @@ WHERE sym IN (SELECT sym FROM universe WHERE market = 'ASIA')""")
 def s06(t):
     c = Catalog(t)
     with c.universe(market="ASIA"):
-        return c.get("price:close").withColumn("value", r6("value"))
+        return c.get("price:close").withColumn("value", rd("value"))
 
 
 @query("s07_workspace_scan", """
@@ -134,7 +130,7 @@ def s09(t):
     store.write_by_year(t.bars("D"), path)
     d = store.read(t.spark, path).where(F.col("year") >= 1998)  # partition pruning
     return d.groupBy(F.col("year").cast("bigint").alias("year")).agg(
-        F.count("*").alias("n"), r6(F.sum("close"), 3).alias("s"))
+        F.count("*").alias("n"), rd(F.sum("close"), 3).alias("s"))
 
 
 @query("s10_nightly_equity_sink", f"""
@@ -142,7 +138,7 @@ SELECT category AS strategy, date, {r('avg(close)')} AS nav FROM bars_m JOIN uni
 def s10(t):
     path = new_path(t.spark, "equity")
     nav = t.bars("M").join(t.universe(), "sym").groupBy(F.col("category").alias("strategy"), "date").agg(
-        r6(F.avg("close")).alias("nav"))
+        rd(F.avg("close")).alias("nav"))
     store.write_nightly(nav, path)
     last = nav.where(F.col("date") == nav.agg(F.max("date")).scalar())
     store.write_nightly(last, path)  # the nightly rerun replaces its own partitions only
@@ -177,7 +173,7 @@ def s12(t):
     path = new_path(t.spark, "factors")
     store.write_by_year(long, path, extra=("factor",))
     return store.read(t.spark, path).groupBy("factor", F.col("year").cast("bigint").alias("year")).agg(
-        F.count("value").alias("n"), r6(F.sum("value"), 4).alias("s"))
+        F.count("value").alias("n"), rd(F.sum("value"), 4).alias("s"))
 
 
 # ---- projections and predicates -----------------------------------------
@@ -206,13 +202,13 @@ def p02(t):
 SELECT date, sym, {r('close * volume', 3)} AS value, {r('(close - open) / nullif(high - low, 0)')} AS body FROM bars_w""")
 def p03(t):
     c = F.col
-    return t.bars("W").select("date", "sym", r6(c("close") * c("volume"), 3).alias("value"),
-                              r6(F.try_divide(c("close") - c("open"), c("high") - c("low"))).alias("body"))
+    return t.bars("W").select("date", "sym", rd(c("close") * c("volume"), 3).alias("value"),
+                              rd(F.try_divide(c("close") - c("open"), c("high") - c("low"))).alias("body"))
 
 
 @query("p04_one_symbol", f"SELECT date, {r('close')} AS close FROM bars_w WHERE sym = 7")
 def p04(t):
-    return t.bars("W").where(F.col("sym") == 7).select("date", r6("close").alias("close"))
+    return t.bars("W").where(F.col("sym") == 7).select("date", rd("close").alias("close"))
 
 
 @query("p05_mask_dropna", f"""
@@ -221,7 +217,7 @@ SELECT date, sym, {r('close')} AS close FROM bars_w WHERE volume > 20
 def p05(t):
     b = t.bars("W").select("date", "sym", "close", "volume")
     widest = b.groupBy("date").agg(F.count("close").alias("c")).agg(F.max("c")).scalar()
-    return P.complete_dates(b, "close", widest).where(F.col("volume") > 20).select("date", "sym", r6("close").alias("close"))
+    return P.complete_dates(b, "close", widest).where(F.col("volume") > 20).select("date", "sym", rd("close").alias("close"))
 
 
 @query("p06_liquidity", f"""
@@ -240,18 +236,18 @@ def p07(t):
     b = t.bars("W").select("date", "sym", "close")
     last = b.agg(F.max("date")).scalar()
     return b.where(F.col("date").between("1998-01-01", "2001-12-31")).select(
-        "date", "sym", r6("close").alias("close"), (F.col("date") > F.date_sub(last, 90)).alias("recent"))
+        "date", "sym", rd("close").alias("close"), (F.col("date") > F.date_sub(last, 90)).alias("recent"))
 
 
 @query("p07_recent_days", f"""
 SELECT date, sym, {r('close')} AS close FROM bars_w WHERE date > (SELECT max(date) FROM bars_w) - 90""")
 def p07b(t):
-    return P.recent_days(t.bars("W").select("date", "sym", "close"), 90).withColumn("close", r6("close"))
+    return P.recent_days(t.bars("W").select("date", "sym", "close"), 90).withColumn("close", rd("close"))
 
 
 @query("p08_clip", f"SELECT date, sym, {r('greatest(500, least(3000, close))')} AS value FROM bars_w")
 def p08(t):
-    return t.bars("W").select("date", "sym", r6(P.clip("close", 500.0, 3000.0)).alias("value"))
+    return t.bars("W").select("date", "sym", rd(P.clip("close", 500.0, 3000.0)).alias("value"))
 
 
 @query("p09_negate_rank", """
@@ -283,7 +279,7 @@ SELECT sym, quarter, {r('(revenue - cost) / nullif(revenue, 0)')} AS gross_margi
   {r('net / nullif(revenue, 0)')} AS net_margin, {r('net / equity')} AS roe FROM funda""")
 def p12(t):
     f = fund.ratios(t.fundamentals())
-    return f.select("sym", "quarter", *[r6(c).alias(c) for c in ("gross_margin", "net_margin", "roe")])
+    return f.select("sym", "quarter", *[rd(c).alias(c) for c in ("gross_margin", "net_margin", "roe")])
 
 
 @query("p12_price_ratios", f"""
@@ -291,7 +287,7 @@ SELECT b.date, b.sym, {r('close / nullif(equity / shares, 0)')} AS pb, {r('close
 FROM bars_w b ASOF LEFT JOIN funda f ON b.sym = f.sym AND b.date >= f.available""")
 def p12b(t):
     v = fund.valuation(t.bars("W").select("date", "sym", "close"), t.fundamentals())
-    return v.select("date", "sym", r6("pb").alias("pb"), r6("pe", 4).alias("pe"))
+    return v.select("date", "sym", rd("pb").alias("pb"), rd("pe", 4).alias("pe"))
 
 
 @query("p13_growth", f"""
@@ -300,7 +296,7 @@ SELECT sym, quarter, {r('revenue / nullif(lag(revenue, 4) OVER q, 0) - 1')} AS r
 FROM funda WINDOW q AS (PARTITION BY sym ORDER BY quarter)""")
 def p13(t):
     g = fund.growth(t.fundamentals())
-    return g.select("sym", "quarter", r6("revenue_growth").alias("revenue_growth"), r6("net_issuance").alias("net_issuance"))
+    return g.select("sym", "quarter", rd("revenue_growth").alias("revenue_growth"), rd("net_issuance").alias("net_issuance"))
 
 
 # ---- joins ---------------------------------------------------------------
@@ -312,7 +308,7 @@ FROM bars_w w ASOF LEFT JOIN bars_m m ON w.sym = m.sym AND w.date >= m.date""")
 def j01(t):
     w = t.bars("W").select("date", "sym", "close")
     m = t.bars("M").select("date", "sym", F.col("close").alias("month_close"))
-    return P.as_of(w, m, ["month_close"]).select("date", "sym", r6("close").alias("close"), r6("month_close").alias("month_close"))
+    return P.as_of(w, m, ["month_close"]).select("date", "sym", rd("close").alias("close"), rd("month_close").alias("month_close"))
 
 
 @query("j02_reporting_lag", f"""
@@ -321,7 +317,7 @@ FROM bars_w b ASOF LEFT JOIN funda f ON b.sym = f.sym AND b.date >= f.available"
 def j02(t):
     b = t.bars("W").select("date", "sym")
     return P.as_of(b, fund.with_lag(t.fundamentals(), 45), ["quarter", "net"], "available").select(
-        "date", "sym", "quarter", r6("net", 3).alias("net"))
+        "date", "sym", "quarter", rd("net", 3).alias("net"))
 
 
 @query("j03_combine", f"""
@@ -331,7 +327,7 @@ SELECT date, sym, {r('a.v')} AS close, {r('b.v')} AS roe FROM a FULL JOIN b USIN
 def j03(t):
     c = Catalog(t)
     f = P.combine({"close": c.get("price:close"), "roe": c.get("fundamental_features:roe")}, "M")
-    return f.select("date", "sym", r6("close").alias("close"), r6("roe").alias("roe"))
+    return f.select("date", "sym", rd("close").alias("close"), rd("roe").alias("roe"))
 
 
 @query("j04_backtest_data", f"""
@@ -344,8 +340,8 @@ def j04(t):
     b = t.bars("W")
     p = indicator(b.select("date", "sym", "close"), "RETURN", prefix="prediction", timeperiod=4).select(
         "date", "sym", "prediction").where(F.col("prediction").isNotNull())
-    return backtest_data(b, p).select("date", "sym", r6("open").alias("open"), r6("close").alias("close"), "volume",
-                                      r6("prediction").alias("prediction"))
+    return backtest_data(b, p).select("date", "sym", rd("open").alias("open"), rd("close").alias("close"), "volume",
+                                      rd("prediction").alias("prediction"))
 
 
 _WEIGHTS = """
@@ -363,7 +359,7 @@ def j05(t):
     tot = b.groupBy("date").agg(F.sum("volume").alias("tot"))
     w = b.join(tot, "date").select("date", "sym", (F.col("volume") / F.col("tot")).alias("weight"))
     cur = w.withColumn("date", F.date_add("date", 7))
-    return P.rebalance_orders(cur, w, 0.02).withColumn("delta", r6("delta"))
+    return P.rebalance_orders(cur, w, 0.02).withColumn("delta", rd("delta"))
 
 
 _RET = """
@@ -379,8 +375,8 @@ def j06(t):
     x = indicator(t.bars("W").select("date", "sym", "close"), "RETURN", prefix="ret")
     bench = x.groupBy("date").agg(F.avg("ret").alias("bench"))
     return x.where(F.col("ret").isNotNull()).join(bench, "date").groupBy("sym").agg(
-        F.count("*").alias("n"), r6(F.regr_slope("ret", "bench")).alias("beta"),
-        r6(F.regr_intercept("ret", "bench")).alias("alpha"))
+        F.count("*").alias("n"), rd(F.regr_slope("ret", "bench")).alias("beta"),
+        rd(F.regr_intercept("ret", "bench")).alias("alpha"))
 
 
 @query("j16_parameter_grid", f"""
@@ -394,8 +390,9 @@ def j16(t):
     grid = [10, 20, 30, 50]
     b = t.bars("W").select("date", "sym", "close")
     # the means are columns of one window pass; only then each row expands
+    b = b.select("date", "close", *[rolled(F.avg, "close", n).alias(f"ma{n}") for n in grid])
     b = b.select("date", "close", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("param"), rolled(F.avg, "close", n).alias("ma")) for n in grid])).alias("g"))
+        F.struct(F.lit(n).alias("param"), F.col(f"ma{n}").alias("ma")) for n in grid])).alias("g"))
     return b.where(F.col("close") > F.col("g.ma")).groupBy("g.param", "date").agg(F.count("*").alias("n"))
 
 
@@ -403,7 +400,7 @@ def j16(t):
 SELECT date, category, count(*) AS n, {r('avg(close)')} AS mean_close FROM bars_w JOIN universe USING (sym) GROUP BY 1, 2""")
 def j19(t):
     return t.bars("W").join(t.universe(), "sym").groupBy("date", "category").agg(
-        F.count("*").alias("n"), r6(F.avg("close")).alias("mean_close"))
+        F.count("*").alias("n"), rd(F.avg("close")).alias("mean_close"))
 
 
 # ---- bars and counts -----------------------------------------------------
@@ -414,8 +411,8 @@ for _f, _v in (("D", "bars_d"), ("W", "bars_w"), ("M", "bars_m")):
     SELECT date, sym, {r('open')} AS open, {r('high')} AS high, {r('low')} AS low, {r('close')} AS close, volume,
       {r('turnover', 2)} AS turnover, {r('vwap')} AS vwap FROM {_v}""")
     def a01(t, f=_f):
-        return t.bars(f).select("date", "sym", *[r6(c).alias(c) for c in ("open", "high", "low", "close")], "volume",
-                                r6("turnover", 2).alias("turnover"), r6("vwap").alias("vwap"))
+        return t.bars(f).select("date", "sym", *[rd(c).alias(c) for c in ("open", "high", "low", "close")], "volume",
+                                rd("turnover", 2).alias("turnover"), rd("vwap").alias("vwap"))
 
 
 @query("a02_resample", f"""
@@ -426,7 +423,7 @@ UNION ALL SELECT 'ME', {month('date')}, sym, arg_max(close, date) FROM bars_d GR
 def a02(t):
     b = t.bars("D").select("date", "sym", "close")
     return P.stack({f: P.resample_last(b, f, ["close"]) for f in ("D", "W-FRI", "ME")}, "freq").select(
-        "freq", "date", "sym", r6("close").alias("value"))
+        "freq", "date", "sym", rd("close").alias("value"))
 
 
 @query("a03_signal_counts", """
@@ -447,7 +444,7 @@ SELECT date, sym, rank, {r('volume')} AS value FROM (
   SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, sym) AS rank FROM bars_w) WHERE rank <= 10""")
 def t01(t):
     return P.top(t.bars("W").select("date", "sym", "volume"), "volume", 10).select(
-        "date", "sym", F.col("rank").cast("bigint").alias("rank"), r6("volume").alias("value"))
+        "date", "sym", F.col("rank").cast("bigint").alias("rank"), rd("volume").alias("value"))
 
 
 @query("t01_top_boolean", f"""
@@ -518,7 +515,7 @@ SELECT date, sym, {r('CAST(sum(w) AS DOUBLE)')} AS weight FROM s GROUP BY date,
 def u01(t):
     a, b = _screens(t)
     s = P.stack({"a": a, "b": b}).withColumn("w", F.when(F.col("strategy") == "a", 0.6).otherwise(0.4))
-    return s.groupBy("date", "sym").agg(r6(F.sum("w")).alias("weight"))
+    return s.groupBy("date", "sym").agg(rd(F.sum("w")).alias("weight"))
 
 
 @query("u02_intersect", f"WITH {_SCREENS} SELECT * FROM a INTERSECT SELECT * FROM b")
@@ -577,6 +574,6 @@ SELECT date, sym, {r('ln(close)')} AS log_c, {r('exp(-volume / 100)')} AS decay,
 def f04(t):
     o, c, v = F.col("open"), F.col("close"), F.col("volume")
     return t.bars("W").select(
-        "date", "sym", r6(F.ln(c)).alias("log_c"), r6(F.exp(-v / 100)).alias("decay"), r6(F.sqrt(c)).alias("root"),
-        r6(F.pow(v, F.lit(1.5)), 4).alias("pw"), r6(F.abs(o - c)).alias("gap"), r6(F.greatest(o, c)).alias("hi"),
-        r6(F.least(o, c)).alias("lo"), F.sign(c - o).alias("dir"), F.round(v / 7, 2).alias("rnd"))
+        "date", "sym", rd(F.ln(c)).alias("log_c"), rd(F.exp(-v / 100)).alias("decay"), rd(F.sqrt(c)).alias("root"),
+        rd(F.pow(v, F.lit(1.5)), 4).alias("pw"), rd(F.abs(o - c)).alias("gap"), rd(F.greatest(o, c)).alias("hi"),
+        rd(F.least(o, c)).alias("lo"), F.sign(c - o).alias("dir"), F.round(v / 7, 2).alias("rnd"))

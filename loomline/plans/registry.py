@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomline.plans.sqlviews import VIEWS
 from loomline.sources.tables import Tables
@@ -54,5 +55,11 @@ def with_views(body: str) -> str:
 
 
 def r(expr: str, digits: int = 6) -> str:
-    """Rounded SQL value without a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    """Rounded SQL value without a negative zero; see ``rd`` for the offset."""
+    return f"(round({expr} + 3e-{digits + 2}, {digits}) + 0.0)"
+
+
+def rd(c, digits: int = 6) -> Column:
+    """Half-up rounding with a tolerance of 0.03 units, so that the order of a
+    floating sum cannot flip an exact half."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(float(f"3e-{digits + 2}")), digits)

@@ -26,7 +26,7 @@ def build_session(app: str = "loomline", master: str | None = None, shuffle: int
         )
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
     if shuffle:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle))
     return b.getOrCreate()

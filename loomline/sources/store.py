@@ -18,8 +18,9 @@ def write_by_year(df: DataFrame, path: str, date: str = "date", key: str = "sym"
     ).parquet(path)
 
 
-def write_nightly(df: DataFrame, path: str, keys: tuple[str, ...] = ("strategy", "date")) -> None:
-    """Replace exactly the partitions present in ``df``; a rerun changes nothing."""
+def write_nightly(df: DataFrame, path: str, keys: tuple[str, ...] = ("date",)) -> None:
+    """Replace exactly the partitions present in ``df``; a rerun changes nothing.
+    One night is one partition that holds the rows of all strategies."""
     df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
