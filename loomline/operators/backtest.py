@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.calendar import PERIODS_PER_YEAR, period_key
 from loomline.operators.panel import by_sym, last_rows, to_here, top
+from loomline.session import written
 
 # Published cost and capital defaults (fixed values).
 FEE_RATIO = 0.001425
@@ -102,7 +103,9 @@ class Result:
         p = p.join(F.broadcast(opened), "date")
         w = Window.partitionBy("sym", "effective").orderBy("i")
         p = p.withColumn("base", F.first("px0").over(w)).where(F.col("base").isNotNull())
-        return p.join(self.target, ["sym", "effective"]).withColumn("g", F.col("px") / F.col("base"))
+        p = p.join(self.target, ["sym", "effective"]).withColumn("g", F.col("px") / F.col("base"))
+        # growth, costs and trades all read it: computed once
+        return written(p.drop("i", "px0"), "path")
 
     @cached_property
     def growth(self) -> DataFrame:
@@ -203,7 +206,7 @@ def sim(
     """
     if "strategy" not in signals.columns:
         signals = signals.withColumn("strategy", F.lit(name))
-    cal = calendar_of(bars)
+    cal = written(calendar_of(bars), "calendar")
     sched = schedule(cal, resample)
     at = signals.join(F.broadcast(sched.select(F.col("decision").alias("date"), "effective")), "date")
     if "weight" in signals.columns:
@@ -213,6 +216,7 @@ def sim(
         if position_limit is not None:
             at = top(at, rank or "signal", position_limit, ("strategy", "effective"))
         target = equal_weights(at.select("strategy", "effective", "sym"), ["strategy", "effective"])
+    target = written(target, "target")
     return Result(bars, cal, sched, target, resample, bar_freq, trade_at_price, fee_ratio, tax_ratio,
                   initial_capital, name)
 

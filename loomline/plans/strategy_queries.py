@@ -13,7 +13,7 @@ from loomline.plans.sqlviews import month, week
 
 
 def wide(t):
-    return t.bars("W").select("date", "sym", "open", "high", "low", "close", "volume", "turnover")
+    return t.stored("W").select("date", "sym", "open", "high", "low", "close", "volume", "turnover")
 
 
 # ---- SQL of the simulation ----------------------------------------------
@@ -46,7 +46,7 @@ nav AS (SELECT *, 10000000.0 * exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy
 
 
 def stats_sql(nav: str = "nav", periods: int = 52, cap: float = 1e7) -> str:
-    return f"""SELECT strategy, count(*) AS n, {r(f'arg_max(nav, date) / {cap!r} - 1')} AS total_return,
+    return f"""SELECT strategy, count(*) AS n, {r(f'ln(arg_max(nav, date) / {cap!r})')} AS log_total,
   {r(f'ln(power(arg_max(nav, date) / {cap!r}, {periods}::DOUBLE / count(*)))')} AS log_annual,
   {r('least(min(nav / peak - 1), 0)')} AS max_drawdown,
   {r(f'avg(ret) / nullif(stddev_samp(ret), 0) * sqrt({periods})')} AS sharpe
@@ -60,7 +60,7 @@ MOM = f"""SELECT 'mom' AS strategy, date, sym, mom AS v FROM (
 
 
 def mom_signals(t):
-    b = indicators(t.bars("W").select("date", "sym", "close"),
+    b = indicators(t.stored("W").select("date", "sym", "close"),
                    [("RETURN", "mom", {"timeperiod": 4}), ("SMA", "ma", {"timeperiod": 10})])
     return b.select("date", "sym", P.holds((F.col("close") > F.col("ma")) & F.col("mom").isNotNull()).alias("signal"), "mom")
 
@@ -167,7 +167,7 @@ br AS (SELECT date, avg(close / pc - 1) AS ret FROM (SELECT date, close, lag(clo
 
 
 def bench_returns(t):
-    b = indicator(t.bars("W").select("date", "sym", "close"), "RETURN", prefix="ret")
+    b = indicator(t.stored("W").select("date", "sym", "close"), "RETURN", prefix="ret")
     return b.where(F.col("ret").isNotNull()).groupBy("date").agg(F.avg("ret").alias("ret"))
 
 
@@ -216,7 +216,7 @@ WITH {_RSI14}, s AS (SELECT date, sym, close, {sma(20)} AS ma FROM bars_w {win(2
 {sim_sql("SELECT 'mom_w' AS strategy, date, sym, v AS v FROM s JOIN v USING (date, sym) WHERE close > ma AND v > 50", 'date', limit=20)}
 {stats_sql()}""".replace("SELECT date, sym, CASE WHEN i > 14", "SELECT date, sym, CASE WHEN i > 14").replace("v AS v FROM s JOIN v", "round(v, 6) AS v FROM s JOIN v"))
 def b11(t):
-    b = indicators(t.bars("W").select("date", "sym", "close"), [("SMA", "ma", {"timeperiod": 20}), ("RSI", "rsi", {})])
+    b = indicators(t.stored("W").select("date", "sym", "close"), [("SMA", "ma", {"timeperiod": 20}), ("RSI", "rsi", {})])
     s = b.select("date", "sym", P.holds((F.col("close") > F.col("ma")) & (F.col("rsi") > 50)).alias("signal"), F.round("rsi", 6).alias("rsi"))
     return report(B.sim(s, wide(t), resample="W", position_limit=20, rank="rsi", name="mom_w").report())
 
@@ -230,7 +230,7 @@ vr AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY roe DESC, sym) AS
 
 def value_screen(t, n=40):
     """Low price-to-book and high return on equity with visible statements."""
-    v = P.as_of(t.bars("W").select("date", "sym", "close"), t.fundamentals(), ["net", "equity", "shares"], "available")
+    v = P.as_of(t.stored("W").select("date", "sym", "close"), t.fundamentals(), ["net", "equity", "shares"], "available")
     v = v.select("date", "sym", F.round(F.try_divide("close", F.try_divide("equity", "shares")), 6).alias("pb"),
                  F.round(F.try_divide("net", "equity"), 9).alias("roe"))
     cheap = P.top(v, "pb", n, ascending=True).select("date", "sym")
@@ -355,7 +355,7 @@ _SWEEP = " UNION ALL ".join(
 
 def sweep_signals(t):
     grid = (10, 20, 30, 50)
-    b = t.bars("W").select("date", "sym", "close")
+    b = t.stored("W").select("date", "sym", "close")
     b = b.select("date", "sym", "close", *[rolled(F.avg, "close", n).alias(f"m{n}") for n in grid])
     return b.select("date", "sym", F.explode(F.array(*[
         F.struct(F.lit(f"MA{n}").alias("strategy"), P.holds(F.col("close") > F.col(f"m{n}")).alias("signal"))
@@ -402,7 +402,7 @@ UNION ALL SELECT 'low_price', date, sym, 0 FROM bars_w WHERE close < 1500"""
 
 @query("b26_example_strategies", f"WITH {_RSI14}, {sim_sql(_B26, month('date'), limit=20)} {stats_sql()}")
 def b26(t):
-    b = indicators(t.bars("W").select("date", "sym", "high", "close"),
+    b = indicators(t.stored("W").select("date", "sym", "high", "close"),
                    [("MAX", "m", {"timeperiod": 52, "source": "high"}), ("RSI", "rsi", {})])
     flat = F.lit(0.0)
     s = b.select("date", "sym", F.explode(F.array(

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.calendar import quarter_end, visible_from
 from loomline.operators.panel import bars_from_ticks, carry_forward
+from loomline.session import written
 
 BUY_FLAGS = ("N", "A")
 
@@ -22,6 +23,7 @@ class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
@@ -44,6 +46,13 @@ class Tables:
     def bars(self, freq: str = "W") -> DataFrame:
         return bars_from_ticks(self.ticks(), freq)
 
+    def stored(self, freq: str = "W") -> DataFrame:
+        """Bars written once under the shared folder, for jobs that read them
+        several times: the trade rows are scanned once."""
+        if freq not in self._stored:
+            self._stored[freq] = written(self.bars(freq), f"bars-{freq}")
+        return self._stored[freq]
+
     def dense(self) -> DataFrame:
         """Weekly close with gaps carried forward, ``filled`` marks them."""
         return carry_forward(self.bars("W").select("date", "sym", "open", "close"), 7)
@@ -84,8 +93,6 @@ class Tables:
         sup = self.raw("supplier").select(
             F.col("s_suppkey").alias("sym"), (F.lit(10000.0) + F.abs("s_acctbal")).alias("equity")
         )
-        from pyspark.sql import Window
-
         run = Window.partitionBy("sym").orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0)
         return (
             q.join(sup, "sym")
