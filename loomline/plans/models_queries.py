@@ -18,9 +18,9 @@ def engine(t, n_splits=2):
     return M.MLEngine(features(t).na.drop(), NAMES, 104, 26, n_splits, 4)
 
 
-def _rank_score(p):
+def _rank_score(p, width):
     """Mean over deviation of the top-minus-bottom label of each date."""
-    q = tiles(p, ["setting", "date"], [F.col("prediction"), F.col("sym")], 5, "q", 2_000_000)
+    q = tiles(p, ["setting", "date"], [F.col("prediction"), F.col("sym")], 5, "q", width)
     d = q.groupBy("setting", "date").agg(
         (F.avg(F.when(F.col("q") == 5, F.col("label"))) - F.avg(F.when(F.col("q") == 1, F.col("label")))).alias("ret"))
     return d.groupBy("setting").agg(F.count("*").alias("n"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("score"))
@@ -34,7 +34,7 @@ def e08(t):
 @query("e09_auto_search")
 def e09(t):
     grid = [{"model": "ridge", "reg": 0.1}, {"model": "random_forest", "n_estimators": 5, "max_depth": 3}, {"model": "xgboost", "n_estimators": 3}]
-    return M.auto_search(engine(t), grid, _rank_score, time_budget=3600).withColumn("score", rd("score"))
+    return M.auto_search(engine(t), grid, lambda p: _rank_score(p, t.n_symbols), time_budget=3600).withColumn("score", rd("score"))
 
 
 @query("e10_selected_features")
