@@ -38,7 +38,7 @@ def price_column(mode: str) -> Column:
 
 def calendar_of(bars: DataFrame) -> DataFrame:
     """(date, i, next_date): one row per trading date. Its size is the number
-    of dates, so the ordering window and the broadcasts of it are bounded."""
+    of dates, so the ordering windows over it are bounded."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     return bars.groupBy("date").agg(F.count("*").alias("_n")).select(
         "date", F.row_number().over(w).alias("i"), F.lead("date").over(w).alias("next_date")
@@ -58,13 +58,13 @@ def schedule(cal: DataFrame, freq: str) -> DataFrame:
 def carry_on_calendar(panel: DataFrame, cal: DataFrame, values: list[str]) -> DataFrame:
     """Values on every calendar date from a symbol's first bar on."""
     last = cal.agg(F.max("i")).scalar()
-    idx = panel.join(F.broadcast(cal.select("date", "i")), "date")
+    idx = panel.join(cal.select("date", "i"), "date")
     grid = idx.groupBy("sym").agg(F.min("i").alias("_f")).select("sym", F.explode(F.sequence("_f", last)).alias("i"))
     w = Window.partitionBy("sym").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     j = grid.join(idx.drop("date"), ["sym", "i"], "left").select(
         "sym", "i", *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values],
         *[c for c in panel.columns if c not in ("date", "sym", *values)])
-    return j.join(F.broadcast(cal.select("date", "i")), "i")
+    return j.join(cal.select("date", "i"), "i")
 
 
 def equal_weights(names: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,14 +93,14 @@ class Result:
         """Held names by date: growth since the rebalance that opened them."""
         b = self.bars.select("date", "sym", "high", "low", price_column(self.trade_at_price).alias("px"))
         p = carry_on_calendar(b, self.cal, ["px"])
-        # the opening rebalance of a date is the last one strictly before it;
-        # the schedule is one row per period
+        # the opening rebalance of a date is the last one strictly before it
+        w = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
         opened = self.cal.join(
-            F.broadcast(self.sched), (F.col("date") > F.col("effective"))
-            & (F.col("until").isNull() | (F.col("date") <= F.col("until")))
-        ).select("date", "effective")
+            self.sched.select(F.col("effective").alias("date"), F.lit(True).alias("_e")), "date", "left"
+        ).select("date", F.last(F.when(F.col("_e"), F.col("date")), ignorenulls=True).over(w).alias("effective"))
+        opened = opened.where(F.col("effective").isNotNull())
         p = p.withColumn("px0", F.lag("px").over(Window.partitionBy("sym").orderBy("i")))
-        p = p.join(F.broadcast(opened), "date")
+        p = p.join(opened, "date")
         w = Window.partitionBy("sym", "effective").orderBy("i")
         p = p.withColumn("base", F.first("px0").over(w)).where(F.col("base").isNotNull())
         p = p.join(self.target, ["sym", "effective"]).withColumn("g", F.col("px") / F.col("base"))
@@ -116,7 +116,7 @@ class Result:
     def costs(self) -> DataFrame:
         """Fee on turnover and tax on sales, on the rebalance date itself."""
         ends = self.path.join(
-            F.broadcast(self.sched.select(F.col("effective").alias("date"))), "date", "left_semi")
+            self.sched.select(F.col("effective").alias("date")), "date", "left_semi")
         drift = ends.join(self.growth, ["strategy", "effective", "date"]).select(
             "strategy", F.col("date").alias("effective"), "sym",
             (F.col("weight") * F.col("g") / F.col("growth")).alias("old"))
@@ -153,7 +153,7 @@ class Result:
     @cached_property
     def spells(self) -> DataFrame:
         """Consecutive periods of one name belong to one spell."""
-        s = self.target.join(F.broadcast(self.sched), "effective")
+        s = self.target.join(self.sched, "effective")
         w = Window.partitionBy("strategy", "sym").orderBy("k")
         return s.withColumn("spell", F.col("k") - F.row_number().over(w))
 
@@ -208,7 +208,7 @@ def sim(
         signals = signals.withColumn("strategy", F.lit(name))
     cal = written(calendar_of(bars), "calendar")
     sched = schedule(cal, resample)
-    at = signals.join(F.broadcast(sched.select(F.col("decision").alias("date"), "effective")), "date")
+    at = signals.join(sched.select(F.col("decision").alias("date"), "effective"), "date")
     if "weight" in signals.columns:
         target = at.where(F.col("weight") != 0).select("strategy", "effective", "sym", "weight")
     else:
@@ -243,6 +243,7 @@ def statistics(nav: DataFrame, periods: int, capital: float = 1.0, key: str = "s
         (F.pow(total, periods / F.count("*")) - 1).alias("annual_return"),
         F.least(F.min("_dd"), F.lit(0.0)).alias("max_drawdown"),
         F.when(sd > 0, F.avg("ret") / sd * F.sqrt(F.lit(float(periods)))).alias("sharpe"),
+        (sd * F.sqrt(F.lit(float(periods)))).alias("volatility"),
     )
 
 
@@ -292,7 +293,7 @@ def portfolio_hard_stop(nav: DataFrame, rebalances: DataFrame, limit: float = 0.
     """Cash from a fall of ``limit`` below the peak until the next rebalance.
     Depends on its own NAV, so one strategy's by-date series is folded."""
     d = nav.select("strategy", "date", "ret").join(
-        F.broadcast(rebalances.select("date").distinct().withColumn("reb", F.lit(True))), "date", "left")
+        rebalances.select("date").distinct().withColumn("reb", F.lit(True)), "date", "left")
 
     def fold(pdf):
         pdf = pdf.sort_values("date", ignore_index=True)
@@ -355,23 +356,35 @@ def target_positions(selected: DataFrame, prices: DataFrame, total_value: float)
 # ---- orders, fills, holdings --------------------------------------------
 
 
-def trigger_dates(orders: DataFrame, bars: DataFrame) -> DataFrame:
-    """First bar after an order that satisfies it.
+def _satisfied(b: Column) -> Column:
+    """Whether bar ``b`` comes after the order on the row and fills it."""
+    low, high = b["low"] <= F.col("limit_price"), b["high"] >= F.col("limit_price")
+    buy, kind = F.col("side") == "Buy", F.col("type")
+    below = ((kind == "Limit") & buy) | ((kind == "StopLoss") & ~buy)
+    return (b["date"] > F.col("date")) & ((kind == "Market") | F.when(below, low).otherwise(high))
 
-    A symbol's bars become one array, bounded by the calendar, and each order
-    searches it, so orders are not multiplied by bars and a symbol with very
-    many orders is split by AQE like any other skewed join.
+
+def trigger_dates(orders: DataFrame, bars: DataFrame, freq: str = "W", ahead: int = 8) -> DataFrame:
+    """First bar after an order that satisfies it; bars end on period ends.
+
+    Most orders are filled soon, so an order first meets the next few bars of
+    its symbol and period: a key of symbol and period, so that the orders of a
+    busy symbol spread over its periods. Only what is left looks at the
+    symbol's whole history, one array bounded by the calendar. Orders are
+    never multiplied by bars. Filled orders carry a null symbol and a random
+    second key into the last join, where they match nothing.
     """
-    arr = bars.groupBy("sym").agg(
-        F.sort_array(F.collect_list(F.struct("date", "low", "high"))).alias("_bars"))
-    j = orders.join(arr, "sym", "left")
-    later = F.filter("_bars", lambda b: (b["date"] > F.col("date")) & (
-        (F.col("type") == "Market")
-        | ((F.col("type") == "Limit") & (F.col("side") == "Buy") & (b["low"] <= F.col("limit_price")))
-        | ((F.col("type") == "Limit") & (F.col("side") == "Sell") & (b["high"] >= F.col("limit_price")))
-        | ((F.col("type") == "StopLoss") & (F.col("side") == "Sell") & (b["low"] <= F.col("limit_price")))
-        | ((F.col("type") == "StopLoss") & (F.col("side") == "Buy") & (b["high"] >= F.col("limit_price")))))
-    return j.withColumn("trigger_date", F.get(later, F.lit(0))["date"]).drop("_bars")
+    bar = F.struct("date", "low", "high")
+    near = bars.select("sym", F.col("date").alias("_p"), F.collect_list(bar).over(by_sym().rowsBetween(0, ahead - 1)).alias("_near"))
+    whole = bars.groupBy(F.col("sym").alias("_sym")).agg(F.sort_array(F.collect_list(bar)).alias("_all")).withColumn("_salt", F.lit(0))
+    o = orders.withColumn("_p", period_key("date", freq)).join(near, ["sym", "_p"], "left")
+    o = o.withColumn("_t", F.get(F.filter("_near", _satisfied), F.lit(0))["date"]).drop("_near", "_p")
+    open_ = F.col("_t").isNull()
+    o = o.withColumn("_sym", F.when(open_, F.col("sym"))).withColumn(
+        "_salt", F.when(open_, 0).otherwise(F.pmod(F.xxhash64("order_id"), F.lit(4099)).cast("int")))
+    j = o.join(whole, ["_sym", "_salt"], "left")
+    late = F.get(F.filter("_all", _satisfied), F.lit(0))["date"]
+    return j.withColumn("trigger_date", F.coalesce("_t", late)).drop("_all", "_t", "_sym", "_salt")
 
 
 def holdings(fills: DataFrame) -> DataFrame:

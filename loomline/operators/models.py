@@ -37,7 +37,7 @@ class MLEngine:
     def __init__(self, data: DataFrame, names: list[str], train_length: int, test_length: int, n_splits: int, lookahead: int):
         # iterative fits read the rows many times: written once
         folds = time_folds(data, train_length, test_length, n_splits, lookahead)
-        self.rows = written(data.join(F.broadcast(folds), "date"), "folds")
+        self.rows = written(data.join(folds, "date"), "folds")
         self.names, self.n_splits = names, n_splits
         self.models: list = []
 

@@ -45,7 +45,7 @@ def search(docs: DataFrame, terms: list[str], id_: str = "doc_id") -> DataFrame:
     n = docs.agg(F.count("*")).scalar()
     tf = words(docs, id_).where(F.col("word").isin([t.lower() for t in terms])).groupBy(id_, "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    return tf.join(F.broadcast(df), "word").groupBy(id_).agg(  # one row per search term
+    return tf.join(df, "word").groupBy(id_).agg(
         F.count("*").alias("n_terms"), F.sum(F.col("tf") * F.ln(n / F.col("df"))).alias("score"))
 
 

@@ -28,6 +28,7 @@ def event_order(ts="ts", event_id="event_id") -> Column:
 
 # What each logged action makes of an item (fixed values); others keep it.
 STATE_AFTER = {"create": "open", "start": "in_progress", "close": "closed", "reopen": "open"}
+STATES = ("open", "in_progress", "closed")
 
 
 def _state(kind="kind") -> Column:
@@ -37,10 +38,13 @@ def _state(kind="kind") -> Column:
 
 def fold_state(log: DataFrame) -> DataFrame:
     """Current state per item: the last state-changing event wins."""
-    s = log.withColumn("_s", _state()).withColumn("_o", event_order())
+    # states as numbers: fixed-width buffers keep a hash aggregate
+    code = F.create_map(*[x for i, v in enumerate(STATES) for x in (F.lit(v), F.lit(i))])
+    name = F.array(*[F.lit(v) for v in STATES])
+    s = log.withColumn("_s", code[_state()]).withColumn("_o", event_order())
     o = F.when(F.col("_s").isNotNull(), F.col("_o"))
     return s.groupBy("item").agg(
-        F.coalesce(F.max_by("_s", o), F.lit("open")).alias("state"),
+        F.get(name, F.coalesce(F.max_by("_s", o), F.lit(0))).alias("state"),
         F.max(F.when(F.col("_s").isNotNull(), F.col("ts"))).alias("since"),
         F.min("ts").alias("first_ts"), F.count("*").alias("n_events"))
 

@@ -3,7 +3,7 @@
 import importlib
 import importlib.util
 
-AREAS = ("panel", "indicators", "strategy", "risk", "work", "factors", "models", "streams")
+AREAS = ("panel", "indicators", "strategy", "risk", "work", "factors", "models", "streams", "api")
 
 
 def load_all():

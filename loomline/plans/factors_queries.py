@@ -95,7 +95,7 @@ f AS (SELECT k AS fold, 'test' AS part, k * 26 + 1 AS lo, (k + 1) * 26 AS hi FRO
   UNION ALL SELECT k, 'train', (k + 1) * 26 + 4 + 1, (k + 1) * 26 + 4 + 104 FROM range(0, 4) g(k))
 SELECT date, CAST(fold AS INTEGER) AS fold, part, count(*) AS n FROM bars_w JOIN d USING (date) JOIN f ON r BETWEEN lo AND hi GROUP BY 1, 2, 3""")
 def e11(t):
-    b = t.bars("W").select("date", "sym")
+    b = t.stored("W").select("date", "sym")
     return b.join(E.time_folds(b, 104, 26, 4, 4), "date").groupBy("date", "fold", "part").agg(F.count("*").alias("n"))
 
 

@@ -35,6 +35,11 @@ def bars(t, *cols):
     return t.bars("W").select("date", "sym", *cols)
 
 
+def stored(t, *cols):
+    """For plans that read the bars more than once."""
+    return t.stored("W").select("date", "sym", *cols)
+
+
 def out(df, *cols, digits=6):
     return df.select("date", "sym", *[rd(c, digits).alias(c) for c in cols])
 
@@ -204,7 +209,7 @@ SELECT b.date, b.sym, {r(f'(close - ({sma(20)})) / nullif(({full("stddev_samp",
   {r('(volume - m) / nullif(d, 0)', 6)} AS z_cross FROM bars_w b JOIN s ON b.date = s.date
 WINDOW w20 AS (PARTITION BY b.sym ORDER BY b.date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def w19(t):
-    b = indicator(bars(t, "close", "volume"), "ZSCORE", prefix="z_time")
+    b = indicator(stored(t, "close", "volume"), "ZSCORE", prefix="z_time")
     return out(it.cross_zscore(b, "volume", "z_cross"), "z_time", "z_cross", digits=6)
 
 
@@ -239,7 +244,7 @@ SELECT date, sym, CAST(k AS INTEGER) AS band, {r('lo + (hi - lo) * k / 10', 6)}
   {r('(lo + (hi - lo) * k / 10) * base', 4)} AS price
 FROM v JOIN m USING (sym), range(0, 11) g(k)""")
 def w23(t):
-    j = P.as_of(bars(t, "close"), t.fundamentals(), ["equity", "shares"], "available").where(F.col("equity").isNotNull())
+    j = P.as_of(stored(t, "close"), t.fundamentals(), ["equity", "shares"], "available").where(F.col("equity").isNotNull())
     j = j.withColumn("base", F.try_divide("equity", "shares"))
     return it.river(j, "close", "base", 10).select(
         "date", "sym", "band", rd("multiple", 6).alias("multiple"), rd("price", 4).alias("price"))
@@ -275,7 +280,7 @@ def w26(t):
 SELECT b.date, b.sym, {r("close * exp(coalesce(sum(ln(coalesce(factor, 1))) OVER (PARTITION BY b.sym ORDER BY b.date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0))", 6)} AS adj_close
 FROM bars_w b LEFT JOIN adj a ON a.sym = b.sym AND a.date = b.date""")
 def w28(t):
-    return out(it.adjust(bars(t, "close"), t.adjust_factors(), ["close"]), "adj_close", digits=6)
+    return out(it.adjust(stored(t, "close"), t.adjust_factors(), ["close"]), "adj_close", digits=6)
 
 
 @query("x02_indicator_registry", f"""

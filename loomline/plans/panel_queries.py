@@ -156,7 +156,7 @@ FROM g LEFT JOIN z USING (sym, date) GROUP BY sym""")
 def s11(t):
     from loomline.operators.quality import completeness
 
-    return completeness(t.bars("W").select("date", "sym", "close"), "close", 7, 3.0)
+    return completeness(t.stored("W").select("date", "sym", "close"), "close", 7, 3.0)
 
 
 @query("s12_factor_store", f"""
@@ -215,7 +215,7 @@ def p04(t):
 SELECT date, sym, {r('close')} AS close FROM bars_w WHERE volume > 20
   AND date IN (SELECT date FROM bars_w GROUP BY date HAVING count(close) >= (SELECT max(c) FROM (SELECT count(close) AS c FROM bars_w GROUP BY date)))""")
 def p05(t):
-    b = t.bars("W").select("date", "sym", "close", "volume")
+    b = t.stored("W").select("date", "sym", "close", "volume")
     widest = b.groupBy("date").agg(F.count("close").alias("c")).agg(F.max("c")).scalar()
     return P.complete_dates(b, "close", widest).where(F.col("volume") > 20).select("date", "sym", rd("close").alias("close"))
 
@@ -233,7 +233,7 @@ def p06(t):
 SELECT date, sym, {r('close')} AS close, date > (SELECT max(date) FROM bars_w) - 90 AS recent
 FROM bars_w WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-12-31'""")
 def p07(t):
-    b = t.bars("W").select("date", "sym", "close")
+    b = t.stored("W").select("date", "sym", "close")
     last = b.agg(F.max("date")).scalar()
     return b.where(F.col("date").between("1998-01-01", "2001-12-31")).select(
         "date", "sym", rd("close").alias("close"), (F.col("date") > F.date_sub(last, 90)).alias("recent"))
@@ -242,7 +242,7 @@ def p07(t):
 @query("p07_recent_days", f"""
 SELECT date, sym, {r('close')} AS close FROM bars_w WHERE date > (SELECT max(date) FROM bars_w) - 90""")
 def p07b(t):
-    return P.recent_days(t.bars("W").select("date", "sym", "close"), 90).withColumn("close", rd("close"))
+    return P.recent_days(t.stored("W").select("date", "sym", "close"), 90).withColumn("close", rd("close"))
 
 
 @query("p08_clip", f"SELECT date, sym, {r('greatest(500, least(3000, close))')} AS value FROM bars_w")
@@ -306,8 +306,9 @@ def p13(t):
 SELECT w.date, w.sym, {r('w.close')} AS close, {r('m.close')} AS month_close
 FROM bars_w w ASOF LEFT JOIN bars_m m ON w.sym = m.sym AND w.date >= m.date""")
 def j01(t):
-    w = t.bars("W").select("date", "sym", "close")
-    m = t.bars("M").select("date", "sym", F.col("close").alias("month_close"))
+    d = t.stored("D")  # one scan of the trade rows feeds both
+    w = P.rollup_bars(d, "W").select("date", "sym", "close")
+    m = P.rollup_bars(d, "M").select("date", "sym", F.col("close").alias("month_close"))
     return P.as_of(w, m, ["month_close"]).select("date", "sym", rd("close").alias("close"), rd("month_close").alias("month_close"))
 
 
@@ -337,7 +338,7 @@ FROM bars_w b JOIN p USING (date, sym) WHERE prediction IS NOT NULL""")
 def j04(t):
     from loomline.operators.factors import backtest_data
 
-    b = t.bars("W")
+    b = t.stored("W")
     p = indicator(b.select("date", "sym", "close"), "RETURN", prefix="prediction", timeperiod=4).select(
         "date", "sym", "prediction").where(F.col("prediction").isNotNull())
     return backtest_data(b, p).select("date", "sym", rd("open").alias("open"), rd("close").alias("close"), "volume",
@@ -355,7 +356,7 @@ d AS (SELECT date, sym, coalesce(w.weight, 0) - coalesce(c.weight, 0) AS delta F
 SELECT date, sym, {r('delta')} AS delta, CASE WHEN delta > 0 THEN 'Buy' ELSE 'Sell' END AS side
 FROM d WHERE abs(delta) >= 0.02""")
 def j05(t):
-    b = t.bars("W").select("date", "sym", "volume")
+    b = t.stored("W").select("date", "sym", "volume")
     tot = b.groupBy("date").agg(F.sum("volume").alias("tot"))
     w = b.join(tot, "date").select("date", "sym", (F.col("volume") / F.col("tot")).alias("weight"))
     cur = w.withColumn("date", F.date_add("date", 7))
@@ -372,7 +373,7 @@ b AS (SELECT date, avg(ret) AS bench FROM ret GROUP BY date)
 SELECT sym, count(*) AS n, {r('regr_slope(ret, bench)')} AS beta, {r('regr_intercept(ret, bench)')} AS alpha
 FROM ret JOIN b USING (date) WHERE ret IS NOT NULL GROUP BY sym""")
 def j06(t):
-    x = indicator(t.bars("W").select("date", "sym", "close"), "RETURN", prefix="ret")
+    x = indicator(t.stored("W").select("date", "sym", "close"), "RETURN", prefix="ret")
     bench = x.groupBy("date").agg(F.avg("ret").alias("bench"))
     return x.where(F.col("ret").isNotNull()).join(bench, "date").groupBy("sym").agg(
         F.count("*").alias("n"), rd(F.regr_slope("ret", "bench")).alias("beta"),
@@ -421,7 +422,7 @@ SELECT 'D' AS freq, date, sym, close AS value FROM bars_d
 UNION ALL SELECT 'W-FRI', {week('date')}, sym, arg_max(close, date) FROM bars_d GROUP BY ALL
 UNION ALL SELECT 'ME', {month('date')}, sym, arg_max(close, date) FROM bars_d GROUP BY ALL)""")
 def a02(t):
-    b = t.bars("D").select("date", "sym", "close")
+    b = t.stored("D").select("date", "sym", "close")
     return P.stack({f: P.resample_last(b, f, ["close"]) for f in ("D", "W-FRI", "ME")}, "freq").select(
         "freq", "date", "sym", rd("close").alias("value"))
 
@@ -486,7 +487,7 @@ def t05(t):
 def t06(t):
     """Slot-limited holding for two strategies; checked against a plain fold
     in the tests."""
-    b = t.bars("W").select("date", "sym", "close", "volume")
+    b = t.stored("W").select("date", "sym", "close", "volume")
     s = b.select("date", "sym", P.holds(F.col("close") > rolled(F.avg, "close", 10)).alias("entry"),
                  P.holds(F.col("close") < rolled(F.avg, "close", 20)).alias("exit"),
                  F.explode(F.create_map(F.lit("volume"), F.col("volume"), F.lit("cheap"), -F.col("close"))).alias(
@@ -503,7 +504,7 @@ b AS (SELECT date, sym FROM bars_w WHERE volume > 60)"""
 
 
 def _screens(t):
-    b = t.bars("W")
+    b = t.stored("W")
     return (b.where(F.col("close") > F.col("open")).select("date", "sym"),
             b.where(F.col("volume") > 60).select("date", "sym"))
 

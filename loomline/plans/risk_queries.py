@@ -18,7 +18,7 @@ WT = "wt AS (SELECT sym, sum(volume) / (SELECT sum(volume) FROM bars_w) AS weigh
 
 
 def returns(t):
-    b = indicator(t.bars("W").select("date", "sym", "close"), "RETURN", prefix="ret")
+    b = indicator(t.stored("W").select("date", "sym", "close"), "RETURN", prefix="ret")
     return b.where(F.col("ret").isNotNull()).select("date", "sym", "ret")
 
 
@@ -27,7 +27,7 @@ def category_returns(t):
 
 
 def share_weights(t):
-    b = t.bars("W").select("sym", "volume")
+    b = t.stored("W").select("sym", "volume")
     return b.groupBy("sym").agg((F.sum("volume") / b.agg(F.sum("volume")).scalar()).alias("weight"))
 
 
@@ -89,9 +89,7 @@ WITH {_PF}, nv AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS UNBOU
 SELECT s.*, {r('v.vol')} AS volatility FROM ({stats_sql('nv', 52, 1.0)}) s, (SELECT stddev_samp(ret) * sqrt(52) AS vol FROM nv) v""")
 def o06(t):
     s = fixed_portfolio(t).where(F.col("date").between("1996-01-01", "2000-12-31")).withColumn("strategy", F.lit("fixed"))
-    nav = B.nav_of(s)
-    vol = nav.groupBy("strategy").agg(rd(F.stddev_samp("ret") * F.sqrt(F.lit(52.0))).alias("volatility"))
-    return report(B.statistics(nav, 52)).join(vol, "strategy")
+    return report(B.statistics(B.nav_of(s), 52), "volatility")
 
 
 @query("o07_value_at_risk", f"""
@@ -151,5 +149,5 @@ def j20(t):
     from loomline.operators.pairs import best_partners, spread_scores
 
     p = best_partners(returns(t), 60)
-    return spread_scores(p, t.bars("W").select("date", "sym", "close"), 20).select(
+    return spread_scores(p, t.stored("W").select("date", "sym", "close"), 20).select(
         "sym", "partner", "date", rd("beta").alias("beta"), rd("z", 5).alias("z"))

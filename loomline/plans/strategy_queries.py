@@ -70,11 +70,11 @@ def mom_sim(t, **kw):
     return B.sim(mom_signals(t), wide(t), **kw)
 
 
-def report(df):
+def report(df, *more):
     """Growth in logs: prices in the check data are noise, so NAV spans many
     orders of magnitude."""
     return df.select("strategy", "n", rd(F.log1p("total_return")).alias("log_total"), rd(F.log1p("annual_return")).alias("log_annual"),
-                     rd("max_drawdown").alias("max_drawdown"), rd("sharpe").alias("sharpe"))
+                     rd("max_drawdown").alias("max_drawdown"), rd("sharpe").alias("sharpe"), *[rd(c).alias(c) for c in more])
 
 
 @query("b01_sim_nav", f"""
@@ -288,7 +288,7 @@ def b16(t):
 
 
 def volume_weights(t):
-    b = t.bars("W").select("date", "sym", "volume")
+    b = t.stored("W").select("date", "sym", "volume")
     tot = b.groupBy("date").agg(F.sum("volume").alias("tot"))
     return b.join(tot, "date").withColumn("weight", F.col("volume") / F.col("tot")).join(t.universe(), "sym")
 
@@ -425,7 +425,7 @@ def b27(t):
 WITH s AS (SELECT date, sym, close, count(*) OVER (PARTITION BY date) AS n FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, sym) AS rk FROM bars_w) WHERE rk <= 20)
 SELECT date, sym, CAST(floor(1e6 / n / close) AS BIGINT) AS shares FROM s""")
 def b28(t):
-    b = t.bars("W").select("date", "sym", "close", "volume")
+    b = t.stored("W").select("date", "sym", "close", "volume")
     return B.target_positions(P.top(b.select("date", "sym", "volume"), "volume", 20), b.select("date", "sym", F.col("close").alias("price")), 1e6).select(
         "date", "sym", F.col("shares").cast("bigint").alias("shares"))
 
@@ -455,7 +455,7 @@ SELECT o.order_id, o.sym, o.date, o.qty, min(b.date) AS trigger_date FROM orders
   OR (o.type = 'StopLoss' AND o.side = 'Sell' AND b.low <= o.limit_price) OR (o.type = 'StopLoss' AND o.side = 'Buy' AND b.high >= o.limit_price))
 GROUP BY o.order_id, o.sym, o.date, o.qty, o.limit_price, o.side, o.type""")
 def j17(t):
-    return B.trigger_dates(t.orders(), t.bars("W")).select("order_id", "sym", "date", "qty", "trigger_date")
+    return B.trigger_dates(t.orders(), t.stored("W")).select("order_id", "sym", "date", "qty", "trigger_date")
 
 
 _HOLD = """

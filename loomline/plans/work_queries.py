@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from loomline.operators import text as X
 from loomline.operators import work as W
 from loomline.plans.registry import query, r, rd
-from loomline.session import written
 
 _OPEN = """
 od AS (SELECT deps.id, count(*) AS n_blocking FROM deps LEFT JOIN tasks s ON s.id = deps.dep_id
@@ -20,12 +19,12 @@ walk(id, l) AS (SELECT id, 0 FROM tasks UNION ALL SELECT kd.id, walk.l + 1 FROM
 
 @query("j07_blocked", f"WITH {_OPEN} SELECT t.id, t.epic_id, n_blocking FROM tasks t JOIN od ON od.id = t.id WHERE t.state = 'open'")
 def j07(t):
-    return W.blocked(t.tasks()).select("id", "epic_id", "n_blocking")
+    return W.blocked(t.stored_tasks()).select("id", "epic_id", "n_blocking")
 
 
 @query("j08_ready", f"WITH {_OPEN} SELECT id, epic_id FROM tasks WHERE state = 'open' AND id NOT IN (SELECT id FROM od)")
 def j08(t):
-    return W.ready(t.tasks()).select("id", "epic_id")
+    return W.ready(t.stored_tasks()).select("id", "epic_id")
 
 
 @query("t03_next_task", f"""
@@ -33,7 +32,7 @@ WITH {_OPEN}, {_PROG} SELECT t.id, t.epic_id, e.priority, {r('n_closed::DOUBLE /
 FROM tasks t JOIN epics e ON e.id = t.epic_id JOIN pr ON pr.epic_id = t.epic_id
 WHERE t.state = 'open' AND t.id NOT IN (SELECT id FROM od) ORDER BY e.priority, n_closed::DOUBLE / n_tasks DESC, t.id LIMIT 1""")
 def t03(t):
-    return W.next_task(t.tasks(), t.epics()).select("id", "epic_id", "priority", rd("progress").alias("progress"), "epic_state")
+    return W.next_task(t.stored_tasks(), t.epics()).select("id", "epic_id", "priority", rd("progress").alias("progress"), "epic_state")
 
 
 _SYNC = """
@@ -65,7 +64,7 @@ SELECT t.id, coalesce(m.new, t.id) AS new_id, coalesce(m.new, t.id) || '.md' AS
   coalesce((SELECT string_agg(CAST(dep AS VARCHAR), ',') FROM d WHERE d.id = t.id), '') AS deps
 FROM tasks t LEFT JOIN m ON m.old = t.id""")
 def j11(t):
-    tasks = t.tasks()
+    tasks = t.stored_tasks()
     m = tasks.where(F.col("state") != "closed").select(F.col("id").alias("old"), (F.col("id") * 7 + 3).alias("new"))
     return W.remap_ids(tasks, m).select("id", "new_id", "file", F.array_join(F.col("depends_on").cast("array<string>"), ",").alias("deps"))
 
@@ -87,13 +86,13 @@ def j12(t):
 WITH {_PROG} SELECT e.id AS epic_id, e.state AS epic_state, e.priority, coalesce(n_tasks, 0) AS n_tasks, coalesce(n_closed, 0) AS n_closed,
   t.id AS task_id, t.state AS task_state, t.effort FROM epics e LEFT JOIN pr ON pr.epic_id = e.id LEFT JOIN tasks t ON t.epic_id = e.id""")
 def j13(t):
-    return W.show(t.epics(), t.tasks())
+    return W.show(t.epics(), t.stored_tasks())
 
 
 @query("j14_dependency_levels", f"""
 WITH RECURSIVE {_WALK}, {_LEV} SELECT t.id, t.epic_id, CAST(level AS INTEGER) AS level, t.parallel FROM tasks t JOIN lv ON lv.id = t.id""")
 def j14(t):
-    tasks = written(t.tasks(), "tasks")
+    tasks = t.stored_tasks()
     return W.levels(tasks).join(tasks.select("id", "epic_id", "parallel"), "id").select("id", "epic_id", "level", "parallel")
 
 
@@ -104,7 +103,7 @@ UNION ALL SELECT 'missing_dependency', id FROM (SELECT id, unnest(depends_on) AS
 UNION ALL SELECT 'duplicate_id', id FROM tt GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'open_task_in_closed_epic', epic_id FROM tt WHERE state <> 'closed' AND epic_id IN (SELECT id FROM ee WHERE state = 'closed')""")
 def j15(t):
-    tasks = t.tasks()
+    tasks = t.stored_tasks()
     return W.validate(tasks.unionByName(tasks.where(F.col("id") % 97 == 0)), t.epics().where(F.col("id") % 50 != 0))
 
 
@@ -206,7 +205,7 @@ def a18(t):
 WITH RECURSIVE {_WALK}, {_LEV}, s AS (SELECT epic_id, CAST(level AS INTEGER) AS level, count(*) AS n FROM tasks t JOIN lv ON lv.id = t.id GROUP BY 1, 2)
 SELECT *, max(n) OVER (PARTITION BY epic_id) AS widest FROM s""")
 def a19(t):
-    return W.streams(written(t.tasks(), "tasks"))
+    return W.streams(t.stored_tasks())
 
 
 @query("a20_effort", f"""
@@ -214,7 +213,7 @@ WITH RECURSIVE {_WALK}, {_LEV}, s AS (SELECT epic_id, level, sum(effort) AS tota
   FROM tasks t JOIN lv ON lv.id = t.id GROUP BY 1, 2)
 SELECT epic_id, sum(total) AS total, sum(closed) AS closed, sum(total) - sum(closed) AS open, sum(longest) AS parallel FROM s GROUP BY 1""")
 def a20(t):
-    return W.effort(written(t.tasks(), "tasks")).select("epic_id", "total", "closed", "open", "parallel")
+    return W.effort(t.stored_tasks()).select("epic_id", "total", "closed", "open", "parallel")
 
 
 # ---- change data ------------------------------------------------------------
@@ -252,9 +251,9 @@ WITH rt AS (SELECT id, CASE WHEN id % 7 = 0 THEN effort + 1 ELSE effort END AS e
 SELECT t.epic_id, count(*) FILTER (rt.id IS NULL) AS local_only, count(*) FILTER (rt.id IS NOT NULL AND rt.effort = t.effort) AS synced,
   count(*) FILTER (rt.effort <> t.effort) AS stale FROM tasks t LEFT JOIN rt ON rt.id = t.id GROUP BY 1""")
 def l05(t):
-    remote = t.tasks().where(F.col("id") % 11 != 0).withColumn(
+    remote = t.stored_tasks().where(F.col("id") % 11 != 0).withColumn(
         "effort", F.when(F.col("id") % 7 == 0, F.col("effort") + 1).otherwise(F.col("effort")))
-    return W.publication(t.tasks(), remote, ["effort", "state"])
+    return W.publication(t.stored_tasks(), remote, ["effort", "state"])
 
 
 # ---- scalar functions ---------------------------------------------------------

@@ -49,9 +49,15 @@ class Tables:
     def stored(self, freq: str = "W") -> DataFrame:
         """Bars written once under the shared folder, for jobs that read them
         several times: the trade rows are scanned once."""
-        if freq not in self._stored:
-            self._stored[freq] = written(self.bars(freq), f"bars-{freq}")
-        return self._stored[freq]
+        return self._store(f"bars-{freq}", lambda: self.bars(freq))
+
+    def stored_tasks(self) -> DataFrame:
+        return self._store("tasks", self.tasks)
+
+    def _store(self, name: str, build) -> DataFrame:
+        if name not in self._stored:
+            self._stored[name] = written(build(), name)
+        return self._stored[name]
 
     def dense(self) -> DataFrame:
         """Weekly close with gaps carried forward, ``filled`` marks them."""
@@ -65,8 +71,8 @@ class Tables:
     def universe(self) -> DataFrame:
         s, n, r = self.raw("supplier"), self.raw("nation"), self.raw("region")
         return (
-            s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
-            .join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+            s.join(n, s.s_nationkey == n.n_nationkey)
+            .join(r, n.n_regionkey == r.r_regionkey)
             .select(
                 F.col("s_suppkey").alias("sym"),
                 F.col("n_name").alias("category"),
@@ -150,15 +156,17 @@ class Tables:
         li = self.raw("lineitem")
         g = li.groupBy("l_orderkey", "l_linenumber").agg(
             F.sum("l_quantity").alias("effort"),
-            F.max("l_linestatus").alias("status"),
-            F.max("l_returnflag").alias("flag"),
+            # ranks, not strings: fixed-width buffers keep a hash aggregate
+            F.max((F.col("l_linestatus") == "O").cast("int")).alias("status"),
+            F.max(F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("rank"),
             F.max(F.to_date("l_shipdate")).alias("due"),
         )
+        g = g.withColumn("flag", F.when(F.col("rank") == 2, "R").when(F.col("rank") == 1, "N").otherwise("A"))
         return g.select(
             (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
             F.col("l_orderkey").alias("epic_id"),
             F.col("l_linenumber").cast("int").alias("seq"),
-            F.when(F.col("status") == "F", "closed")
+            F.when(F.col("status") == 0, "closed")
             .when(F.col("flag") == "R", "in_progress")
             .otherwise("open").alias("state"),
             "effort",
