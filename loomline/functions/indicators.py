@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.operators.panel import by_sym, last_rows, to_here
+from loomline.operators.ranking import correlation_of
 
 
 @dataclass(frozen=True)
@@ -365,7 +366,7 @@ def _minindex(df, outs, timeperiod):
 @windowed("CORREL", timeperiod=30)
 def _correl(df, outs, timeperiod):
     w = last_rows(timeperiod)
-    return df.withColumn(outs[0], F.when(F.count("close").over(w) == timeperiod, F.corr("high", "low").over(w)))
+    return df.withColumn(outs[0], F.when(F.count("close").over(w) == timeperiod, correlation_of("high", "low", w)))
 
 
 @windowed("BETA", timeperiod=5)

@@ -159,15 +159,16 @@ class Result:
 
     def get_trades(self) -> DataFrame:
         """One row per spell: dates, days, size, return, drawdown, excursions."""
-        s = self.spells.select("strategy", "sym", "effective", "spell", "until")
-        # a name's last open spell has no exit yet
+        keys = ["strategy", "sym", "spell"]
+        s = self.spells.select(*keys, "effective", "until")
+        # a spell that reaches the last rebalance has no exit yet
+        ends = s.groupBy(*keys).agg(F.max_by("until", "effective").alias("exit_date"))
         p = self.path.join(s, ["strategy", "sym", "effective"])
         w = Window.partitionBy("strategy", "sym", "spell").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         p = p.withColumn("entry_px", F.first("base").over(w))
         p = p.withColumn("_peak", F.greatest(F.max("px").over(w), F.col("entry_px")))
         t = p.groupBy("strategy", "sym", "spell").agg(
             F.min("effective").alias("entry_date"),
-            F.max_by("until", "effective").alias("exit_date"),
             F.max("date").alias("_last"),
             F.min_by("weight", "effective").alias("weight"),
             F.first("entry_px").alias("entry_price"),
@@ -175,7 +176,7 @@ class Result:
             F.min(F.col("px") / F.col("_peak") - 1).alias("mdd"),
             F.min("low").alias("_lo"), F.max("high").alias("_hi"),
         )
-        return t.select(
+        return t.join(ends, keys).select(
             "strategy", "sym", "entry_date", "exit_date",
             F.datediff(F.coalesce("exit_date", "_last"), "entry_date").alias("days"), "weight",
             "entry_price", "exit_price", (F.col("exit_price") / F.col("entry_price") - 1).alias("ret"), "mdd",
@@ -358,10 +359,17 @@ def target_positions(selected: DataFrame, prices: DataFrame, total_value: float)
 
 def _satisfied(b: Column) -> Column:
     """Whether bar ``b`` comes after the order on the row and fills it."""
-    low, high = b["low"] <= F.col("limit_price"), b["high"] >= F.col("limit_price")
-    buy, kind = F.col("side") == "Buy", F.col("type")
+    return (b["date"] > F.col("date")) & ((b["low"] <= F.col("_lo")) | (b["high"] >= F.col("_hi")))
+
+
+def _bounds(orders: DataFrame) -> DataFrame:
+    """Order types as two prices: filled when low <= ``_lo`` or high >= ``_hi``."""
+    buy, kind, inf = F.col("side") == "Buy", F.col("type"), F.lit(float("inf"))
     below = ((kind == "Limit") & buy) | ((kind == "StopLoss") & ~buy)
-    return (b["date"] > F.col("date")) & ((kind == "Market") | F.when(below, low).otherwise(high))
+    return orders.withColumns({
+        "_lo": F.when(kind == "Market", inf).when(below, F.col("limit_price")).otherwise(-inf),
+        "_hi": F.when((kind == "Market") | below, inf).otherwise(F.col("limit_price")),
+    })
 
 
 def trigger_dates(orders: DataFrame, bars: DataFrame, freq: str = "W", ahead: int = 8) -> DataFrame:
@@ -377,14 +385,14 @@ def trigger_dates(orders: DataFrame, bars: DataFrame, freq: str = "W", ahead: in
     bar = F.struct("date", "low", "high")
     near = bars.select("sym", F.col("date").alias("_p"), F.collect_list(bar).over(by_sym().rowsBetween(0, ahead - 1)).alias("_near"))
     whole = bars.groupBy(F.col("sym").alias("_sym")).agg(F.sort_array(F.collect_list(bar)).alias("_all")).withColumn("_salt", F.lit(0))
-    o = orders.withColumn("_p", period_key("date", freq)).join(near, ["sym", "_p"], "left")
+    o = _bounds(orders).withColumn("_p", period_key("date", freq)).join(near, ["sym", "_p"], "left")
     o = o.withColumn("_t", F.get(F.filter("_near", _satisfied), F.lit(0))["date"]).drop("_near", "_p")
     open_ = F.col("_t").isNull()
     o = o.withColumn("_sym", F.when(open_, F.col("sym"))).withColumn(
         "_salt", F.when(open_, 0).otherwise(F.pmod(F.xxhash64("order_id"), F.lit(4099)).cast("int")))
     j = o.join(whole, ["_sym", "_salt"], "left")
     late = F.get(F.filter("_all", _satisfied), F.lit(0))["date"]
-    return j.withColumn("trigger_date", F.coalesce("_t", late)).drop("_all", "_t", "_sym", "_salt")
+    return j.withColumn("trigger_date", F.coalesce("_t", late)).drop("_all", "_t", "_sym", "_salt", "_lo", "_hi")
 
 
 def holdings(fills: DataFrame) -> DataFrame:

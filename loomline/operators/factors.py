@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions.indicators import rolled
 from loomline.operators.panel import by_sym
-from loomline.operators.ranking import tied_rank, tiles
+from loomline.operators.ranking import correlation_of, tied_rank, tiles
 
 MAX_SHAPLEY = 10
 
@@ -66,7 +66,7 @@ def ic_by_date(rows: DataFrame, width: int | None = None) -> DataFrame:
     by = ["factor", "date"]
     d = tied_rank(rows, by, "value", "_a", "average", width)
     d = tied_rank(d, by, "label", "_b", "average", width)
-    return d.groupBy(*by).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n"))
+    return d.groupBy(*by).agg(correlation_of("_a", "_b").alias("ic"), F.count("*").alias("n"))
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:

@@ -120,3 +120,12 @@ def tied_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", metho
 
 def _percent(low: Column, total: Column) -> Column:
     return F.when(total > 1, (low - 1) / (total - 1)).otherwise(F.lit(0.0))
+
+
+def correlation_of(a: str, b: str, over=None) -> Column:
+    """Correlation over the rows where both values are present; null, not an
+    error, where one of them does not vary."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    parts = [F.covar_pop(a, b), F.stddev_pop(x), F.stddev_pop(y)]
+    c, u, v = (q.over(over) for q in parts) if over is not None else parts
+    return F.try_divide(c, u * v)

@@ -6,7 +6,7 @@ from loomline.operators import backtest as B
 from loomline.operators import factors as E
 from loomline.operators import models as M
 from loomline.operators.panel import holds, top
-from loomline.operators.ranking import tiles
+from loomline.operators.ranking import correlation_of, tiles
 from loomline.operators.text import frequent_lexicon, sentiment, words
 from loomline.plans.factors_queries import NAMES, features
 from loomline.plans.registry import query, r, rd
@@ -52,7 +52,7 @@ def e17(t):
         p = e.train_predict(m, reg=reg).withColumn("model", F.lit(m))
         out = p if out is None else out.unionByName(p)
     return out.groupBy("model", "fold").agg(
-        F.count("*").alias("n"), rd(F.corr("prediction", "label")).alias("corr"),
+        F.count("*").alias("n"), rd(correlation_of("prediction", "label")).alias("corr"),
         rd(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0)))), 4).alias("rmse"))
 
 

@@ -138,12 +138,12 @@ sp AS (SELECT s.*, k.until, k - row_number() OVER (PARTITION BY strategy, sym OR
 tp AS (SELECT g.*, sp.until, sp.spell, b.low, b.high FROM g JOIN sp USING (strategy, e, sym) LEFT JOIN bars_w b ON b.sym = g.sym AND b.date = g.date),
 te AS (SELECT *, first_value(base) OVER w AS entry_px, greatest(max(px) OVER w, first_value(base) OVER w) AS peak FROM tp
   WINDOW w AS (PARTITION BY strategy, sym, spell ORDER BY date ROWS UNBOUNDED PRECEDING)),
-tr AS (SELECT strategy, sym, spell, min(e) AS entry_date, arg_max(until, e) AS exit_last, max(date) AS last, arg_min(w, e) AS weight,
-  arg_min(base, date) AS entry_price, arg_max(px, date) AS exit_price, min(px / peak - 1) AS mdd, min(low) AS lo, max(high) AS hi,
-  bool_or(until IS NULL) AS open_end FROM te GROUP BY 1, 2, 3),
+se AS (SELECT strategy, sym, spell, bool_or(until IS NULL) AS open_end, max(until) AS exit_last FROM sp GROUP BY 1, 2, 3),
+tr AS (SELECT strategy, sym, spell, min(e) AS entry_date, max(date) AS last, arg_min(w, e) AS weight,
+  arg_min(base, date) AS entry_price, arg_max(px, date) AS exit_price, min(px / peak - 1) AS mdd, min(low) AS lo, max(high) AS hi FROM te GROUP BY 1, 2, 3),
 trades AS (SELECT strategy, sym, entry_date, CASE WHEN NOT open_end THEN exit_last END AS exit_date,
   date_diff('day', entry_date, CASE WHEN NOT open_end THEN exit_last ELSE last END) AS days,
-  weight, entry_price, exit_price, exit_price / entry_price - 1 AS ret, mdd, least(0, lo / entry_price - 1) AS mae, greatest(0, hi / entry_price - 1) AS mfe FROM tr)"""
+  weight, entry_price, exit_price, exit_price / entry_price - 1 AS ret, mdd, least(0, lo / entry_price - 1) AS mae, greatest(0, hi / entry_price - 1) AS mfe FROM tr JOIN se USING (strategy, sym, spell))"""
 
 
 @query("b07_trades", f"""

@@ -27,7 +27,7 @@ def scan(spark: SparkSession, path: str, record_sep: str | None = None) -> DataF
         F.when(F.length(head) > 0, F.map_filter(
             F.str_to_map(F.regexp_replace(head, r"[ \t]*:[ \t]*", ":"), F.lit("\n"), F.lit(":")),
             lambda k, v: F.length(F.trim(k)) > 0)).alias("attrs"),
-        F.trim(F.regexp_replace("value", HEADER, "")).alias("body"),
+        F.regexp_replace(F.regexp_replace("value", HEADER, ""), r"^\s+|\s+$", "").alias("body"),
     )
 
 
