@@ -83,21 +83,23 @@ def indicator(df: DataFrame, name: str, prefix: str | None = None, **params) ->
 
 def indicators(df: DataFrame, specs: list[tuple[str, str | None, dict]]) -> DataFrame:
     """Several indicators; outputs already present are not computed again."""
-    todo_rec = []
+    todo_rec, done, given = [], [], df.columns
     for name, prefix, params in specs:
         key = name.upper()
         if key not in REGISTRY:
             raise KeyError(f"unknown indicator {name!r}")
         ind = REGISTRY[key]
         outs = output_columns(name, params, prefix)
-        if all(o in df.columns for o in outs) or any(outs == t[1] for t in todo_rec):
+        if all(o in given or o in done for o in outs) or any(outs == t[1] for t in todo_rec):
             continue
         p = _params(ind, params)
         if ind.recursive:
             todo_rec.append((ind, outs, p))
         else:
-            keep = df.columns
-            df = ind.fn(df, outs, **p).select(*keep, *outs)
+            df = ind.fn(df, outs, **p)
+            done += outs
+    if done:
+        df = df.select(*given, *done)  # helper columns end here
     return _fold(df, todo_rec) if todo_rec else df
 
 

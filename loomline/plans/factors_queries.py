@@ -20,7 +20,7 @@ fl AS (SELECT date, sym, label, factor, value FROM feat UNPIVOT (value FOR facto
 _RK = """
 rk AS (SELECT *, rank() OVER (PARTITION BY factor, date ORDER BY value) + (count(*) OVER (PARTITION BY factor, date, value) - 1) / 2.0::DOUBLE AS a,
   rank() OVER (PARTITION BY factor, date ORDER BY label) + (count(*) OVER (PARTITION BY factor, date, label) - 1) / 2.0::DOUBLE AS b FROM fl),
-ic AS (SELECT factor, date, corr(a, b) AS ic, count(*) AS n FROM rk GROUP BY 1, 2)"""
+ic AS (SELECT factor, date, CASE WHEN NOT isnan(corr(a, b)) THEN corr(a, b) END AS ic, count(*) AS n FROM rk GROUP BY 1, 2)"""
 _Q5 = "q5 AS (SELECT *, ntile(5) OVER (PARTITION BY factor, date ORDER BY value, sym) AS quantile FROM fl)"
 _FR = f"{_Q5}, fr AS (SELECT factor, date, avg(label) FILTER (quantile = 5) - avg(label) FILTER (quantile = 1) AS ret FROM q5 GROUP BY 1, 2)"
 
