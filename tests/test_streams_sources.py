@@ -46,13 +46,6 @@ def test_fold_over_batches(spark, split_events):
     assert_equal(run(split_events, 1), run(SF, None))
 
 
-def minute_rows(spark, path, batches):
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(
-            1).write.mode("append").parquet(path)
-    return path
-
-
 def test_latch_resets_next_day(spark):
     t = dt.datetime
     rows = [(1, t(2024, 1, 1, 9, 0), 1, "view", 100.0, ""), (2, t(2024, 1, 1, 9, 5), 1, "view", 97.0, ""), (3, t(2024, 1, 1, 9, 9), 1, "view", 120.0, ""),
