@@ -9,9 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import written
-
-__all__ = ["raw", "written", "valid_vectors", "dimension", "row_key", "text_bytes", "text_buffer", "pieces", "words_of", "word_hashes", "window_hashes", "mix"]
+from loomline.session import written  # noqa: F401  used by the operators
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,7 +53,7 @@ def valid_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedd
 
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """A hash that spreads rows: by id, and by text where the id is null."""
-    return F.coalesce(F.xxhash64(F.col(key).cast("string"), F.lit(1)) + F.when(F.col(key).isNull(), None).otherwise(0), F.xxhash64(text, F.lit(2)))
+    return F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).otherwise(F.xxhash64(text))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

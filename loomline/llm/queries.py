@@ -40,3 +40,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.topk import exact_top_k
 
     return exact_top_k(raw(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@_query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.substrings import remove_repeats
+
+    return remove_repeats(raw(spark, sf_dir, "documents"), window=35)
