@@ -71,3 +71,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.nearcopies import near_copies
 
     return near_copies(raw(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@_query("op1_ppm_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.ppm import ppm_scores
+
+    return ppm_scores(raw(spark, sf_dir, "documents"), order=5)
