@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import written  # noqa: F401  used by the operators
+from loomline.session import written as _written
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,20 @@ def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder. The shuffle files behind it go as soon as it is there."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        return _written(df, label)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 # ---- vectors -----------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ from loomline.llm.common import n_blocks, pieces, row_key, text_buffer, text_byt
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose hashes are packed together, and worked on at once.
 PACK_BYTES, PIECE_BYTES = 16 << 20, 2 << 20
 
@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
         raise ValueError(f"window must have at least {PERIOD} words")
     length = window - PERIOD + 1
     blocks = n_blocks(text_bytes(docs, text), BLOCK_BYTES)
-    buckets = 2 * blocks
+    buckets = max(16, blocks // 2)
     base = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(row_key(key, text), F.lit(blocks)).cast("int").alias("block")
     )
