@@ -78,3 +78,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.ppm import ppm_scores
 
     return ppm_scores(raw(spark, sf_dir, "documents"), order=5)
+
+
+@_query("op2_multiprobe_nearest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.ann import nearest
+
+    return nearest(raw(spark, sf_dir, "embeddings"), k=20, every=20)
