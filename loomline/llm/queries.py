@@ -85,3 +85,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.ann import nearest
 
     return nearest(raw(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+@_query("op7_subword_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.quality import quality_scores
+
+    return quality_scores(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels"), threshold=0.3)
