@@ -92,3 +92,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.quality import quality_scores
 
     return quality_scores(raw(spark, sf_dir, "documents"), raw(spark, sf_dir, "labels"), threshold=0.3)
+
+
+@_query("op3_weak_supervision_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.pii import personal_data
+
+    return personal_data(raw(spark, sf_dir, "documents"))
