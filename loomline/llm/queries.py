@@ -99,3 +99,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.pii import personal_data
 
     return personal_data(raw(spark, sf_dir, "documents"))
+
+
+def _op8_sql() -> str:
+    from loomline.llm.mixing import mixed_sql
+
+    return mixed_sql()
+
+
+@_query("op8_raked_mixture", _op8_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomline.llm.mixing import mixed
+
+    out = mixed(raw(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "keep")
