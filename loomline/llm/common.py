@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.session import written as _written
+from loomline.session import new_path
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,13 +24,25 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder. The shuffle files behind it go as soon as it is there."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN, None)
-    conf.set(_CLEAN, "true")
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
     try:
-        return _written(df, label)
+        df.write.parquet(path)
     finally:
-        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    out = spark.read.parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 # ---- vectors -----------------------------------------------------------

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, n_blocks, pieces, row_key, text_buffer, text_bytes, written
+from loomline.llm.common import LOWER, discard, n_blocks, pieces, row_key, text_buffer, text_bytes, written
 
 #: Bytes that UTF-8 never uses: the start of a text fills contexts, the end is a symbol.
 START, END = 0xFF, 0xFE
 #: Symbols of the alphabet: all byte values but START.
 SYMBOLS = 255
-BLOCK_BYTES, PIECE_BYTES = 32 << 20, 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 20 << 20, 2 << 20
 
 _COUNTED = "block int, gram long, word binary, n long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -163,15 +163,18 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, slots: np.
 def _score(order: int, tokens: int, types: int):
     def run(key, docs: pa.Table, known: pa.Table) -> pa.Table:
         rows = {"doc_id": docs["doc_id"], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        is_gram = known["gram"].is_valid()
-        grams, said = known.filter(is_gram), known.filter(known["word"].is_valid())
+        grams, said = known.select(["gram", "logp"]).drop_null(), known.select(["word", "n"]).drop_null()
+        del known
         keys, logp = grams["gram"].to_numpy(), grams["logp"].to_numpy()
         by = np.argsort(keys)
         keys, logp = keys[by], logp[by]
         bits = max(1, int(2 * len(keys)).bit_length())
         slots = np.zeros(1 << bits, np.int64)
         slots[(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)] = np.arange(len(keys))
-        count = dict(zip(said["word"].to_pylist(), said["n"].to_pylist(), strict=True))
+        count: dict[bytes, int] = {}
+        for part in said.to_batches(max_chunksize=65536):
+            count.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+        del grams, said
         total = np.log10(tokens + types + 1)
         train = docs["train"].to_pylist()
         buf, at = text_buffer(docs["text"])
@@ -225,10 +228,10 @@ def ppm_scores(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, k
     tokens, types = size["tokens"] or 0, size["types"]
     gram_counts = written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
     lengths = code_lengths(gram_counts, order)
-    none = {"gram": F.lit(None).cast("long"), "logp": F.lit(None).cast("double"), "word": F.lit(None).cast("binary"), "n": F.lit(None).cast("long")}
-    known = (
-        grams.select("block", "gram").join(lengths, "gram").select(F.col("block").alias("b"), "gram", "logp", none["word"].alias("word"), none["n"].alias("n"))
-        .unionByName(words.select("block", "word").join(word_counts, "word").select(F.col("block").alias("b"), none["gram"].alias("gram"), none["logp"].alias("logp"), "word", "n"))
-    )
+    # Both joins are written and what they came from is dropped, so that the last stage finds the disk free.
+    known_grams = written(grams.select("block", "gram").join(lengths, "gram").select("block", "gram", "logp"), "ppm-lengths")
+    known_words = written(words.select("block", "word").join(word_counts, "word").select("block", "word", "n"), "ppm-words")
+    discard(counted, gram_counts, word_counts)
+    known = known_grams.unionByName(known_words, allowMissingColumns=True).withColumnRenamed("block", "b")
     scored = base.groupBy("block").cogroup(known.groupBy("b")).applyInArrow(_score(order, tokens, types), _SCORED)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
