@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Longest unit that goes through the lanes; distinct units that a task remembers.
-LANE, REMEMBERED = 24, 300_000
+LANE, REMEMBERED = 24, 400_000
 TEXT_CHARS = 2 << 20
 
 
@@ -132,7 +132,8 @@ class Stream:
             self.root.append(n if came == 0 else self.root[came])
             self.widest = max(self.widest, n + 1)
             first = max(0, n - v.longest + 1)
-            while first > 0 or n == 0 or self.root[first:] and 0 not in self.root[first:]:
+            # positions from first on can be continued; while all paths to them share their first boundary, it is certain
+            while n > 0:
                 roots = set(self.root[first:])
                 if len(roots) != 1 or 0 in roots:
                     break
@@ -141,14 +142,12 @@ class Stream:
                 self._drop(cut)
                 n -= cut
                 first = max(0, n - v.longest + 1)
-                if n == 0:
-                    break
         return out
 
     def _ids(self, start: int, end: int) -> list[int]:
         piece = self.text[start:end]
         hit = self.v.score.get(piece)
-        return [hit[1]] if hit and (len(piece) > 1 or piece in self.v.score) else self.v.bytes_of(piece)
+        return [hit[1]] if hit else self.v.bytes_of(piece)
 
     def _drop(self, cut: int) -> None:
         base = self.best[cut]
@@ -216,9 +215,7 @@ class Lanes:
         prefix = np.zeros((size + 1, n), np.uint64)
         for j in range(size):
             prefix[j + 1] = prefix[j] * _P + chars[:, j] + np.uint64(1)
-        powers = np.ones(size + 1, np.uint64)
-        for j in range(size):
-            powers[j + 1] = powers[j] * _P
+        powers = np.array([pow(int(_P), j, 2**64) for j in range(size + 1)], np.uint64)
         best = np.zeros((size + 1, n))
         back, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int32)
         for e in range(1, size + 1):
@@ -264,11 +261,8 @@ class Encoder:
             out += stream.feed(unit[i : i + 4096])
         return out + stream.finish()
 
-    def _unit(self, text: str) -> np.ndarray:
-        """Ids of a unit; a literal space mark is spelled in bytes so that decoding gives it back."""
-        return np.array(self.one(text), np.int32)
-
     def _learn(self, new: list[tuple[bool, str]]) -> None:
+        """Ids of new units; a literal space mark is spelled in bytes so that decoding gives it back."""
         ids: list[np.ndarray | None] = [None] * len(new)
         by_length: dict[int, list[int]] = {}
         for k, (spaced, w) in enumerate(new):
@@ -283,7 +277,7 @@ class Encoder:
                     if i == 0 and spaced:
                         part = SPACE + part
                     if part:
-                        parts.append(self._unit(part.replace(" ", SPACE)))
+                        parts.append(np.array(self.one(part.replace(" ", SPACE)), np.int32))
                 ids[k] = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         for own in by_length.values():
             for a in range(0, len(own), 50_000):

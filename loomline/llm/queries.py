@@ -115,3 +115,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = mixed(raw(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "keep")
+
+
+@_query("op5_streaming_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.pieces import encode_documents
+
+    return encode_documents(raw(spark, sf_dir, "documents"))
