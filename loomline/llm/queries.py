@@ -122,3 +122,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.pieces import encode_documents
 
     return encode_documents(raw(spark, sf_dir, "documents"))
+
+
+@_query("op9_language_fusion")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.langid import fused, profiles
+
+    return fused(raw(spark, sf_dir, "pages"), profiles(raw(spark, sf_dir, "documents")))
