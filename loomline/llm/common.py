@@ -22,26 +22,29 @@ def raw(spark: SparkSession, root: str, name: str) -> DataFrame:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder. The shuffle files behind it go as soon as it is there."""
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """The frame as a table in the shared folder, in a folder for each value of ``by``.
+
+    The shuffle files behind it go as soon as it is there.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*([by] if by else [])).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    out = spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete written tables, or one folder of them, that nothing reads any more."""
     for t in tables:
         sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{t.written_to}/{part}" if part else t.written_to)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import n_blocks, pieces, row_key, text_buffer, text_bytes, window_hashes, word_hashes, words_of, written
+from loomline.llm.common import discard, n_blocks, pieces, row_key, text_buffer, text_bytes, window_hashes, word_hashes, words_of, written
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -281,9 +281,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text:
 
     anchors = base.select("text", "block").mapInArrow(_scan_anchors(length, buckets), _PACKED)
     step = base.groupBy("block").cogroup(repeated(anchors).groupBy("b")).applyInArrow(_extend(window, length, buckets), _STEP)
-    step = written(step, "substring-windows")
+    step = written(step, "substring-windows", by="kind")
     windows = step.where("kind = 'windows'").select("bucket", "blocks", "h1", "h2")
+    again = written(repeated(windows), "substring-repeats")
+    discard(step, part="kind=windows")
     open_docs = step.where("kind = 'open'").select("block", "doc_id", "text", "starts")
-    settled = open_docs.groupBy("block").cogroup(repeated(windows).groupBy("b")).applyInArrow(_settle(window), _RESULT)
+    settled = open_docs.groupBy("block").cogroup(again.groupBy("b")).applyInArrow(_settle(window), _RESULT)
     done = step.where("kind = 'done'").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return done.unionByName(settled)
