@@ -99,8 +99,8 @@ def text_evidence(page: str | Column, profile: np.ndarray) -> Column:
 def declared_language(page: str | Column, languages: tuple[str, ...]) -> Column:
     """The declared language, ``other`` for one that is not asked for, empty without a declaration."""
     page = F.col(page) if isinstance(page, str) else page
-    code = F.lower(F.regexp_extract(page, r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z]+)""", 1))
-    return F.coalesce(F.when(code.isin(*languages) | (code == ""), code).otherwise("other"), F.lit(""))
+    code = F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), r"""(?i)<html[^>]*\slang\s*=\s*["']?([A-Za-z]+)""", 1))
+    return F.when(code.isin(*languages) | (code == ""), code).otherwise("other")
 
 
 def _normalised(logs: Column) -> Column:
