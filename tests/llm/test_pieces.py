@@ -75,7 +75,10 @@ def test_equals_the_library_where_its_sums_are_exact(encoder, spark):
     ids, place = encoder.encode(texts)
     for i, t in enumerate(texts):
         own, other = ids[place[i] : place[i + 1]].tolist(), library.nbest_encode_as_ids(t, 2)[0]
-        assert score(encoder.v, own) == score(encoder.v, other)  # of equal sums either may choose another
+        best = score(encoder.v, own)
+        assert best[0] >= score(encoder.v, other)[0]
+        if best[0] > -1e7:  # its sums are single precision; of equal ones either may choose another
+            assert best == score(encoder.v, other)
 
 
 def test_forgetting_changes_nothing(encoder, monkeypatch):
