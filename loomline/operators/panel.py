@@ -34,15 +34,13 @@ def bars_from_ticks(ticks: DataFrame, freq: str = "D") -> DataFrame:
     """OHLCV per symbol and period of at most a month.
 
     One aggregation with map-side combine, so a symbol with a third of all
-    trades still sends one partial row per task and period. Day and sequence
-    are packed in a long: a struct ordering would force a sort aggregate.
+    trades still sends one partial row per task and period. ``seq`` may be
+    anything that orders the rows of a day, a struct of columns too.
     """
     if freq not in ("D", "W", "W-FRI", "M", "ME"):
         raise ValueError("bars_from_ticks takes D, W or M; use rollup_bars beyond")
     end = period_key("date", freq)
-    order = F.shiftleft((F.lit(63) - F.datediff(end, F.col("date"))).cast("bigint"), 57) + F.col("seq")
-    if freq == "D":
-        order = F.col("seq")
+    order = F.col("seq") if freq == "D" else F.struct("date", "seq")
     t = ticks.select("sym", end.alias("_end"), "price", "qty", "amount", order.alias("_ord"))
     return (
         t.groupBy("sym", F.col("_end").alias("date"))

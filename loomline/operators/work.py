@@ -186,10 +186,13 @@ def sync(local: DataFrame, remote: DataFrame, last: DataFrame, fields: list[str]
 
 
 def apply_sync(actions: DataFrame, fields: list[str]) -> DataFrame:
-    """State of both sides after push and pull; conflicts stay as they are."""
-    take_remote = F.col("action") == "pull"
-    return actions.where(F.col("action") != "conflict").select(
-        "id", *[F.when(take_remote, F.col(f"r_{f}")).otherwise(F.col(f"l_{f}")).alias(f) for f in fields])
+    """State after push and pull. A conflict keeps both sides: two rows of
+    which ``side`` tells local from remote; it is ``both`` for all others."""
+    both = F.array(F.lit("local"), F.lit("remote"))
+    sides = F.when(F.col("action") == "conflict", both).otherwise(F.array(F.lit("both")))
+    rows = actions.withColumn("side", F.explode(sides))
+    take_remote = (F.col("action") == "pull") | (F.col("side") == "remote")
+    return rows.select("id", "side", *[F.when(take_remote, F.col(f"r_{f}")).otherwise(F.col(f"l_{f}")).alias(f) for f in fields])
 
 
 def import_new(local: DataFrame, remote: DataFrame) -> DataFrame:
@@ -209,6 +212,16 @@ def remap_ids(tasks: DataFrame, mapping: DataFrame) -> DataFrame:
         "file", F.concat(F.col("new_id").cast("string"), F.lit(".md"))).drop("_d", "_id")
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``name``: the row's number from 0 in the order of a unique key. Rows are
+    dealt into ranges and numbered inside; only range sizes meet in one place."""
+    dealt = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn("_range", F.shiftright("_place", 33)), "numbered")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).drop("_size")
+    return dealt.join(before, "_range").withColumn(name, F.col("_before") + F.col("_place") - F.shiftleft("_range", 33)).drop("_range", "_place", "_before")
+
+
 def lineage(commits: DataFrame, tasks: DataFrame, epics: DataFrame, prds: DataFrame) -> DataFrame:
     """Commit to issue to epic to document; the first missing link is named."""
     t = tasks.select(F.col("id").alias("task_id"), F.col("task_epic").alias("epic_id"))

@@ -113,7 +113,7 @@ SELECT sym, CAST(minute AS DATE) AS date, first(open ORDER BY minute) AS open, m
 def s08(t):
     e = t.events()
     # event ids follow time inside a minute only by tie-break, so order by both
-    within = F.unix_micros("ts") % F.lit(60_000_000) * F.lit(1 << 30) + F.col("event_id") % F.lit(1 << 30)
+    within = F.struct("ts", "event_id")
     m = e.select("sym", F.date_trunc("minute", "ts").alias("minute"), "price", within.alias("o")).groupBy(
         "sym", "minute").agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),

@@ -26,7 +26,11 @@ VIEWS = {
     "ticks": """
 SELECT l_suppkey AS sym, CAST(l_shipdate AS DATE) AS date, l_extendedprice / l_quantity AS price,
   l_quantity AS qty, l_extendedprice AS amount,
-  (l_orderkey * 16 + l_linenumber) * 4096 + l_partkey % 4096 AS seq
+  row(l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq
+FROM lineitem""",
+    "lines": """
+SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_shipdate AS DATE), l_linenumber, l_partkey, l_quantity,
+  l_extendedprice, l_suppkey, l_discount, l_tax, l_returnflag) AS line
 FROM lineitem""",
     "bars_d": _bars("date"),
     "bars_w": _bars(week("date")),
@@ -48,18 +52,18 @@ SELECT q.sym, quarter, revenue, cost, tax, revenue - cost - tax AS net, 10000.0
   1000.0 + sum(n_lines) OVER (PARTITION BY q.sym ORDER BY quarter ROWS UNBOUNDED PRECEDING) AS shares,
   CAST(quarter + INTERVAL 45 DAY AS DATE) AS available
 FROM (SELECT l_suppkey AS sym, {quarter('CAST(l_shipdate AS DATE)')} AS quarter,
-        sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_extendedprice * (0.5 + l_discount)) AS cost,
+        sum(l_extendedprice * (1 - l_discount)) AS revenue, sum(l_quantity * p_retailprice) AS cost,
         sum(l_extendedprice * l_tax) AS tax, count(*) AS n_lines
-      FROM lineitem GROUP BY 1, 2) q
+      FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) q
 JOIN supplier ON q.sym = s_suppkey""",
     "adj": "SELECT sym, min(date) AS date, 0.5 AS factor FROM bars_w WHERE sym % 5 = 0 GROUP BY sym, year(date)",
     "orders_t": """
-SELECT (l_orderkey * 16 + l_linenumber) * 4096 + l_partkey % 4096 AS order_id, l_suppkey AS sym,
+SELECT l_orderkey * 100 + line AS order_id, l_suppkey AS sym,
   CAST(l_shipdate AS DATE) AS date, CASE WHEN l_returnflag IN ('N', 'A') THEN 'Buy' ELSE 'Sell' END AS side,
   CASE l_linenumber % 3 WHEN 0 THEN 'Market' WHEN 1 THEN 'Limit' ELSE 'StopLoss' END AS type,
   l_quantity AS qty, l_extendedprice / l_quantity AS price,
   l_extendedprice / l_quantity * (1 + l_discount - 0.05::DOUBLE) AS limit_price
-FROM lineitem""",
+FROM lines""",
     "epics": """
 SELECT o_orderkey AS id,
   CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'P' THEN 'in_progress' ELSE 'open' END AS state,
@@ -67,15 +71,12 @@ SELECT o_orderkey AS id,
   o_custkey AS owner, o_totalprice AS size
 FROM orders""",
     "tasks": """
-SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey AS epic_id, l_linenumber AS seq,
-  CASE WHEN status = 'F' THEN 'closed' WHEN flag = 'R' THEN 'in_progress' ELSE 'open' END AS state,
-  effort, l_linenumber % 3 = 0 AS parallel,
-  ['epic:' || l_orderkey, 'task:' || flag] AS labels, due,
-  CASE WHEN l_linenumber > 1 AND l_linenumber % 3 <> 0 THEN [l_orderkey * 100 + l_linenumber - 1]
-       ELSE CAST([] AS BIGINT[]) END AS depends_on
-FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity) AS effort, max(l_linestatus) AS status,
-        max(l_returnflag) AS flag, max(CAST(l_shipdate AS DATE)) AS due
-      FROM lineitem GROUP BY 1, 2)""",
+SELECT l_orderkey * 100 + line AS id, l_orderkey AS epic_id, CAST(line AS INTEGER) AS seq,
+  CASE WHEN l_linestatus = 'F' THEN 'closed' WHEN l_returnflag = 'R' THEN 'in_progress' ELSE 'open' END AS state,
+  l_quantity AS effort, line % 3 = 0 AS parallel, ['epic:' || l_orderkey, 'task:' || l_returnflag] AS labels,
+  CAST(l_shipdate AS DATE) AS due,
+  CASE WHEN line > 1 AND line % 3 <> 0 THEN [l_orderkey * 100 + line - 1] ELSE CAST([] AS BIGINT[]) END AS depends_on
+FROM lines""",
     "deps": "SELECT id, epic_id, unnest(depends_on) AS dep_id FROM tasks",
     "item_log": """
 SELECT user_id AS item, ts, event_id,

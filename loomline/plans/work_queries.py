@@ -70,16 +70,19 @@ def j11(t):
 
 
 @query("j12_lineage", """
-WITH c AS (SELECT event_id AS commit, CASE WHEN event_id % 17 <> 0 THEN (event_id % (SELECT count(*) FROM orders)) * 100 + 1 + event_id % 7 END AS task_id FROM events)
+WITH k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM tasks),
+c AS (SELECT event_id AS commit, k.id AS task_id FROM events LEFT JOIN k ON event_id % 17 <> 0 AND k.n = event_id % (SELECT count(*) FROM tasks))
 SELECT c.commit, c.task_id, t.epic_id, e.owner AS prd_id,
   CASE WHEN t.id IS NULL THEN 'task' WHEN e.id IS NULL THEN 'epic' WHEN p.c_custkey IS NULL THEN 'prd' ELSE 'none' END AS gap
 FROM c LEFT JOIN tasks t ON t.id = c.task_id LEFT JOIN epics e ON e.id = t.epic_id AND e.id % 17 <> 0 LEFT JOIN customer p ON p.c_custkey = e.owner""")
 def j12(t):
-    n = t.raw("orders").agg(F.count("*")).scalar()
+    tasks = t.stored_tasks()
     e = F.col("event_id")
-    commits = t.raw("events").select(e.alias("commit"), F.when(e % 17 != 0, (e % n) * 100 + 1 + e % 7).alias("task_id"))
+    n = tasks.agg(F.count("*")).scalar()
+    linked = t.raw("events").select(e.alias("commit"), F.when(e % 17 != 0, e % n).alias("n"))
+    commits = linked.join(W.numbered(tasks.select(F.col("id").alias("task_id")), "task_id", "n"), "n", "left").select("commit", "task_id")
     prds = t.raw("customer").select(F.col("c_custkey").alias("id"))
-    return W.lineage(commits, t.tasks().withColumnRenamed("epic_id", "task_epic"), t.epics().where(F.col("id") % 17 != 0), prds)
+    return W.lineage(commits, tasks.withColumnRenamed("epic_id", "task_epic"), t.epics().where(F.col("id") % 17 != 0), prds)
 
 
 @query("j13_epic_show", f"""

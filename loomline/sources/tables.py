@@ -31,8 +31,8 @@ class Tables:
     # ---- market panels -------------------------------------------------
 
     def ticks(self) -> DataFrame:
-        """Trade rows. ``seq`` orders the rows of one day and fits a long, so
-        that open/close stay in a hash aggregate."""
+        """Trade rows. ``seq`` orders the rows of one day by all their columns:
+        order, line, part, quantity, amount."""
         li = self.raw("lineitem")
         return li.select(
             F.col("l_suppkey").alias("sym"),
@@ -40,7 +40,7 @@ class Tables:
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
             F.col("l_extendedprice").alias("amount"),
-            ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096).alias("seq"),
+            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"),
         )
 
     def bars(self, freq: str = "W") -> DataFrame:
@@ -81,9 +81,9 @@ class Tables:
         )
 
     def fundamentals(self) -> DataFrame:
-        """One row per symbol and quarter, from one aggregation of the lines."""
-        li = self.raw("lineitem")
+        """One row per symbol and quarter; cost is quantity at the part's price."""
         gross, disc, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
+        li = self.raw("lineitem").join(self.raw("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
         q = (
             li.groupBy(
                 F.col("l_suppkey").alias("sym"),
@@ -91,7 +91,7 @@ class Tables:
             )
             .agg(
                 F.sum(gross * (1 - disc)).alias("revenue"),
-                F.sum(gross * (F.lit(0.5) + disc)).alias("cost"),
+                F.sum(F.col("l_quantity") * F.col("p_retailprice")).alias("cost"),
                 F.sum(gross * tax).alias("tax"),
                 F.count("*").alias("n_lines"),
             )
@@ -120,11 +120,11 @@ class Tables:
 
     def orders(self) -> DataFrame:
         """Orders taken from trade rows: side, type and limit price."""
-        li = self.raw("lineitem")
+        li = self.lines()
         price = F.col("l_extendedprice") / F.col("l_quantity")
         kind = F.col("l_linenumber") % 3
         return li.select(
-            ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096).alias("order_id"),
+            (F.col("l_orderkey") * 100 + F.col("line")).alias("order_id"),
             F.col("l_suppkey").alias("sym"),
             F.to_date("l_shipdate").alias("date"),
             F.when(F.col("l_returnflag").isin(*BUY_FLAGS), "Buy").otherwise("Sell").alias("side"),
@@ -149,37 +149,28 @@ class Tables:
             F.col("o_totalprice").alias("size"),
         )
 
+    def lines(self) -> DataFrame:
+        """Line items with ``line``, their number within the order by the total
+        order of the rows: (order, line number) alone repeats. An order has a
+        bounded number of lines, and the window sorts by order only."""
+        rows = Window.partitionBy("l_orderkey").orderBy(
+            F.to_date("l_shipdate"), "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_suppkey", "l_discount", "l_tax", "l_returnflag")
+        return self.raw("lineitem").withColumn("line", F.row_number().over(rows))
+
     def tasks(self) -> DataFrame:
-        """Tasks of an epic, one per (order, line number). Repeated lines are
-        merged by the aggregation, so ids need no ordering window and an epic
-        of any size spreads over tasks."""
-        li = self.raw("lineitem")
-        g = li.groupBy("l_orderkey", "l_linenumber").agg(
-            F.sum("l_quantity").alias("effort"),
-            # ranks, not strings: fixed-width buffers keep a hash aggregate
-            F.max((F.col("l_linestatus") == "O").cast("int")).alias("status"),
-            F.max(F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "N", 1).otherwise(0)).alias("rank"),
-            F.max(F.to_date("l_shipdate")).alias("due"),
-        )
-        g = g.withColumn("flag", F.when(F.col("rank") == 2, "R").when(F.col("rank") == 1, "N").otherwise("A"))
-        return g.select(
-            (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"),
+        """Tasks of an epic, one per line of the order."""
+        flag = F.col("l_returnflag")
+        chained = (F.col("line") > 1) & (F.col("line") % 3 != 0)
+        return self.lines().select(
+            (F.col("l_orderkey") * 100 + F.col("line")).alias("id"),
             F.col("l_orderkey").alias("epic_id"),
-            F.col("l_linenumber").cast("int").alias("seq"),
-            F.when(F.col("status") == 0, "closed")
-            .when(F.col("flag") == "R", "in_progress")
-            .otherwise("open").alias("state"),
-            "effort",
-            (F.col("l_linenumber") % 3 == 0).alias("parallel"),
-            F.array(
-                F.concat(F.lit("epic:"), F.col("l_orderkey").cast("string")),
-                F.concat(F.lit("task:"), F.col("flag")),
-            ).alias("labels"),
-            "due",
-            F.when(
-                (F.col("l_linenumber") > 1) & (F.col("l_linenumber") % 3 != 0),
-                F.array(F.col("l_orderkey") * 100 + F.col("l_linenumber") - 1),
-            ).otherwise(F.array().cast("array<bigint>")).alias("depends_on"),
+            F.col("line").alias("seq"),
+            F.when(F.col("l_linestatus") == "F", "closed").when(flag == "R", "in_progress").otherwise("open").alias("state"),
+            F.col("l_quantity").alias("effort"),
+            (F.col("line") % 3 == 0).alias("parallel"),
+            F.array(F.concat(F.lit("epic:"), F.col("l_orderkey").cast("string")), F.concat(F.lit("task:"), flag)).alias("labels"),
+            F.to_date("l_shipdate").alias("due"),
+            F.when(chained, F.array(F.col("l_orderkey") * 100 + F.col("line") - 1)).otherwise(F.array().cast("array<bigint>")).alias("depends_on"),
         )
 
     def deps(self) -> DataFrame:
