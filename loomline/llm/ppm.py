@@ -30,6 +30,8 @@ START, END = 0xFF, 0xFE
 #: Symbols of the alphabet: all byte values but START.
 SYMBOLS = 255
 BLOCK_BYTES, PIECE_BYTES = 20 << 20, 2 << 20
+#: Texts taken from a block at once.
+SOME = 512
 
 _COUNTED = "block int, gram long, word binary, n long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -64,27 +66,29 @@ def _count(order: int):
 
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        train = table["train"].to_numpy(zero_copy_only=False).astype(bool)
         keys, counts, words = [], [], Counter()
-        buf, at = text_buffer(table["text"])
-        for i, j in pieces(at, PIECE_BYTES):
-            part, ends = LOWER[buf[at[i] : at[j]]], at[i : j + 1] - at[i]
-            g, place = grams_of(part, ends, order)
-            taught = np.repeat(train[i:j], np.diff(place))
-            u, c = np.unique(g[taught], return_counts=True)
-            keys.append(u)
-            counts.append(c)
-            other = np.unique(g[~taught])
-            keys.append(other)
-            counts.append(np.zeros(len(other), np.int64))
-            whole = part.tobytes()
-            for k in range(j - i):
-                own = whole[ends[k] : ends[k + 1]].split()
-                if train[i + k]:
-                    words.update(own)
-                    words[b""] += 1  # the end
-                else:
-                    words.update(dict.fromkeys(own, 0))
+        for batch in table.select(["text", "train"]).to_batches(max_chunksize=SOME):
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            buf, at = text_buffer(batch.column("text"))
+            for i, j in pieces(at, PIECE_BYTES):
+                part, ends = LOWER[buf[at[i] : at[j]]], at[i : j + 1] - at[i]
+                g, place = grams_of(part, ends, order)
+                taught = np.repeat(train[i:j], np.diff(place))
+                u, c = np.unique(g[taught], return_counts=True)
+                other = np.unique(g[~taught])
+                keys += [u, other]
+                counts += [c, np.zeros(len(other), np.int64)]
+                whole = part.tobytes()
+                for k in range(j - i):
+                    own = whole[ends[k] : ends[k + 1]].split()
+                    if train[i + k]:
+                        words.update(own)
+                        words[b""] += 1  # the end
+                    else:
+                        words.update(dict.fromkeys(own, 0))
+            if len(keys) > 8:
+                merged = _merge(keys, counts)
+                keys, counts = [merged[0]], [merged[1]]
         words.setdefault(b"", 0)
         g, n = _merge(keys, counts)
         grams = pa.table({"block": pa.array(np.full(len(g), block, np.int32)), "gram": g, "word": pa.nulls(len(g), pa.binary()), "n": n})
@@ -176,21 +180,22 @@ def _score(order: int, tokens: int, types: int):
             count.update(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
         del grams, said
         total = np.log10(tokens + types + 1)
-        train = docs["train"].to_pylist()
-        buf, at = text_buffer(docs["text"])
-        for i, j in pieces(at, PIECE_BYTES):
-            part, ends = LOWER[buf[at[i] : at[j]]], at[i : j + 1] - at[i]
-            g, place = grams_of(part, ends, order)
-            rows["score"].append(np.add.reduceat(_lookup(keys, logp, g, slots, 64 - bits), place[:-1]))
-            whole = part.tobytes()
-            for k in range(j - i):
-                own = whole[ends[k] : ends[k + 1]].split()
-                own.append(b"")
-                c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
-                rows["held_out"].append(not train[i + k])
-                rows["n_tokens"].append(len(own))
-                rows["n_known"].append(int((c > 0).sum()))
-                rows["base_score"].append(float(np.log10(c + 1.0).sum() - len(own) * total))
+        for batch in docs.select(["text", "train"]).to_batches(max_chunksize=SOME):
+            train = batch.column("train").to_pylist()
+            buf, at = text_buffer(batch.column("text"))
+            for i, j in pieces(at, PIECE_BYTES):
+                part, ends = LOWER[buf[at[i] : at[j]]], at[i : j + 1] - at[i]
+                g, place = grams_of(part, ends, order)
+                rows["score"].append(np.add.reduceat(_lookup(keys, logp, g, slots, 64 - bits), place[:-1]))
+                whole = part.tobytes()
+                for k in range(j - i):
+                    own = whole[ends[k] : ends[k + 1]].split()
+                    own.append(b"")
+                    c = np.fromiter(map(count.__getitem__, own), np.int64, len(own))
+                    rows["held_out"].append(not train[i + k])
+                    rows["n_tokens"].append(len(own))
+                    rows["n_known"].append(int((c > 0).sum()))
+                    rows["base_score"].append(float(np.log10(c + 1.0).sum() - len(own) * total))
         rows["score"] = np.concatenate(rows["score"]) if rows["score"] else np.zeros(0)
         return pa.table({
             "doc_id": rows["doc_id"].cast(pa.int64()), "held_out": pa.array(rows["held_out"], pa.bool_()), "n_tokens": pa.array(rows["n_tokens"], pa.int64()),
