@@ -186,8 +186,10 @@ class Panel:
                 F.coalesce("_x.e.exit", F.lit(False)).alias("exit"), F.col("_x.r").alias("rank_value"))
         spells = P.hold_until_slots(s.withColumn("strategy", F.lit("")), nstocks_limit, exit_="exit")
         days = s.select("date", "sym")
-        held = days.join(spells.withColumnRenamed("sym", "_s"), (F.col("sym") == F.col("_s")) & (F.col("date") >= F.col("entry_date"))
-                         & (F.col("exit_date").isNull() | (F.col("date") < F.col("exit_date")))).select("date", "sym", F.lit(True).alias("held"))
+        in_spell = ((F.col("sym") == F.col("_s")) & (F.col("date") >= F.col("entry_date"))
+                    & (F.col("exit_date").isNull() | (F.col("date") < F.col("exit_date"))))
+        # spells of a symbol do not overlap: each cell meets one at most
+        held = days.join(spells.withColumnRenamed("sym", "_s"), in_spell, "left").select("date", "sym", F.col("_s").isNotNull().alias("held"))
         return Panel(held, F.col("held"), (), self.grade, True)
 
     # -- reductions
@@ -240,7 +242,7 @@ class Data:
         self._roots: dict = {}
 
     def _root(self, table: str) -> DataFrame:
-        key = (table, id(self.catalog._scope), tuple(self.catalog._scope_list or ()), self.catalog._storage)
+        key = (table, id(self.catalog._scope), self.catalog._storage)
         if key not in self._roots:
             self._roots[key] = self.catalog._frame(table)
         return self._roots[key]

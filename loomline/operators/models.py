@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.factors import time_folds
 from loomline.operators.risk import DENSE_LIMIT
+from loomline.operators.text import WORD_GAP
 from loomline.session import written
 
 SEED = 7
@@ -104,13 +105,14 @@ def cluster_assets(profile: DataFrame, cols: list[str], k: int) -> DataFrame:
 
 
 def _tokens() -> RegexTokenizer:
-    return RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^a-z0-9]+", toLowercase=True, minTokenLength=3)
+    return RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD_GAP, toLowercase=True, minTokenLength=1)
 
 
-def topics(docs: DataFrame, k: int, vocab: int = 5000, terms: int = 10, rounds: int = 10) -> DataFrame:
-    """Top terms of each topic; the vocabulary bounds the model, not the corpus."""
+def topics(docs: DataFrame, k: int, vocab: int = 1 << 18, terms: int = 10, rounds: int = 10) -> DataFrame:
+    """Top terms of each topic. Every round reads all documents; ``vocab`` is
+    the number of most frequent terms that the model knows."""
     cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0)
-    lda = LDA(k=k, maxIter=rounds, seed=SEED, optimizer="online")
+    lda = LDA(k=k, maxIter=rounds, seed=SEED, optimizer="online", subsamplingRate=1.0)
     d = written(docs.select("doc_id", "text"), "docs")
     m = Pipeline(stages=[_tokens(), cv, lda]).fit(d)
     words = F.array(*[F.lit(w) for w in m.stages[1].vocabulary])
@@ -119,7 +121,9 @@ def topics(docs: DataFrame, k: int, vocab: int = 5000, terms: int = 10, rounds:
         "topic", "rank", F.get(words, F.col("t.termIndices")).alias("term"), F.col("t.termWeights").alias("weight"))
 
 
-def word_vectors(docs: DataFrame, size: int = 16, min_count: int = 20, rounds: int = 1):
+def word_vectors(docs: DataFrame, size: int = 16, min_count: int = 5, rounds: int = 1):
+    """Word vectors, trained on as many partitions as the input has and averaged
+    each round; words below ``min_count`` have none."""
     d = written(docs.select("doc_id", "text"), "docs")
     return Pipeline(stages=[_tokens(), Word2Vec(
-        vectorSize=size, minCount=min_count, maxIter=rounds, seed=SEED, inputCol="words", outputCol="v")]).fit(d).stages[-1]
+        numPartitions=max(1, d.rdd.getNumPartitions()), vectorSize=size, minCount=min_count, maxIter=rounds, seed=SEED, inputCol="words", outputCol="v")]).fit(d).stages[-1]

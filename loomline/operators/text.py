@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+WORD_GAP = r"[^\p{L}\p{N}]+"
+
 # Verdict rules for review comments (fixed values): first accept, then ignore.
 ACCEPT = r"\b(bug|error|leak|security|crash|race|overflow|null|secret|password)"
 IGNORE = r"\b(style|naming|format|nit|whitespace|comment|typo)"
 
 
 def words(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, word): runs of ASCII letters and digits of the whole text."""
-    w = F.explode(F.split(F.lower(text), r"[^a-z0-9]+")).alias("word")
+    """(id, word): runs of letters and digits of any script, of the whole text."""
+    w = F.explode(F.split(F.lower(text), WORD_GAP)).alias("word")
     return docs.select(id_, w).where(F.col("word") != "")
 
 

@@ -95,7 +95,7 @@ def e20(t):
 
 
 @query("e21_sentiment", """
-WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM documents),
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents),
 c AS (SELECT word, count(*) AS c FROM w WHERE word <> '' GROUP BY word ORDER BY c DESC, word LIMIT 20),
 x AS (SELECT word, CASE WHEN row_number() OVER (ORDER BY c DESC, word) % 2 = 1 THEN 1 ELSE -1 END AS score FROM c)
 SELECT doc_id, CAST(sum(score) AS BIGINT) AS score, count(*) AS n_words FROM w JOIN x USING (word) GROUP BY doc_id""")

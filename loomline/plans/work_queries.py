@@ -277,7 +277,7 @@ _TERMS = ("the", "data", "security", "system", "error")
 
 
 @query("f02_search", f"""
-WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS word FROM documents),
+WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM documents),
 tf AS (SELECT doc_id, word, count(*) AS tf FROM w WHERE word IN {_TERMS} GROUP BY 1, 2),
 df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
 SELECT doc_id, count(*) AS n_terms, {r('sum(tf * ln((SELECT count(*) FROM documents) / df))')} AS score FROM tf JOIN df USING (word) GROUP BY 1""")

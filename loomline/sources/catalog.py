@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from loomline.session import new_path
 from loomline.sources.tables import Tables
 
-SHORT_LIST = 200
-
 # Documented second spelling of the book-ratio dataset (fixed value).
 KEY_ALIASES = {"price_earning_ratio:pb": "price_book_ratio:pb"}
 
@@ -39,7 +37,6 @@ class Catalog:
             "price_book_ratio": (lambda: fn.valuation(tables.bars("W"), tables.fundamentals()), ("pb", "pe")),
         }
         self._scope: DataFrame | None = None
-        self._scope_list: list | None = None
         self._storage: str | None = None
 
     # -- reads
@@ -77,15 +74,15 @@ class Catalog:
                 out = build().withColumn("year", F.year("date"))
                 if not save:
                     return self._scoped(out.drop("year"))
-                out.repartition("year", F.pmod(F.xxhash64("sym"), F.lit(16))).write.mode("overwrite").partitionBy(
-                    "year").parquet(path)
+                out.hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
             df = self.spark.read.parquet(path).drop("year")
         return self._scoped(df)
 
     def _scoped(self, df: DataFrame) -> DataFrame:
-        if self._scope_list is not None:
-            return df.where(F.col("sym").isin(self._scope_list))
-        return df if self._scope is None else df.join(self._scope, "sym", "left_semi")
+        if self._scope is None:
+            return df
+        scope = self._scope.select(F.col("sym").cast(df.schema["sym"].dataType).alias("sym"))
+        return df.join(scope, "sym", "left_semi")
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -101,8 +98,12 @@ class Catalog:
     def datasets(self) -> list[str]:
         return [f"{t}:{f}" for t, (_, fields) in self._builders.items() for f in fields]
 
+    def names(self, keyword: str = "") -> list[str]:
+        return [d for d in self.datasets() if keyword.lower() in d.lower()]
+
     def search(self, keyword: str) -> DataFrame:
-        """Matching dataset keys with their coverage, one pass per table."""
+        """Matching dataset keys with their coverage, one pass per table.
+        ``names`` answers without reading data."""
         parts = []
         for t, (build, fields) in self._builders.items():
             hit = [f for f in fields if keyword.lower() in f"{t}:{f}".lower()]
@@ -133,18 +134,15 @@ class Catalog:
 
     @contextmanager
     def universe(self, market=None, category=None, symbols: list | None = None):
-        """Every read in the block sees these symbols only. A short list is a
-        pushed filter, a universe query a semi join (Catalyst broadcasts it
-        when its size allows)."""
-        before = (self._scope, self._scope_list)
-        if symbols is not None and len(symbols) <= SHORT_LIST:
-            self._scope, self._scope_list = None, list(symbols)
-        elif symbols is not None:
-            self._scope = self.spark.createDataFrame([(s,) for s in symbols], "sym bigint")
-            self._scope_list = None
+        """Every read in the block sees these symbols only, by a semi join that
+        Catalyst broadcasts when its size allows. A list may hold numbers or
+        names; it takes the type of the panel it meets."""
+        before = self._scope
+        if symbols is not None:
+            self._scope = self.spark.createDataFrame([(str(s),) for s in symbols], "sym string")
         else:
-            self._scope, self._scope_list = self.symbols(market, category).select("sym"), None
+            self._scope = self.symbols(market, category).select("sym")
         try:
             yield self
         finally:
-            self._scope, self._scope_list = before
+            self._scope = before

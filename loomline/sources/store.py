@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILES_PER_PARTITION = 16
 
-
-def write_by_year(df: DataFrame, path: str, date: str = "date", key: str = "sym", extra: tuple[str, ...] = ()) -> None:
-    """Parquet by ``extra`` columns and year. The key hash spreads one year
-    over several tasks and files."""
+def write_by_year(df: DataFrame, path: str, date: str = "date", extra: tuple[str, ...] = ()) -> None:
+    """Parquet by ``extra`` columns and year. Rows are rebalanced: a large year
+    becomes several tasks and files, small ones share a task."""
     out = df.withColumn("year", F.year(date))
     parts = [*extra, "year"]
-    out.repartition(*parts, F.pmod(F.xxhash64(key), F.lit(FILES_PER_PARTITION))).write.mode("overwrite").partitionBy(
-        *parts
-    ).parquet(path)
+    out.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(path)
 
 
 def write_nightly(df: DataFrame, path: str, keys: tuple[str, ...] = ("date",)) -> None:

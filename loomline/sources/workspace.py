@@ -21,12 +21,18 @@ def scan(spark: SparkSession, path: str, record_sep: str | None = None) -> DataF
         t = reader.option("lineSep", record_sep).text(path)
     t = t.select("value", F.col("_metadata.file_path").alias("path"))
     head = F.regexp_extract("value", HEADER, 1)
+    # each line splits at its first colon; of a repeated key the last line counts
+    lines = F.filter(F.split(head, "\n"), lambda x: x.rlike(r"^[^:]*\S[^:]*:"))
+    names = F.transform(lines, lambda x: F.trim(F.substring_index(x, ":", 1)))
+    values = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", "")))
+    last = F.filter(F.transform(names, lambda n, i: F.when(F.array_position(F.slice(names, i + 2, F.size(names)), n) == 0, i)), lambda i: i.isNotNull())
+    attrs = F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(values, i)))
     return t.select(
         F.regexp_extract("path", r"/(epics|prds|context)/", 1).alias("kind"),
         "path",
-        F.when(F.length(head) > 0, F.map_filter(
-            F.str_to_map(F.regexp_replace(head, r"[ \t]*:[ \t]*", ":"), F.lit("\n"), F.lit(":")),
-            lambda k, v: F.length(F.trim(k)) > 0)).alias("attrs"),
+        F.nullif(F.regexp_extract("path", r"/(?:epics|prds|context)/([^/]+)/[^/]*$", 1), F.lit("")).alias("epic"),
+        F.regexp_extract("path", r"([^/]+?)(?:\.md)?$", 1).alias("id"),
+        F.when(F.length(head) > 0, attrs).alias("attrs"),
         F.regexp_replace(F.regexp_replace("value", HEADER, ""), r"^\s+|\s+$", "").alias("body"),
     )
 
