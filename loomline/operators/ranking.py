@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from loomline.session import checkpoint
 
 PLAIN_LIMIT = 2_000_000
-RANGES = 64
+#: Rows that a range of a group holds on average.
+RANGE_ROWS = 100_000
 
 
 def ordinal(
@@ -30,14 +31,12 @@ def ordinal(
     keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
     # read three times below: written once, so that all reads agree
     rows = checkpoint(df.withColumn("_key", F.struct(*keys)))
-    pick = Window.partitionBy(*by).orderBy(F.xxhash64("_key"), "_key")
-    cuts = (
-        rows.select(*by, "_key", F.row_number().over(pick).alias("_p")).where(F.col("_p") < RANGES)
-        .groupBy(*by).agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))
-    )
+    # splitters: a hash sample of about one row in RANGE_ROWS, so that ranges grow in number and not in size
+    chosen = F.pmod(F.xxhash64("_key"), F.lit(RANGE_ROWS)) == 0
+    cuts = rows.where(chosen).groupBy(*by).agg(F.sort_array(F.collect_set("_key")).alias("_cuts"))
     # null-safe on the group key: a null group is a group as well
     ranged = _left_on(rows, cuts, by, ["_cuts"]).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
+        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
     ).drop("_cuts")
     sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +99,7 @@ def tied_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", metho
     pos = ordinal(hist, by, [F.col(value)], "_pos")
     pos = checkpoint(pos)
     # prefix counts over distinct values: per range of positions, then shifted
-    step = 100_000
+    step = RANGE_ROWS
     pos = pos.withColumn("_blk", F.floor((F.col("_pos") - 1) / step))
     blk = pos.groupBy(*by, "_blk").agg(F.sum("_c").alias("_s"))
     pre = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

@@ -232,6 +232,18 @@ def w21(t):
     return tied_rank(b, ["date"], "volume", "avg_rank", "average", t.n_symbols).select("date", "sym", "rank", "avg_rank")
 
 
+@query("w21_rank_without_bound", f"""
+SELECT d, id, row_number() OVER (PARTITION BY d ORDER BY v DESC, id) AS rank,
+  {r("rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0::DOUBLE")} AS avg_rank
+FROM (SELECT l_orderkey * 100 + line AS id, CASE WHEN l_linestatus = 'F' THEN 'all' ELSE l_returnflag END AS d, l_quantity AS v FROM lines)""")
+def w21_hot(t):
+    """One group holds half of all rows: ranges instead of one window."""
+    d = t.tasks().select("id", "state", "labels", F.col("effort").alias("v"))
+    flag = F.split_part(F.get("labels", F.lit(1)), F.lit(":"), F.lit(2))
+    d = d.select("id", F.when(F.col("state") == "closed", "all").otherwise(flag).alias("d"), "v")
+    return tied_rank(ordinal(d, ["d"], [-F.col("v"), F.col("id")], "rank"), ["d"], "v", "avg_rank").select("d", "id", "rank", "avg_rank")
+
+
 @query("w22_bins", "SELECT date, sym, ntile(8) OVER (PARTITION BY date ORDER BY close, sym) AS bin FROM bars_w")
 def w22(t):
     return tiles(bars(t, "close"), ["date"], [F.col("close"), F.col("sym")], 8, "bin", t.n_symbols).select("date", "sym", "bin")

@@ -10,12 +10,9 @@ from loomline.plans.work_queries import _FOLD
 from loomline.session import new_path
 from loomline.streaming import monitor as S
 
-# windows that the watermark has closed when the feed ends
-_CLOSED = "minute + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 _MIN = f"""
 mi AS (SELECT sym, date_trunc('minute', ts) AS minute, first(price ORDER BY ts, event_id) AS open, max(price) AS high,
-  last(price ORDER BY ts, event_id) AS close FROM feed GROUP BY 1, 2),
-mc AS (SELECT * FROM mi WHERE {_CLOSED})"""
+  last(price ORDER BY ts, event_id) AS close FROM feed GROUP BY 1, 2)"""
 
 
 def naive(c):
@@ -24,30 +21,43 @@ def naive(c):
 
 @query("x10_minute_monitor", f"""
 WITH g AS (SELECT sym, date_trunc('minute', ts) AS minute, sum(price) AS exposure, count(*) AS n FROM feed GROUP BY 1, 2)
-SELECT sym, minute, {r('exposure')} AS exposure, n FROM g WHERE exposure > 50 AND {_CLOSED}""")
+SELECT sym, minute, {r('exposure')} AS exposure, n FROM g WHERE exposure > 50""")
 def x10(t):
-    d = S.drain(S.limit_monitor(S.feed(t.spark, t.root), 50.0), "monitor")
+    d = S.drain_closed(lambda d: S.limit_monitor(d, 50.0), t.spark, t.root, "monitor")
     return d.select("sym", naive("minute"), rd("exposure").alias("exposure"), "n")
 
 
 @query("x11_daily_loss_stop", f"""
-WITH {_MIN}, o AS (SELECT *, first_value(open) OVER w AS day_open FROM mc WINDOW w AS (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute)),
+WITH {_MIN}, o AS (SELECT *, first_value(open) OVER w AS day_open FROM mi WINDOW w AS (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute)),
 b AS (SELECT *, close / day_open - 1 AS change FROM o)
 SELECT sym, minute, close AS price, {r('change')} AS change,
   bool_or(change <= -0.02) OVER (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute ROWS UNBOUNDED PRECEDING) AS stopped, false AS late FROM b""")
 def x11(t):
-    d = S.drain(S.daily_loss_stop(S.minutes(S.feed(t.spark, t.root)), 0.02), "loss-stop")
+    d = S.drain_closed(lambda d: S.daily_loss_stop(S.minutes(d), 0.02), t.spark, t.root, "loss-stop")
     return d.select("sym", naive("minute"), "price", rd("change").alias("change"), "stopped", "late")
 
 
 @query("x12_drawdown_monitor", f"""
-WITH {_MIN}, p AS (SELECT *, max(high) OVER (PARTITION BY sym ORDER BY minute ROWS UNBOUNDED PRECEDING) AS peak FROM mc)
+WITH {_MIN}, p AS (SELECT *, max(high) OVER (PARTITION BY sym ORDER BY minute ROWS UNBOUNDED PRECEDING) AS peak FROM mi)
 SELECT sym, minute, peak, {r('close / peak - 1')} AS drawdown, close / peak - 1 <= -0.15 AS breach FROM p""")
 def x12(t):
-    d = S.drain(S.drawdown_monitor(S.minutes(S.feed(t.spark, t.root)), 0.15), "drawdown")
+    d = S.drain_closed(lambda d: S.drawdown_monitor(S.minutes(d), 0.15), t.spark, t.root, "drawdown")
     return d.select("sym", naive("minute"), "peak", rd("drawdown").alias("drawdown"), "breach")
 
 
+@query("x10_late_rows", """
+WITH a AS (SELECT *, event_id // 500 AS arrival, CASE WHEN event_id % 50 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END AS t0 FROM feed),
+s AS (SELECT arrival, max(max(t0)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a GROUP BY arrival)
+SELECT event_id, sym, t0 AS ts, coalesce(t0 < seen - INTERVAL 1 HOUR, false) AS late FROM a JOIN s USING (arrival)""")
+def x10_late(t):
+    """Every 50th event arrives three hours behind; arrivals of 500 events."""
+    d = t.events().withColumn("arrival", F.floor(F.col("event_id") / 500)).withColumn(
+        "ts", F.when(F.col("event_id") % 50 == 0, F.col("ts") - F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")))
+    on_time, late = S.split_late(d)
+    both = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.select("event_id", "sym", naive("ts"), "late")
+
+
 @query("x13_alerts", "SELECT DISTINCT sym, date_trunc('hour', ts) AS hour FROM feed WHERE price > 100")
 def x13(t):
     return S.drain(S.alerts(S.feed(t.spark, t.root), 100.0), "alerts").select("sym", naive("hour"))

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -93,6 +93,52 @@ def drain(df: DataFrame, label: str, mode: str = "append", path: str | None = No
     return df.sparkSession.read.schema(_with_batch(df, mode)).parquet(f"{path}/rows")
 
 
+def drain_closed(build: Callable[[DataFrame], DataFrame], spark: SparkSession, root: str, label: str) -> DataFrame:
+    """``drain`` for windowed results of a feed that has ended: a second run on
+    the same checkpoint reads one closing row, later than all others by more
+    than the lateness, so that the last windows are emitted too."""
+    path = new_path(spark, label)
+    end, last = f"{path}/_end", f"{path}/_last"
+    none = spark.createDataFrame([], EVENT_SCHEMA)
+    none.write.parquet(end)
+    closing = spark.readStream.schema(EVENT_SCHEMA).parquet(end)
+    rows = build(feed_columns(raw_feed(spark, root).unionByName(closing)))
+    start(rows, path).awaitTermination()
+    final = spark.read.parquet(f"{root.rstrip('/')}/events.parquet").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    blank = {c: F.lit(None).cast(t).alias(c) for c, t in none.dtypes if c != "ts"}
+    final.where("ts IS NOT NULL").select(*(blank.get(c, F.col("ts")) for c in none.columns)).write.mode("append").parquet(end)
+    start(rows, path).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def split_late(ticks: DataFrame, lateness: str = LATENESS, arrival: str = "arrival") -> tuple[DataFrame, DataFrame]:
+    """Ticks in time and late ones, by their number of arrival: late is what is
+    older than the newest tick of earlier arrivals by more than the lateness.
+    A sink that writes both keeps the late rows in a side table."""
+    newest = ticks.groupBy(arrival).agg(F.max("ts").alias("_newest"))
+    before = Window.orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)  # one row an arrival
+    seen = newest.select(arrival, F.max("_newest").over(before).alias("_seen"))
+    d = ticks.join(seen, arrival)
+    late = F.coalesce(F.col("ts") < F.col("_seen") - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+    return d.where(~late).drop("_seen"), d.where(late).drop("_seen")
+
+
+def side_writer(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: rows in time to ``rows``, late ones to ``late``. The
+    newest time of each batch is kept beside them, so a repeated batch decides
+    the same way."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.max("ts").alias("newest")).withColumn("id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
+        seen = spark.read.schema("newest timestamp, id int").parquet(f"{path}/newest").where(F.col("id") < batch_id).agg(F.max("newest")).scalar()
+        late = F.coalesce(F.col("ts") < seen - F.expr(f"INTERVAL {lateness}"), F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+
+    return write
+
+
 def _with_batch(df: DataFrame, mode: str) -> str:
     cols = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return cols if mode == "append" else cols + ", batch bigint"
@@ -161,17 +207,15 @@ class DailyLossStop(StatefulProcessor):
         s = self.state.get() if self.state.exists() else None
         day, open_, latched = (int(s[0]), float(s[1]), bool(s[2])) if s is not None else (-1, 0.0, False)
         g = pd.concat(list(rows)).sort_values("minute")
-        out = []
-        for m, o, c in zip(g["minute"], g["open"], g["close"]):
-            d = (m - pd.Timestamp("1970-01-01", tz=m.tz)).days
-            late = d < day
-            if not late:
-                if d > day:
-                    day, open_, latched = d, float(o), False
-                latched = latched or (open_ > 0 and c / open_ - 1 <= -self.limit)
-            out.append((key[0], m, float(c), None if late else c / open_ - 1 if open_ > 0 else None, latched and not late, late))
-        self.state.update((day, open_, latched))
-        yield pd.DataFrame(out, columns=["sym", "minute", "price", "change", "stopped", "late"])
+        days = (g["minute"] - pd.Timestamp("1970-01-01", tz=g["minute"].dt.tz)).dt.days
+        late = days < day
+        base = g["open"].groupby(days).transform("first").where(days != day, open_)
+        change = (g["close"] / base - 1).where(~late & (base > 0))
+        hit = (change <= -self.limit).astype(int).groupby(days).cummax().astype(bool) | (latched & (days == day))
+        last = int(days.iloc[-1])
+        if last >= day:
+            self.state.update((last, float(base.iloc[-1]), bool(hit.iloc[-1])))
+        yield pd.DataFrame({"sym": key[0], "minute": g["minute"], "price": g["close"], "change": change, "stopped": hit & ~late, "late": late})
 
     def close(self) -> None:
         pass

@@ -100,3 +100,18 @@ def test_deflated_sharpe_in_range(spark):
     rows = [(f"s{k}", friday(i), float(rng.normal(0.01 * k, 0.1))) for k in range(4) for i in range(100)]
     d = deflated_sharpe(spark.createDataFrame(rows, "strategy string, date date, ret double")).toPandas()
     assert d.dsr.between(0, 1).all() and d.set_index("strategy").dsr["s3"] > d.set_index("strategy").dsr["s0"]
+
+
+def test_limit_measures_keep_strategies_apart(spark):
+    import datetime as dt
+
+    from loomline.operators.risk import limit_measures
+
+    d = dt.date(2024, 1, 5)
+    w = spark.createDataFrame([("a", d, "x", 0.2), ("a", d, "x", 0.3), ("b", d, "y", 0.1)], "strategy string, date date, category string, weight double")
+    nav = spark.createDataFrame([("a", d, 0.01, 1.01), ("b", d, -0.05, 0.95)], "strategy string, date date, ret double, nav double")
+    got = {(r["strategy"], r["limit_name"]): round(r["measure"], 6) for r in limit_measures(w, nav).collect()}
+    assert got == {
+        ("a", "position"): 0.3, ("a", "sector"): 0.5, ("a", "daily_loss"): -0.01, ("a", "drawdown"): 0.0,
+        ("b", "position"): 0.1, ("b", "sector"): 0.1, ("b", "daily_loss"): 0.05, ("b", "drawdown"): 0.0,
+    }

@@ -132,3 +132,82 @@ def test_panel_algebra(tables):
     assert per_date == close.df().count()
     held = (close > close.average(5)).hold_until(close < close.average(5), nstocks_limit=2, rank=-close)
     assert held.sum(axis=1).agg(F.max("value")).first()[0] <= 2
+
+
+def test_side_table_of_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from loomline.streaming.monitor import side_writer
+
+    at = lambda h: dt.datetime(2024, 1, 2, h)
+    write = side_writer(str(tmp_path / "out"))
+    batches = [[(1, at(5)), (2, at(1))], [(3, at(4)), (4, at(3)), (5, at(9))], [(6, at(7))], [(6, at(7))]]
+    for i, rows in zip((0, 1, 2, 2), batches, strict=True):  # the last batch is repeated
+        write(spark.createDataFrame(rows, "id int, ts timestamp"), i)
+    ids = lambda part: sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out" / part)).collect())
+    assert ids("rows") == [1, 2, 3, 5] and ids("late") == [4, 6]
+    assert spark.read.parquet(str(tmp_path / "out" / "newest")).agg(F.count("*")).first()[0] == 3
+
+
+def test_daily_loss_latches_until_the_next_day():
+    import pandas as pd
+
+    from loomline.streaming.monitor import DailyLossStop
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+    p = DailyLossStop(0.02)
+    p.state = Value()
+    m = lambda d, h: pd.Timestamp(2024, 1, d, h, tz="UTC")
+    frame = lambda rows: pd.DataFrame(rows, columns=["minute", "open", "high", "close"])
+    out = next(p.handleInputRows((1,), iter([frame([(m(2, 1), 100.0, 100.0, 99.0), (m(2, 2), 99.0, 99.0, 98.0), (m(2, 3), 98.0, 101.0, 101.0)])]), None))
+    assert out["stopped"].tolist() == [False, True, True]
+    out = next(p.handleInputRows((1,), iter([frame([(m(2, 4), 101.0, 101.0, 101.0), (m(1, 4), 50.0, 50.0, 1.0), (m(3, 1), 10.0, 10.0, 10.0)])]), None))
+    assert out.sort_values("minute")["late"].tolist() == [True, False, False]
+    assert out.sort_values("minute")["stopped"].tolist() == [False, True, False]
+    out = next(p.handleInputRows((1,), iter([frame([(m(3, 2), 10.0, 10.0, 9.7)])]), None))
+    assert out["stopped"].tolist() == [True] and out["change"].iloc[0] == pytest.approx(-0.03)
+
+
+def test_universe_of_many_names(spark, tables):
+    from loomline.sources.catalog import Catalog
+
+    c = Catalog(tables)
+    c._builders["named"] = (lambda: tables.bars("W").withColumn("sym", F.concat(F.lit("s"), F.col("sym").cast("string"))), ("close",))
+    with c.universe(symbols=[f"s{i}" for i in range(3, 400)]):
+        assert {r["sym"] for r in c.get("named:close").select("sym").distinct().collect()} == {f"s{i}" for i in range(3, 10)}
+    with c.universe(symbols=list(range(3, 400))):
+        assert {r["sym"] for r in c.get("price:close").select("sym").distinct().collect()} == set(range(3, 10))
+
+
+def test_slot_limited_panel_has_every_cell(spark, tables):
+    from loomline.api import Data
+
+    data = Data(tables)
+    close = data.get("price:close")
+    held = (close > close.average(5)).hold_until(close < close.average(5), nstocks_limit=2, rank=close)
+    rows = held.df("v").collect()
+    assert len(rows) == close.df("v").count() and len({(r["date"], r["sym"]) for r in rows}) == len(rows)
+    assert 0 < sum(bool(r["v"]) for r in rows) < len(rows)
+
+
+def test_header_lines(spark, tmp_path):
+    from loomline.sources import workspace
+
+    p = tmp_path / "epics" / "pay"
+    p.mkdir(parents=True)
+    (p / "001.md").write_text("---\nname: a: b\nstate:open\nname: last\nno colon\n : x\n---\nBody: text")
+    r = workspace.scan(spark, str(tmp_path)).first()
+    assert (r["kind"], r["epic"], r["id"], r["attrs"], r["body"]) == ("epics", "pay", "001", {"name": "last", "state": "open"}, "Body: text")

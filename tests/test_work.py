@@ -57,9 +57,12 @@ def test_sync_twice_is_quiet(spark):
     local, remote, last = mk([(1, 1), (2, 5), (4, 1)]), mk([(1, 1), (2, 1), (3, 1), (4, 7)]), mk([(1, 1), (2, 1), (4, 2)])
     a = W.sync(local, remote, last, f)
     assert {x["id"]: x["action"] for x in a.collect()} == {1: "none", 2: "push", 3: "pull", 4: "conflict"}
-    both = W.apply_sync(a, f)
-    again = W.sync(both, both, both, f)
-    assert again.where(F.col("action") != "none").count() == 0
+    done = W.apply_sync(a, f)
+    side = lambda name: done.where(F.col("side").isin("both", name)).drop("side")
+    assert sorted((r["id"], r["v"]) for r in side("local").collect()) == [(1, 1), (2, 5), (3, 1), (4, 1)]
+    assert sorted((r["id"], r["v"]) for r in side("remote").collect()) == [(1, 1), (2, 5), (3, 1), (4, 7)]
+    again = W.sync(side("local"), side("remote"), side("local").where("id < 4").unionByName(last.where("id = 4")), f)
+    assert {r["id"]: r["action"] for r in again.where("action <> 'none'").collect()} == {4: "conflict"}
 
 
 def test_split_union_is_identity(spark):
