@@ -45,7 +45,7 @@ def features(docs: DataFrame, topic: Column | None = None, source: str = "source
     )
 
 
-def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = 10) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = 6) -> DataFrame:
     """``(source, lang, topic, share, weight)`` of ``(source, lang, topic, tokens)``: actual and raked shares of tokens.
 
     Cells without tokens have no share. Each sweep is written, so the plan
@@ -88,7 +88,7 @@ def draw(key: str = "row.doc_id", text: str = "row.text") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 10, topic: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 6, topic: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row as ``row`` with source, lang, topic, tokens, probability and keep.
 
     Rows without tokens carry no weight and are kept. A repeated row shares the
@@ -104,7 +104,7 @@ def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWER
     return out.select("row", *DIMS, "tokens", chance.alias("probability")).withColumn("keep", draw(f"row.`{key}`", f"row.`{text}`") < F.col("probability"))
 
 
-def mixed_sql(budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 10, rounds: int = 12) -> str:
+def mixed_sql(budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 6, rounds: int = 12) -> str:
     """DuckDB form of the query below."""
     white = r"[^\x20\x09-\x0D]+"
     parts = [
