@@ -50,8 +50,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Replaces personal data by marks, and counts characters anew."""
     found = docs.select(pii.candidates(F.col("text")).alias("spans"))
     accepted = pii.accepted_patterns(found, 0.9)
-    rows = _rows(docs, spans=pii.candidates(F.col("text")), text=F.col("text"))
-    clean = rows.select("row", pii.mask(F.col("text"), pii.chosen(accepted)).alias("clean"))
+    clean = _rows(docs, clean=pii.masked(F.col("text"), accepted))
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)}
     return clean.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 

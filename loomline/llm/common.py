@@ -109,6 +109,16 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[at[0] : at[-1]], at - at[0]
 
 
+#: Texts of an Arrow batch that are taken at once.
+SOME = 512
+
+
+def some_texts(column: pa.Array, *more: pa.Array):
+    """A column in slices of SOME texts, with the same slices of further columns, so that only these are copied."""
+    for i in range(0, len(column), SOME):
+        yield (column.slice(i, SOME), *(c.slice(i, SOME) for c in more))
+
+
 def pieces(at: np.ndarray, size: int):
     """Ranges of documents of about ``size`` bytes; a longer document stands alone."""
     n, i = len(at) - 1, 0

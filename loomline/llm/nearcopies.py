@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, mix, pieces, text_buffer, window_hashes, word_hashes, words_of, written
+from loomline.llm.common import LOWER, mix, pieces, some_texts, text_buffer, window_hashes, word_hashes, words_of, written
 
 TOKENS = 64
 #: Classes compared exhaustively at once; documents whose full sets are compared at once.
@@ -44,18 +44,18 @@ _SKETCH = "doc_id long, text_key long, n_shingles long, class_id long, sketch bi
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """The sorted hashes of each text's shingles; a text with fewer words is one shingle, without words none."""
-    buf, at = text_buffer(column)
-    buf = LOWER[buf]
-    for i, j in pieces(at, PIECE_BYTES):
-        part, ends = buf[at[i] : at[j]], at[i : j + 1] - at[i]
-        start, end, first = words_of(part, ends)
-        words = word_hashes(part, start, end)
-        for k in range(j - i):
-            own = words[first[k] : first[k + 1]]
-            if len(own) >= size:
-                yield np.unique(window_hashes(own, size))
-            else:
-                yield window_hashes(own, len(own)) if len(own) else np.zeros(0, np.uint64)
+    for (some,) in some_texts(column):
+        buf, at = text_buffer(some)
+        for i, j in pieces(at, PIECE_BYTES):
+            part, ends = LOWER[buf[at[i] : at[j]]], at[i : j + 1] - at[i]
+            start, end, first = words_of(part, ends)
+            words = word_hashes(part, start, end)
+            for k in range(j - i):
+                own = words[first[k] : first[k + 1]]
+                if len(own) >= size:
+                    yield np.unique(window_hashes(own, size))
+                else:
+                    yield window_hashes(own, len(own)) if len(own) else np.zeros(0, np.uint64)
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:

@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.llm.common import some_texts
+
 SPACE = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Longest unit that goes through the lanes; distinct units that a task remembers.
-LANE, REMEMBERED = 24, 400_000
-TEXT_CHARS = 2 << 20
+LANE, REMEMBERED = 24, 200_000
+TEXT_CHARS = 1 << 20
 
 
 def _fields(data: bytes):
@@ -360,20 +362,20 @@ def encoded(text: str | Column, model: bytes) -> Column:
     def encode(column: pa.Array) -> pa.Array:
         encoder = _encoder(model)
         values, offsets, same = [], [0], []
-        texts = column.to_pylist()
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size < TEXT_CHARS):
-                size += len(texts[j] or "")
-                j += 1
-            some = [t or "" for t in texts[i:j]]
-            ids, place = encoder.encode(some)
-            every = ids.tolist()
-            same += [encoder.decode(every[a:b]) == t for t, a, b in zip(some, place[:-1], place[1:], strict=True)]
-            values.append(ids)
-            offsets += (place[1:] + offsets[-1]).tolist()
-            i = j
+        for (part,) in some_texts(column):
+            texts = [t or "" for t in part.to_pylist()]
+            i = 0
+            while i < len(texts):
+                j, size = i, 0
+                while j < len(texts) and (j == i or size < TEXT_CHARS):
+                    size += len(texts[j])
+                    j += 1
+                some = texts[i:j]
+                ids, place = encoder.encode(some)
+                same += [encoder.decode(ids[a:b].tolist()) == t for t, a, b in zip(some, place[:-1], place[1:], strict=True)]
+                values.append(ids)
+                offsets += (place[1:] + offsets[-1]).tolist()
+                i = j
         flat = np.concatenate(values) if values else np.zeros(0, np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
         return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])

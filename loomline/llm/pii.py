@@ -263,23 +263,26 @@ def personal_data(docs: DataFrame, threshold: float = 0.9, key: str = "doc_id",
     return out.select("doc_id", *counts, F.sha2(_written_out(F.col("base")), 256).alias("base_sha256"), _written_out(F.col("every")).alias("spans"))
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; overlapping spans give one mark."""
+def masked(text: str | Column, accepted: list[int]) -> Column:
+    """The text with each strict span, and each candidate of an accepted pattern, replaced by its kind in angle
+    brackets; overlapping spans give one mark."""
+    fine = frozenset(accepted)
 
     @F.arrow_udf("string")
-    def replace(column: pa.Array, found: pa.Array) -> pa.Array:
+    def replace(column: pa.Array) -> pa.Array:
         out = []
-        for value, own in zip(column, found, strict=True):
-            t, marks = value.as_py(), own.as_py()
-            if not marks:
-                out.append(t)
-                continue
-            parts, last = [], 0
-            for s in sorted(marks, key=lambda s: (s["start"], -s["stop"])):
-                if s["start"] >= last:
-                    parts += [t[last : s["start"]], f"<{KINDS[s['kind']].upper()}>"]
-                last = max(last, s["stop"])
-            out.append("".join([*parts, t[last:]]))
+        for value in column:
+            t = value.as_py()
+            strict, loose = strict_and_loose(t or "")
+            marks = strict + [x for x in loose if _pattern(x[0], votes(t, *x, False)) in fine]
+            if marks:
+                parts, last = [], 0
+                for kind, start, stop in sorted(marks, key=lambda x: (x[1], -x[2])):
+                    if start >= last:
+                        parts += [t[last:start], f"<{KINDS[kind].upper()}>"]
+                    last = max(last, stop)
+                t = "".join([*parts, t[last:]])
+            out.append(t)
         return pa.array(out, pa.string())
 
-    return replace(text, spans)
+    return replace(text)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import discard, n_blocks, pieces, row_key, text_buffer, text_bytes, window_hashes, word_hashes, words_of, written
+from loomline.llm.common import discard, n_blocks, pieces, row_key, some_texts, text_buffer, text_bytes, window_hashes, word_hashes, words_of, written
 
 #: A perfect difference set modulo 21.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
@@ -120,9 +120,9 @@ def _scan_anchors(length: int, buckets: int):
             blocks.clear()
             return _packed_table(_pack(h, np.zeros(len(h), np.uint64), b, buckets, False))
 
-        for batch in batches:
-            buf, at = text_buffer(batch.column("text"))
-            block = batch.column("block").to_numpy(zero_copy_only=False)
+        for some, blocks_ in (x for b in batches for x in some_texts(b.column("text"), b.column("block"))):
+            buf, at = text_buffer(some)
+            block = blocks_.to_numpy(zero_copy_only=False)
             for i, j in pieces(at, PIECE_BYTES):
                 part, ends = buf[at[i] : at[j]], at[i : j + 1] - at[i]
                 start, end, first = words_of(part, ends)
