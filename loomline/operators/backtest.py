@@ -92,6 +92,8 @@ class Result:
     def path(self) -> DataFrame:
         """Held names by date: growth since the rebalance that opened them."""
         b = self.bars.select("date", "sym", "high", "low", price_column(self.trade_at_price).alias("px"))
+        # only names that are ever held are carried over the calendar
+        b = b.join(self.target.select("sym").distinct(), "sym", "left_semi")
         p = carry_on_calendar(b, self.cal, ["px"])
         # the opening rebalance of a date is the last one strictly before it
         w = Window.partitionBy(F.lit(0)).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -325,12 +327,18 @@ def soft_stop(nav: DataFrame, n: int, k: float = 2.0, factor: float = 0.5) -> Da
         "scaled_ret", F.col("ret") * F.col("exposure"))
 
 
+def book_keys(weights: DataFrame) -> list[str]:
+    """The columns whose rows make up one portfolio: strategies stay apart."""
+    return [c for c in ("strategy", "date") if c in weights.columns]
+
+
 def cap_weights(weights: DataFrame, max_position: float = 0.10, max_sector: float = 0.30) -> DataFrame:
     """Clip names, then scale sectors over their cap; the rest is cash."""
     w = weights.withColumn("_w", F.least("weight", F.lit(max_position)))
-    s = w.groupBy("date", "category").agg(F.sum("_w").alias("_s"))
+    by = [*book_keys(weights), "category"]
+    s = w.groupBy(*by).agg(F.sum("_w").alias("_s"))
     f = F.when(F.col("_s") > max_sector, max_sector / F.col("_s")).otherwise(1.0)
-    return w.join(s, ["date", "category"]).withColumn("capped", F.col("_w") * f).drop("_w", "_s")
+    return w.join(s, by).withColumn("capped", F.col("_w") * f).drop("_w", "_s")
 
 
 def half_kelly(returns: DataFrame, n: int, cap: float = 0.10) -> DataFrame:

@@ -233,16 +233,15 @@ def p06(t):
 SELECT date, sym, {r('close')} AS close, date > (SELECT max(date) FROM bars_w) - 90 AS recent
 FROM bars_w WHERE date BETWEEN DATE '1998-01-01' AND DATE '2001-12-31'""")
 def p07(t):
-    b = t.stored("W").select("date", "sym", "close")
-    last = b.agg(F.max("date")).scalar()
-    return b.where(F.col("date").between("1998-01-01", "2001-12-31")).select(
-        "date", "sym", rd("close").alias("close"), (F.col("date") > F.date_sub(last, 90)).alias("recent"))
+    last = F.date_sub(t.last_date("W"), 90)
+    return t.bars("W", "1998-01-01", "2001-12-31").select("date", "sym", rd("close").alias("close"), (F.col("date") > last).alias("recent"))
 
 
 @query("p07_recent_days", f"""
 SELECT date, sym, {r('close')} AS close FROM bars_w WHERE date > (SELECT max(date) FROM bars_w) - 90""")
 def p07b(t):
-    return P.recent_days(t.stored("W").select("date", "sym", "close"), 90).withColumn("close", rd("close"))
+    first = t.spark.range(1).select(F.date_sub(t.last_date("W"), 89).cast("string")).first()[0]
+    return t.bars("W", first).select("date", "sym", rd("close").alias("close"))
 
 
 @query("p08_clip", f"SELECT date, sym, {r('greatest(500, least(3000, close))')} AS value FROM bars_w")

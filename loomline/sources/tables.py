@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.functions.calendar import quarter_end, visible_from
+from loomline.functions.calendar import period_key, quarter_end, visible_from
 from loomline.operators.panel import bars_from_ticks, carry_forward
 from loomline.session import written
 
@@ -43,8 +43,20 @@ class Tables:
             F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"),
         )
 
-    def bars(self, freq: str = "W") -> DataFrame:
-        return bars_from_ticks(self.ticks(), freq)
+    def bars(self, freq: str = "W", start: str | None = None, end: str | None = None) -> DataFrame:
+        """Bars that end within a closed range of dates. The range, widened to
+        whole periods, reaches the scan of the trade rows."""
+        rows = self.ticks()
+        if start:
+            rows = rows.where(F.col("date") >= F.date_sub(F.lit(start).cast("date"), 31))
+        if end:
+            rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+        b = bars_from_ticks(rows, freq)
+        return b.where(F.col("date").between(start or "0001-01-01", end or "9999-12-31")) if start or end else b
+
+    def last_date(self, freq: str = "W"):
+        """End of the last period, from one column of the trade rows."""
+        return self.raw("lineitem").agg(F.max(F.to_date("l_shipdate")).alias("date")).select(period_key("date", freq)).scalar()
 
     def stored(self, freq: str = "W") -> DataFrame:
         """Bars written once under the shared folder, for jobs that read them
