@@ -111,7 +111,33 @@ def e13(t):
     return E.centrality(E.factor_returns(factor_rows(t), 5, t.n_symbols), NAMES).withColumn("centrality", rd("centrality"))
 
 
-@query("e14_shapley")
+def _r2(*names: str) -> str:
+    """R2 of one, two or three of the factors from their correlations."""
+    y = [f"y{n}" for n in names]
+    pair = lambda a, b: f"r{min(a, b)}{max(a, b)}"
+    if len(names) == 1:
+        return f"{y[0]} * {y[0]}"
+    if len(names) == 2:
+        q = pair(*names)
+        return f"({y[0]} * {y[0]} + {y[1]} * {y[1]} - 2 * {y[0]} * {y[1]} * {q}) / (1 - {q} * {q})"
+    return ("((1 - r23 * r23) * y1 * y1 + (1 - r13 * r13) * y2 * y2 + (1 - r12 * r12) * y3 * y3 + 2 * (r13 * r23 - r12) * y1 * y2"
+            " + 2 * (r12 * r23 - r13) * y1 * y3 + 2 * (r12 * r13 - r23) * y2 * y3) / (1 + 2 * r12 * r13 * r23 - r12 * r12 - r13 * r13 - r23 * r23)")
+
+
+def _share(i: str, j: str, k: str) -> str:
+    two = lambda a, b: "v" + "".join(sorted(a + b))
+    return f"v{i} / 3 + ({two(i, j)} - v{j} + {two(i, k)} - v{k}) / 6 + (v123 - {two(j, k)}) / 3"
+
+
+@query("e14_shapley", f"""
+WITH {_FEAT}, d AS (SELECT year(date) AS year, * FROM feat WHERE mom IS NOT NULL AND ratio IS NOT NULL AND vol IS NOT NULL AND label IS NOT NULL),
+c AS (SELECT year, corr(mom, label) AS y1, corr(ratio, label) AS y2, corr(vol, label) AS y3, corr(mom, ratio) AS r12, corr(mom, vol) AS r13,
+  corr(ratio, vol) AS r23 FROM d GROUP BY year),
+v AS (SELECT year, {_r2('1')} AS v1, {_r2('2')} AS v2, {_r2('3')} AS v3, {_r2('1', '2')} AS v12, {_r2('1', '3')} AS v13, {_r2('2', '3')} AS v23,
+  {_r2('1', '2', '3')} AS v123 FROM c)
+SELECT CAST(year AS INTEGER) AS year, 'mom' AS factor, {r(_share('1', '2', '3'))} AS shapley, {r('v123')} AS r2 FROM v
+UNION ALL SELECT CAST(year AS INTEGER), 'ratio', {r(_share('2', '1', '3'))}, {r('v123')} FROM v
+UNION ALL SELECT CAST(year AS INTEGER), 'vol', {r(_share('3', '1', '2'))}, {r('v123')} FROM v""")
 def e14(t):
     d = features(t).withColumn("year", F.year("date"))
     return E.shapley(d, NAMES, "label", "year").select("year", "factor", rd("shapley").alias("shapley"), rd("r2").alias("r2"))

@@ -110,7 +110,17 @@ def w06(t):
     return b.select("date", "sym", rd("s_k").alias("k"), rd("s_d").alias("d"))
 
 
-@query("w07_supertrend")
+@query("w07_supertrend", f"""
+WITH RECURSIVE t AS (SELECT *, {TR} AS tr FROM bars_w WINDOW p AS ({ALL})), n AS (SELECT *, row_number() OVER ({ALL}) AS i FROM t),
+b AS (SELECT sym, date, i, close, (high + low) / 2 AS mid, 3 * {ema_sql('tr', 1 / 10)} AS w FROM n),
+f AS (
+  SELECT sym, i, close, mid - w AS dn, mid + w AS up, 1.0::DOUBLE AS s FROM b WHERE i = 10
+  UNION ALL
+  SELECT sym, i, close, dn, up, CASE WHEN s > 0 AND close < dn THEN -1.0::DOUBLE WHEN s < 0 AND close > up THEN 1.0::DOUBLE ELSE s END FROM (
+    SELECT b.sym, b.i, b.close, f.s, CASE WHEN f.close >= f.dn THEN greatest(b.mid - b.w, f.dn) ELSE b.mid - b.w END AS dn,
+      CASE WHEN f.close <= f.up THEN least(b.mid + b.w, f.up) ELSE b.mid + b.w END AS up
+    FROM f JOIN b ON b.sym = f.sym AND b.i = f.i + 1))
+SELECT b.date, b.sym, {r('CASE WHEN s > 0 THEN dn ELSE up END')} AS st_line, s + 0.0 AS st_direction FROM b LEFT JOIN f ON f.sym = b.sym AND f.i = b.i""")
 def w07(t):
     b = indicator(bars(t, "high", "low", "close"), "SUPERTREND", prefix="st")
     return out(b, "st_line", "st_direction")

@@ -482,15 +482,36 @@ def t05(t):
     return P.hold_until(s).select("date", "sym", "held")
 
 
-@query("t06_hold_until_slots")
+def _mean(n: int) -> str:
+    w = f"OVER (PARTITION BY sym ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(close) {w} = {n} THEN avg(close) {w} END"
+
+
+@query("t06_hold_until_slots", f"""
+WITH RECURSIVE b AS (SELECT date, sym, close, volume, coalesce(close > {_mean(10)}, false) AS en, coalesce(close < {_mean(20)}, false) AS ex FROM bars_w),
+x AS (SELECT 'volume' AS strategy, date, sym, en, ex, volume AS v FROM b UNION ALL SELECT 'cheap', date, sym, en, ex, -close FROM b),
+d AS (SELECT strategy, date, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i, coalesce(list(sym) FILTER (ex), []) AS exits,
+  coalesce(list(sym ORDER BY v DESC, sym) FILTER (en AND NOT ex AND v IS NOT NULL), []) AS cands FROM x GROUP BY strategy, date),
+f AS (
+  SELECT strategy, i, date, list_transform(cands[1:10], lambda s: {{'sym': s, 'since': date}}) AS held, [{{'sym': 0::BIGINT, 'since': date}}][1:0] AS closed FROM d WHERE i = 1
+  UNION ALL
+  SELECT strategy, i, date, list_concat(kept, list_transform(list_filter(cands, lambda s: NOT list_contains(names, s))[1:10 - len(kept)], lambda s: {{'sym': s, 'since': date}})), gone
+  FROM (SELECT *, list_transform(kept, lambda h: h.sym) AS names FROM (
+    SELECT d.strategy, d.i, d.date, d.cands, list_filter(f.held, lambda h: NOT list_contains(d.exits, h.sym)) AS kept,
+      list_filter(f.held, lambda h: list_contains(d.exits, h.sym)) AS gone
+    FROM f JOIN d ON d.strategy = f.strategy AND d.i = f.i + 1))),
+o AS (SELECT strategy, date AS exit_date, unnest(closed) AS h FROM f
+  UNION ALL SELECT strategy, NULL, unnest(held) FROM f WHERE i = (SELECT max(i) FROM d WHERE d.strategy = f.strategy))
+SELECT strategy, h.sym AS sym, h.since AS entry_date, exit_date FROM o""")
 def t06(t):
     """Slot-limited holding for two strategies; checked against a plain fold
     in the tests."""
     b = t.stored("W").select("date", "sym", "close", "volume")
-    s = b.select("date", "sym", P.holds(F.col("close") > rolled(F.avg, "close", 10)).alias("entry"),
-                 P.holds(F.col("close") < rolled(F.avg, "close", 20)).alias("exit"),
-                 F.explode(F.create_map(F.lit("volume"), F.col("volume"), F.lit("cheap"), -F.col("close"))).alias(
-                     "strategy", "rank_value"))
+    s = b.select("date", "sym", "close", "volume", P.holds(F.col("close") > rolled(F.avg, "close", 10)).alias("entry"),
+                 P.holds(F.col("close") < rolled(F.avg, "close", 20)).alias("exit"))
+    # the windows come first: exploded rows would count twice in them
+    s = s.withColumn("n", F.explode(F.array(F.lit("volume"), F.lit("cheap")))).select(
+        "date", "sym", "entry", "exit", F.col("n").alias("strategy"), F.when(F.col("n") == "volume", F.col("volume")).otherwise(-F.col("close")).alias("rank_value"))
     return P.hold_until_slots(s, 10, exit_="exit")
 
 

@@ -263,7 +263,18 @@ def b13(t):
         rd(F.max_by("px", "date") / F.first("entry_px") - 1).alias("ret")).drop("spell")
 
 
-@query("b14_hard_stop")
+@query("b14_hard_stop", f"""
+WITH RECURSIVE {sim_sql(MOM, month('date'))},
+s AS (SELECT strategy, date, ret, date IN (SELECT e FROM eff) AS reb, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i FROM nav),
+f AS (
+  SELECT strategy, date, ret, i, 1 + ret AS level, greatest(1.0::DOUBLE, 1 + ret) AS peak, false AS stopped, 1 + ret <= 0.9 + 1e-12 AS cash FROM s WHERE i = 1
+  UNION ALL
+  SELECT strategy, date, ret, i, level, peak, stopped, stopped OR level / peak - 1 <= -0.1 + 1e-12 FROM (
+    SELECT s.strategy, s.date, s.ret, s.i, CASE WHEN f.cash THEN f.level ELSE f.level * (1 + s.ret) END AS level,
+      CASE WHEN f.cash AND s.reb THEN f.level WHEN f.cash THEN f.peak ELSE greatest(f.peak, f.level * (1 + s.ret)) END AS peak,
+      f.cash AND NOT s.reb AS stopped
+    FROM f JOIN s ON s.strategy = f.strategy AND s.i = f.i + 1))
+SELECT strategy, date, {r('ret')} AS ret, {r('ln(level)')} AS log_nav, stopped FROM f""")
 def b14(t):
     res = mom_sim(t)
     d = B.portfolio_hard_stop(res.nav, res.sched.select(F.col("effective").alias("date")))
