@@ -58,6 +58,17 @@ class MLEngine:
             out = p if out is None else out.unionByName(p)
         return out
 
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a prediction by the model of the latest fold; rows
+        that lack a feature get none. Train first."""
+        if not self.models:
+            raise ValueError("train before predicting")
+        whole = rows.na.drop(subset=self.names)
+        keys = [c for c in rows.columns if c not in self.names]
+        done = self.models[0].transform(whole).select(*rows.columns, "prediction")
+        lacking = rows.where(" OR ".join(f"`{c}` IS NULL" for c in self.names)) if keys else rows.limit(0)
+        return done.unionByName(lacking.withColumn("prediction", F.lit(None).cast("double")))
+
     def importances(self) -> DataFrame:
         """Features by mean importance over the fitted folds."""
         rows = []
@@ -71,17 +82,27 @@ class MLEngine:
 
 def auto_search(engine: MLEngine, grid: list[dict], metric, max_trials: int | None = None, time_budget: float | None = None) -> DataFrame:
     """Score every setting by ``metric(predictions) -> (score)`` and rank them.
-    Stops by count or elapsed time; all settings share one scoring job."""
-    start, parts = time.monotonic(), []
+    Stops by count or elapsed time; settings that were not tried come last and
+    are marked so. All settings share one scoring job."""
+    start, parts, names = time.monotonic(), [], []
     for i, g in enumerate(grid):
-        if (max_trials is not None and i >= max_trials) or (time_budget is not None and parts and time.monotonic() - start > time_budget):
-            break
         name = ",".join(f"{k}={v}" for k, v in sorted(g.items()))
+        names.append((name, i))
+        if (max_trials is not None and i >= max_trials) or (time_budget is not None and parts and time.monotonic() - start > time_budget):
+            continue
         parts.append(engine.train_predict(**g).withColumn("setting", F.lit(name)))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
-    return metric(allp).orderBy(F.desc_nulls_last("score"), "setting")
+    every = engine.rows.sparkSession.createDataFrame(names, "setting string, position int")
+    scored = metric(allp).withColumn("tried", F.lit(True))
+    out = every.join(scored, "setting", "left").withColumn("tried", F.coalesce("tried", F.lit(False)))
+    return out.orderBy(F.desc("tried"), F.desc_nulls_last("score"), "setting")
+
+
+def best_setting(ranked: DataFrame, grid: list[dict]) -> dict:
+    """The arguments of the best setting of ``auto_search``, to train with."""
+    return grid[ranked.where("tried").first()["position"]]
 
 
 def pca_components(returns: DataFrame, assets: list[str], k: int) -> DataFrame:

@@ -8,13 +8,13 @@ from loomline.operators import models as M
 from loomline.operators.panel import holds, top
 from loomline.operators.ranking import correlation_of, tiles
 from loomline.operators.text import frequent_lexicon, sentiment, words
-from loomline.plans.factors_queries import NAMES, features
+from loomline.plans.factors_queries import _FEAT, NAMES, features
 from loomline.plans.registry import query, r, rd
 from loomline.plans.risk_queries import category_returns, returns
-from loomline.plans.strategy_queries import report, wide
+from loomline.plans.strategy_queries import report, stats_sql, wide
 
 
-def engine(t, n_splits=2):
+def engine(t, n_splits=5):
     return M.MLEngine(features(t).na.drop(), NAMES, 104, 26, n_splits, 4)
 
 
@@ -34,7 +34,8 @@ def e08(t):
 @query("e09_auto_search")
 def e09(t):
     grid = [{"model": "ridge", "reg": 0.1}, {"model": "random_forest", "n_estimators": 5, "max_depth": 3}, {"model": "xgboost", "n_estimators": 3}]
-    return M.auto_search(engine(t), grid, lambda p: _rank_score(p, t.n_symbols), time_budget=3600).withColumn("score", rd("score"))
+    found = M.auto_search(engine(t), grid, lambda p: _rank_score(p, t.n_symbols), time_budget=3600)
+    return found.select("setting", "n", rd("score").alias("score"), "tried")
 
 
 @query("e10_selected_features")
@@ -44,6 +45,45 @@ def e10(t):
     return e.importances().withColumn("importance", rd("importance"))
 
 
+def _fit_sql(folds: int) -> str:
+    """Least squares by normal equations for each fold; ``p`` has its test rows with predictions."""
+    return f"""
+{_FEAT}, f0 AS (SELECT * FROM feat WHERE mom IS NOT NULL AND ratio IS NOT NULL AND vol IS NOT NULL AND label IS NOT NULL),
+d AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS r FROM (SELECT DISTINCT date FROM f0)),
+f AS (SELECT k AS fold, 'test' AS part, k * 26 + 1 AS lo, (k + 1) * 26 AS hi FROM range(0, {folds}) g(k)
+  UNION ALL SELECT k, 'train', (k + 1) * 26 + 5, (k + 1) * 26 + 108 FROM range(0, {folds}) g(k)),
+j AS (SELECT f0.*, fold, part FROM f0 JOIN d USING (date) JOIN f ON r BETWEEN lo AND hi),
+c AS (SELECT fold, avg(mom) AS m1, avg(ratio) AS m2, avg(vol) AS m3, avg(label) AS my, var_pop(mom) AS a, var_pop(ratio) AS b, var_pop(vol) AS c,
+  covar_pop(mom, ratio) AS x, covar_pop(mom, vol) AS y, covar_pop(ratio, vol) AS z, covar_pop(mom, label) AS u, covar_pop(ratio, label) AS v,
+  covar_pop(vol, label) AS w FROM j WHERE part = 'train' GROUP BY fold),
+e AS (SELECT *, a * (b * c - z * z) - x * (x * c - y * z) + y * (x * z - b * y) AS det FROM c),
+o AS (SELECT fold, m1, m2, m3, my, ((b * c - z * z) * u + (y * z - x * c) * v + (x * z - y * b) * w) / det AS b1,
+  ((y * z - x * c) * u + (a * c - y * y) * v + (x * y - a * z) * w) / det AS b2, ((x * z - y * b) * u + (x * y - a * z) * v + (a * b - x * x) * w) / det AS b3 FROM e),
+p AS (SELECT date, sym, CAST(fold AS INTEGER) AS fold, label, my + b1 * (mom - m1) + b2 * (ratio - m2) + b3 * (vol - m3) AS prediction
+  FROM j JOIN o USING (fold) WHERE part = 'test')"""
+
+
+@query("e17_linear_fit", f"""
+WITH {_fit_sql(5)}
+SELECT fold, count(*) AS n, {r('corr(prediction, label)')} AS corr, {r('sqrt(avg(power(prediction - label, 2)))', 4)} AS rmse FROM p GROUP BY fold""")
+def e17_linear(t):
+    return engine(t).train_predict("linear").groupBy("fold").agg(
+        F.count("*").alias("n"), rd(correlation_of("prediction", "label")).alias("corr"),
+        rd(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), F.lit(2.0)))), 4).alias("rmse"))
+
+
+@query("e08_predict_new_rows", f"""
+WITH {_fit_sql(1)}, last AS (SELECT max(date) AS date FROM feat)
+SELECT sym, {r('my + b1 * (mom - m1) + b2 * (ratio - m2) + b3 * (vol - m3)')} AS prediction FROM feat, o WHERE date = (SELECT date FROM last)""")
+def e08_new(t):
+    """Scores of the last date, whose labels are not known yet."""
+    e = engine(t, 1)
+    e.train_predict("linear")
+    f = features(t)
+    last = f.agg(F.max("date")).scalar()
+    return e.predict(f.where(F.col("date") == last).select("sym", *NAMES)).select("sym", rd("prediction").alias("prediction"))
+
+
 @query("e17_linear_family")
 def e17(t):
     e = engine(t)
@@ -72,7 +112,11 @@ def b21(t):
     return report(B.sim(s, wide(t), resample="M", position_limit=10, rank="v", name="ml_rank").report())
 
 
-@query("b23_walk_forward")
+@query("b23_walk_forward", f"""
+WITH {_fit_sql(3)}, k AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(prediction, 9) DESC, sym) AS k FROM p),
+s AS (SELECT CAST(fold AS VARCHAR) AS strategy, date, avg(label) AS ret FROM k WHERE k <= 10 GROUP BY 1, 2),
+nav AS (SELECT *, 1e7::DOUBLE * exp(sum(ln(1 + ret)) OVER (PARTITION BY strategy ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav FROM s)
+{stats_sql()}""")
 def b23(t):
     """Fit per fold, score its test dates, join the folds, report per fold."""
     p = engine(t, 3).train_predict("linear")
