@@ -12,7 +12,7 @@ by partial aggregates and adds one row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import written
@@ -48,23 +48,23 @@ def features(docs: DataFrame, topic: Column | None = None, source: str = "source
 def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = 6) -> DataFrame:
     """``(source, lang, topic, share, weight)`` of ``(source, lang, topic, tokens)``: actual and raked shares of tokens.
 
-    Cells without tokens have no share. Each sweep is written, so the plan
-    stays short and a lost executor costs one sweep.
+    Cells without tokens have no share. Windows run over cells, of which there
+    are as many as combinations and not as documents. Every few sweeps are
+    written, so the plan stays short and a lost executor costs these.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    base = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(max(total, 1)))
-    targets = {}
+    now = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(max(total, 1))).withColumn("weight", F.col("share"))
     for dim, power in powers.items():
-        own = base.groupBy(dim).agg(F.pow(F.sum("share"), F.lit(power)).alias("t"))
-        whole = own.agg(F.sum("t")).first()[0] or 1.0
-        targets[dim] = written(own.select(dim, (F.col("t") / F.lit(whole)).alias("target")), "mix-target")
-    now = base.select(*DIMS, "share", F.col("share").alias("weight"))
-    for _ in range(sweeps):
-        for dim, target in targets.items():
-            factor = now.groupBy(dim).agg(F.sum("weight").alias("has")).join(target, dim).select(dim, (F.col("target") / F.col("has")).alias("factor"))
-            now = now.join(factor, dim).select(*DIMS, "share", (F.col("weight") * F.col("factor")).alias("weight"))
-        now = written(now, "mix-sweep")
-    return now
+        own = Window.partitionBy(dim)
+        now = now.withColumn("t", F.pow(F.sum("share").over(own), F.lit(power))).withColumn("n", F.count("*").over(own))
+        whole = now.agg(F.sum(F.col("t") / F.col("n"))).first()[0] or 1.0  # each value of the dimension once
+        now = now.withColumn(f"to_{dim}", F.col("t") / F.lit(whole)).drop("t", "n")
+    for i in range(sweeps):
+        for dim in powers:
+            now = now.withColumn("weight", F.col("weight") * (F.col(f"to_{dim}") / F.sum("weight").over(Window.partitionBy(dim))))
+        if i % 3 == 2 or i == sweeps - 1:
+            now = written(now, "mix-sweep")
+    return now.select(*DIMS, "share", "weight")
 
 
 def budget_factor(cells: DataFrame, budget: float, rounds: int = 30) -> float:
