@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.operators.factors import time_folds
-from loomline.operators.risk import DENSE_LIMIT
 from loomline.operators.text import WORD_GAP
 from loomline.session import written
 
 SEED = 7
+DENSE_LIMIT = 2_000  # assets whose components one matrix may hold
 
 
 def estimator(model: str, n_estimators: int = 20, max_depth: int = 3, learning_rate: float = 0.1, reg: float = 0.0):

@@ -64,17 +64,17 @@ def o03(t):
 
 @query("o03_equal_risk_contribution")
 def o03b(t):
-    return R.equal_risk_contribution(category_returns(t)).withColumn("weight", rd("weight"))
+    return R.equal_risk_contribution(returns(t)).withColumn("weight", rd("weight"))
 
 
 @query("o04_max_diversification")
 def o04(t):
-    return R.max_diversification(category_returns(t)).withColumn("weight", rd("weight"))
+    return R.max_diversification(returns(t)).withColumn("weight", rd("weight"))
 
 
 @query("o05_min_variance")
 def o05(t):
-    return R.min_variance(category_returns(t)).withColumn("weight", rd("weight"))
+    return R.min_variance(returns(t)).withColumn("weight", rd("weight"))
 
 
 _PF = f"{RET}, {WT}, pf AS (SELECT 'fixed' AS strategy, date, sum(weight * ret) AS ret FROM ret JOIN wt USING (sym) GROUP BY date)"

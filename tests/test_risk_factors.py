@@ -115,3 +115,24 @@ def test_limit_measures_keep_strategies_apart(spark):
         ("a", "position"): 0.3, ("a", "sector"): 0.5, ("a", "daily_loss"): -0.01, ("a", "drawdown"): 0.0,
         ("b", "position"): 0.1, ("b", "sector"): 0.1, ("b", "daily_loss"): 0.05, ("b", "drawdown"): 0.0,
     }
+
+
+def test_solved_weights_meet_their_conditions(spark):
+    """On a full panel: C w constant, C w proportional to sigma, equal contributions."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 12)) * rng.uniform(0.5, 3, 12) + rng.normal(size=(60, 1))
+    rows = [(friday(i), f"s{j}", float(x[i, j])) for i in range(60) for j in range(12)] + [(friday(i), "flat", 0.5) for i in range(60)]
+    d = spark.createDataFrame(rows, "date date, sym string, ret double")
+    c = np.cov(x.T)
+
+    def of(f):
+        w = {r["sym"]: r["weight"] for r in f(d).collect()}
+        assert "flat" not in w and sum(w.values()) == pytest.approx(1)
+        return np.array([w[f"s{j}"] for j in range(12)])
+
+    v = c @ of(R.min_variance)
+    assert v == pytest.approx(np.full(12, v.mean()), rel=1e-5)
+    v = c @ of(R.max_diversification) / np.sqrt(np.diag(c))
+    assert v == pytest.approx(np.full(12, v.mean()), rel=1e-5)
+    w = of(R.equal_risk_contribution)
+    assert w * (c @ w) == pytest.approx(np.full(12, (w @ c @ w) / 12), rel=1e-5)
