@@ -14,8 +14,20 @@ def test_bars_open_close_ties(spark):
                               "sym bigint, date date, price double, qty double, amount double, seq bigint")
     m = P.bars_from_ticks(t, "M").collect()[0]
     assert (m["open"], m["high"], m["low"], m["close"], m["volume"]) == (4.0, 7.0, 4.0, 7.0, 4.0)
-    plan = P.bars_from_ticks(t, "W")._jdf.queryExecution().executedPlan().toString()
+    plan = P.bars_from_ticks(t, "D")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+    plan = P.bars_from_ticks(t, "W")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_min_by" in plan
+
+
+def test_bars_order_by_all_columns(spark):
+    """Rows that agree in order and line still have one order, by part."""
+    rows = [(1, dt.date(2020, 1, 2), float(p), 1.0, float(p), (7, 1, part)) for part, p in ((5001, 3), (904, 1), (4096 + 904, 2))]
+    t = spark.createDataFrame(rows, "sym bigint, date date, price double, qty double, amount double, seq struct<a:bigint,b:int,c:bigint>")
+    m = P.bars_from_ticks(t.where("price > 1"), "W").first()
+    assert (m["open"], m["close"]) == (2.0, 3.0)
+    m = P.bars_from_ticks(t, "D").first()
+    assert (m["open"], m["close"]) == (1.0, 3.0)
 
 
 def test_top_uses_group_limit_and_ties_by_sym(spark):
