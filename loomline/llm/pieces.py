@@ -15,6 +15,8 @@ characters outside the vocabulary are streamed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,7 @@ from loomline.llm.common import some_texts
 SPACE = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Longest unit that goes through the lanes; distinct units that a task remembers.
-LANE, REMEMBERED = 24, 200_000
+LANE, REMEMBERED = 24, 100_000
 TEXT_CHARS = 1 << 20
 
 
@@ -345,49 +347,52 @@ class Encoder:
 
 
 _ENCODED = "struct<ids:array<int>,round_trip:boolean>"
-_KEPT: dict[bytes, Encoder] = {}
 
 
-def _encoder(model: bytes) -> Encoder:
-    if model not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model] = Encoder(model)
-    return _KEPT[model]
+def _encoded_batch(encoder: Encoder, column: pa.Array) -> pa.Array:
+    values, offsets, same = [], [0], []
+    for (part,) in some_texts(column):
+        texts = [t or "" for t in part.to_pylist()]
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and (j == i or size < TEXT_CHARS):
+                size += len(texts[j])
+                j += 1
+            some = texts[i:j]
+            ids, place = encoder.encode(some)
+            same += [encoder.decode(ids[a:b].tolist()) == t for t, a, b in zip(some, place[:-1], place[1:], strict=True)]
+            values.append(ids)
+            offsets += (place[1:] + offsets[-1]).tolist()
+            i = j
+    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+    return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
 
 def encoded(text: str | Column, model: bytes) -> Column:
-    """``ids`` of each text, and whether decoding them gives the text back; a null text is empty."""
+    """``ids`` of each text, and whether decoding them gives the text back; a null text is empty.
+
+    The encoder lives as long as its task, so idle workers hold no memory.
+    """
 
     @F.arrow_udf(_ENCODED)
-    def encode(column: pa.Array) -> pa.Array:
-        encoder = _encoder(model)
-        values, offsets, same = [], [0], []
-        for (part,) in some_texts(column):
-            texts = [t or "" for t in part.to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size < TEXT_CHARS):
-                    size += len(texts[j])
-                    j += 1
-                some = texts[i:j]
-                ids, place = encoder.encode(some)
-                same += [encoder.decode(ids[a:b].tolist()) == t for t, a, b in zip(some, place[:-1], place[1:], strict=True)]
-                values.append(ids)
-                offsets += (place[1:] + offsets[-1]).tolist()
-                i = j
-        flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+    def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(model)
+        for column in columns:
+            yield _encoded_batch(encoder, column)
+        del encoder
+        pa.default_memory_pool().release_unused()
 
     return encode(text)
 
 
 def decoded(ids: str | Column, model: bytes) -> Column:
     @F.arrow_udf("string")
-    def decode(column: pa.Array) -> pa.Array:
-        encoder = _encoder(model)
-        return pa.array([None if x is None else encoder.decode(x) for x in column.to_pylist()], pa.string())
+    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(model)
+        for column in columns:
+            yield pa.array([None if x is None else encoder.decode(x) for x in column.to_pylist()], pa.string())
 
     return decode(ids)
 
