@@ -12,13 +12,21 @@ by partial aggregates and adds one row a task.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import written
+from loomline.llm.common import discard, written
 
 DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+#: Raking ends when a sweep finds every marginal this near to its target, relative to it.
+TOLERANCE = 1e-9
+#: Sweeps of one plan, and the number at which raking fails.
+ROUND, MOST = 3, 3000
+#: So many cells are raked by one task, without a shuffle; more are dealt by the values of each dimension.
+FEW = 20_000
 
 
 def token_count(text: str = "text") -> Column:
@@ -45,25 +53,47 @@ def features(docs: DataFrame, topic: Column | None = None, source: str = "source
     )
 
 
-def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = 6) -> DataFrame:
+def raked(cells: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = MOST, tolerance: float = TOLERANCE) -> DataFrame:
     """``(source, lang, topic, share, weight)`` of ``(source, lang, topic, tokens)``: actual and raked shares of tokens.
 
+    Sweeps go on until one finds all marginals within ``tolerance`` of their
+    targets; it is an error if ``sweeps`` do not get there. Where no weights of
+    the given cells meet all targets (a source that alone has a language and
+    nothing else, with two different targets), sweeps end with a warning when
+    they move no weight any more: the last dimension is met then.
+
     Cells without tokens have no share. Windows run over cells, of which there
     are as many as combinations and not as documents. Every few sweeps are
     written, so the plan stays short and a lost executor costs these.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(max(total, 1))).withColumn("weight", F.col("share"))
+    size = cells.where("tokens > 0").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
+    total, few = size["tokens"] or 0, size["n"] <= FEW
+    now = (cells.coalesce(1) if few else cells).where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(max(total, 1))).withColumn("weight", F.col("share"))
     for dim, power in powers.items():
         own = Window.partitionBy(dim)
         now = now.withColumn("t", F.pow(F.sum("share").over(own), F.lit(power))).withColumn("n", F.count("*").over(own))
         whole = now.agg(F.sum(F.col("t") / F.col("n"))).first()[0] or 1.0  # each value of the dimension once
         now = now.withColumn(f"to_{dim}", F.col("t") / F.lit(whole)).drop("t", "n")
-    for i in range(sweeps):
-        for dim in powers:
-            now = now.withColumn("weight", F.col("weight") * (F.col(f"to_{dim}") / F.sum("weight").over(Window.partitionBy(dim))))
-        if i % 3 == 2 or i == sweeps - 1:
-            now = written(now, "mix-sweep")
+    kept, last = now.columns, None
+    for done in range(ROUND, sweeps + ROUND, ROUND):
+        for _ in range(ROUND):
+            now = now.withColumn("before", F.col("weight")).withColumn("off", F.lit(0.0))
+            for dim in powers:
+                now = now.withColumn("by", F.col(f"to_{dim}") / F.sum("weight").over(Window.partitionBy(dim)))
+                now = now.withColumn("weight", F.col("weight") * F.col("by")).withColumn("off", F.greatest("off", F.abs(F.col("by") - 1)))
+        moved = F.abs(F.col("weight") - F.col("before")) / (F.col("before") + F.col("share") * 1e-9)  # a weight may vanish
+        new = written(now.select(*kept, "off", moved.alias("moved")), "mix-sweep")
+        if last is not None:
+            discard(last)
+        last, now = new, (new.coalesce(1) if few else new).select(*kept)
+        s = new.agg(F.max("off").alias("off"), F.max("moved").alias("moved")).first()
+        if s["off"] is None or s["off"] <= tolerance:
+            break
+        if s["moved"] <= tolerance / 1000:
+            warnings.warn(f"no weights meet all targets: a marginal stays {s['off']:.2g} off", stacklevel=2)
+            break
+    else:
+        raise RuntimeError(f"raking is {s['off']:.2g} off its targets after {done} sweeps")
     return now.select(*DIMS, "share", "weight")
 
 
@@ -88,7 +118,7 @@ def draw(key: str = "row.doc_id", text: str = "row.text") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 6, topic: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = MOST, topic: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row as ``row`` with source, lang, topic, tokens, probability and keep.
 
     Rows without tokens carry no weight and are kept. A repeated row shares the

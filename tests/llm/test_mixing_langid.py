@@ -32,6 +32,52 @@ def test_raked_marginals_meet_the_targets(spark):
             assert has[k] == pytest.approx(v / sum(want.values()), rel=1e-4)
 
 
+def tied(off):
+    """Tokens of 8 sources x 4 languages x 4 topics: a share ``off`` of a source is not in its own language."""
+    r = np.random.default_rng(3)
+    x = r.uniform(0.5, 2, (8, 4, 4)) * np.array([30, 1, 8, 2, 1, 5, 1, 3])[:, None, None]
+    x *= np.where(np.arange(8)[:, None] % 4 == np.arange(4), 1 - off, off / 3)[:, :, None]
+    return np.maximum(1, np.round(1e7 * x)).astype(int)
+
+
+def rake(tokens, powers, sweeps):
+    """Weights after so many sweeps, the targets, and the largest relative error of a marginal."""
+    share = tokens / tokens.sum()
+    w = share.copy()
+    targets = []
+    for d, p in enumerate(powers.values()):
+        t = share.sum(axis=tuple(i for i in range(3) if i != d), keepdims=True) ** p
+        targets.append((tuple(i for i in range(3) if i != d), t / t.sum()))
+    for _ in range(sweeps):
+        for other, t in targets:
+            w = w * (t / w.sum(axis=other, keepdims=True))
+    return w, max(np.abs(w.sum(axis=o, keepdims=True) / t - 1).max() for o, t in targets)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_raking_goes_on_until_the_marginals_meet_their_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    tokens = tied(0.05)
+    want, error = rake(tokens, mixing.POWERS, 2000)
+    assert error < 1e-12 and rake(tokens, mixing.POWERS, 6)[1] > 0.01
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(n)) for (i, j, k), n in np.ndenumerate(tokens)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").coalesce(1)
+    got = {tuple(r)[:3]: r["weight"] for r in mixing.raked(cells).collect()}
+    assert len(got) == want.size
+    for (i, j, k), w in np.ndenumerate(want):
+        assert got[f"s{i}", f"l{j}", f"t{k}"] == pytest.approx(w, rel=1e-6)
+    with pytest.raises(RuntimeError, match="off its targets"):
+        mixing.raked(cells, sweeps=6)
+
+
+def test_targets_that_contradict_each_other_end_with_a_warning(spark):
+    rows = [("a", "en", "x", 900), ("b", "fr", "x", 100)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="no weights meet all targets"):
+        got = {r["lang"]: r["weight"] for r in mixing.raked(cells).collect()}
+    assert got == pytest.approx({"en": 0.9**0.7 / (0.9**0.7 + 0.1**0.7), "fr": 0.1**0.7 / (0.9**0.7 + 0.1**0.7)})
+
+
 @pytest.mark.parametrize("budget", [0.1, 0.5, 0.9, 1.0])
 def test_budget_is_met_with_probabilities_of_one_at_most(spark, budget):
     rows = [(0.6, 0.2), (0.3, 0.4), (0.1, 0.4)]
