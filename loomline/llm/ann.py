@@ -1,12 +1,15 @@
 """Nearest vectors by multi-probe p-stable hashing.
 
-Vectors are scaled by the largest norm and given one more component that
-makes all norms equal, so that the nearest by distance have the largest inner
-product. Every table cuts ``width`` wide cells along ``bits`` Gaussian
+Vectors are taken apart by ranges of their norms: down to half the largest, a
+quarter and so on. Those of a range are scaled by its largest norm and given
+one more component that makes all norms equal, so that the nearest by distance
+have the largest inner product. Every table cuts ``width`` wide cells along ``bits`` Gaussian
 directions. A query visits its own cell and, in the order in which they are
 expected to hold a neighbour, the cells reached by perturbing the directions
-whose borders lie closest. Candidates of all tables are merged and ranked by
-the exact inner product.
+whose borders lie closest. A query that has seen too few rows of a range goes on
+down that order, and takes all rows of the range when the order ends.
+Candidates of all tables and ranges are merged and ranked by the exact inner
+product.
 
 The index is partitioned by row: each block holds the cells of its own rows
 for all tables, and the stated query set visits every block. A cell with a
@@ -75,12 +78,19 @@ class Tables:
         return np.stack([home + step[:, list(s)].sum(axis=1) for s in order], axis=1)
 
 
-def _scaled(x: np.ndarray, largest: float, data: bool) -> np.ndarray:
-    y = x / largest
-    rest = np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1))) if data else np.zeros(len(y))
-    if not data:
-        y = y / np.sqrt((y * y).sum(axis=1, keepdims=True))
-    return np.concatenate([y, rest[:, None]], axis=1)
+def _data(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors scaled by the largest norm of their range, with one more component; the number of the range of each."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    part = np.unique(np.floor(np.log2(norm.max() / norm)), return_inverse=True)[1]
+    largest = np.zeros(part.max() + 1)
+    np.maximum.at(largest, part, norm)
+    y = x / largest[part][:, None]
+    rest = np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1)))
+    return np.concatenate([y, rest[:, None]], axis=1), part
+
+
+def _asked(q: np.ndarray) -> np.ndarray:
+    return np.concatenate([q / np.sqrt((q * q).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1)
 
 
 def _matrix(table: pa.Table, key: str, vector: str, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,27 +100,43 @@ def _matrix(table: pa.Table, key: str, vector: str, d: int) -> tuple[np.ndarray,
     return ids[order], x[order]
 
 
-def _search(d: int, largest: float, k: int, tables: int, bits: int, width: float, probes: int, seed: int):
+def _visit(hashed: Tables, cells: list, rows: np.ndarray, asked: np.ndarray, order: list[tuple[int, ...]], seen: np.ndarray, queries: np.ndarray) -> None:
+    """Mark in ``seen`` what the queries numbered find in the cells of the rows."""
+    for t, (cell, owner) in enumerate(cells):
+        wanted = hashed.probes(t, asked[queries], order)
+        at = np.minimum(np.searchsorted(cell, wanted), len(cell) - 1)
+        visited = np.zeros((len(queries), len(cell)), bool)
+        row, col = np.nonzero(cell[at] == wanted)
+        visited[row, at[row, col]] = True
+        seen[np.ix_(queries, rows)] |= visited[:, owner]
+
+
+def _search(d: int, k: int, share: float, tables: int, bits: int, width: float, probes: int, seed: int):
     def run(key, block: pa.Table, queries: pa.Table) -> pa.Table:
         outs = []
         if len(block) and len(queries):
-            hashed, order = Tables(d, tables, bits, width, seed), probe_order(bits, probes)
+            hashed, order = Tables(d, tables, bits, width, seed), probe_order(bits, 3**bits)
             ids, x = _matrix(block, "vec_id", "v", d)
             qids, q = _matrix(queries, "query_id", "q", d)
-            data = _scaled(x, largest, True)
-            cells = [np.unique(hashed.cells(t, data), return_inverse=True) for t in range(tables)]
+            data, part = _data(x)
+            ranges = []
+            for r in range(part.max() + 1):
+                rows = np.flatnonzero(part == r)
+                ranges.append((rows, [np.unique(hashed.cells(t, data[rows]), return_inverse=True) for t in range(tables)]))
             for a in range(0, len(qids), QUERIES):
                 some, named = q[a : a + QUERIES], qids[a : a + QUERIES]
-                asked = _scaled(some, largest, False)
+                asked = _asked(some)
                 seen = np.zeros((len(some), len(ids)), bool)
-                for t, (cell, owner) in enumerate(cells):
-                    wanted = hashed.probes(t, asked, order)
-                    at = np.minimum(np.searchsorted(cell, wanted), len(cell) - 1)
-                    visited = np.zeros((len(some), len(cell)), bool)
-                    row, col = np.nonzero(cell[at] == wanted)
-                    visited[row, at[row, col]] = True
-                    seen |= visited[:, owner]
-                seen &= named[:, None] != ids[None, :]
+                own = named[:, None] == ids[None, :]
+                for rows, cells in ranges:
+                    least = max(k, int(np.ceil(share * len(rows))))
+                    left, done, upto = np.arange(len(some)), 0, probes
+                    while len(left) and done < len(order) and least < len(rows):
+                        _visit(hashed, cells, rows, asked, order[done:upto], seen, left)
+                        has = (seen[np.ix_(left, rows)] & ~own[np.ix_(left, rows)]).sum(axis=1)
+                        left, done, upto = left[has < least], upto, 4 * upto
+                    seen[np.ix_(left, rows)] = True
+                seen &= ~own
                 score = np.where(seen, some @ x.T, -np.inf)
                 if len(ids) > k:
                     least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
@@ -130,26 +156,26 @@ def _search(d: int, largest: float, k: int, tables: int, bits: int, width: float
 
 def nearest(
     vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 10, bits: int = 8, width: float = 2.0, probes: int = 120, seed: int = 1,
-    key: str = "vec_id", vector: str = "embedding",
+    key: str = "vec_id", vector: str = "embedding", share: float = 0.5,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the k nearest found.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     other rows. Nearness and score: inner product of the original vectors in
     double precision; equal scores: smaller id first. All rows are indexed, and
-    no cell is capped. Zero vectors and rows that ``valid_vectors`` leaves out
-    take no part; a query for which fewer are found gets fewer. An empty table
-    gives no rows; other columns are ignored.
+    no cell is capped. Of each range of norms in a block a query sees k rows
+    and the ``share`` at least, or all, so that it gets k rows if there are as
+    many others. Zero vectors and rows that ``valid_vectors`` leaves out take
+    no part. An empty table gives no rows; other columns are ignored.
     """
     sound, d = valid_vectors(vectors, key, vector)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
     sound = written(sound.withColumn("norm2", norm2).where("norm2 > 0"), "ann-vectors")
-    size = sound.agg(F.count("*").alias("n"), F.max("norm2").alias("m")).first()
-    largest, blocks = float(np.sqrt(size["m"] or 1.0)), n_blocks(size["n"], BLOCK)
+    blocks = n_blocks(sound.count(), BLOCK)
     base = sound.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     queries = sound.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    search = _search(d, largest, k, tables, bits, width, probes, seed)
+    search = _search(d, k, share, tables, bits, width, probes, seed)
     found = base.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(search, _FOUND)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

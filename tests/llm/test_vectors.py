@@ -97,3 +97,29 @@ def test_recall_on_the_table(spark):
     want = {q: s for q, n, _, s in best(vectors, 20, lambda a, b: float(a @ b)) if n == 20}
     got = ann.nearest(t).collect()
     assert sum(r["score"] >= want[r["query_id"]] - 1e-12 for r in got) >= 0.9 * 20 * len(want)
+
+
+def uneven(kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    norm = {"one outlier": np.where(np.arange(1500) == 777, 100.0, 1.0), "sigma 1": rng.lognormal(0, 1, 1500), "sigma 2": rng.lognormal(0, 2, 1500)}[kind]
+    return [(i, [float(c) for c in row]) for i, row in enumerate((x * norm[:, None]).astype(np.float32))]
+
+
+@pytest.mark.parametrize("kind", ["one outlier", "sigma 1", "sigma 2"])
+def test_nearest_of_uneven_norms_are_found_and_complete(spark, kind):
+    rows = uneven(kind)
+    vectors = {i: np.array(e, np.float64) for i, e in rows}
+    least = {q: s for q, n, _, s in best(vectors, 20, lambda a, b: float(a @ b)) if n == 20}
+    got = ann.nearest(table(spark, rows)).collect()
+    assert Counter(r["query_id"] for r in got) == dict.fromkeys(least, 20)
+    assert sum(r["score"] >= least[r["query_id"]] - 1e-9 for r in got) >= 0.9 * len(got)
+
+
+def test_a_query_whose_cells_are_empty_goes_on(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [1.0 + 0.01 * float(rng.normal())] + [0.01 * float(c) for c in rng.normal(size=15)]) for i in range(1, 400) if i % 20]
+    rows.append((0, [-1.0] + [0.0] * 15))
+    got = ann.nearest(table(spark, rows), tables=1, probes=1).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 21))
