@@ -69,13 +69,19 @@ def _profile_counts(languages: tuple[str, ...]):
     return run
 
 
+def languages_of(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[str, ...]:
+    """All labels of documents with a letter at least, by name; ``LANGUAGES`` where nothing is labelled."""
+    labelled = docs.where((F.trim(lang) != "") & F.col(text).rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    return tuple(sorted(r[0] for r in labelled.groupBy(F.col(lang)).count().collect())) or LANGUAGES
+
+
 def profiles(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", lang: str = "lang") -> np.ndarray:
     """Log probability of each trigram bucket in each language, from all documents labelled with one of them."""
     known = docs.where(F.col(lang).isin(*languages)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     counted = known.mapInArrow(_profile_counts(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = np.ones((len(languages), BUCKETS))
-    for r in counted.collect():  # at most languages * BUCKETS rows
-        counts[r["lang"], r["bucket"]] += r["n"]
+    found = counted.toArrow()  # at most languages * BUCKETS rows
+    counts[found["lang"].to_numpy(), found["bucket"].to_numpy()] += found["n"].to_numpy()
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

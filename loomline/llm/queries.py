@@ -126,6 +126,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_language_fusion")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomline.llm.langid import fused, profiles
+    from loomline.llm.langid import fused, languages_of, profiles
 
-    return fused(raw(spark, sf_dir, "pages"), profiles(raw(spark, sf_dir, "documents")))
+    docs = raw(spark, sf_dir, "documents")
+    languages = languages_of(docs)
+    return fused(raw(spark, sf_dir, "pages"), profiles(docs, languages), languages)

@@ -178,3 +178,15 @@ def test_no_pages_and_no_documents(spark):
     assert (flat == flat[0, 0]).all()
     assert langid.fused(pages(spark, []), flat).collect() == []
     assert math.isclose(langid.fused(pages(spark, [(1, None, None)]), flat).first()["confidence"], 0.25, rel_tol=1e-6)
+
+
+def test_languages_follow_the_labels_of_the_documents(spark, tmp_path):
+    from loomline.llm.queries import QUERIES
+
+    said = {"en": "the house and the garden with their trees ", "it": "la casa e il giardino con gli alberi della zia ", "fr": "la maison et le jardin avec les arbres "}
+    docs = [(i, said[g] * 40, g, "a", None) for i, g in enumerate(said)] + [(8, "1 2 3", "xx", "a", 5), (9, "no label", None, "a", 8)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, f"http://h{i}.org/", f"<html><p>{text * 3}</p></html>") for i, text in enumerate(said.values())]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["lang"] for r in QUERIES["op9_language_fusion"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(said))
