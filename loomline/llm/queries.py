@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.common import raw
 
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bits = f"list_prepend(4294967295, flatten(list_transform(string_split({text}, ''), lambda ch: [CAST(ord(ch) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])))"
+    return f"xor(list_reduce({bits}, lambda a, y: xor(xor(a, y) >> 1, 3988292384 * (xor(a, y) & 1))), 4294967295)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -131,3 +137,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = raw(spark, sf_dir, "documents")
     languages = languages_of(docs)
     return fused(raw(spark, sf_dir, "pages"), profiles(docs, languages), languages)
+
+
+@_query(
+    "op11_prefix_trie",
+    f"""
+WITH t AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+), h AS (SELECT c, l, {_crc32("CAST(c AS VARCHAR)")} % 9 AS h FROM t),
+w AS (SELECT a.c, list_concat(coalesce(b.l[1:a.h], []), a.l[a.h + 1:]) AS l FROM h a LEFT JOIN t b ON b.c = a.c - a.c % 5),
+m AS (SELECT c, len(l) AS len, d, l[1:d] AS p FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM w)),
+n AS (
+  SELECT d, p, min(c) AS c, count(*) AS n, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(p[d].x) END AS saved FROM m GROUP BY d, p
+), k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(k.n, 0) AS kids FROM n LEFT JOIN k ON n.d = k.d AND n.p = k.p),
+u AS (SELECT p[1:a] AS p, a AS d, sum(saved) AS saved, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM v) GROUP BY ALL)
+SELECT v.c AS conv_id, v.d AS depth, o.c AS parent_conv_id, v.n AS n_convs, v.kids AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves,
+  CAST(u.saved AS BIGINT) AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN u ON v.d = u.d AND v.p = u.p LEFT JOIN v o ON o.d = v.d - 1 AND o.p = v.p[1:v.d - 1]""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.prefixtrie import rebuilt_trie
+
+    return rebuilt_trie(raw(spark, sf_dir, "conversations"))
