@@ -162,3 +162,21 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.prefixtrie import rebuilt_trie
 
     return rebuilt_trie(raw(spark, sf_dir, "conversations"))
+
+
+@_query(
+    "op13_splittable_warc",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS smallest FROM p)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0],
+    lambda b: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(('0x' || substr(h, i * 5 + 1, 5))::BIGINT >> b & 31 AS BIGINT) + 1]))), '') AS payload_digest,
+  CASE WHEN smallest IS NULL OR page_id = smallest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM smallest THEN smallest END AS refers_to
+FROM g""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.warc import archived_pages
+
+    return archived_pages(raw(spark, sf_dir, "pages"))
