@@ -180,3 +180,63 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomline.llm.warc import archived_pages
 
     return archived_pages(raw(spark, sf_dir, "pages"))
+
+
+def _op12_sql() -> str:
+    """The same search as a recursion over rows: a struct of cost, audit and text for each state."""
+    new = "{{'c': {0}.c + {1}, 'a': {0}.a || '{2}', 't': {0}.t || {3}}}".format
+    row, line = "role || ':' || text || chr(10)", "'{}:' || text || chr(10)".format
+    stay = "CASE WHEN gone THEN 1000000 WHEN cut THEN {} ELSE {} END".format
+
+    def keep(x: str, initial: str) -> str:
+        return new(x, f"(CASE WHEN left(role, 1) = '{initial}' THEN {stay(3, 0)} ELSE 1000000 END)", "K", row)
+
+    def rerole(x: str, role: str) -> str:
+        return new(x, f"({stay(6, 3)})", "R", line(role))
+
+    def gone(x: str) -> str:
+        return new(x, "4", "D", "''")
+
+    def put(x: str, role: str) -> str:
+        return new(x, "3", "I", f"'{role}:' || chr(10)")
+
+    to_user = ", ".join(f"{keep(x, 'u')}, {rerole(x, 'user')}" for x in ("n", "s", "a"))
+    users = ", ".join(put(x, "user") for x in ("n", "s", "a"))
+    never = "{'c': 1000000, 'a': '', 't': ''}"
+    name = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    space = "\\x20\\x09-\\x0D"
+    return f"""
+WITH RECURSIVE x AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32(name)} % 20 AS what FROM conversations
+), y AS (
+  SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN what = 1 THEN '' WHEN what = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(0, CASE WHEN what = 3 THEN 2 ELSE 1 END)) FROM x WHERE what <> 0)
+), z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM y),
+f AS (
+  SELECT *, NOT regexp_matches(text, '[^{space}]') AS blank, k > min(k) OVER (PARTITION BY conv_id, role, text) AS again,
+    NOT regexp_matches(text, '[.!?][{space}]*$') AS short, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS pair FROM z
+), d AS (SELECT *, blank OR again AS gone, short AND NOT blank AND NOT again AS cut FROM f),
+e AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, CAST(count_if(blank) AS BIGINT) AS blank, CAST(count_if(again AND NOT blank) AS BIGINT) AS duplicate,
+    CAST(count_if(cut) AS BIGINT) AS truncated, CAST(count_if(pair NOT IN ('su', 'ua', 'au')) AS BIGINT) AS illegal, max(k) AS n FROM d GROUP BY 1
+), r AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS k, {{'c': 0, 'a': '', 't': ''}} AS n, {never} AS s,
+    {{'c': 3, 'a': 'I', 't': 'user:' || chr(10)}} AS u, {{'c': 6, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}} AS a FROM e
+  UNION ALL
+  SELECT conv_id, k, n, s, u, least(a, {put("u", "assistant")}) AS a FROM (
+    SELECT conv_id, k, n, s, a, least(u, {users}) AS u FROM (
+      SELECT r.conv_id, d.k, {gone("n")} AS n, least({gone("s")}, {keep("n", "s")}) AS s, least({gone("u")}, {to_user}) AS u,
+        least({gone("a")}, {keep("u", "a")}, {rerole("u", "assistant")}) AS a
+      FROM r JOIN d ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND d.k = r.k + 1))
+), b AS (SELECT e.*, least(r.n, r.a) AS best FROM e JOIN r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.k = e.n)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[:-2], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@_query("op12_audit_repair", _op12_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomline.llm.audit import audited_damage
+
+    return audited_damage(raw(spark, sf_dir, "conversations"))
