@@ -47,9 +47,9 @@ def excess_over_mean(bars: DataFrame, period: int = 1, out: str = "label") -> Da
     return b.join(m, "date").withColumn(out, F.col("_f") - F.col("_m")).drop("_f", "_m")
 
 
-def price_change_bin(bars: DataFrame, bins: int, period: int = 21, width: int | None = None) -> DataFrame:
+def price_change_bin(bars: DataFrame, bins: int, period: int = 21) -> DataFrame:
     b = price_change(bars, period, "_f").where(F.col("_f").isNotNull())
-    return tiles(b, ["date"], [F.col("_f"), F.col("sym")], bins, "label", width).drop("_f")
+    return tiles(b, ["date"], [F.col("_f"), F.col("sym")], bins, "label").drop("_f")
 
 
 def long_factors(features: DataFrame, names: list[str]) -> DataFrame:
@@ -61,11 +61,11 @@ def long_factors(features: DataFrame, names: list[str]) -> DataFrame:
 # ---- factor evaluation ---------------------------------------------------------
 
 
-def ic_by_date(rows: DataFrame, width: int | None = None) -> DataFrame:
+def ic_by_date(rows: DataFrame) -> DataFrame:
     """Spearman coefficient per factor and date: correlation of average ranks."""
     by = ["factor", "date"]
-    d = tied_rank(rows, by, "value", "_a", "average", width)
-    d = tied_rank(d, by, "label", "_b", "average", width)
+    d = tied_rank(rows, by, "value", "_a")
+    d = tied_rank(d, by, "label", "_b")
     return d.groupBy(*by).agg(correlation_of("_a", "_b").alias("ic"), F.count("*").alias("n"))
 
 
@@ -77,19 +77,19 @@ def ic_summary(ic: DataFrame) -> DataFrame:
         (F.try_divide(F.avg("ic"), sd) * F.sqrt(F.count("ic"))).alias("t_stat"), F.count("ic").alias("n"))
 
 
-def quantile_rows(rows: DataFrame, bins: int = 5, width: int | None = None) -> DataFrame:
-    return tiles(rows, ["factor", "date"], [F.col("value"), F.col("sym")], bins, "quantile", width)
+def quantile_rows(rows: DataFrame, bins: int = 5) -> DataFrame:
+    return tiles(rows, ["factor", "date"], [F.col("value"), F.col("sym")], bins, "quantile")
 
 
-def factor_returns(rows: DataFrame, bins: int = 5, width: int | None = None) -> DataFrame:
+def factor_returns(rows: DataFrame, bins: int = 5) -> DataFrame:
     """Top minus bottom quantile label per factor and date."""
-    q = quantile_rows(rows, bins, width)
+    q = quantile_rows(rows, bins)
     top, low = (F.avg(F.when(F.col("quantile") == k, F.col("label"))) for k in (bins, 1))
     return q.groupBy("factor", "date").agg((top - low).alias("ret"))
 
 
-def quantile_table(rows: DataFrame, bins: int = 5, width: int | None = None) -> DataFrame:
-    return quantile_rows(rows, bins, width).groupBy("factor", "quantile").agg(
+def quantile_table(rows: DataFrame, bins: int = 5) -> DataFrame:
+    return quantile_rows(rows, bins).groupBy("factor", "quantile").agg(
         F.avg("label").alias("mean_ret"), F.count("*").alias("n"))
 
 

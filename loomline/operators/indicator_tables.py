@@ -58,12 +58,12 @@ def river(panel: DataFrame, price: str, base: str, split_range: int) -> DataFram
     return p.withColumn("multiple", mult).withColumn("price", F.col("multiple") * F.col(base))
 
 
-def radar(ratios: DataFrame, feats: list[str], cut_bins: int, width: int | None = None,
+def radar(ratios: DataFrame, feats: list[str], cut_bins: int,
           portfolio: DataFrame | None = None) -> DataFrame:
     """Score 1..bins of each ratio in its quarter; scored over everyone, then
     cut to the portfolio."""
     long = ratios.unpivot(["sym", "quarter"], feats, "ratio", "v").where(F.col("v").isNotNull())
-    s = tiles(long, ["quarter", "ratio"], [F.round("v", 9), F.col("sym")], cut_bins, "score", width)
+    s = tiles(long, ["quarter", "ratio"], [F.round("v", 9), F.col("sym")], cut_bins, "score")
     if portfolio is not None:
         s = s.join(portfolio, "sym", "left_semi")
     return s.select("sym", "quarter", "ratio", "score")

@@ -1,11 +1,9 @@
 """Exact ranks inside groups of any size.
 
-A plain ``row_number`` sorts a whole group in one task. That is fine while a
-group is known to be small, so callers pass ``width``, the size bound they
-have checked. Without a bound, or above ``PLAIN_LIMIT``, each group is cut
-into value ranges at splitters taken from a hash sample of its rows; rows are
-ranked inside a range and shifted by the counts of the ranges before it. The
-result is the same.
+Rows are dealt by ranges of (group, order) and sorted inside each range, so a
+group that holds most rows spreads over many tasks. A row's place in its range
+comes from the sort; ranges are chained by the counts of each group in the
+ranges before, of which there is one for every range a group reaches into.
 """
 
 from __future__ import annotations
@@ -13,44 +11,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.session import checkpoint
+from loomline.session import written
 
-PLAIN_LIMIT = 2_000_000
-#: Rows that a range of a group holds on average.
-RANGE_ROWS = 100_000
 
+def _placed(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``_at``, the place from 1 on inside ``by``, and ``_size``, the rows of the group."""
+    keys = [o.alias(f"_o{i}") for i, o in enumerate(order)]
+    names = [f"_o{i}" for i in range(len(order))]
+    ranges = df.select("*", *keys).repartitionByRange(*by, *names).sortWithinPartitions(*by, *names)
+    # Written, so that places and the counts below come from the same ranges.
+    rows = written(ranges.drop(*names).withColumn("_id", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("_range", F.shiftright("_id", 33))
+    runs = rows.groupBy(*by, "_range").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    before = F.sum("_n").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_size", F.sum("_n").over(group)).drop("_n")
+    out = _left_on(rows, runs, [*by, "_range"], ["_first", "_before", "_size"])
+    return out.withColumn("_at", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_id", "_range", "_first", "_before")
 
-def ordinal(
-    df: DataFrame, by: list[str], order: list[Column], out: str = "rn", width: int | None = None
-) -> DataFrame:
+
+def ordinal(df: DataFrame, by: list[str], order: list[Column], out: str = "rn") -> DataFrame:
     """Row number from 1 inside ``by``. ``order`` are ascending sort values
     that together are unique in the group (negate a number to descend)."""
-    if width is not None and width <= PLAIN_LIMIT:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    keys = [o.alias(f"o{i}") for i, o in enumerate(order)]
-    # read three times below: written once, so that all reads agree
-    rows = checkpoint(df.withColumn("_key", F.struct(*keys)))
-    # splitters: a hash sample of about one row in RANGE_ROWS, so that ranges grow in number and not in size
-    chosen = F.pmod(F.xxhash64("_key"), F.lit(RANGE_ROWS)) == 0
-    cuts = rows.where(chosen).groupBy(*by).agg(F.sort_array(F.collect_set("_key")).alias("_cuts"))
-    # null-safe on the group key: a null group is a group as well
-    ranged = _left_on(rows, cuts, by, ["_cuts"]).withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
-    ).drop("_cuts")
-    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*by, "_range").orderBy("_key")
-    ranked = ranged.withColumn("_in", F.row_number().over(inside))
-    return (
-        _left_on(ranked, shift, [*by, "_range"], ["_before"])
-        .withColumn(out, (F.col("_before") + F.col("_in")).cast("bigint"))
-        .drop("_before", "_in", "_range", "_key")
-    )
+    return _placed(df, by, order).withColumn(out, F.col("_at").cast("bigint")).drop("_at", "_size")
 
 
 def _left_on(a: DataFrame, b: DataFrame, keys: list[str], add: list[str]) -> DataFrame:
+    """A left join on keys that may be null: a null group is a group as well."""
     r = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *add)
     cond = None
     for k in keys:
@@ -59,19 +46,9 @@ def _left_on(a: DataFrame, b: DataFrame, keys: list[str], add: list[str]) -> Dat
     return a.join(r, cond, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def counted(df: DataFrame, by: list[str], out: str = "n", width: int | None = None) -> DataFrame:
-    """Group size on every row."""
-    if width is not None and width <= PLAIN_LIMIT:
-        return df.withColumn(out, F.count("*").over(Window.partitionBy(*by)))
-    n = df.groupBy(*by).agg(F.count("*").alias(out))
-    return _left_on(df, n, by, [out])
-
-
-def tiles(df: DataFrame, by: list[str], order: list[Column], bins: int, out: str = "bin",
-          width: int | None = None) -> DataFrame:
+def tiles(df: DataFrame, by: list[str], order: list[Column], bins: int, out: str = "bin") -> DataFrame:
     """Equal-count bins 1..bins, larger bins first, as ``ntile``."""
-    d = counted(ordinal(df, by, order, "_rn", width), by, "_cnt", width)
-    return d.withColumn(out, tile_of(F.col("_rn"), F.col("_cnt"), bins)).drop("_rn", "_cnt")
+    return _placed(df, by, order).withColumn(out, tile_of(F.col("_at"), F.col("_size"), bins)).drop("_at", "_size")
 
 
 def tile_of(rn: Column, n: Column, bins: int) -> Column:
@@ -82,39 +59,28 @@ def tile_of(rn: Column, n: Column, bins: int) -> Column:
     return F.when(rn <= big, low).otherwise(high).cast("bigint")
 
 
-def tied_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", method: str = "average",
-              width: int | None = None) -> DataFrame:
+def tied_rank(df: DataFrame, by: list[str], value: str, out: str = "rank", method: str = "average") -> DataFrame:
     """Rank of a value with ties: ``average``, ``min`` (SQL rank) or
-    ``percent`` (SQL percent_rank). Null values get a null rank."""
-    if width is not None and width <= PLAIN_LIMIT:
-        w = Window.partitionBy(*by, F.col(value).isNull()).orderBy(value)
-        low = F.rank().over(w).cast("double")
-        same = F.count("*").over(Window.partitionBy(*by, value))
-        total = F.count(value).over(Window.partitionBy(*by))
-        r = low + (same - 1) / 2 if method == "average" else low if method == "min" else _percent(low, total)
-        return df.withColumn(out, F.when(F.col(value).isNotNull(), r))
-    # ranks of the distinct values only, so equal values cost one row
-    hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    hist = checkpoint(hist)
-    pos = ordinal(hist, by, [F.col(value)], "_pos")
-    pos = checkpoint(pos)
-    # prefix counts over distinct values: per range of positions, then shifted
-    step = RANGE_ROWS
-    pos = pos.withColumn("_blk", F.floor((F.col("_pos") - 1) / step))
-    blk = pos.groupBy(*by, "_blk").agg(F.sum("_c").alias("_s"))
-    pre = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blk = blk.select(*by, "_blk", F.coalesce(F.sum("_s").over(pre), F.lit(0)).alias("_b"))
-    inb = Window.partitionBy(*by, "_blk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
-    low = _left_on(pos.withColumn("_in", F.coalesce(F.sum("_c").over(inb), F.lit(0))), blk, [*by, "_blk"], ["_b"])
-    low = low.select(*by, value, (F.col("_b") + F.col("_in") + 1).cast("double").alias("_low"), "_c")
-    tot = hist.groupBy(*by).agg(F.sum("_c").alias("_t"))
-    low = _left_on(low, tot, by, ["_t"])
+    ``percent`` (SQL percent_rank). Null values get a null rank.
+
+    Rows of one value are told apart by a hash, so that a value with very many
+    rows spreads over ranges too; their places are then replaced by the group's.
+    """
+    known = F.col(value).isNotNull()
+    rows = _placed(df, by, [known, F.col(value), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])])
+    ends = rows.where(known).groupBy(*by, value).agg(F.min("_at").alias("_low"), F.max("_at").alias("_high")).where("_low < _high")
+    rows = _left_on(rows, ends, [*by, value], ["_low", "_high"])
+    # Nulls come first in the order; they do not count.
+    blank = rows.where(~known).groupBy(*by).agg(F.count("*").alias("_blank"))
+    rows = _left_on(rows, blank, by, ["_blank"])
+    skip = F.coalesce("_blank", F.lit(0))
+    low = (F.coalesce("_low", "_at") - skip).cast("double")
     r = {
-        "average": F.col("_low") + (F.col("_c") - 1) / 2,
-        "min": F.col("_low"),
-        "percent": _percent(F.col("_low"), F.col("_t")),
+        "average": low + (F.coalesce("_high", "_at") - F.coalesce("_low", "_at")) / 2,
+        "min": low,
+        "percent": _percent(low, F.col("_size") - skip),
     }[method]
-    return _left_on(df, low.select(*by, value, r.alias(out)), [*by, value], [out])
+    return rows.withColumn(out, F.when(known, r)).drop("_at", "_size", "_low", "_high", "_blank")
 
 
 def _percent(low: Column, total: Column) -> Column:

@@ -59,25 +59,25 @@ def e03(t):
 
 @query("e04_ic_by_date", f"WITH {_FEAT}, {_RK} SELECT factor, date, {r('ic')} AS ic, n FROM ic")
 def e04(t):
-    return E.ic_by_date(factor_rows(t), t.n_symbols).select("factor", "date", rd("ic").alias("ic"), "n")
+    return E.ic_by_date(factor_rows(t)).select("factor", "date", rd("ic").alias("ic"), "n")
 
 
 @query("e04_ic_summary", f"""
 WITH {_FEAT}, {_RK} SELECT factor, {r('avg(ic)')} AS ic_mean, {r('stddev_samp(ic)')} AS ic_std,
   {r('avg(ic) / stddev_samp(ic) * sqrt(count(ic))', 5)} AS t_stat, count(ic) AS n FROM ic GROUP BY factor""")
 def e04b(t):
-    s = E.ic_summary(E.ic_by_date(factor_rows(t), t.n_symbols))
+    s = E.ic_summary(E.ic_by_date(factor_rows(t)))
     return s.select("factor", rd("ic_mean").alias("ic_mean"), rd("ic_std").alias("ic_std"), rd("t_stat", 5).alias("t_stat"), "n")
 
 
 @query("e05_factor_returns", f"WITH {_FEAT}, {_FR} SELECT factor, date, {r('ret')} AS ret FROM fr")
 def e05(t):
-    return E.factor_returns(factor_rows(t), 5, t.n_symbols).select("factor", "date", rd("ret").alias("ret"))
+    return E.factor_returns(factor_rows(t), 5).select("factor", "date", rd("ret").alias("ret"))
 
 
 @query("e06_quantile_table", f"WITH {_FEAT}, {_Q5} SELECT factor, quantile, {r('avg(label)')} AS mean_ret, count(*) AS n FROM q5 GROUP BY 1, 2")
 def e06(t):
-    return E.quantile_table(factor_rows(t), 5, t.n_symbols).select("factor", "quantile", rd("mean_ret").alias("mean_ret"), "n")
+    return E.quantile_table(factor_rows(t), 5).select("factor", "quantile", rd("mean_ret").alias("mean_ret"), "n")
 
 
 @query("e07_prepare_data", f"""
@@ -102,13 +102,13 @@ def e11(t):
 @query("e12_best_alpha", f"""
 WITH {_FEAT}, {_RK} SELECT arg_max(factor, m) AS factor, max(m) AS ic_mean FROM (SELECT factor, {r('avg(ic)')} AS m FROM ic GROUP BY factor)""")
 def e12(t):
-    s = E.ic_summary(E.ic_by_date(factor_rows(t), t.n_symbols)).withColumn("ic_mean", rd("ic_mean"))
+    s = E.ic_summary(E.ic_by_date(factor_rows(t))).withColumn("ic_mean", rd("ic_mean"))
     return s.agg(F.max_by("factor", "ic_mean").alias("factor"), F.max("ic_mean").alias("ic_mean"))
 
 
 @query("e13_centrality")
 def e13(t):
-    return E.centrality(E.factor_returns(factor_rows(t), 5, t.n_symbols), NAMES).withColumn("centrality", rd("centrality"))
+    return E.centrality(E.factor_returns(factor_rows(t), 5), NAMES).withColumn("centrality", rd("centrality"))
 
 
 def _r2(*names: str) -> str:
@@ -149,7 +149,7 @@ SELECT factor, count(*) AS n, {r('regr_slope(ret, i)', 8)} AS slope, {r('regr_r2
 def e15(t):
     from loomline.operators.statistics import trend
 
-    s = trend(E.factor_returns(factor_rows(t), 5, t.n_symbols), "factor", "ret")
+    s = trend(E.factor_returns(factor_rows(t), 5), "factor", "ret")
     return s.select("factor", "n", rd("slope", 8).alias("slope"), rd("r2", 8).alias("r2"))
 
 
@@ -157,14 +157,14 @@ def e15(t):
 def e15b(t):
     from loomline.operators.statistics import trend
 
-    return trend(E.factor_returns(factor_rows(t), 5, t.n_symbols), "factor", "ret").select("factor", rd("p_value").alias("p_value"))
+    return trend(E.factor_returns(factor_rows(t), 5), "factor", "ret").select("factor", rd("p_value").alias("p_value"))
 
 
 @query("e16_factor_analysis")
 def e16(t):
     rows = written(factor_rows(t), "factors")
-    ic = E.ic_summary(E.ic_by_date(rows, t.n_symbols))
-    c = E.centrality(E.factor_returns(rows, 5, t.n_symbols), NAMES)
+    ic = E.ic_summary(E.ic_by_date(rows))
+    c = E.centrality(E.factor_returns(rows, 5), NAMES)
     return ic.join(c, "factor").select("factor", *[rd(x).alias(x) for x in ("ic_mean", "ic_std", "ratio", "centrality")])
 
 
@@ -173,7 +173,7 @@ WITH {_FEAT}, {_RK}, m AS (SELECT factor, date, CASE WHEN count(ic) OVER w = 12
   WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
 SELECT factor, date, {r('m')} AS rolling_ic, coalesce(m < -0.02, false) AS decayed FROM m""")
 def w27(t):
-    d = E.decay(E.ic_by_date(factor_rows(t), t.n_symbols), 12, -0.02)
+    d = E.decay(E.ic_by_date(factor_rows(t)), 12, -0.02)
     return d.select("factor", "date", rd("rolling_ic").alias("rolling_ic"), "decayed")
 
 
@@ -183,14 +183,14 @@ WITH {_FEAT}, {_RK}, m AS (SELECT factor, date, CASE WHEN count(ic) OVER w = 12
 l AS (SELECT factor, date, greatest(x, 0) AS x FROM (SELECT factor, date, lag(m) OVER (PARTITION BY factor ORDER BY date) AS x FROM m) WHERE x IS NOT NULL)
 SELECT date, factor, {r('x / nullif(sum(x) OVER (PARTITION BY date), 0)')} AS weight FROM l""")
 def b20(t):
-    return E.ic_weights(E.ic_by_date(factor_rows(t), t.n_symbols), 12).withColumn("weight", rd("weight"))
+    return E.ic_weights(E.ic_by_date(factor_rows(t)), 12).withColumn("weight", rd("weight"))
 
 
 @query("w22_label_bins", f"""
 WITH x AS (SELECT date, sym, lead(close, 4) OVER ({ALL}) / close - 1 AS f FROM bars_w)
 SELECT date, sym, ntile(8) OVER (PARTITION BY date ORDER BY f, sym) AS label FROM x WHERE f IS NOT NULL""")
 def w22b(t):
-    return E.price_change_bin(t.bars("W").select("date", "sym", "close"), 8, 4, t.n_symbols).select("date", "sym", "label")
+    return E.price_change_bin(t.bars("W").select("date", "sym", "close"), 8, 4).select("date", "sym", "label")
 
 
 @query("x03_grouped_score", f"""

@@ -195,7 +195,7 @@ WITH v AS (SELECT date, sym, round({full('stddev_samp', 'close', 20)}, 6) AS vol
 SELECT date, sym, {r('percent_rank() OVER (PARTITION BY date ORDER BY vol)')} AS pct FROM v WHERE vol IS NOT NULL""")
 def w16(t):
     b = indicator(bars(t, "close"), "STDDEV", prefix="vol").withColumn("vol", F.round("vol", 6))
-    b = tied_rank(b.where(F.col("vol").isNotNull()), ["date"], "vol", "pct", "percent", t.n_symbols)
+    b = tied_rank(b.where(F.col("vol").isNotNull()), ["date"], "vol", "pct", "percent")
     return out(b, "pct")
 
 
@@ -238,8 +238,8 @@ SELECT date, sym, row_number() OVER (PARTITION BY date ORDER BY volume DESC, sym
   {r("rank() OVER (PARTITION BY date ORDER BY volume) + (count(*) OVER (PARTITION BY date, volume) - 1) / 2.0::DOUBLE")} AS avg_rank
 FROM bars_w""")
 def w21(t):
-    b = ordinal(bars(t, "volume"), ["date"], [-F.col("volume"), F.col("sym")], "rank", t.n_symbols)
-    return tied_rank(b, ["date"], "volume", "avg_rank", "average", t.n_symbols).select("date", "sym", "rank", "avg_rank")
+    b = ordinal(bars(t, "volume"), ["date"], [-F.col("volume"), F.col("sym")], "rank")
+    return tied_rank(b, ["date"], "volume", "avg_rank", "average").select("date", "sym", "rank", "avg_rank")
 
 
 @query("w21_rank_without_bound", f"""
@@ -256,7 +256,7 @@ def w21_hot(t):
 
 @query("w22_bins", "SELECT date, sym, ntile(8) OVER (PARTITION BY date ORDER BY close, sym) AS bin FROM bars_w")
 def w22(t):
-    return tiles(bars(t, "close"), ["date"], [F.col("close"), F.col("sym")], 8, "bin", t.n_symbols).select("date", "sym", "bin")
+    return tiles(bars(t, "close"), ["date"], [F.col("close"), F.col("sym")], 8, "bin").select("date", "sym", "bin")
 
 
 @query("w23_river", f"""
@@ -280,7 +280,7 @@ u AS (UNPIVOT q ON gross_margin, net_margin, roe INTO NAME ratio VALUE v)
 SELECT sym, quarter, ratio, ntile(8) OVER (PARTITION BY quarter, ratio ORDER BY round(v, 9), sym) AS score FROM u""")
 def w24(t):
     f = fund.ratios(t.fundamentals())
-    return it.radar(f, ["gross_margin", "net_margin", "roe"], 8, t.n_symbols)
+    return it.radar(f, ["gross_margin", "net_margin", "roe"], 8)
 
 
 @query("w25_candle_overlay", f"""

@@ -18,9 +18,9 @@ def engine(t, n_splits=5):
     return M.MLEngine(features(t).na.drop(), NAMES, 104, 26, n_splits, 4)
 
 
-def _rank_score(p, width):
+def _rank_score(p):
     """Mean over deviation of the top-minus-bottom label of each date."""
-    q = tiles(p, ["setting", "date"], [F.col("prediction"), F.col("sym")], 5, "q", width)
+    q = tiles(p, ["setting", "date"], [F.col("prediction"), F.col("sym")], 5, "q")
     d = q.groupBy("setting", "date").agg(
         (F.avg(F.when(F.col("q") == 5, F.col("label"))) - F.avg(F.when(F.col("q") == 1, F.col("label")))).alias("ret"))
     return d.groupBy("setting").agg(F.count("*").alias("n"), F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("score"))
@@ -34,7 +34,7 @@ def e08(t):
 @query("e09_auto_search")
 def e09(t):
     grid = [{"model": "ridge", "reg": 0.1}, {"model": "random_forest", "n_estimators": 5, "max_depth": 3}, {"model": "xgboost", "n_estimators": 3}]
-    found = M.auto_search(engine(t), grid, lambda p: _rank_score(p, t.n_symbols), time_budget=3600)
+    found = M.auto_search(engine(t), grid, _rank_score, time_budget=3600)
     return found.select("setting", "n", rd("score").alias("score"), "tried")
 
 
@@ -99,7 +99,7 @@ def e17(t):
 @query("e18_forest_long_short")
 def e18(t):
     p = engine(t).train_predict("random_forest", n_estimators=10)
-    q = tiles(p, ["date"], [F.col("prediction"), F.col("sym")], 10, "q", t.n_symbols)
+    q = tiles(p, ["date"], [F.col("prediction"), F.col("sym")], 10, "q")
     w = q.where(F.col("q").isin(1, 10)).withColumn("side", F.when(F.col("q") == 10, 1.0).otherwise(-1.0))
     n = w.groupBy("date", "q").agg(F.count("*").alias("n"))
     return w.join(n, ["date", "q"]).select("date", "sym", rd(F.col("side") / F.col("n") / 2).alias("weight"), rd("label").alias("label"))

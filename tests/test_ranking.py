@@ -1,4 +1,4 @@
-"""The cut path of the ranks equals the plain one, with ties and nulls."""
+"""Ranks over ranges equal plain windows, with ties, nulls and a group that holds nine tenths of all rows."""
 
 import random
 
@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from loomline.operators import ranking as R
 
+GROUPS = (("hot", 1800), ("small", 7), (None, 190), ("one", 1))
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
     rnd = random.Random(3)
     data = [(g, i, None if rnd.random() < 0.05 else float(rnd.choice([1, 1, 1, 2, 3, rnd.random()])))
-            for g, n in (("hot", 900), ("small", 7), (None, 40)) for i in range(n)]
-    return spark.createDataFrame(data, "g string, sym bigint, v double").cache()
+            for g, n in GROUPS for i in range(n)]
+    return spark.createDataFrame(data, "g string, sym bigint, v double").repartition(4).cache()
 
 
 def same(a, b):
@@ -21,25 +23,45 @@ def same(a, b):
 
 
 def test_ordinal(rows):
-    order = [-F.col("v"), F.col("sym")]
-    cols = ["g", "sym", "rn"]
-    same(R.ordinal(rows, ["g"], order, width=10).select(*cols), R.ordinal(rows, ["g"], order).select(*cols))
+    got = R.ordinal(rows, ["g"], [-F.col("v"), F.col("sym")]).select("g", "sym", "rn")
+    same(got, rows.withColumn("rn", F.expr("cast(row_number() over (partition by g order by -v, sym) as bigint)")).select("g", "sym", "rn"))
 
 
 def test_tiles(rows):
-    order = [F.col("v"), F.col("sym")]
-    want = rows.withColumn("bin", F.expr("ntile(8) over (partition by g order by v, sym)").cast("bigint")).select("g", "sym", "bin")
-    for width in (10, None):
-        same(R.tiles(rows, ["g"], order, 8, width=width).select("g", "sym", "bin"), want)
+    got = R.tiles(rows, ["g"], [F.col("v"), F.col("sym")], 8).select("g", "sym", "bin")
+    same(got, rows.withColumn("bin", F.expr("cast(ntile(8) over (partition by g order by v, sym) as bigint)")).select("g", "sym", "bin"))
+
+
+SQL = {
+    "average": "(rank() over (partition by g, v is null order by v) + (count(*) over (partition by g, v) - 1) / 2d)",
+    "min": "cast(rank() over (partition by g, v is null order by v) as double)",
+    "percent": "percent_rank() over (partition by g, v is null order by v)",
+}
 
 
-@pytest.mark.parametrize("method", ["average", "min", "percent"])
+@pytest.mark.parametrize("method", sorted(SQL))
 def test_tied_rank(rows, method):
-    cols = ["g", "sym", "rank"]
-    same(R.tied_rank(rows, ["g"], "v", "rank", method, 10).select(*cols), R.tied_rank(rows, ["g"], "v", "rank", method).select(*cols))
+    got = R.tied_rank(rows, ["g"], "v", "rank", method).select("g", "sym", "rank")
+    same(got, rows.withColumn("rank", F.expr(f"if(v is null, null, {SQL[method]})")).select("g", "sym", "rank"))
+
+
+def test_equal_values_only_and_nothing(spark):
+    d = spark.range(500).select(F.lit("a").alias("g"), F.col("id").alias("sym"), F.lit(2.0).alias("v"))
+    assert {r["rank"] for r in R.tied_rank(d, ["g"], "v").collect()} == {250.5}
+    assert R.tied_rank(d.limit(0), ["g"], "v").count() == 0 and R.tiles(d.limit(0), ["g"], [F.col("v")], 3).count() == 0
 
 
-def test_percent_rank_is_sql(rows):
-    d = rows.where(F.col("v").isNotNull() & F.col("g").isNotNull())
-    want = d.withColumn("rank", F.expr("percent_rank() over (partition by g order by v)")).select("g", "sym", "rank")
-    same(R.tied_rank(d, ["g"], "v", "rank", "percent").select("g", "sym", "rank"), want)
+def test_a_hot_group_spreads_over_ranges(rows, spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        placed = R.tied_rank(rows, ["g"], "v")
+        sizes = [len(p) for p in placed.select("g").rdd.glom().collect()]
+        written = R._placed(rows, ["g"], [F.col("v").isNotNull(), F.col("v"), F.col("sym")])
+        parts = written.inputFiles()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == sum(n for _, n in GROUPS) and len(parts) == 8

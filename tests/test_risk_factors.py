@@ -72,9 +72,8 @@ def test_labels_do_not_change_with_the_future(spark):
 def test_ic_perfect_and_ties(spark):
     rows = [(friday(0), s, "f", float(s), float(s * 2)) for s in range(6)] + [(friday(1), s, "f", 1.0, float(s)) for s in range(3)]
     d = spark.createDataFrame(rows, "date date, sym bigint, factor string, value double, label double")
-    for width in (10, None):
-        ic = {x["date"]: x["ic"] for x in E.ic_by_date(d, width).collect()}
-        assert ic[friday(0)] == pytest.approx(1.0) and ic[friday(1)] is None
+    ic = {x["date"]: x["ic"] for x in E.ic_by_date(d).collect()}
+    assert ic[friday(0)] == pytest.approx(1.0) and ic[friday(1)] is None
 
 
 def test_shapley_adds_up(spark):
