@@ -62,17 +62,49 @@ def o03(t):
     return R.inverse_volatility(returns(t), 20).select("date", "sym", rd("weight", 8).alias("weight"))
 
 
-@query("o03_equal_risk_contribution")
+_RIDGE = 1e-4
+# Correlations as the solvers see them: a date that a symbol lacks counts as its mean. Rows are numbered from 1.
+_CORR = f"""{RET}, tn AS (SELECT count(DISTINCT date) - 1.0::DOUBLE AS t FROM ret),
+mu AS (SELECT sym, avg(ret) AS m, sqrt(sum((ret - (SELECT avg(b.ret) FROM ret b WHERE b.sym = a.sym)) ** 2) / (SELECT t FROM tn)) AS sd FROM ret a GROUP BY sym),
+cx AS (SELECT date, dense_rank() OVER (ORDER BY sym) AS i, (ret - m) / sd AS x FROM ret JOIN mu USING (sym) WHERE sd > 1e-12),
+nm AS (SELECT sym, sd, row_number() OVER (ORDER BY sym) AS i FROM mu WHERE sd > 1e-12),
+rr AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT t FROM tn) + CASE WHEN a.i = b.i THEN {_RIDGE} ELSE 0 END AS v FROM cx a JOIN cx b ON a.date = b.date GROUP BY 1, 2),
+rf AS (SELECT a.i, list(coalesce(rr.v, 0.0) ORDER BY b.i) AS v FROM nm a CROSS JOIN nm b LEFT JOIN rr ON rr.i = a.i AND rr.j = b.i GROUP BY 1)"""
+
+
+def _linear_sql(right: str) -> str:
+    """Elimination, one column a step."""
+    return f"""
+WITH RECURSIVE {_CORR}, e AS (
+  SELECT CAST(0 AS BIGINT) AS k, i, list_append(rf.v, {right}) AS v FROM rf JOIN nm USING (i)
+  UNION ALL
+  SELECT a.k + 1, a.i, CASE WHEN a.i = p.i THEN list_transform(a.v, lambda x: x / a.v[p.i])
+    ELSE list_transform(list_zip(a.v, p.v), lambda y: y[1] - y[2] * (a.v[p.i] / p.v[p.i])) END
+  FROM e a JOIN e p ON p.i = a.k + 1 AND p.k = a.k
+), w AS (SELECT sym, v[-1] / sd AS w FROM e JOIN nm USING (i) WHERE k = (SELECT max(i) FROM nm))
+SELECT sym, {r('w / sum(w) OVER ()')} AS weight FROM w"""
+
+
+# One symbol a step: its z solves its own condition with all others held; forty sweeps.
+@query("o03_equal_risk_contribution", f"""
+WITH RECURSIVE {_CORR}, c AS (SELECT list(v ORDER BY i) AS m, count(*) AS n FROM rf), s AS (
+  SELECT CAST(0 AS BIGINT) AS k, list_transform(range(n), lambda x: 1.0::DOUBLE / sqrt(n)) AS z FROM c
+  UNION ALL
+  SELECT k + 1, z[:i - 1] || [(sqrt(a * a + 4 * d / n) - a) / (2 * d)] || z[i + 1:] FROM (
+    SELECT k, z, n, k % n + 1 AS i, m[k % n + 1][k % n + 1] AS d, list_dot_product(m[k % n + 1], z) - m[k % n + 1][k % n + 1] * z[k % n + 1] AS a
+    FROM s, c WHERE k < 40 * n)
+), w AS (SELECT sym, z[i] / sd AS w FROM nm, (SELECT z FROM s ORDER BY k DESC LIMIT 1))
+SELECT sym, {r('w / sum(w) OVER ()')} AS weight FROM w""")
 def o03b(t):
     return R.equal_risk_contribution(returns(t)).withColumn("weight", rd("weight"))
 
 
-@query("o04_max_diversification")
+@query("o04_max_diversification", _linear_sql("1.0::DOUBLE"))
 def o04(t):
     return R.max_diversification(returns(t)).withColumn("weight", rd("weight"))
 
 
-@query("o05_min_variance")
+@query("o05_min_variance", _linear_sql("1 / sd"))
 def o05(t):
     return R.min_variance(returns(t)).withColumn("weight", rd("weight"))
 

@@ -116,22 +116,33 @@ def test_limit_measures_keep_strategies_apart(spark):
     }
 
 
-def test_solved_weights_meet_their_conditions(spark):
-    """On a full panel: C w constant, C w proportional to sigma, equal contributions."""
+@pytest.mark.parametrize("dates, symbols, ridge", [(60, 12, 1e-4), (60, 12, 1e-6), (20, 90, 1e-4)])
+def test_solved_weights_meet_their_conditions(spark, dates, symbols, ridge):
+    """On a full panel: C w constant, C w proportional to sigma, equal contributions; also with more symbols than dates."""
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 12)) * rng.uniform(0.5, 3, 12) + rng.normal(size=(60, 1))
-    rows = [(friday(i), f"s{j}", float(x[i, j])) for i in range(60) for j in range(12)] + [(friday(i), "flat", 0.5) for i in range(60)]
+    x = rng.normal(size=(dates, symbols)) * rng.uniform(0.5, 3, symbols) + rng.normal(size=(dates, 1))
+    rows = [(friday(i), f"s{j:03}", float(x[i, j])) for i in range(dates) for j in range(symbols)] + [(friday(i), "flat", 0.5) for i in range(dates)]
     d = spark.createDataFrame(rows, "date date, sym string, ret double")
     c = np.cov(x.T)
+    c = c + ridge * np.diag(np.diag(c))
 
     def of(f):
-        w = {r["sym"]: r["weight"] for r in f(d).collect()}
+        w = {r["sym"]: r["weight"] for r in f(d, ridge).collect()}
         assert "flat" not in w and sum(w.values()) == pytest.approx(1)
-        return np.array([w[f"s{j}"] for j in range(12)])
+        return np.array([w[f"s{j:03}"] for j in range(symbols)])
 
     v = c @ of(R.min_variance)
-    assert v == pytest.approx(np.full(12, v.mean()), rel=1e-5)
+    assert v == pytest.approx(np.full(symbols, v.mean()), rel=1e-5)
     v = c @ of(R.max_diversification) / np.sqrt(np.diag(c))
-    assert v == pytest.approx(np.full(12, v.mean()), rel=1e-5)
+    assert v == pytest.approx(np.full(symbols, v.mean()), rel=1e-5)
     w = of(R.equal_risk_contribution)
-    assert w * (c @ w) == pytest.approx(np.full(12, (w @ c @ w) / 12), rel=1e-5)
+    assert (w > 0).all()
+    assert w * (c @ w) == pytest.approx(np.full(symbols, (w @ c @ w) / symbols), rel=1e-5)
+
+
+def test_unsolved_weights_are_an_error(spark):
+    rows = [(friday(i), f"s{j}", float((i * 7 + j * 3) % 5 - 2)) for i in range(12) for j in range(4)]
+    d = spark.createDataFrame(rows, "date date, sym string, ret double")
+    with pytest.raises(RuntimeError):
+        R.equal_risk_contribution(d, rounds=1)
+    assert R.equal_risk_contribution(d.limit(0)).count() == 0 and R.min_variance(d.limit(0)).count() == 0
