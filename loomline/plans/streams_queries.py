@@ -23,7 +23,7 @@ def naive(c):
 WITH g AS (SELECT sym, date_trunc('minute', ts) AS minute, sum(price) AS exposure, count(*) AS n FROM feed GROUP BY 1, 2)
 SELECT sym, minute, {r('exposure')} AS exposure, n FROM g WHERE exposure > 50""")
 def x10(t):
-    d = S.drain_closed(lambda d: S.limit_monitor(d, 50.0), t.spark, t.root, "monitor")
+    d = S.drain_closed(lambda d: S.limit_monitor(d, 50.0), t.spark, t.root, "monitor").where("over")
     return d.select("sym", naive("minute"), rd("exposure").alias("exposure"), "n")
 
 
@@ -31,17 +31,49 @@ def x10(t):
 WITH {_MIN}, o AS (SELECT *, first_value(open) OVER w AS day_open FROM mi WINDOW w AS (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute)),
 b AS (SELECT *, close / day_open - 1 AS change FROM o)
 SELECT sym, minute, close AS price, {r('change')} AS change,
-  bool_or(change <= -0.02) OVER (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute ROWS UNBOUNDED PRECEDING) AS stopped, false AS late FROM b""")
+  bool_or(change <= -0.02) OVER (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute ROWS UNBOUNDED PRECEDING) AS stopped FROM b""")
 def x11(t):
-    d = S.drain_closed(lambda d: S.daily_loss_stop(S.minutes(d), 0.02), t.spark, t.root, "loss-stop")
-    return d.select("sym", naive("minute"), "price", rd("change").alias("change"), "stopped", "late")
+    d = S.drain_closed(lambda d: S.daily_loss_stop(d, 0.02), t.spark, t.root, "loss-stop")
+    return d.select("sym", naive("minute"), "price", rd("change").alias("change"), "stopped")
+
+
+_LATE = """
+la AS (SELECT event_id, sym, price, event_id >= (SELECT max(event_id) // 2 FROM feed) AS second,
+  CASE WHEN event_id % 50 = 0 THEN ts - INTERVAL 3 HOUR ELSE ts END AS ts FROM feed),
+lw AS (SELECT *, date_trunc('minute', ts) AS minute, second AND epoch_ms(CAST(date_trunc('minute', ts) + INTERVAL 1 MINUTE AS TIMESTAMP))
+  <= (SELECT epoch_ms(max(ts)) FROM la WHERE NOT second) - 3600000 AS late FROM la)"""
+
+
+@query("x11_late_rows_of_a_stop", f"""
+WITH {_LATE}, mi AS (SELECT sym, minute, first(price ORDER BY ts, event_id) AS open, last(price ORDER BY ts, event_id) AS close FROM lw WHERE NOT late GROUP BY 1, 2),
+o AS (SELECT *, first_value(open) OVER (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute) AS day_open FROM mi), b AS (SELECT *, close / day_open - 1 AS change FROM o)
+SELECT sym, minute, close AS price, {r('change')} AS change,
+  bool_or(change <= -0.02) OVER (PARTITION BY sym, CAST(minute AS DATE) ORDER BY minute ROWS UNBOUNDED PRECEDING) AS stopped, false AS late FROM b
+UNION ALL SELECT sym, minute, price, NULL, false, true FROM lw WHERE late""")
+def x11_late(t):
+    """Two arrivals of the feed; every 50th event is three hours behind. Late ones reach the side table, stops are those of the others."""
+    path = new_path(t.spark, "late-stop")
+    e = t.raw("events").withColumn("ts", F.when(F.col("event_id") % 50 == 0, F.col("ts") - F.expr("INTERVAL 3 HOURS")).otherwise(F.col("ts")))
+    half = F.col("event_id") < F.floor(e.agg(F.max("event_id")).scalar() / 2)
+    e.limit(0).write.parquet(f"{path}/in")
+    feed = t.spark.readStream.schema(S.EVENT_SCHEMA).parquet(f"{path}/in")
+    rows = S.daily_loss_stop(S.feed_columns(feed), 0.02)
+    for part in (e.where(half), e.where(~half)):
+        part.write.mode("append").parquet(f"{path}/in")
+        S.start(rows, path, each=S.two_tables(path)).awaitTermination()
+    S.closing_rows(t.spark, t.root, f"{path}/end")
+    t.spark.read.schema(S.EVENT_SCHEMA).parquet(f"{path}/end").write.mode("append").parquet(f"{path}/in")
+    S.start(rows, path, each=S.two_tables(path)).awaitTermination()
+    both = t.spark.read.schema(rows.schema).parquet(f"{path}/rows").unionByName(t.spark.read.schema(rows.schema).parquet(f"{path}/late"))
+    change = F.when(~F.col("late"), rd("change"))
+    return both.where("sym IS NOT NULL").select("sym", naive("minute"), "price", change.alias("change"), "stopped", "late")
 
 
 @query("x12_drawdown_monitor", f"""
 WITH {_MIN}, p AS (SELECT *, max(high) OVER (PARTITION BY sym ORDER BY minute ROWS UNBOUNDED PRECEDING) AS peak FROM mi)
 SELECT sym, minute, peak, {r('close / peak - 1')} AS drawdown, close / peak - 1 <= -0.15 AS breach FROM p""")
 def x12(t):
-    d = S.drain_closed(lambda d: S.drawdown_monitor(S.minutes(d), 0.15), t.spark, t.root, "drawdown")
+    d = S.drain_closed(lambda d: S.drawdown_monitor(d, 0.15), t.spark, t.root, "drawdown")
     return d.select("sym", naive("minute"), "peak", rd("drawdown").alias("drawdown"), "breach")
 
 

@@ -1,8 +1,7 @@
 """Live monitors on Structured Streaming.
 
-Ticks are reduced to one row per symbol and minute before any stateful
-Python, so the state function of a very busy symbol sees minutes, not ticks.
-Results go to parquet under the shared folder; every sink can repeat a batch
+Monitors fold chunks of ticks into minutes and judge a minute once its timer
+has fired; ticks that come later are given out as such. Results go to parquet under the shared folder; every sink can repeat a batch
 without changing its result.
 """
 
@@ -93,22 +92,39 @@ def drain(df: DataFrame, label: str, mode: str = "append", path: str | None = No
     return df.sparkSession.read.schema(_with_batch(df, mode)).parquet(f"{path}/rows")
 
 
-def drain_closed(build: Callable[[DataFrame], DataFrame], spark: SparkSession, root: str, label: str) -> DataFrame:
-    """``drain`` for windowed results of a feed that has ended: a second run on
-    the same checkpoint reads one closing row, later than all others by more
-    than the lateness, so that the last windows are emitted too."""
-    path = new_path(spark, label)
-    end, last = f"{path}/_end", f"{path}/_last"
+def closing_rows(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """A stream with one row, later than all events by more than the lateness: once the watermark has passed it, timers of
+    the last minutes fire in the same run."""
     none = spark.createDataFrame([], EVENT_SCHEMA)
-    none.write.parquet(end)
-    closing = spark.readStream.schema(EVENT_SCHEMA).parquet(end)
-    rows = build(feed_columns(raw_feed(spark, root).unionByName(closing)))
-    start(rows, path).awaitTermination()
     final = spark.read.parquet(f"{root.rstrip('/')}/events.parquet").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
     blank = {c: F.lit(None).cast(t).alias(c) for c, t in none.dtypes if c != "ts"}
-    final.where("ts IS NOT NULL").select(*(blank.get(c, F.col("ts")) for c in none.columns)).write.mode("append").parquet(end)
-    start(rows, path).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    final.where("ts IS NOT NULL").select(*(blank.get(c, F.col("ts")) for c in none.columns)).write.parquet(path)
+    return spark.readStream.schema(EVENT_SCHEMA).parquet(path)
+
+
+def drain_closed(build: Callable[[DataFrame], DataFrame], spark: SparkSession, root: str, label: str) -> DataFrame:
+    """``drain`` for a feed that has ended and is read in one batch: a closing row is read with it, so the last minutes
+    are emitted too. Late rows, if ``build`` gives any, go to a side table and are not returned."""
+    path = new_path(spark, label)
+    rows = build(feed_columns(raw_feed(spark, root).unionByName(closing_rows(spark, root, f"{path}/_end"))))
+    start(rows, path, each=two_tables(path)).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/rows").drop("late")
+
+
+def two_tables(path: str) -> Callable[[DataFrame, int], None]:
+    """Per micro-batch: results to ``rows``, late rows to ``late``, each in a folder of the batch id, so that a repeated
+    batch replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if "late" not in batch.columns:
+            batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+            return
+        batch.persist()
+        batch.where("NOT late").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        batch.where("late").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        batch.unpersist()
+
+    return write
 
 
 def split_late(ticks: DataFrame, lateness: str = LATENESS, arrival: str = "arrival") -> tuple[DataFrame, DataFrame]:
@@ -123,22 +139,6 @@ def split_late(ticks: DataFrame, lateness: str = LATENESS, arrival: str = "arriv
     return d.where(~late).drop("_seen"), d.where(late).drop("_seen")
 
 
-def side_writer(path: str, lateness: str = LATENESS) -> Callable[[DataFrame, int], None]:
-    """Per micro-batch: rows in time to ``rows``, late ones to ``late``. The
-    newest time of each batch is kept beside them, so a repeated batch decides
-    the same way."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.agg(F.max("ts").alias("newest")).withColumn("id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/newest/batch={batch_id}")
-        seen = spark.read.schema("newest timestamp, id int").parquet(f"{path}/newest").where(F.col("id") < batch_id).agg(F.max("newest")).scalar()
-        late = F.coalesce(F.col("ts") < seen - F.expr(f"INTERVAL {lateness}"), F.lit(False))
-        batch.where(~late).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
-
-    return write
-
-
 def _with_batch(df: DataFrame, mode: str) -> str:
     cols = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
     return cols if mode == "append" else cols + ", batch bigint"
@@ -164,13 +164,6 @@ def minutes(ticks: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return g.select("sym", F.col("w.start").alias("minute"), "w", "open", "high", "low", "close", "n")
 
 
-def limit_monitor(ticks: DataFrame, limit: float, lateness: str = LATENESS) -> DataFrame:
-    """Minutes in which a symbol's total exceeds the limit."""
-    d = ticks.withWatermark("ts", lateness) if ticks.isStreaming else ticks
-    g = d.groupBy("sym", F.window("ts", "1 minute").alias("w")).agg(F.sum("price").alias("exposure"), F.count("*").alias("n"))
-    return g.where(F.col("exposure") > limit).select("sym", F.col("w.start").alias("minute"), "exposure", "n")
-
-
 def alerts(ticks: DataFrame, limit: float, lateness: str = LATENESS) -> DataFrame:
     """One alert per symbol and hour."""
     b = ticks.where(F.col("price") > limit).withWatermark("ts", lateness)
@@ -190,70 +183,171 @@ def order_status(updates: DataFrame) -> DataFrame:
         F.max_by("status", "seq").alias("status"), F.sum("filled").alias("filled_quantity"), F.count("*").alias("n_updates"))
 
 
-# ---- latched limits ------------------------------------------------------------
+# ---- minute monitors with late rows ------------------------------------------------
 
+_MINUTE = "minute bigint, first_us bigint, first_id bigint, open double, last_us bigint, last_id bigint, close double, high double, total double, n bigint"
+_PER_MINUTE = 60_000_000
 
-class DailyLossStop(StatefulProcessor):
-    """Loss from the day's open of at least ``limit`` stops the symbol until
-    the next day. A row of a closed day is marked late and changes nothing."""
 
-    def __init__(self, limit: float = 0.02):
-        self.limit = limit
+class MinuteMonitor(StatefulProcessor):
+    """Ticks of a symbol become minutes, and a minute is judged once.
+
+    Minutes that the watermark has not passed wait as one row each; chunks of
+    ticks are folded into them as they come. A timer at the end of the earliest
+    one fires when the watermark passes it; then all that have ended are judged
+    in their order. A tick of an ended minute is late: it is emitted as it is,
+    marked, and changes nothing.
+    """
+
+    OUT = ""  # columns of a judged minute, beside sym and minute
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("day", "day int, open double, latched boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _MINUTE)
+        self.kept = handle.getValueState("kept", self.KEPT) if self.KEPT else None
+
+    KEPT: str | None = None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = self.state.get() if self.state.exists() else None
-        day, open_, latched = (int(s[0]), float(s[1]), bool(s[2])) if s is not None else (-1, 0.0, False)
-        g = pd.concat(list(rows)).sort_values("minute")
-        days = (g["minute"] - pd.Timestamp("1970-01-01", tz=g["minute"].dt.tz)).dt.days
-        late = days < day
-        base = g["open"].groupby(days).transform("first").where(days != day, open_)
-        change = (g["close"] / base - 1).where(~late & (base > 0))
-        hit = (change <= -self.limit).astype(int).groupby(days).cummax().astype(bool) | (latched & (days == day))
-        last = int(days.iloc[-1])
-        if last >= day:
-            self.state.update((last, float(base.iloc[-1]), bool(hit.iloc[-1])))
-        yield pd.DataFrame({"sym": key[0], "minute": g["minute"], "price": g["close"], "change": change, "stopped": hit & ~late, "late": late})
+        ended = timerValues.getCurrentWatermarkInMs() * 1000
+        minutes = {int(m[0]): list(m) for m in self.waiting.get()} if self.waiting.exists() else {}
+        earliest = min(minutes, default=None)
+        for g in rows:
+            g = g[g["price"].notna()]
+            g = g.assign(event_id=g["event_id"].fillna(-1).astype("int64"), us=g["us"].astype("int64"))
+            m = g["us"] // _PER_MINUTE
+            late = (m + 1) * _PER_MINUTE <= ended
+            if late.any():
+                x = g[late]
+                yield self._frame(key, m[late], {**self.late_values(x), "late": True})
+            g = g[~late].assign(m=m[~late]).sort_values(["us", "event_id"])
+            by = g.groupby("m")
+            folded = pd.concat([by[["us", "event_id", "price"]].first(), by[["us", "event_id", "price"]].last(), by["price"].agg(["max", "sum", "size"])], axis=1)
+            for x in folded.itertuples(index=True, name=None):
+                old = minutes.get(x[0])
+                minutes[x[0]] = list(x) if old is None else self._merged(old, x)
+        if minutes:
+            self.waiting.put([self._plain(minutes[k]) for k in sorted(minutes)])
+            if earliest is None or min(minutes) < earliest:
+                self._wake(min(minutes))
+
+    @staticmethod
+    def _merged(a: list, b: tuple) -> list:
+        out = [a[0], *min(a[1:4], list(b[1:4])), *max(a[4:7], list(b[4:7]))]
+        return [*out, max(a[7], b[7]), a[8] + b[8], a[9] + b[9]]
+
+    @staticmethod
+    def _plain(x) -> tuple:
+        return (int(x[0]), int(x[1]), int(x[2]), float(x[3]), int(x[4]), int(x[5]), float(x[6]), float(x[7]), float(x[8]), int(x[9]))
+
+    def _wake(self, minute: int) -> None:
+        self.handle.registerTimer((minute + 1) * 60_000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ended = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [self._plain(m) for m in self.waiting.get()] if self.waiting.exists() else []
+        done = [x for x in rows if (x[0] + 1) * _PER_MINUTE <= ended]
+        rest = rows[len(done):]
+        if not done:
+            return
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        g = pd.DataFrame(done, columns=[c.split()[0] for c in _MINUTE.split(", ")])
+        yield self._frame(key, g["minute"], {**self.judge(g), "late": False})
+
+    def _frame(self, key, minute, values: dict) -> pd.DataFrame:
+        return pd.DataFrame({"sym": key[0], "minute": pd.to_datetime(minute.to_numpy() * 60, unit="s", utc=True), **{
+            k: v.to_numpy() if isinstance(v, pd.Series) else v for k, v in values.items()}})
+
+    def judge(self, g: pd.DataFrame) -> dict:
+        """The columns of OUT for minutes that follow one another."""
+        raise NotImplementedError
+
+    def late_values(self, x: pd.DataFrame) -> dict:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-class DrawdownMonitor(StatefulProcessor):
+class DailyLossStop(MinuteMonitor):
+    """Loss from the day's open of at least ``limit`` stops the symbol until the next day."""
+
+    OUT, KEPT = "price double, change double, stopped boolean", "day int, open double, latched boolean"
+
+    def __init__(self, limit: float = 0.02):
+        self.limit = limit
+
+    def judge(self, g: pd.DataFrame) -> dict:
+        day, open_, latched = self.kept.get() if self.kept.exists() else (-1, 0.0, False)
+        days = g["minute"] // 1440
+        base = g["open"].groupby(days).transform("first").where(days != day, open_)
+        change = (g["close"] / base - 1).where(base > 0)
+        hit = (change <= -self.limit).astype(int).groupby(days).cummax().astype(bool) | (bool(latched) & (days == day))
+        self.kept.update((int(days.iloc[-1]), float(base.iloc[-1]), bool(hit.iloc[-1])))
+        return {"price": g["close"], "change": change, "stopped": hit}
+
+    def late_values(self, x: pd.DataFrame) -> dict:
+        return {"price": x["price"], "change": float("nan"), "stopped": False}
+
+
+class DrawdownMonitor(MinuteMonitor):
     """Fall from the running peak; minutes at or beyond the limit are breaches."""
 
+    OUT, KEPT = "peak double, drawdown double, breach boolean", "peak double"
+
     def __init__(self, limit: float = 0.15):
         self.limit = limit
 
-    def init(self, handle) -> None:
-        self.peak = handle.getValueState("peak", "peak double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        peak = float(self.peak.get()[0]) if self.peak.exists() else float("-inf")
-        g = pd.concat(list(rows)).sort_values("minute", ignore_index=True)
-        run = g["high"].cummax().clip(lower=peak)
-        self.peak.update((float(run.iloc[-1]),))
+    def judge(self, g: pd.DataFrame) -> dict:
+        run = g["high"].cummax().clip(lower=float(self.kept.get()[0]) if self.kept.exists() else float("-inf"))
+        self.kept.update((float(run.iloc[-1]),))
         dd = g["close"] / run - 1
-        yield pd.DataFrame({"sym": key[0], "minute": g["minute"], "peak": run, "drawdown": dd, "breach": dd <= -self.limit})
+        return {"peak": run, "drawdown": dd, "breach": dd <= -self.limit}
+
+    def late_values(self, x: pd.DataFrame) -> dict:
+        return {"peak": x["price"], "drawdown": float("nan"), "breach": False}
 
-    def close(self) -> None:
-        pass
 
+class ExposureLimit(MinuteMonitor):
+    """A minute's total and number of ticks, and whether the total is over the limit."""
+
+    OUT = "exposure double, n bigint, over boolean"
+
+    def __init__(self, limit: float):
+        self.limit = limit
 
-def _stateful(minute_rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return minute_rows.select("sym", "minute", "open", "high", "close").groupBy("sym").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    def judge(self, g: pd.DataFrame) -> dict:
+        return {"exposure": g["total"], "n": g["n"], "over": g["total"] > self.limit}
 
+    def late_values(self, x: pd.DataFrame) -> dict:
+        return {"exposure": x["price"], "n": 1, "over": False}
 
-def daily_loss_stop(minute_rows: DataFrame, limit: float = 0.02) -> DataFrame:
-    return _stateful(minute_rows, DailyLossStop(limit),
-                     "sym bigint, minute timestamp, price double, change double, stopped boolean, late boolean")
 
+def monitored(ticks: DataFrame, monitor: MinuteMonitor, lateness: str = LATENESS) -> DataFrame:
+    """``(sym, minute, ..., late)`` of a stream of ticks. Rows without a symbol or a price are no ticks."""
+    # The processor itself sees late rows: the column it reads is not the one that carries the watermark, by which Spark drops them.
+    # Rows without a symbol get a key, as the grouping mixes keys with null ones, but no price.
+    known = F.col("sym").isNotNull()
+    d = ticks.withWatermark("ts", lateness).select(
+        F.coalesce("sym", F.lit(-1)).alias("sym"), F.unix_micros("ts").alias("us"), "event_id", F.when(known, F.col("price")).alias("price"))
+    return d.groupBy("sym").transformWithStateInPandas(
+        statefulProcessor=monitor, outputStructType=f"sym bigint, minute timestamp, {monitor.OUT}, late boolean", outputMode="Append", timeMode="EventTime")
 
-def drawdown_monitor(minute_rows: DataFrame, limit: float = 0.15) -> DataFrame:
-    return _stateful(minute_rows, DrawdownMonitor(limit), "sym bigint, minute timestamp, peak double, drawdown double, breach boolean")
+
+def daily_loss_stop(ticks: DataFrame, limit: float = 0.02, lateness: str = LATENESS) -> DataFrame:
+    return monitored(ticks, DailyLossStop(limit), lateness)
+
+
+def drawdown_monitor(ticks: DataFrame, limit: float = 0.15, lateness: str = LATENESS) -> DataFrame:
+    return monitored(ticks, DrawdownMonitor(limit), lateness)
+
+
+def limit_monitor(ticks: DataFrame, limit: float, lateness: str = LATENESS) -> DataFrame:
+    return monitored(ticks, ExposureLimit(limit), lateness)
 
 
 def emit_orders(path: str, make_orders: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 
 import pytest
 from conftest import SF
@@ -30,8 +31,8 @@ def split_events(spark):
 
 
 def test_loss_stop_over_batches(spark, split_events):
-    one = S.drain(S.daily_loss_stop(S.minutes(S.feed(spark, SF))), "a").toPandas()
-    many = S.drain(S.daily_loss_stop(S.minutes(S.feed(spark, split_events, 1))), "b").toPandas()
+    one = S.drain(S.daily_loss_stop(S.feed(spark, SF)), "a").toPandas()
+    many = S.drain(S.daily_loss_stop(S.feed(spark, split_events, 1)), "b").toPandas()
     assert len(one) > 100
     assert_equal(many, one)
 
@@ -53,7 +54,7 @@ def test_latch_resets_next_day(spark):
     root = new_path(spark, "latch")
     spark.createDataFrame(rows, S.EVENT_SCHEMA).coalesce(1).write.parquet(root)
     feed = S.feed_columns(spark.readStream.schema(S.EVENT_SCHEMA).parquet(root))
-    d = S.drain(S.daily_loss_stop(S.minutes(feed)), "latch").where(F.col("sym") == 1).orderBy("minute").collect()
+    d = S.drain(S.daily_loss_stop(feed), "latch").where(F.col("sym") == 1).orderBy("minute").collect()
     assert [x["stopped"] for x in d] == [False, True, True, False]
 
 
@@ -134,51 +135,95 @@ def test_panel_algebra(tables):
     assert held.sum(axis=1).agg(F.max("value")).first()[0] <= 2
 
 
-def test_side_table_of_late_rows(spark, tmp_path):
-    import datetime as dt
+_ID = itertools.count()
 
-    from pyspark.sql import functions as F
 
-    from loomline.streaming.monitor import side_writer
+class _Value:
+    v = None
 
-    at = lambda h: dt.datetime(2024, 1, 2, h)
-    write = side_writer(str(tmp_path / "out"))
-    batches = [[(1, at(5)), (2, at(1))], [(3, at(4)), (4, at(3)), (5, at(9))], [(6, at(7))], [(6, at(7))]]
-    for i, rows in zip((0, 1, 2, 2), batches, strict=True):  # the last batch is repeated
-        write(spark.createDataFrame(rows, "id int, ts timestamp"), i)
-    ids = lambda part: sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out" / part)).collect())
-    assert ids("rows") == [1, 2, 3, 5] and ids("late") == [4, 6]
-    assert spark.read.parquet(str(tmp_path / "out" / "newest")).agg(F.count("*")).first()[0] == 3
+    def exists(self):
+        return self.v is not None
 
+    def get(self):
+        return self.v
 
-def test_daily_loss_latches_until_the_next_day():
+    def update(self, v):
+        self.v = v
+
+    put = update
+
+    def clear(self):
+        self.v = None
+
+
+class _Handle:
+    """State and timers of one key, in memory."""
+
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema):
+        return _Value()
+
+    getValueState = getListState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _ticks(rows):
     import pandas as pd
 
-    from loomline.streaming.monitor import DailyLossStop
+    return pd.DataFrame([(int(pd.Timestamp(2024, 1, d, h, m, tz="UTC").timestamp()) * 1_000_000 + next(_ID), next(_ID), p) for d, h, m, p in rows],
+                        columns=["us", "event_id", "price"])
 
-    class Value:
-        v = None
 
-        def exists(self):
-            return self.v is not None
+def _run(monitor, chunks, watermark):
+    import pandas as pd
 
-        def get(self):
-            return self.v
+    clock = _Clock(int(pd.Timestamp(2024, 1, *watermark, tz="UTC").timestamp() * 1000) if watermark else 0)
+    out = list(monitor.handleInputRows((1,), iter(chunks), clock))
+    while due := {t for t in monitor.handle.timers if t <= clock.ms}:
+        monitor.handle.timers -= due
+        out += list(monitor.handleExpiredTimer((1,), clock, None))
+    return pd.concat(out, ignore_index=True) if out else None
 
-        def update(self, v):
-            self.v = v
 
-    p = DailyLossStop(0.02)
-    p.state = Value()
-    m = lambda d, h: pd.Timestamp(2024, 1, d, h, tz="UTC")
-    frame = lambda rows: pd.DataFrame(rows, columns=["minute", "open", "high", "close"])
-    out = next(p.handleInputRows((1,), iter([frame([(m(2, 1), 100.0, 100.0, 99.0), (m(2, 2), 99.0, 99.0, 98.0), (m(2, 3), 98.0, 101.0, 101.0)])]), None))
-    assert out["stopped"].tolist() == [False, True, True]
-    out = next(p.handleInputRows((1,), iter([frame([(m(2, 4), 101.0, 101.0, 101.0), (m(1, 4), 50.0, 50.0, 1.0), (m(3, 1), 10.0, 10.0, 10.0)])]), None))
-    assert out.sort_values("minute")["late"].tolist() == [True, False, False]
-    assert out.sort_values("minute")["stopped"].tolist() == [False, True, False]
-    out = next(p.handleInputRows((1,), iter([frame([(m(3, 2), 10.0, 10.0, 9.7)])]), None))
+def test_daily_loss_latches_until_the_next_day():
+    p = S.DailyLossStop(0.02)
+    p.init(_Handle())
+    # Chunks of one minute are folded together, minutes may come in any order; nothing is judged before its time.
+    assert _run(p, [_ticks([(2, 2, 0, 98.0), (2, 1, 0, 100.0)]), _ticks([(2, 1, 0, 99.0), (2, 3, 0, 101.0)])], None) is None
+    out = _run(p, [_ticks([(2, 4, 0, 101.0)])], (2, 3, 1))
+    assert out["stopped"].tolist() == [False, True, True] and not out["late"].any()
+    out = _run(p, [_ticks([(2, 3, 0, 1.0), (3, 1, 0, 10.0)])], (2, 3, 1))
+    assert out["late"].tolist() == [True] and out["price"].tolist() == [1.0]
+    assert _run(p, [], (3, 1, 1))["stopped"].tolist() == [True, False]
+    assert _run(p, [_ticks([(3, 2, 0, 9.7)])], (3, 1, 1)) is None
+    out = _run(p, [], (3, 2, 1))
     assert out["stopped"].tolist() == [True] and out["change"].iloc[0] == pytest.approx(-0.03)
+    assert p.waiting.v is None
+
+
+def test_drawdown_and_exposure_of_folded_minutes():
+    d, e = S.DrawdownMonitor(0.15), S.ExposureLimit(30.0)
+    rows = [[_ticks([(1, 1, 0, 10.0), (1, 1, 0, 20.0)]), _ticks([(1, 1, 0, 5.0), (1, 2, 0, 18.0)])], [_ticks([(1, 1, 0, 99.0)])]]
+    d.init(_Handle())
+    e.init(_Handle())
+    assert _run(d, rows[0], None) is None
+    out, more = _run(d, [], (1, 3)), _run(d, rows[1], (1, 3))
+    assert out["peak"].tolist() == [20.0, 20.0] and out["breach"].tolist() == [True, False] and more["late"].tolist() == [True]
+    assert _run(e, rows[0], None) is None
+    out = _run(e, [], (1, 3))
+    assert out["exposure"].tolist() == [35.0, 18.0] and out["n"].tolist() == [3, 1] and out["over"].tolist() == [True, False]
 
 
 def test_universe_of_many_names(spark, tables):
