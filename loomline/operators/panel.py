@@ -34,13 +34,21 @@ def bars_from_ticks(ticks: DataFrame, freq: str = "D") -> DataFrame:
     """OHLCV per symbol and period of at most a month.
 
     One aggregation with map-side combine, so a symbol with a third of all
-    trades still sends one partial row per task and period. ``seq`` may be
-    anything that orders the rows of a day, a struct of columns too.
+    trades still sends one partial row per task and period. ``seq`` orders the
+    rows of a day: a number (a decimal of up to 36 digits) keeps the hash
+    aggregate, anything else, a struct of columns too, sorts the rows.
     """
     if freq not in ("D", "W", "W-FRI", "M", "ME"):
         raise ValueError("bars_from_ticks takes D, W or M; use rollup_bars beyond")
     end = period_key("date", freq)
-    order = F.col("seq") if freq == "D" else F.struct("date", "seq")
+    order = F.col("seq")
+    if freq != "D":
+        kind = dict(ticks.dtypes)["seq"]
+        if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+            days = F.datediff("date", F.date_sub(end, 31)).cast("decimal(2,0)")
+            order = days * F.lit(str(10**36)).cast("decimal(37,0)") + order.cast("decimal(36,0)")
+        else:
+            order = F.struct("date", "seq")
     t = ticks.select("sym", end.alias("_end"), "price", "qty", "amount", order.alias("_ord"))
     return (
         t.groupBy("sym", F.col("_end").alias("date"))

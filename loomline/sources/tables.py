@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.calendar import period_key, quarter_end, visible_from
@@ -19,6 +19,16 @@ from loomline.session import written
 BUY_FLAGS = ("N", "A")
 
 
+def trade_order(order: str, line: str, part: str) -> Column:
+    """Order, line and part in one decimal, in this order. A fixed-width key keeps bars in a hash aggregate, where a struct
+    would have every trade row sorted. Orders are any 64-bit and lines any 32-bit number; part numbers count up to ten
+    million, so that only rows of one order, line and larger part stay tied."""
+    of_order, of_line = (F.coalesce(F.col(c), F.lit(0)) for c in (order, line))
+    big = of_order.cast("decimal(19,0)") * F.lit(5 * 10**9).cast("decimal(10,0)") + of_line.cast("decimal(10,0)")
+    last = F.greatest(F.lit(0), F.least(F.coalesce(F.col(part), F.lit(0)), F.lit(10**7 - 1))).cast("decimal(7,0)")
+    return (big.cast("decimal(29,0)") * F.lit(10**7).cast("decimal(8,0)") + last).cast("decimal(36,0)")
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -31,8 +41,7 @@ class Tables:
     # ---- market panels -------------------------------------------------
 
     def ticks(self) -> DataFrame:
-        """Trade rows. ``seq`` orders the rows of one day by all their columns:
-        order, line, part, quantity, amount."""
+        """Trade rows. ``seq`` orders the rows of one day by order, line and part (see ``trade_order``)."""
         li = self.raw("lineitem")
         return li.select(
             F.col("l_suppkey").alias("sym"),
@@ -40,7 +49,7 @@ class Tables:
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
             F.col("l_extendedprice").alias("amount"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("seq"),
+            trade_order("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
         )
 
     def bars(self, freq: str = "W", start: str | None = None, end: str | None = None) -> DataFrame:

@@ -30,6 +30,25 @@ def test_bars_order_by_all_columns(spark):
     assert (m["open"], m["close"]) == (1.0, 3.0)
 
 
+def test_bars_of_trade_rows_are_hash_aggregates(spark, tables):
+    for freq in ("D", "W", "M"):
+        plan = tables.bars(freq)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2 and plan.count("Exchange") == 1
+
+
+def test_trade_order_is_that_of_its_columns(spark):
+    from loomline.sources.tables import trade_order
+
+    big, small = [-(2**63), -5, 0, 1, 7, 2**63 - 1], [-(2**31), -1, 0, 3, 2**31 - 1]
+    rows = [(o, line, p) for o in big for line in small for p in (0, 1, 10**7 - 2)]
+    keys = spark.createDataFrame(rows, "o bigint, l int, p bigint").select("o", "l", "p", trade_order("o", "l", "p").alias("k"))
+    got = sorted(keys.collect(), key=lambda r: r["k"])
+    assert [(r["o"], r["l"], r["p"]) for r in got] == sorted(rows) and len({r["k"] for r in got}) == len(rows)
+    t = keys.select(F.lit(1).alias("sym"), F.lit("2024-01-05").cast("date").alias("date"), F.col("p").cast("double").alias("price"), F.lit(1.0).alias("qty"), F.lit(1.0).alias("amount"), F.col("k").alias("seq"))
+    m = P.bars_from_ticks(t, "M").first()
+    assert (m["open"], m["close"]) == (0.0, float(10**7 - 2))
+
+
 def test_top_uses_group_limit_and_ties_by_sym(spark):
     b = panel(spark, {3: [1], 1: [1], 2: [1]})
     k = P.top(b, "close", 2)
