@@ -134,8 +134,8 @@ def mixed(docs: DataFrame, budget: float = 0.8, powers: dict[str, float] = POWER
     return out.select("row", *DIMS, "tokens", chance.alias("probability")).withColumn("keep", draw(f"row.`{key}`", f"row.`{text}`") < F.col("probability"))
 
 
-def mixed_sql(budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 6, rounds: int = 12) -> str:
-    """DuckDB form of the query below."""
+def mixed_sql(budget: float = 0.8, powers: dict[str, float] = POWERS, sweeps: int = 100, rounds: int = 12) -> str:
+    """DuckDB form of the query above; SQL cannot ask whether it has converged, so it does a fixed and ample number of sweeps."""
     white = r"[^\x20\x09-\x0D]+"
     parts = [
         f"""f AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
