@@ -29,7 +29,7 @@ from loomline.llm.common import LOWER, discard, n_blocks, pieces, row_key, text_
 START, END = 0xFF, 0xFE
 #: Symbols of the alphabet: all byte values but START.
 SYMBOLS = 255
-BLOCK_BYTES, PIECE_BYTES = 20 << 20, 2 << 20
+BLOCK_BYTES, PIECE_BYTES = 6 << 20, 1 << 20
 #: Texts taken from a block at once.
 SOME = 512
 
