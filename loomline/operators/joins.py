@@ -14,9 +14,11 @@ LEAST = 1000
 def hot_keys(rows: DataFrame, on: list[str], share: int = SHARE, least: int = LEAST) -> DataFrame | None:
     """The keys that hold more than one in ``share`` of all rows, fewer than ``share`` of them; None without any."""
     counts = rows.where(_present(on)).groupBy(*on).agg(F.count("*").alias("_n"))
-    many = max(least, rows.count() // share)
-    found = counts.where(F.col("_n") > many).drop("_n").toArrow()
-    return rows.sparkSession.createDataFrame(found) if found.num_rows else None
+    most = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("all")).first()
+    many = max(least, (most["all"] or 0) // share)
+    if (most["most"] or 0) <= many:
+        return None
+    return rows.sparkSession.createDataFrame(counts.where(F.col("_n") > many).drop("_n").toArrow())
 
 
 def _present(on: list[str]):

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomline.operators.joins import lookup_join
 from loomline.session import written
 
 
@@ -92,7 +93,8 @@ def open_dependencies(tasks: DataFrame) -> DataFrame:
     dependency blocks."""
     e = tasks.select("id", F.explode("depends_on").alias("dep_id"))
     s = tasks.select(F.col("id").alias("dep_id"), F.col("state").alias("dep_state"))
-    j = e.join(s, "dep_id", "left").where(F.coalesce(F.col("dep_state") != "closed", F.lit(True)))
+    # A dependency that very many tasks share is one key.
+    j = lookup_join(e, s, "dep_id").where(F.coalesce(F.col("dep_state") != "closed", F.lit(True)))
     return j.groupBy("id").agg(F.count("*").alias("n_blocking"))
 
 
@@ -119,28 +121,62 @@ def next_task(tasks: DataFrame, epics: DataFrame, n: int = 1) -> DataFrame:
 
 def levels(tasks: DataFrame) -> DataFrame:
     """(id, level): 0 without dependencies, else 1 + the highest level among
-    them. Each round drops the edges of the tasks placed last; edges to
-    unknown ids do not count. A cycle raises ValueError.
+    them. Edges to unknown ids do not count. A cycle raises ValueError.
 
-    Rounds are written to the shared folder, so lineage stays short and a lost
-    executor repeats one round at most.
+    A task with one dependency points at it; pointers are doubled, so a chain
+    takes as many rounds as its length has binary digits. What is left are
+    tasks with several dependencies, whose edges lead past the chains between
+    them: these are peeled, a round for each such task on a path. Rounds are
+    written, so lineage stays short and a lost executor repeats one at most.
     """
     ids = tasks.select("id")
-    edges = tasks.select("id", F.explode("depends_on").alias("dep_id")).join(
-        ids.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi")
-    edges = written(edges, "edges")
-    placed = [ids.join(edges.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0))]
-    front, n = placed[0].select("id"), 0
-    while not edges.isEmpty():
-        n += 1
-        rest = written(edges.join(front.withColumnRenamed("id", "dep_id"), "dep_id", "left_anti"), "edges")
-        front = written(
-            edges.select("id").distinct().join(rest.select("id").distinct(), "id", "left_anti"), "front")
+    edges = tasks.select("id", F.explode(F.array_distinct("depends_on")).alias("dep_id"))
+    edges = written(lookup_join(edges, ids.select(F.col("id").alias("dep_id"), F.lit(True).alias("known")), "dep_id", "inner").drop("known"), "edges")
+    degree = written(edges.groupBy("id").agg(F.count("*").alias("n"), F.min("dep_id").alias("dep_id")), "degrees")
+    # (id, stop, steps): where a chain has led so far; a stop with a pointer of its own leads on.
+    moving = degree.where("n = 1").select("id", F.col("dep_id").alias("stop"), F.lit(1).alias("steps"))
+    rounds = max(degree.count(), 1).bit_length() + 1
+    done = []
+    for _ in range(rounds):
+        moving = written(moving, "pointers")
+        next_ = moving.unionByName(reduce(DataFrame.unionByName, done)) if done else moving
+        next_ = next_.select(F.col("id").alias("stop"), F.col("stop").alias("_stop"), F.col("steps").alias("_steps"))
+        led = written(lookup_join(moving, next_, "stop"), "pointers")
+        done.append(led.where("_stop IS NULL").select("id", "stop", "steps"))
+        moving = led.where("_stop IS NOT NULL").select("id", F.col("_stop").alias("stop"), (F.col("steps") + F.col("_steps")).alias("steps"))
+        if moving.isEmpty():
+            break
+    else:
+        raise ValueError("dependency cycle")
+    chains = reduce(DataFrame.unionByName, done)
+    several = degree.where("n > 1").select("id")
+    roots = ids.join(degree.select("id"), "id", "left_anti").withColumn("level", F.lit(0))
+    if several.isEmpty():
+        # all chains end at tasks without dependencies
+        return roots.unionByName(chains.select("id", F.col("steps").alias("level")))
+    own = edges.join(several, "id", "left_semi")
+    own = lookup_join(written(own, "edges"), chains.select(F.col("id").alias("dep_id"), "stop", "steps"), "dep_id")
+    own = own.select("id", F.coalesce("stop", "dep_id").alias("stop"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+    own = written(own.groupBy("id", "stop").agg(F.max("steps").alias("steps")), "edges")
+    rest = written(own.join(several.withColumnRenamed("id", "stop"), "stop", "left_semi"), "edges")
+    values = [own.join(several.withColumnRenamed("id", "stop"), "stop", "left_anti").select("id", F.col("steps").alias("level"))]
+    left, placed = several, []
+    while True:
+        ready = left.join(rest.select("id").distinct(), "id", "left_anti")
+        known = reduce(DataFrame.unionByName, values).groupBy("id").agg(F.max("level").alias("level"))
+        front = written(ready.join(known, "id"), "front")
         if front.isEmpty():
             raise ValueError("dependency cycle")
-        placed.append(front.withColumn("level", F.lit(n)))
-        edges = rest
-    return reduce(DataFrame.unionByName, placed)
+        placed.append(front)
+        if rest.isEmpty():
+            break
+        met = written(lookup_join(rest, front.select(F.col("id").alias("stop"), "level"), "stop"), "edges")
+        values.append(met.where("level IS NOT NULL").select("id", (F.col("steps") + F.col("level")).alias("level")))
+        rest = met.where("level IS NULL").drop("level")
+        left = written(left.join(front.select("id"), "id", "left_anti"), "left")
+    ends = roots.unionByName(reduce(DataFrame.unionByName, placed))
+    along = lookup_join(written(chains, "pointers"), ends.select(F.col("id").alias("stop"), "level"), "stop", "inner")
+    return ends.unionByName(along.select("id", (F.col("steps") + F.col("level")).alias("level")))
 
 
 def streams(tasks: DataFrame) -> DataFrame:
@@ -203,7 +239,7 @@ def remap_ids(tasks: DataFrame, mapping: DataFrame) -> DataFrame:
     """Replace temporary ids (old to new) in ids and dependency references."""
     refs = tasks.select("id", F.posexplode("depends_on").alias("_pos", "dep_id"))
     m = mapping.select(F.col("old").alias("dep_id"), F.col("new").alias("_new"))
-    back = refs.join(m, "dep_id", "left").groupBy("id").agg(
+    back = lookup_join(refs, m, "dep_id").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("_pos", F.coalesce("_new", "dep_id").alias("d")))).alias("_d"))
     own = mapping.select(F.col("old").alias("id"), F.col("new").alias("_id"))
     j = tasks.join(back, "id", "left").join(own, "id", "left")
@@ -223,11 +259,15 @@ def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def lineage(commits: DataFrame, tasks: DataFrame, epics: DataFrame, prds: DataFrame) -> DataFrame:
-    """Commit to issue to epic to document; the first missing link is named."""
+    """Commit to issue to epic to document; the first missing link is named.
+    Commits without a link are set aside and those of hot issues meet a
+    broadcast of these; epics and documents are joined to tasks, not to commits."""
     t = tasks.select(F.col("id").alias("task_id"), F.col("task_epic").alias("epic_id"))
     e = epics.select(F.col("id").alias("epic_id"), F.col("owner").alias("prd_id"), F.lit(True).alias("_e"))
     p = prds.select(F.col("id").alias("prd_id"), F.lit(True).alias("_p"))
-    j = commits.join(t.withColumn("_t", F.lit(True)), "task_id", "left").join(e, "epic_id", "left").join(p, "prd_id", "left")
+    e = lookup_join(e, p, "prd_id")
+    t = lookup_join(t.withColumn("_t", F.lit(True)), e, "epic_id")
+    j = lookup_join(commits, t, "task_id")
     gap = (F.when(F.col("_t").isNull(), "task").when(F.col("_e").isNull(), "epic").when(F.col("_p").isNull(), "prd").otherwise("none"))
     return j.select("commit", "task_id", "epic_id", "prd_id", gap.alias("gap"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators import text as X
 from loomline.operators import work as W
+from loomline.operators.joins import lookup_join
 from loomline.plans.registry import query, r, rd
 
 _OPEN = """
@@ -80,7 +81,7 @@ def j12(t):
     e = F.col("event_id")
     n = tasks.agg(F.count("*")).scalar()
     linked = t.raw("events").select(e.alias("commit"), F.when(e % 17 != 0, e % n).alias("n"))
-    commits = linked.join(W.numbered(tasks.select(F.col("id").alias("task_id")), "task_id", "n"), "n", "left").select("commit", "task_id")
+    commits = lookup_join(linked, W.numbered(tasks.select(F.col("id").alias("task_id")), "task_id", "n"), "n").select("commit", "task_id")
     prds = t.raw("customer").select(F.col("c_custkey").alias("id"))
     return W.lineage(commits, tasks.withColumnRenamed("epic_id", "task_epic"), t.epics().where(F.col("id") % 17 != 0), prds)
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,9 +32,46 @@ def test_cycle_is_an_error(spark):
         W.levels(tasks(spark, [(1, "open", [2]), (2, "open", [1])]))
 
 
-def test_long_chain(spark):
-    t = tasks(spark, [(i, "open", [i - 1] if i else []) for i in range(12)])
-    assert {x["id"]: x["level"] for x in W.levels(t).collect()} == {i: i for i in range(12)}
+def test_cycles_behind_chains_and_forks_are_errors(spark):
+    with pytest.raises(ValueError):  # a chain that runs into a cycle
+        W.levels(tasks(spark, [(1, "open", [2]), (2, "open", [3]), (3, "open", [2]), (4, "open", [])]))
+    with pytest.raises(ValueError):  # tasks with two dependencies in a cycle
+        W.levels(tasks(spark, [(1, "open", [2, 4]), (2, "open", [3]), (3, "open", [1, 4]), (4, "open", [])]))
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, made = 10_000, []
+    real = W.written
+    monkeypatch.setattr(W, "written", lambda df, label: made.append(label) or real(df, label))
+    name = {i: (i * 7919) % n for i in range(n)}
+    t = spark.range(n).select(
+        ((F.col("id") * 7919) % n).alias("id"), F.lit(1).alias("epic_id"),
+        F.when(F.col("id") > 0, F.array(((F.col("id") - 1) * 7919) % n)).otherwise(F.array().cast("array<bigint>")).alias("depends_on"))
+    assert {x["id"]: x["level"] for x in W.levels(t).collect()} == {name[i]: i for i in range(n)}
+    assert made.count("pointers") / 2 < 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_of_random_graphs(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, "open", sorted({r.randrange(i) for _ in range(r.choice([0, 1, 1, 1, 2, 3]))}) if i else []) for i in range(60)]
+    rows += [(100 + i, "open", [3]) for i in range(1500)]  # a task that many share
+    want = {}
+    for i, _, deps in rows:
+        want[i] = max((want[d] + 1 for d in deps), default=0)
+    assert {x["id"]: x["level"] for x in W.levels(tasks(spark, rows)).collect()} == want
+
+
+def test_shared_dependency_and_missing_links(spark):
+    rows = [(i, "open", [1] if i > 1 else []) for i in range(1, 3001)]
+    assert W.blocked(tasks(spark, rows)).count() == 2999
+    t = spark.createDataFrame([(i, 10) for i in range(5)] + [(9, None)], "id bigint, task_epic bigint")
+    commits = spark.range(6000).select(F.col("id").alias("commit"), F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 2).otherwise(F.col("id") % 11).cast("long").alias("task_id"))
+    epics, prds = spark.createDataFrame([(10, 7)], "id bigint, owner bigint"), spark.createDataFrame([(7,)], "id bigint")
+    got = {r["gap"]: r["n"] for r in W.lineage(commits, t, epics, prds).groupBy("gap").agg(F.count("*").alias("n")).collect()}
+    known = sum(1 for i in range(6000) if i % 3 == 2 and i % 11 < 5)
+    null_epic = sum(1 for i in range(6000) if i % 3 == 2 and i % 11 == 9)
+    assert got == {"none": 2000 + known, "epic": null_epic, "task": 6000 - 2000 - known - null_epic}
 
 
 def log(spark, rows):
