@@ -365,9 +365,40 @@ def target_positions(selected: DataFrame, prices: DataFrame, total_value: float)
 # ---- orders, fills, holdings --------------------------------------------
 
 
+#: Bars of a block, blocks of the next larger one, and so on.
+FAN = 32
+
+
 def _satisfied(b: Column) -> Column:
-    """Whether bar ``b`` comes after the order on the row and fills it."""
-    return (b["date"] > F.col("date")) & ((b["low"] <= F.col("_lo")) | (b["high"] >= F.col("_hi")))
+    """Whether a bar, or some bar of a block, fills the order on the row."""
+    return (b["low"] <= F.col("_lo")) | (b["high"] >= F.col("_hi"))
+
+
+def _period_number(d: Column, freq: str) -> Column:
+    """Consecutive numbers of consecutive periods."""
+    days = F.datediff(d, F.lit("1970-01-01").cast("date"))
+    if freq in ("W", "W-FRI"):
+        return F.floor(days / 7).cast("long")
+    return (F.year(d) * 12 + F.month(d)).cast("long") if freq in ("M", "ME") else days.cast("long")
+
+
+def _block_tables(bars: DataFrame, freq: str) -> list[DataFrame]:
+    """Level by level ``(sym, block, items)``: the bars of a block of periods, then the lows and highs of the blocks of a
+    larger one, FAN of them at most, until one block of the largest spans all periods."""
+    bars = bars.select("sym", (_period_number(F.col("date"), freq)).alias("at"), "date", "low", "high")
+    ends = bars.agg(F.min("at").alias("first"), F.max("at").alias("last")).first()
+    first, n = ends["first"] or 0, (ends["last"] or 0) - (ends["first"] or 0) + 1
+    items, size, tables = bars.withColumn("at", F.col("at") - first), n, []
+    while True:
+        item = F.struct("at", "low", "high", *(["date"] if not tables else []))
+        t = items.groupBy("sym", F.expr(f"at div {FAN}").alias("block")).agg(
+            F.sort_array(F.collect_list(item)).alias("items"), F.min("low").alias("low"), F.max("high").alias("high"))
+        t = written(t, "blocks")
+        tables.append(t.select("sym", "block", "items"))
+        size = -(-size // FAN)
+        if size <= 1:
+            return first, tables
+        items = t.select("sym", F.col("block").alias("at"), "low", "high")
 
 
 def _bounds(orders: DataFrame) -> DataFrame:
@@ -380,27 +411,49 @@ def _bounds(orders: DataFrame) -> DataFrame:
     })
 
 
-def trigger_dates(orders: DataFrame, bars: DataFrame, freq: str = "W", ahead: int = 8) -> DataFrame:
+def trigger_dates(orders: DataFrame, bars: DataFrame, freq: str = "W") -> DataFrame:
     """First bar after an order that satisfies it; bars end on period ends.
 
-    Most orders are filled soon, so an order first meets the next few bars of
-    its symbol and period: a key of symbol and period, so that the orders of a
-    busy symbol spread over its periods. Only what is left looks at the
-    symbol's whole history, one array bounded by the calendar. Orders are
-    never multiplied by bars. Filled orders carry a null symbol and a random
-    second key into the last join, where they match nothing.
+    An order looks for it in the block of periods it falls in, then in ever
+    larger blocks behind that one, each known by the lows and highs of its
+    parts, and from the first part that holds a fill back down to a bar. Every
+    step is a join by symbol and block, so orders of a busy symbol spread over
+    its blocks, and orders are never multiplied by bars. Where an order has no
+    need of a step it carries a key of its own that matches nothing.
     """
-    bar = F.struct("date", "low", "high")
-    near = bars.select("sym", F.col("date").alias("_p"), F.collect_list(bar).over(by_sym().rowsBetween(0, ahead - 1)).alias("_near"))
-    whole = bars.groupBy(F.col("sym").alias("_sym")).agg(F.sort_array(F.collect_list(bar)).alias("_all")).withColumn("_salt", F.lit(0))
-    o = _bounds(orders).withColumn("_p", period_key("date", freq)).join(near, ["sym", "_p"], "left")
-    o = o.withColumn("_t", F.get(F.filter("_near", _satisfied), F.lit(0))["date"]).drop("_near", "_p")
-    open_ = F.col("_t").isNull()
-    o = o.withColumn("_sym", F.when(open_, F.col("sym"))).withColumn(
-        "_salt", F.when(open_, 0).otherwise(F.pmod(F.xxhash64("order_id"), F.lit(4099)).cast("int")))
-    j = o.join(whole, ["_sym", "_salt"], "left")
-    late = F.get(F.filter("_all", _satisfied), F.lit(0))["date"]
-    return j.withColumn("trigger_date", F.coalesce("_t", late)).drop("_all", "_t", "_sym", "_salt", "_lo", "_hi")
+    first, tables = _block_tables(bars, freq)
+    own = -1 - F.pmod(F.xxhash64("order_id"), F.lit(4099))
+    start = _period_number(period_key("date", freq), freq) - first
+    o = _bounds(orders).withColumns({
+        "_from": F.greatest(start, F.lit(-1)), "trigger_date": F.lit(None).cast("date"), "_hit": F.lit(None).cast("long"), "_level": F.lit(None).cast("int")})
+
+    def looked_up(o: DataFrame, level: int, need: Column, block: Column) -> DataFrame:
+        t = tables[level].select(F.col("sym").alias("_sym"), F.col("block").alias("_block"), "items")
+        key = F.when(need, block).otherwise(own)
+        return o.withColumn("_key", key).join(t, (F.col("sym") == F.col("_sym")) & (F.col("_key") == F.col("_block")), "left").drop("_sym", "_block")
+
+    for level in range(len(tables)):
+        looking = F.col("trigger_date").isNull() & F.col("_hit").isNull()
+        block = F.floor(F.greatest("_from", F.lit(0)) / FAN).cast("long")
+        o = looked_up(o, level, looking, block)
+        if level:
+            fits = F.filter("items", lambda x: (x["at"] >= F.col("_from")) & _satisfied(x))
+            o = o.withColumn("_found", F.get(fits, F.lit(0))["at"])
+            o = o.withColumn("_hit", F.coalesce("_hit", "_found")).withColumn("_level", F.coalesce("_level", F.when(F.col("_found").isNotNull(), level - 1)))
+        else:
+            fits = F.filter("items", lambda x: (x["date"] > F.col("date")) & _satisfied(x))
+            o = o.withColumn("trigger_date", F.get(fits, F.lit(0))["date"]).withColumn("_found", F.lit(None).cast("long"))
+        o = o.withColumn("_from", F.when(looking, block + 1).otherwise(F.col("_from"))).drop("items", "_found", "_key")
+    for level in range(len(tables) - 2, -1, -1):
+        here = F.col("_level") == level
+        o = looked_up(o, level, F.coalesce(here, F.lit(False)), F.col("_hit"))
+        best = F.get(F.filter("items", _satisfied), F.lit(0))
+        if level:
+            o = o.withColumn("_hit", F.when(here, best["at"]).otherwise(F.col("_hit"))).withColumn("_level", F.when(here, level - 1).otherwise(F.col("_level")))
+        else:
+            o = o.withColumn("trigger_date", F.coalesce("trigger_date", F.when(here, best["date"])))
+        o = o.drop("items", "_key")
+    return o.drop("_lo", "_hi", "_from", "_hit", "_level")
 
 
 def holdings(fills: DataFrame) -> DataFrame:

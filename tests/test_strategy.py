@@ -179,16 +179,40 @@ def test_caps_leave_cash(spark):
     assert c == pytest.approx(0.30)
 
 
-@pytest.mark.parametrize("ahead", [1, 2, 8])
-def test_order_triggers(spark, ahead):
+def test_order_triggers(spark):
     bars = panel(spark, {1: [10, 9, 8, 12, 7]}, high={1: [11, 10, 9, 13, 8]}, low={1: [9, 8, 7, 11, 6]})
     rows = [(1, 1, friday(0), "Buy", "Market", None), (2, 1, friday(0), "Buy", "Limit", 7.5), (3, 1, friday(0), "Sell", "Limit", 12.5),
             (4, 1, friday(0), "Sell", "StopLoss", 6.0), (5, 1, friday(0), "Buy", "Limit", 1.0), (6, 9, friday(0), "Buy", "Market", None)]
     o = spark.createDataFrame(rows, "order_id bigint, sym bigint, date date, side string, type string, limit_price double")
-    got = {x["order_id"]: x["trigger_date"] for x in B.trigger_dates(o, bars, ahead=ahead).collect()}
+    got = {x["order_id"]: x["trigger_date"] for x in B.trigger_dates(o, bars).collect()}
     assert got == {1: friday(1), 2: friday(2), 3: friday(3), 4: friday(4), 5: None, 6: None}
 
 
+@pytest.mark.parametrize("fan, freq", [(2, "W"), (3, "D"), (32, "W"), (4, "M")])
+def test_order_triggers_against_all_bars(spark, monkeypatch, fan, freq):
+    """Gaps in the bars, orders before, between and after them, a symbol with most orders."""
+    monkeypatch.setattr(B, "FAN", fan)
+    r = random.Random(fan)
+    step = {"W": 7, "D": 1, "M": 31}[freq]
+    days = [dt.date(2020, 1, 3) + dt.timedelta(days=step * i) for i in range(60)]
+    if freq == "M":
+        days = sorted({(d.replace(day=1) + dt.timedelta(days=32)).replace(day=1) - dt.timedelta(days=1) for d in days})
+    bars = [(d, s, float(low), low + r.choice([0.0, 1.0, 5.0])) for s in (1, 2, 3) for d in days if r.random() < 0.7 for low in [r.randrange(20)]]
+    orders = [(i, r.choice([1, 1, 1, 1, 2, 3, 4]), days[0] + dt.timedelta(days=r.randrange(-40, 60 * step + 40)), r.choice(["Buy", "Sell"]),
+               r.choice(["Market", "Limit", "StopLoss"]), float(r.randrange(-3, 27))) for i in range(400)]
+
+    def fits(o, b):
+        _, s, d, side, kind, price = o
+        below = (kind == "Limit") == (side == "Buy")
+        return b[1] == s and b[0] > d and (kind == "Market" or (b[2] <= price if below else b[3] >= price))
+
+    o = spark.createDataFrame(orders, "order_id bigint, sym bigint, date date, side string, type string, limit_price double")
+    b = spark.createDataFrame(bars, "date date, sym bigint, low double, high double")
+    got = {x["order_id"]: x["trigger_date"] for x in B.trigger_dates(o, b, freq).collect()}
+    assert got == {o[0]: min((x[0] for x in bars if fits(o, x)), default=None) for o in orders}
+    assert {x["trigger_date"] for x in B.trigger_dates(o, b.limit(0), freq).collect()} == {None}
+
+
 def test_holdings_average_cost(spark):
     f = spark.createDataFrame([(1, friday(0), "Buy", 10.0, 2.0), (1, friday(1), "Buy", 10.0, 4.0), (1, friday(2), "Sell", 5.0, 5.0)],
                               "sym bigint, date date, side string, qty double, price double")
