@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -48,6 +49,17 @@ def discard(*tables: DataFrame, part: str = "") -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean_memory() -> None:
+    """Let the C allocator of this process give large arrays back to the system as soon as they are freed, and keep few
+    arenas. Otherwise workers that serve one stage after another hold the largest amount that any of them needed."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):  # another C library
+        return
+    for option, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap threshold, trim threshold, arenas
+        mallopt(option, value)
+
+
 # ---- vectors -----------------------------------------------------------
 
 

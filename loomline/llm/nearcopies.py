@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, mix, pieces, some_texts, text_buffer, window_hashes, word_hashes, words_of, written
+from loomline.llm.common import LOWER, lean_memory, mix, pieces, some_texts, text_buffer, window_hashes, word_hashes, words_of, written
+
+lean_memory()
 
 TOKENS = 64
 #: Classes compared exhaustively at once; documents whose full sets are compared at once.

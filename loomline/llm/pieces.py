@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import some_texts
+from loomline.llm.common import lean_memory, some_texts
+
+lean_memory()
 
 SPACE = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)

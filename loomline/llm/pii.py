@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import written
+from loomline.llm.common import lean_memory, written
+
+lean_memory()
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words that name a kind, and domain ends, card and country prefixes in use.

@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import pieces, some_texts, text_buffer, word_hashes, words_of
+from loomline.llm.common import lean_memory, pieces, some_texts, text_buffer, word_hashes, words_of
+
+lean_memory()
 
 ROWS, DIMENSIONS, NGRAMS = 1 << 18, 16, (3, 4)
 PIECE_BYTES = 1 << 20
