@@ -6,7 +6,7 @@ import time
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import PCA, CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from loomline.operators.text import WORD_GAP
 from loomline.session import written
 
 SEED = 7
-DENSE_LIMIT = 2_000  # assets whose components one matrix may hold
 
 
 def estimator(model: str, n_estimators: int = 20, max_depth: int = 3, learning_rate: float = 0.1, reg: float = 0.0):
@@ -105,18 +104,6 @@ def best_setting(ranked: DataFrame, grid: list[dict]) -> dict:
     return grid[ranked.where("tried").first()["position"]]
 
 
-def pca_components(returns: DataFrame, assets: list[str], k: int) -> DataFrame:
-    """Loadings and explained share of the leading components of the return
-    panel of a bounded asset list."""
-    if len(assets) > DENSE_LIMIT:
-        raise ValueError(f"{len(assets)} assets; at most {DENSE_LIMIT}")
-    wide = returns.groupBy("date").pivot("sym", assets).agg(F.first("ret")).na.fill(0.0)
-    m = PCA(k=k, inputCol="x", outputCol="pc").fit(VectorAssembler(inputCols=assets, outputCol="x").transform(wide))
-    load, var = m.pc.toArray(), m.explainedVariance.toArray()
-    rows = [(c + 1, a, float(load[i, c]), float(var[c])) for c in range(k) for i, a in enumerate(assets)]
-    return returns.sparkSession.createDataFrame(rows, "component int, sym string, loading double, explained double")
-
-
 def cluster_assets(profile: DataFrame, cols: list[str], k: int) -> DataFrame:
     d = profile.na.drop(subset=cols)
     p = Pipeline(stages=[

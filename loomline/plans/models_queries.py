@@ -7,10 +7,11 @@ from loomline.operators import factors as E
 from loomline.operators import models as M
 from loomline.operators.panel import holds, top
 from loomline.operators.ranking import correlation_of, tiles
+from loomline.operators.risk import principal_components
 from loomline.operators.text import frequent_lexicon, sentiment, words
 from loomline.plans.factors_queries import _FEAT, NAMES, features
 from loomline.plans.registry import query, r, rd
-from loomline.plans.risk_queries import category_returns, returns
+from loomline.plans.risk_queries import CORR, RIDGE, returns
 from loomline.plans.strategy_queries import report, stats_sql, wide
 
 
@@ -125,10 +126,29 @@ def b23(t):
     return report(B.statistics(B.nav_of(d), 52))
 
 
-@query("e19_pca_risk_factors")
+def _components_sql(k: int, squarings: int = 18) -> str:
+    """A component at a time: squaring the matrix again and again leaves its leading vector in every column; it is then
+    taken out of the matrix."""
+    parts = [f"""{CORR}, m1 AS (SELECT list(list_transform(v, lambda x, j: CASE WHEN j = i THEN x - {RIDGE} ELSE x END) ORDER BY i) AS m FROM rf),
+tr AS (SELECT CAST(len(m) AS DOUBLE) AS n FROM m1)"""]
+    product = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b)))"
+    for c in range(1, k + 1):
+        parts.append(f"""s{c} AS (SELECT 0 AS step, m FROM m{c} UNION ALL
+  SELECT step + 1, list_transform(p, lambda a: list_transform(a, lambda b: b / d)) FROM (
+    SELECT step, p, list_sum(list_transform(p, lambda a, i: a[i])) AS d FROM (SELECT step, {product} AS p FROM s{c} WHERE step < {squarings}))),
+v{c} AS (SELECT list_transform(a, lambda x: x / sqrt(list_dot_product(a, a)) * sign(list_extract(list_sort(list_transform(a, lambda y: [abs(y), y]), 'DESC'), 1)[2])) AS v
+  FROM (SELECT m[list_position(g, list_max(g))] AS a FROM (SELECT m, list_transform(m, lambda a, i: a[i]) AS g FROM s{c} WHERE step = {squarings}))),
+l{c} AS (SELECT list_dot_product(v, list_transform(m, lambda a: list_dot_product(a, v))) AS value, v, m FROM m{c}, v{c})""")
+        if c < k:
+            parts.append(f"m{c + 1} AS (SELECT list_transform(m, lambda a, i: list_transform(a, lambda x, j: x - value * v[i] * v[j])) AS m FROM l{c})")
+    rows = " UNION ALL ".join(
+        f"SELECT CAST({c} AS INTEGER) AS component, nm.sym, {r('v[nm.i]', 5)} AS loading, {r('value / tr.n')} AS explained FROM l{c}, nm, tr" for c in range(1, k + 1))
+    return f"WITH RECURSIVE {', '.join(parts)} {rows}"
+
+
+@query("e19_pca_risk_factors", _components_sql(3))
 def e19(t):
-    names = [x["n_name"] for x in t.raw("nation").select("n_name").orderBy("n_name").collect()]  # 25 rows
-    return M.pca_components(category_returns(t), names, 3).withColumns({"loading": rd("loading"), "explained": rd("explained")})
+    return principal_components(returns(t), 3).withColumns({"loading": rd("loading", 5), "explained": rd("explained")})
 
 
 @query("e20_asset_clusters")

@@ -11,8 +11,6 @@ from loomline.plans.strategy_queries import MOM, mom_sim, report, sim_sql, stats
 from loomline.plans.sqlviews import month
 
 RET = f"ret AS (SELECT date, sym, ret FROM (SELECT date, sym, close / lag(close) OVER ({ALL}) - 1 AS ret FROM bars_w) WHERE ret IS NOT NULL)"
-# returns of categories as assets: mean return of their symbols
-CRET = f"{RET}, cret AS (SELECT date, category AS sym, avg(ret) AS ret FROM ret JOIN universe USING (sym) GROUP BY 1, 2)"
 # one weight per symbol, from its share of all turnover
 WT = "wt AS (SELECT sym, sum(volume) / (SELECT sum(volume) FROM bars_w) AS weight FROM bars_w GROUP BY sym)"
 
@@ -22,10 +20,6 @@ def returns(t):
     return b.where(F.col("ret").isNotNull()).select("date", "sym", "ret")
 
 
-def category_returns(t):
-    return returns(t).join(t.universe(), "sym").groupBy("date", F.col("category").alias("sym")).agg(F.avg("ret").alias("ret"))
-
-
 def share_weights(t):
     b = t.stored("W").select("sym", "volume")
     return b.groupBy("sym").agg((F.sum("volume") / b.agg(F.sum("volume")).scalar()).alias("weight"))
@@ -62,20 +56,20 @@ def o03(t):
     return R.inverse_volatility(returns(t), 20).select("date", "sym", rd("weight", 8).alias("weight"))
 
 
-_RIDGE = 1e-4
+RIDGE = 1e-4
 # Correlations as the solvers see them: a date that a symbol lacks counts as its mean. Rows are numbered from 1.
-_CORR = f"""{RET}, tn AS (SELECT count(DISTINCT date) - 1.0::DOUBLE AS t FROM ret),
+CORR = f"""{RET}, tn AS (SELECT count(DISTINCT date) - 1.0::DOUBLE AS t FROM ret),
 mu AS (SELECT sym, avg(ret) AS m, sqrt(sum((ret - (SELECT avg(b.ret) FROM ret b WHERE b.sym = a.sym)) ** 2) / (SELECT t FROM tn)) AS sd FROM ret a GROUP BY sym),
 cx AS (SELECT date, dense_rank() OVER (ORDER BY sym) AS i, (ret - m) / sd AS x FROM ret JOIN mu USING (sym) WHERE sd > 1e-12),
 nm AS (SELECT sym, sd, row_number() OVER (ORDER BY sym) AS i FROM mu WHERE sd > 1e-12),
-rr AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT t FROM tn) + CASE WHEN a.i = b.i THEN {_RIDGE} ELSE 0 END AS v FROM cx a JOIN cx b ON a.date = b.date GROUP BY 1, 2),
+rr AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (SELECT t FROM tn) + CASE WHEN a.i = b.i THEN {RIDGE} ELSE 0 END AS v FROM cx a JOIN cx b ON a.date = b.date GROUP BY 1, 2),
 rf AS (SELECT a.i, list(coalesce(rr.v, 0.0) ORDER BY b.i) AS v FROM nm a CROSS JOIN nm b LEFT JOIN rr ON rr.i = a.i AND rr.j = b.i GROUP BY 1)"""
 
 
 def _linear_sql(right: str) -> str:
     """Elimination, one column a step."""
     return f"""
-WITH RECURSIVE {_CORR}, e AS (
+WITH RECURSIVE {CORR}, e AS (
   SELECT CAST(0 AS BIGINT) AS k, i, list_append(rf.v, {right}) AS v FROM rf JOIN nm USING (i)
   UNION ALL
   SELECT a.k + 1, a.i, CASE WHEN a.i = p.i THEN list_transform(a.v, lambda x: x / a.v[p.i])
@@ -87,7 +81,7 @@ SELECT sym, {r('w / sum(w) OVER ()')} AS weight FROM w"""
 
 # One symbol a step: its z solves its own condition with all others held; forty sweeps.
 @query("o03_equal_risk_contribution", f"""
-WITH RECURSIVE {_CORR}, c AS (SELECT list(v ORDER BY i) AS m, count(*) AS n FROM rf), s AS (
+WITH RECURSIVE {CORR}, c AS (SELECT list(v ORDER BY i) AS m, count(*) AS n FROM rf), s AS (
   SELECT CAST(0 AS BIGINT) AS k, list_transform(range(n), lambda x: 1.0::DOUBLE / sqrt(n)) AS z FROM c
   UNION ALL
   SELECT k + 1, z[:i - 1] || [(sqrt(a * a + 4 * d / n) - a) / (2 * d)] || z[i + 1:] FROM (

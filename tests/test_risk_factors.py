@@ -146,3 +146,18 @@ def test_unsolved_weights_are_an_error(spark):
     with pytest.raises(RuntimeError):
         R.equal_risk_contribution(d, rounds=1)
     assert R.equal_risk_contribution(d.limit(0)).count() == 0 and R.min_variance(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dates, symbols", [(40, 9), (15, 60)])
+def test_principal_components_against_numpy(spark, dates, symbols):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(dates, symbols)) + rng.normal(size=(dates, 2)) @ rng.normal(size=(2, symbols)) * 2
+    rows = [(friday(i), j, float(x[i, j])) for i in range(dates) for j in range(symbols)]
+    d = R.principal_components(spark.createDataFrame(rows, "date date, sym bigint, ret double"), 3).toPandas()
+    values, vectors = np.linalg.eigh(np.corrcoef(x.T))
+    for c in (1, 2, 3):
+        own = d[d.component == c].sort_values("sym")
+        v = vectors[:, -c] * np.sign(vectors[np.argmax(np.abs(vectors[:, -c])), -c])
+        assert own.loading.to_numpy() == pytest.approx(v, abs=1e-6)
+        assert own.explained.to_numpy() == pytest.approx(np.full(symbols, values[-c] / symbols))
+    assert R.principal_components(spark.createDataFrame(rows[:1], "date date, sym bigint, ret double"), 3).count() == 0
