@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_GAP = r"[^\p{L}\p{N}]+"
@@ -51,6 +51,42 @@ def search(docs: DataFrame, terms: list[str], id_: str = "doc_id") -> DataFrame:
         F.count("*").alias("n_terms"), F.sum(F.col("tf") * F.ln(n / F.col("df"))).alias("score"))
 
 
+# ---- a stored index of all content --------------------------------------------------
+
+#: Folders of an index; a term is in one of them.
+BUCKETS = 64
+_POSTINGS = "kind string, id string, word string, tf long, batch int, bucket int"
+
+
+def _bucket(word) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def index_items(items: DataFrame, path: str, batch: int) -> None:
+    """Add ``(kind, id, text)`` to the index at ``path``: how often each item holds each word, in a folder of the word's
+    bucket, sorted by word. A batch owns its folders, so a repeated one replaces itself."""
+    w = F.explode(F.split(F.lower("text"), WORD_GAP)).alias("word")
+    tf = items.select("kind", F.col("id").cast("string").alias("id"), w).where(F.col("word") != "")
+    tf = tf.groupBy("kind", "id", "word").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("word")))
+    dealt = tf.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+    items.groupBy("kind").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/items/batch={batch}")
+
+
+def search_index(spark: SparkSession, path: str, terms: list[str], kinds: list[str] | None = None) -> DataFrame:
+    """``(kind, id, n_terms, score)``: as ``search``, over all items of the index or of some kinds. Only the folders of the
+    terms are read, and of these the parts whose range of words holds one."""
+    terms = sorted({t.lower() for t in terms})
+    wanted = spark.createDataFrame([(t,) for t in terms], "word string").select(_bucket(F.col("word")).alias("b")).distinct().collect()
+    items = spark.read.schema("kind string, n long, batch int").parquet(f"{path}/items")
+    found = spark.read.schema(_POSTINGS).parquet(f"{path}/postings").where(F.col("bucket").isin([r["b"] for r in wanted]) & F.col("word").isin(terms))
+    if kinds is not None:
+        items, found = items.where(F.col("kind").isin(kinds)), found.where(F.col("kind").isin(kinds))
+    n = items.agg(F.sum("n")).scalar()
+    df = found.groupBy("word").agg(F.count("*").alias("df"))
+    return found.join(df, "word").groupBy("kind", "id").agg(F.count("*").alias("n_terms"), F.sum(F.col("tf") * F.ln(n / F.col("df"))).alias("score"))
+
+
 def sentiment(docs: DataFrame, lexicon: DataFrame, id_: str = "doc_id") -> DataFrame:
     """Sum of lexicon scores per document; counts of words go into the join,
     not the words themselves."""

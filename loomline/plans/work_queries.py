@@ -6,6 +6,7 @@ from loomline.operators import text as X
 from loomline.operators import work as W
 from loomline.operators.joins import lookup_join
 from loomline.plans.registry import query, r, rd
+from loomline.session import new_path
 
 _OPEN = """
 od AS (SELECT deps.id, count(*) AS n_blocking FROM deps LEFT JOIN tasks s ON s.id = deps.dep_id
@@ -286,6 +287,32 @@ def f02(t):
     return X.search(t.raw("documents").select("doc_id", "text"), list(_TERMS)).withColumn("score", rd("score"))
 
 
+_EVERYTHING = ("security", "open", "epic", "the", "user", "in_progress")
+
+
+@query("f02_search_everything", f"""
+WITH i AS (
+  SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  UNION ALL SELECT 'epic', CAST(id AS VARCHAR), 'epic ' || id || ' ' || state || ' priority ' || priority || ' owner ' || owner FROM epics
+  UNION ALL SELECT 'task', CAST(id AS VARCHAR), state || ' ' || labels[1] || ' ' || labels[2] FROM tasks
+  UNION ALL SELECT 'comment', conv_id || '/' || turn, role || ' ' || text FROM conversations),
+w AS (SELECT kind, id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM i),
+tf AS (SELECT kind, id, word, count(*) AS tf FROM w WHERE word IN {_EVERYTHING} GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+SELECT kind, id, count(*) AS n_terms, {r('sum(tf * ln((SELECT count(*) FROM i) / df))')} AS score FROM tf JOIN df USING (word) GROUP BY 1, 2""")
+def f02_all(t):
+    """Documents first; epics, tasks and comments are a second batch of the same index, written twice."""
+    e = t.epics().select(F.lit("epic").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(
+        " ", F.lit("epic"), "id", "state", F.lit("priority"), "priority", F.lit("owner"), "owner").alias("text"))
+    k = t.stored_tasks().select(F.lit("task").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(" ", "state", F.concat_ws(" ", "labels")).alias("text"))
+    c = t.comments().select(F.lit("comment").alias("kind"), F.concat_ws("/", "item", "turn").alias("id"), F.concat_ws(" ", "actor", "text").alias("text"))
+    path = new_path(t.spark, "index")
+    X.index_items(t.raw("documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text"), path, 0)
+    for _ in range(2):
+        X.index_items(e.unionByName(k).unionByName(c), path, 1)
+    return X.search_index(t.spark, path, list(_EVERYTHING)).withColumn("score", rd("score"))
+
+
 @query("f05_collections", """
 SELECT date, sym, CAST(len(list_filter([open, high, low, close], lambda x: x > 2000)) AS INTEGER) AS n_high, list_sum(list_transform([open, close], lambda x: x * 2)) AS twice,
   list_contains([1, 2, 3], sym % 7) AS hit, greatest(open, close) AS best, map_extract(MAP {'o': open, 'c': close}, 'c')[1] AS c FROM bars_w""")

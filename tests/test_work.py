@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,20 @@ def test_workspace_files(spark, tmp_path):
     assert rows["001.md"]["attrs"] == {"name": "First", "parallel": "true", "url": "http://x"}
     assert rows["001.md"]["kind"] == "epics" and rows["001.md"]["body"].startswith("# Title")
     assert rows["002.md"]["attrs"] is None and rows["002.md"]["body"] == "no header"
+
+
+def test_index_reads_the_folders_of_its_terms(spark):
+    from loomline.operators import text as X
+    from loomline.session import new_path
+
+    items = spark.createDataFrame([("a", "1", "Red fox, red hen"), ("a", "2", "blue Fox"), ("b", "3", None), ("b", "4", "été red")], "kind string, id string, text string")
+    path = new_path(spark, "index")
+    X.index_items(items.where("kind = 'a'"), path, 0)
+    for _ in range(2):  # a repeated batch replaces itself
+        X.index_items(items.where("kind = 'b'"), path, 1)
+    found = X.search_index(spark, path, ["RED", "fox", "été", "none"])
+    want = X.search(items.select(F.col("id").alias("doc_id"), "text"), ["red", "fox", "été"])
+    assert {r["id"]: (r["n_terms"], r["score"]) for r in found.collect()} == {r["doc_id"]: (r["n_terms"], r["score"]) for r in want.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*In\(word", plan)
+    assert {r["id"] for r in X.search_index(spark, path, ["red"], ["b"]).collect()} == {"4"}
