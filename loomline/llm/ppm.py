@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, discard, n_blocks, pieces, row_key, text_buffer, text_bytes, written
+from loomline.llm.common import LOWER, discard, lean_memory, n_blocks, pieces, row_key, text_buffer, text_bytes, written
+
+lean_memory()
 
 #: Bytes that UTF-8 never uses: the start of a text fills contexts, the end is a symbol.
 START, END = 0xFF, 0xFE
 #: Symbols of the alphabet: all byte values but START.
 SYMBOLS = 255
-BLOCK_BYTES, PIECE_BYTES = 6 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES = 12 << 20, 1 << 20
 #: Texts taken from a block at once.
 SOME = 512
 
