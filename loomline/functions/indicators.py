@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -303,12 +304,76 @@ def _cci(df, outs, timeperiod):
     return df.withColumn(outs[0], F.try_divide(F.col("_tp") - F.col("_m"), 0.015 * dev))
 
 
+def _weighted(df: DataFrame, out: str, x: str, n: int) -> DataFrame:
+    """Mean of the last n rows with weights 1 to n."""
+    df = df.withColumn("_i", index()).withColumn("_iy", F.col("_i") * F.col(x))
+    s = rolled(F.sum, "_iy", n) - (F.col("_i") - n) * rolled(F.sum, x, n)
+    return df.withColumn(out, s / (n * (n + 1) / 2))
+
+
 @windowed("WMA", timeperiod=30, source="close")
 def _wma(df, outs, timeperiod, source):
-    df = df.withColumn("_i", index()).withColumn("_iy", F.col("_i") * F.col(source))
-    n = timeperiod
-    s = rolled(F.sum, "_iy", n) - (F.col("_i") - n) * rolled(F.sum, source, n)
-    return df.withColumn(outs[0], s / (n * (n + 1) / 2))
+    return _weighted(df, outs[0], source, timeperiod)
+
+
+@windowed("HMA", timeperiod=16, source="close")
+def _hma(df, outs, timeperiod, source):
+    """Weighted mean of twice the half-length mean less the full one, over the root of the length."""
+    df = _weighted(_weighted(df, "_half", source, timeperiod // 2), "_full", source, timeperiod)
+    return _weighted(df.withColumn("_lead", 2 * F.col("_half") - F.col("_full")), outs[0], "_lead", isqrt(timeperiod))
+
+
+@windowed("TRIMA", timeperiod=30, source="close")
+def _trima(df, outs, timeperiod, source):
+    """Mean of a mean, the two lengths adding up to one more than the period."""
+    first = (timeperiod + 1) // 2
+    df = df.withColumn("_inner", rolled(F.avg, source, first))
+    return df.withColumn(outs[0], rolled(F.avg, "_inner", timeperiod + 1 - first))
+
+
+@windowed("ICHIMOKU", "conversion", "base", "span_a", "span_b", conversion=9, base=26, span=52)
+def _ichimoku(df, outs, conversion, base, span):
+    """Middles of three ranges; both spans are those of ``base`` bars ago."""
+    def middle(n):
+        return (rolled(F.max, "high", n) + rolled(F.min, "low", n)) / 2
+
+    df = df.withColumn(outs[0], middle(conversion)).withColumn(outs[1], middle(base)).withColumn("_long", middle(span))
+    df = df.withColumn("_lead", (F.col(outs[0]) + F.col(outs[1])) / 2)
+    return df.withColumn(outs[2], lagged("_lead", base)).withColumn(outs[3], lagged("_long", base))
+
+
+# ---- candle patterns -----------------------------------------------------
+
+#: Shapes of a bar (o, h, l, c) and the two before it (o1 ..., o2 ...): 100 bullish, -100 bearish, 0 no match; null without
+#: the bars it needs. Each is a condition over neighbouring rows, in SQL.
+PATTERNS = {
+    "CDLDOJI": (0, "CASE WHEN abs(c - o) <= 0.1 * (h - l) THEN 100 ELSE 0 END"),
+    "CDLMARUBOZU": (0, "CASE WHEN h > l AND abs(c - o) >= 0.95 * (h - l) THEN sign(c - o) * 100 ELSE 0 END"),
+    "CDLHAMMER": (0, "CASE WHEN c <> o AND least(o, c) - l >= 2 * abs(c - o) AND h - greatest(o, c) <= 0.1 * (h - l) THEN 100 ELSE 0 END"),
+    "CDLSHOOTINGSTAR": (0, "CASE WHEN c <> o AND h - greatest(o, c) >= 2 * abs(c - o) AND least(o, c) - l <= 0.1 * (h - l) THEN -100 ELSE 0 END"),
+    "CDLSPINNINGTOP": (0, "CASE WHEN abs(c - o) <= 0.3 * (h - l) AND h - greatest(o, c) > abs(c - o) AND least(o, c) - l > abs(c - o) THEN sign(c - o) * 100 ELSE 0 END"),
+    "CDLENGULFING": (1, "CASE WHEN c > o AND c1 < o1 AND c >= o1 AND o <= c1 THEN 100 WHEN c < o AND c1 > o1 AND o >= c1 AND c <= o1 THEN -100 ELSE 0 END"),
+    "CDLHARAMI": (1, "CASE WHEN c1 < o1 AND c > o AND o > c1 AND c < o1 THEN 100 WHEN c1 > o1 AND c < o AND o < c1 AND c > o1 THEN -100 ELSE 0 END"),
+    "CDLPIERCING": (1, "CASE WHEN c1 < o1 AND c > o AND o < c1 AND c > (o1 + c1) / 2 AND c < o1 THEN 100 ELSE 0 END"),
+    "CDLDARKCLOUDCOVER": (1, "CASE WHEN c1 > o1 AND c < o AND o > c1 AND c < (o1 + c1) / 2 AND c > o1 THEN -100 ELSE 0 END"),
+    "CDLMORNINGSTAR": (2, "CASE WHEN c2 < o2 AND abs(c1 - o1) <= 0.3 * (o2 - c2) AND greatest(o1, c1) <= c2 AND c > o AND c > (o2 + c2) / 2 THEN 100 ELSE 0 END"),
+    "CDLEVENINGSTAR": (2, "CASE WHEN c2 > o2 AND abs(c1 - o1) <= 0.3 * (c2 - o2) AND least(o1, c1) >= c2 AND c < o AND c < (o2 + c2) / 2 THEN -100 ELSE 0 END"),
+    "CDL3WHITESOLDIERS": (2, "CASE WHEN c > o AND c1 > o1 AND c2 > o2 AND c > c1 AND c1 > c2 THEN 100 ELSE 0 END"),
+    "CDL3BLACKCROWS": (2, "CASE WHEN c < o AND c1 < o1 AND c2 < o2 AND c < c1 AND c1 < c2 THEN -100 ELSE 0 END"),
+}
+_BAR = {"o": "open", "h": "high", "l": "low", "c": "close"}
+
+
+def _pattern(name: str, back: int, condition: str) -> None:
+    @windowed(name)
+    def fn(df, outs):
+        shape = {f"{k}{i or ''}": F.col(v) if not i else lagged(v, i) for i in range(back + 1) for k, v in _BAR.items()}
+        d = df.withColumns(shape)
+        return d.withColumn(outs[0], F.when(F.col(f"o{back or ''}").isNotNull(), F.expr(condition).cast("double"))).drop(*shape)
+
+
+for _name, (_back, _condition) in PATTERNS.items():
+    _pattern(_name, _back, _condition)
 
 
 def _regression(name, expr):

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomline.functions.indicators import REGISTRY, indicator, indicators, names, output_columns
+from loomline.functions.indicators import PATTERNS, REGISTRY, indicator, indicators, names, output_columns
 from loomline.operators import fundamentals as fund
 from loomline.operators import indicator_tables as it
 from loomline.operators import panel as P
@@ -320,6 +320,39 @@ def x02(t):
     return out(b, "rsi_14", "rsi_21", "sma_20", "ema_12")
 
 
+def _wma_sql(x: str, n: int) -> str:
+    return f"CASE WHEN count({x}) OVER w{n} = {n} THEN (sum(i * {x}) OVER w{n} - (i - {n}) * sum({x}) OVER w{n}) / {n * (n + 1) / 2} END"
+
+
+def _middle(n: int) -> str:
+    return f"({full('max', 'high', n)} + {full('min', 'low', n)}) / 2"
+
+
+@query("x02_window_indicators", f"""
+WITH {NUM}, a AS (SELECT *, {full('avg', 'close', 15)} AS inner15, 2 * {_wma_sql('close', 8)} - {_wma_sql('close', 16)} AS lead, {_middle(9)} AS conversion, {_middle(26)} AS base,
+  {_middle(52)} AS long, CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
+  abs(high - lag(low) OVER ({ALL})) AS up, abs(low - lag(high) OVER ({ALL})) AS down FROM x {win(8, 9, 15, 16, 26, 52)})
+SELECT date, sym, {r(full('avg', 'inner15', 16))} AS trima, {r(_wma_sql('lead', 4))} AS hma, {r('conversion')} AS conversion, {r('base')} AS base,
+  {r(f'lag((conversion + base) / 2, 26) OVER ({ALL})')} AS span_a, {r(f'lag(long, 26) OVER ({ALL})')} AS span_b,
+  {r(f"({full('sum', 'up', 14)}) / nullif({full('sum', 'tr', 14)}, 0)")} AS vortex_plus, {r(f"({full('sum', 'down', 14)}) / nullif({full('sum', 'tr', 14)}, 0)")} AS vortex_minus
+FROM a {win(4, 14, 16)}""")
+def x02c(t):
+    b = indicators(bars(t, "close", "high", "low"), [("TRIMA", "trima", {}), ("HMA", "hma", {}), ("ICHIMOKU", "ich", {}), ("VORTEX", "vortex", {})])
+    b = b.withColumnsRenamed({f"ich_{c}": c for c in ("conversion", "base", "span_a", "span_b")})
+    return out(b, "trima", "hma", "conversion", "base", "span_a", "span_b", "vortex_plus", "vortex_minus")
+
+
+_SHAPES = ", ".join(f"lag({v}, {i}) OVER ({ALL}) AS {k}{i}" for i in (1, 2) for k, v in {"o": "open", "h": "high", "l": "low", "c": "close"}.items())
+
+
+@query("x02_candle_patterns", f"""
+WITH x AS (SELECT date, sym, open AS o, high AS h, low AS l, close AS c, {_SHAPES} FROM bars_w)
+SELECT date, sym, {", ".join(f"CAST(CASE WHEN o{back or ''} IS NOT NULL THEN {condition} END AS DOUBLE) + 0.0 AS {name.lower()}" for name, (back, condition) in PATTERNS.items())} FROM x""")
+def x02d(t):
+    b = indicators(bars(t, "open", "high", "low", "close"), [(n, None, {}) for n in PATTERNS])
+    return b.select("date", "sym", *[(F.col(n.lower()) + 0.0).alias(n.lower()) for n in PATTERNS])
+
+
 @query("x02_all_indicators")
 def x02b(t):
     """Every registered indicator on every symbol; values per indicator."""
