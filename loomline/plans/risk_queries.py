@@ -136,7 +136,9 @@ WITH {RET}, {WT}, c AS (SELECT a.sym AS a, b.sym AS b, covar_samp(a.ret, b.ret)
 p AS (SELECT c.a AS sym, sum(x.weight * y.weight * cov) AS p FROM c JOIN wt x ON x.sym = c.a JOIN wt y ON y.sym = c.b GROUP BY 1)
 SELECT sym, {r('p / (SELECT sum(p) FROM p)')} AS contribution FROM p""")
 def o09(t):
-    return R.risk_contribution(returns(t), share_weights(t)).select("sym", rd("contribution").alias("contribution"))
+    from loomline.operators.pairs import risk_contribution
+
+    return risk_contribution(returns(t), share_weights(t)).select("sym", rd("contribution").alias("contribution"))
 
 
 _VW = "vw AS (SELECT date, sym, category, volume / sum(volume) OVER (PARTITION BY date) AS weight FROM bars_w JOIN universe USING (sym))"

@@ -5,6 +5,7 @@ from helpers import friday, panel
 from pyspark.sql import functions as F
 
 from loomline.operators import factors as E
+from loomline.operators import pairs as P
 from loomline.operators import risk as R
 from loomline.operators.statistics import deflated_sharpe, t_tail, trend
 
@@ -27,9 +28,51 @@ def test_covariance_blocks(rets, block):
         assert x["var_a"] == pytest.approx(d[a].var()) and x["var_b"] == pytest.approx(d["y"].var())
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_best_partners_over_blocks(rets, block):
+    """One symbol equals another one, so that ties are decided; symbols without enough common dates have no partner."""
+    few = rets.where("sym = 3 and date < '2020-03-01'").withColumn("sym", F.lit(77).cast("bigint"))
+    twin = rets.where("sym = 2").withColumn("sym", F.lit(50).cast("bigint"))
+    d = rets.unionByName(few).unionByName(twin).unionByName(twin.withColumn("sym", F.lit(49).cast("bigint")))
+    d = d.unionByName(rets.where("sym = 1").withColumns({"sym": F.lit(90).cast("bigint"), "ret": F.lit(0.5)}))  # no variance
+    w = d.toPandas().pivot(index="date", columns="sym", values="ret")
+    want = {}
+    for a in w:
+        c = [(-round(w[a].corr(w[b]), 9), b) for b in w if a != b and (w[a].notna() & w[b].notna()).sum() >= 40 and w[b].std() > 0 and w[a].std() > 0]
+        if c:
+            want[a] = min(c)[1]
+    assert 77 not in want and 90 not in want and want[2] == 49 and want[49] == 2
+    got = P.best_partners(d, 40, block=block)
+    assert {x["sym"]: x["partner"] for x in got.collect()} == want
+    assert P.best_partners(d.limit(0), 40).count() == 0
+
+
+def test_pairs_stay_in_their_tasks(spark, rets):
+    """Blocks give a row a symbol each, not a row a pair."""
+    def count(syms, others, weights, n, cov, var, other_var):
+        return syms, n.shape[1] * np.ones(len(syms), "int64")
+
+    rows = P.over_blocks(rets, count, "sym bigint, others long", block=3).collect()
+    seen = {}
+    for x in rows:
+        seen[x["sym"]] = seen.get(x["sym"], 0) + x["others"]
+    assert seen == {s: 11 for s in range(11)} and len(rows) <= 11 * 4
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_contributions_against_pandas(spark, rets, block):
+    share = {0: 0.3, 1: 0.2, 2: 0.15, 3: 0.15, 4: 0.2}
+    w = spark.createDataFrame(list(share.items()), "sym bigint, weight double")
+    c = rets.where("sym < 5").toPandas().pivot(index="date", columns="sym", values="ret").cov().to_numpy()
+    x = np.array([share[s] for s in range(5)])
+    want = x * (c @ x) / (x @ c @ x)
+    got = {r["sym"]: r["contribution"] for r in P.risk_contribution(rets, w, block=block).collect()}
+    assert [got[s] for s in range(5)] == pytest.approx(list(want))
+
+
 def test_contributions_sum_to_one(spark, rets):
     w = spark.createDataFrame([(0, 0.3), (1, 0.2), (2, 0.15), (3, 0.15), (4, 0.2)], "sym bigint, weight double")
-    assert R.risk_contribution(rets, w).agg(F.sum("contribution")).first()[0] == pytest.approx(1)
+    assert P.risk_contribution(rets, w).agg(F.sum("contribution")).first()[0] == pytest.approx(1)
 
 
 def test_solved_weights(rets):
