@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.calendar import PERIODS_PER_YEAR, period_key
-from loomline.operators.panel import by_sym, last_rows, to_here, top
+from loomline.operators.panel import by_sym
+from loomline.operators.panel import clip as clipped
+from loomline.operators.panel import last_rows, to_here, top
 from loomline.session import written
 
 # Published cost and capital defaults (fixed values).
@@ -509,13 +511,32 @@ def trade_statistics(trades: DataFrame, key: str = "strategy") -> DataFrame:
             F.exp(F.sum(F.when(F.col("ret") > -1, F.log1p("ret")))) - 1).alias("compounded"))
 
 
-def treemap(bars: DataFrame, universe: DataFrame) -> DataFrame:
-    """Area and colour values per category and symbol with subtotals."""
-    per = bars.groupBy("sym").agg(
-        F.sum("turnover").alias("turnover"), F.max_by("close", "date").alias("last"), F.min_by("close", "date").alias("first"))
-    u = per.join(universe, "sym").withColumn("ret", F.try_divide("last", "first") - 1)
-    return u.groupingSets([["category", "sym"], ["category"], []], "category", "sym").agg(
-        F.sum("turnover").alias("turnover"), F.avg("ret").alias("ret"), F.count("*").alias("n"))
+def treemap(
+    panel: DataFrame, universe: DataFrame, start: str | None = None, end: str | None = None,
+    area: str = "turnover", item: str = "return_ratio", clip: tuple[float, float] | None = None,
+) -> DataFrame:
+    """``(category, sym, area, item, n)`` per symbol, category and in all, from the bars of a closed range of dates.
+
+    ``return_ratio`` is last over first close less one, ``turnover_ratio`` the share of all turnover; ``turnover`` is
+    summed; any other name is a column of the panel, of which the last known value counts. Items are clipped for each
+    symbol before categories take their mean. Symbols without a category or without bars in the range are left out; an empty range gives no rows.
+    """
+    p = panel.where(F.col("date").between(start or "0001-01-01", end or "9999-12-31"))
+
+    def value(name):
+        if name == "return_ratio":
+            return F.try_divide(F.max_by("close", "date"), F.min_by("close", "date")) - 1
+        if name in ("turnover", "turnover_ratio"):
+            return F.sum("turnover")
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("date")))
+
+    per = p.groupBy("sym").agg(value(area).alias("area"), value(item).alias("item"))
+    if item == "turnover_ratio":
+        per = per.withColumn("item", F.try_divide("item", p.agg(F.sum("turnover")).scalar()))
+    if clip is not None:
+        per = per.withColumn("item", clipped("item", *map(float, clip)))
+    return per.join(universe, "sym").groupingSets([["category", "sym"], ["category"], []], "category", "sym").agg(
+        F.sum("area").alias("area"), F.avg("item").alias("item"), F.count("*").alias("n"))
 
 
 def sunburst(positions: DataFrame) -> DataFrame:

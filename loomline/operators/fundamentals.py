@@ -26,11 +26,12 @@ def ratios(statements: DataFrame) -> DataFrame:
 
 
 def valuation(bars: DataFrame, statements: DataFrame) -> DataFrame:
-    """Price-to-book and price-to-earnings with the statement visible that day."""
+    """Price-to-book, price-to-earnings and market value with the statement visible that day."""
     j = as_of(bars, statements, ["net", "equity", "shares"], "available")
     return j.withColumns({
         "pb": F.try_divide("close", F.try_divide("equity", "shares")),
         "pe": F.try_divide("close", F.try_divide("net", "shares")),
+        "market_value": F.col("close") * F.col("shares"),
     })
 
 

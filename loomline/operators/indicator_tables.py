@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.functions.indicators import indicators, lagged, rolled
-from loomline.operators.panel import by_sym, to_here
+from loomline.operators.panel import as_of, by_sym, rollup_bars, to_here
+from loomline.operators.panel import recent_days as latest
 from loomline.operators.ranking import tiles
 
 
@@ -69,7 +70,38 @@ def radar(ratios: DataFrame, feats: list[str], cut_bins: int,
     return s.select("sym", "quarter", "ratio", "score")
 
 
-def candles(bars: DataFrame, overlays: list, technicals: list) -> DataFrame:
-    """OHLC with named indicator columns, all from one pass over the bars."""
-    b = bars.select("date", "sym", "open", "high", "low", "close", "volume")
-    return indicators(b, [*overlays, *technicals])
+def candles(
+    bars: DataFrame, overlays: list, technicals: list, symbol=None, recent_days: int | None = None,
+    factors: DataFrame | None = None, resample: str | None = None,
+) -> DataFrame:
+    """OHLC with named indicator columns, all from one pass over the bars.
+
+    ``symbol`` (one or a list) reaches the scan. ``factors`` adjusts prices for splits before bars are rolled up to
+    ``resample``. Indicators see the whole history; ``recent_days`` then keeps dates less than so many days before the
+    last bar of what was asked for.
+    """
+    prices = ["open", "high", "low", "close"]
+    b = bars.select("date", "sym", *prices, "volume")
+    if symbol is not None:
+        b = b.where(F.col("sym").isin(symbol if isinstance(symbol, list) else [symbol]))
+    if factors is not None:
+        b = adjust(b, factors, prices).select("date", "sym", *[F.col(f"adj_{p}").alias(p) for p in prices], "volume")
+    if resample is not None:
+        b = rollup_bars(b, resample)
+    out = indicators(b, [*overlays, *technicals])
+    return out if recent_days is None else latest(out, recent_days)
+
+
+def river_of(
+    bars: DataFrame, statements: DataFrame, symbol=None, start: str | None = None, end: str | None = None,
+    mode: str = "pe", split_range: int = 10,
+) -> DataFrame:
+    """Bands of one symbol, or of all, between the extremes of its price-to-earnings (``pe``) or price-to-book (``pb``)
+    ratio within the range of dates. Statements before the range stay visible in it."""
+    per_share = {"pe": "net", "pb": "equity"}[mode]
+    b, s = bars.select("date", "sym", "close"), statements
+    if symbol is not None:
+        b, s = b.where(F.col("sym") == symbol), s.where(F.col("sym") == symbol)
+    b = b.where(F.col("date").between(start or "0001-01-01", end or "9999-12-31"))
+    j = as_of(b, s, [per_share, "shares"], "available").where(F.col("shares").isNotNull())
+    return river(j.withColumn("base", F.try_divide(per_share, "shares")), "close", "base", split_range)

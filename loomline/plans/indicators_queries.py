@@ -10,6 +10,7 @@ from loomline.operators import panel as P
 from loomline.operators.ranking import ordinal, tied_rank, tiles
 from loomline.plans.panel_queries import sma, win
 from loomline.plans.registry import query, r, rd
+from loomline.plans.sqlviews import month
 
 ALL = "PARTITION BY sym ORDER BY date"
 RUN = f"{ALL} ROWS UNBOUNDED PRECEDING"
@@ -273,6 +274,30 @@ def w23(t):
         "date", "sym", "band", rd("multiple", 6).alias("multiple"), rd("price", 4).alias("price"))
 
 
+@query("w23_river_of_symbol", f"""
+WITH v AS (SELECT b.date, b.sym, b.close, net / nullif(shares, 0) AS base, close / nullif(net / nullif(shares, 0), 0) AS pe
+  FROM bars_w b ASOF JOIN funda f ON b.sym = f.sym AND b.date >= f.available
+  WHERE b.sym = 3 AND b.date BETWEEN DATE '1994-01-01' AND DATE '1996-07-01'),
+m AS (SELECT sym, min(pe) AS lo, max(pe) AS hi FROM v GROUP BY sym)
+SELECT date, sym, CAST(k AS INTEGER) AS band, {r('lo + (hi - lo) * k / 8', 4)} AS multiple, {r('(lo + (hi - lo) * k / 8) * base', 4)} AS price
+FROM v JOIN m USING (sym), range(0, 9) g(k)""")
+def w23_symbol(t):
+    v = it.river_of(t.bars("W"), t.fundamentals(), symbol=3, start="1994-01-01", end="1996-07-01", mode="pe", split_range=8)
+    return v.select("date", "sym", "band", rd("multiple", 4).alias("multiple"), rd("price", 4).alias("price"))
+
+
+@query("w24_radar_portfolio", f"""
+WITH q AS (SELECT sym, quarter, (revenue - cost) / nullif(revenue, 0) AS gross_margin, net / nullif(revenue, 0) AS net_margin,
+  net / equity AS roe FROM funda),
+u AS (UNPIVOT q ON gross_margin, net_margin, roe INTO NAME ratio VALUE v),
+s AS (SELECT sym, quarter, ratio, ntile(8) OVER (PARTITION BY quarter, ratio ORDER BY round(v, 9), sym) AS score FROM u)
+SELECT s.* FROM s JOIN universe USING (sym) WHERE market = 'ASIA'""")
+def w24_portfolio(t):
+    """Symbols of one market, scored among all."""
+    f = fund.ratios(t.fundamentals())
+    return it.radar(f, ["gross_margin", "net_margin", "roe"], 8, t.universe().where("market = 'ASIA'").select("sym"))
+
+
 @query("w24_radar_scores", f"""
 WITH q AS (SELECT sym, quarter, (revenue - cost) / nullif(revenue, 0) AS gross_margin, net / nullif(revenue, 0) AS net_margin,
   net / equity AS roe FROM funda),
@@ -291,6 +316,23 @@ def w25(t):
     return c.select("date", "sym", *[rd(x).alias(x) for x in ("open", "high", "low", "close", "sma_10")], rd("bb_upper", 6).alias("bb_upper"))
 
 
+@query("w25_candles_of_symbol", f"""
+WITH a AS (SELECT b.date, b.sym, open, high, low, close, volume,
+    exp(coalesce(sum(ln(coalesce(factor, 1))) OVER (PARTITION BY b.sym ORDER BY b.date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS f
+  FROM bars_w b LEFT JOIN adj a ON a.sym = b.sym AND a.date = b.date WHERE b.sym = 5),
+m AS (SELECT {month('date')} AS date, sym, arg_min(open * f, date) AS open, max(high * f) AS high, min(low * f) AS low,
+  arg_max(close * f, date) AS close, sum(volume) AS volume FROM a GROUP BY 1, 2),
+s AS (SELECT *, {sma(3)} AS sma_3, {full('max', 'high', 3)} - {full('min', 'low', 3)} AS spread FROM m {win(3)})
+SELECT date, sym, {", ".join(f"{r(c)} AS {c}" for c in ("open", "high", "low", "close", "sma_3", "spread"))}, volume
+FROM s WHERE date > (SELECT max(date) FROM m) - 1000""")
+def w25_symbol(t):
+    """Three years of adjusted monthly candles of one symbol, with an overlay and the width of the channel."""
+    c = it.candles(t.bars("W"), overlays=[("SMA", "sma_3", {"timeperiod": 3})], technicals=[("DONCHIAN", "dc", {"timeperiod": 3})],
+                   symbol=5, recent_days=1000, factors=t.adjust_factors(), resample="M")
+    c = c.withColumn("spread", F.col("dc_upper") - F.col("dc_lower"))
+    return c.select("date", "sym", *[rd(x).alias(x) for x in ("open", "high", "low", "close", "sma_3", "spread")], "volume")
+
+
 @query("w26_volatility_forecast", f"""
 WITH {NUM}, y AS (SELECT *, power(close / pc - 1, 2) AS rr FROM x WHERE i > 1),
 e AS (SELECT date, sym, {ema_sql('rr', 0.06, '(i - 1)')} AS v FROM y)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from loomline.functions.indicators import indicator, indicators, rolled
 from loomline.operators import backtest as B
 from loomline.operators import panel as P
+from loomline.operators.fundamentals import valuation
 from loomline.operators.ranking import tiles
 from loomline.plans.indicators_queries import ALL, _rsi_sql, ema_sql, full
 from loomline.plans.panel_queries import sma, win
@@ -506,7 +507,29 @@ SELECT category, sym, {r('sum(turnover)', 2)} AS turnover, {r('avg(ret)')} AS re
 GROUP BY GROUPING SETS ((category, sym), (category), ())""")
 def a10(t):
     m = B.treemap(t.bars("W"), t.universe())
-    return m.select("category", "sym", rd("turnover", 2).alias("turnover"), rd("ret").alias("ret"), "n")
+    return m.select("category", "sym", rd("area", 2).alias("turnover"), rd("item").alias("ret"), "n")
+
+
+@query("a10_treemap_market_value", f"""
+WITH v AS (SELECT b.sym, b.date, close * shares AS mv, close / nullif(net / nullif(shares, 0), 0) AS pe
+  FROM bars_w b ASOF LEFT JOIN funda f ON b.sym = f.sym AND b.date >= f.available WHERE b.date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30'),
+p AS (SELECT sym, max_by(mv, date) FILTER (mv IS NOT NULL) AS area, max_by(pe, date) FILTER (pe IS NOT NULL) AS pe FROM v GROUP BY sym)
+SELECT category, sym, {r('sum(area)', 2)} AS area, {r('avg(CASE WHEN pe IS NOT NULL THEN least(greatest(pe, 0), 50) END)', 4)} AS item, count(*) AS n
+FROM p JOIN universe USING (sym) GROUP BY GROUPING SETS ((category, sym), (category), ())""")
+def a10_market_value(t):
+    m = B.treemap(valuation(t.bars("W").select("date", "sym", "close"), t.fundamentals()), t.universe(),
+                  start="1995-01-01", end="1996-06-30", area="market_value", item="pe", clip=(0, 50))
+    return m.select("category", "sym", rd("area", 2).alias("area"), rd("item", 4).alias("item"), "n")
+
+
+@query("a10_treemap_turnover_ratio", f"""
+WITH p AS (SELECT sym, sum(turnover) AS area, sum(turnover) / nullif(sum(sum(turnover)) OVER (), 0) AS item FROM bars_w
+  WHERE date BETWEEN DATE '1995-01-01' AND DATE '1995-03-31' GROUP BY sym)
+SELECT category, sym, {r('sum(area)', 2)} AS area, {r('avg(item)')} AS item, count(*) AS n
+FROM p JOIN universe USING (sym) GROUP BY GROUPING SETS ((category, sym), (category), ())""")
+def a10_turnover_ratio(t):
+    m = B.treemap(t.bars("W", start="1995-01-01", end="1995-03-31"), t.universe(), start="1995-01-01", end="1995-03-31", item="turnover_ratio")
+    return m.select("category", "sym", rd("area", 2).alias("area"), rd("item").alias("item"), "n")
 
 
 @query("a11_sunburst", f"""
