@@ -111,7 +111,22 @@ def _visit(hashed: Tables, cells: list, rows: np.ndarray, asked: np.ndarray, ord
         seen[np.ix_(queries, rows)] |= visited[:, owner]
 
 
-def _search(d: int, k: int, share: float, tables: int, bits: int, width: float, probes: int, seed: int):
+def _closest(queries: np.ndarray, x: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a candidate that may be among its k closest. Only the candidates that a query has seen are
+    read and multiplied; what rounding could put among the k stays."""
+    row, col = [], []
+    for i, q in enumerate(queries):
+        some = np.flatnonzero(seen[i])
+        if len(some) > k:
+            score = x[some] @ q
+            least = np.partition(score, len(some) - k)[len(some) - k]
+            some = some[score >= least - 1e-9 * (1 + abs(least))]
+        row.append(np.full(len(some), i))
+        col.append(some)
+    return np.concatenate(row), np.concatenate(col)
+
+
+def _search(d: int, k: int, tables: int, bits: int, width: float, probes: int, seed: int):
     def run(key, block: pa.Table, queries: pa.Table) -> pa.Table:
         outs = []
         if len(block) and len(queries):
@@ -129,19 +144,13 @@ def _search(d: int, k: int, share: float, tables: int, bits: int, width: float,
                 seen = np.zeros((len(some), len(ids)), bool)
                 own = named[:, None] == ids[None, :]
                 for rows, cells in ranges:
-                    least = max(k, int(np.ceil(share * len(rows))))
                     left, done, upto = np.arange(len(some)), 0, probes
-                    while len(left) and done < len(order) and least < len(rows):
+                    while len(left) and done < len(order) and k < len(rows):
                         _visit(hashed, cells, rows, asked, order[done:upto], seen, left)
                         has = (seen[np.ix_(left, rows)] & ~own[np.ix_(left, rows)]).sum(axis=1)
-                        left, done, upto = left[has < least], upto, 4 * upto
+                        left, done, upto = left[has < k], upto, 4 * upto
                     seen[np.ix_(left, rows)] = True
-                seen &= ~own
-                score = np.where(seen, some @ x.T, -np.inf)
-                if len(ids) > k:
-                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-                    seen &= score >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None]
-                row, col = np.nonzero(seen)
+                row, col = _closest(some, x, seen & ~own, k)
                 exact = (some[row] * x[col]).sum(axis=1)
                 best = np.lexsort((col, -exact, row))
                 row, col, exact = row[best], col[best], exact[best]
@@ -156,7 +165,7 @@ def _search(d: int, k: int, share: float, tables: int, bits: int, width: float,
 
 def nearest(
     vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 10, bits: int = 8, width: float = 2.0, probes: int = 120, seed: int = 1,
-    key: str = "vec_id", vector: str = "embedding", share: float = 0.5,
+    key: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query the k nearest found.
 
@@ -164,8 +173,7 @@ def nearest(
     other rows. Nearness and score: inner product of the original vectors in
     double precision; equal scores: smaller id first. All rows are indexed, and
     no cell is capped. Of each range of norms in a block a query sees k rows
-    and the ``share`` at least, or all, so that it gets k rows if there are as
-    many others. Zero vectors and rows that ``valid_vectors`` leaves out take
+    at least, or all, so that it gets k rows if there are as many others. Zero vectors and rows that ``valid_vectors`` leaves out take
     no part. An empty table gives no rows; other columns are ignored.
     """
     sound, d = valid_vectors(vectors, key, vector)
@@ -175,7 +183,7 @@ def nearest(
     base = sound.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
     queries = sound.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    search = _search(d, k, share, tables, bits, width, probes, seed)
+    search = _search(d, k, tables, bits, width, probes, seed)
     found = base.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(search, _FOUND)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
