@@ -14,6 +14,7 @@ vote patterns by one aggregation; no span leaves the executors.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,9 +107,9 @@ def strict_and_loose(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[
             loose.append((0, start, m.end()))
     if loose:
         taken = sorted((s, e) for _, s, e in strict)
-        free = []
+        starts, free = [s for s, _ in taken], []
         for kind, s, e in sorted(loose, key=lambda x: (x[1], -x[2], x[0])):
-            i = int(np.searchsorted([t[0] for t in taken], e)) - 1 if taken else -1
+            i = bisect_left(starts, e) - 1
             if (i < 0 or taken[i][1] <= s) and (not free or free[-1][2] <= s):
                 free.append((kind, s, e))
         loose = free
