@@ -14,17 +14,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean_memory, pieces, some_texts, text_buffer, word_hashes, words_of
+from loomline.llm.common import lean_memory, pieces, some_texts, text_buffer, word_hashes, words_of, written
 
 lean_memory()
 
 ROWS, DIMENSIONS, NGRAMS = 1 << 18, 16, (3, 4)
 PIECE_BYTES = 1 << 20
-#: Labelled rows that training takes at most, those with the least hash of their id.
-SAMPLE = 2500
+#: Labelled rows that training takes at most, those with the least hash of their id, and bytes of their texts in all:
+#: rows are taken in this order until the next text would exceed them.
+SAMPLE, SAMPLE_BYTES = 2500, 16 << 20
 
 
 def _row(h: np.ndarray, kind: int) -> np.ndarray:
@@ -134,17 +135,26 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 4, r
     return Model(vectors @ (output[1] - output[0]), offset[1] - offset[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, held: int = 0, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, held: int = 0,
+    key: str = "doc_id", text: str = "text", label: str = "quality", sample_bytes: int = SAMPLE_BYTES,
+) -> Model:
     """Learn ``label`` (0 or 1) from the rows whose crc32 of the id as text modulo ``folds`` is not ``held``.
 
-    Labels that are null or of a null id are left out; of a row that is
-    repeated each copy counts. Without any, every text scores 0.5.
+    At most ``sample`` rows and ``sample_bytes`` of text reach the driver, as
+    counts of features. Labels that are null or of a null id are left out; of
+    a label or document that is repeated one copy counts, of several texts of
+    one id the smallest. Without any, every text scores 0.5.
     """
     ids = F.col(key).cast("long")
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(key).cast("string")) % folds != held))
-    known = known.select(ids.alias("id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(ids.alias("id"), F.col(text).alias("text"))
-    rows = texts.join(known, "id").select("label", "text").mapInArrow(_examples, "label int, rows binary, shares binary").collect()
+    known = known.select(ids.alias("id"), F.col(label).cast("int").alias("label")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    texts = docs.select(ids.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = texts.join(known, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    found = written(found.withColumn("size", F.octet_length("text").cast("long")), "quality-sample")
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id", "label"))  # of at most ``sample`` rows, without their texts
+    chosen = found.select("id", "label", "size").withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select("id", "label")
+    rows = found.join(chosen, ["id", "label"]).select("label", "text").mapInArrow(_examples, "label int, rows binary, shares binary").collect()
     examples = [(r["label"], np.frombuffer(r["rows"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
     return train(sorted((e for e in examples if len(e[1])), key=lambda e: (e[0], len(e[1]), e[1].tobytes())))
 
