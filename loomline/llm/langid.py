@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.common import LOWER, pieces, text_buffer, written
+from loomline.operators.joins import lookup_join
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -27,14 +28,29 @@ PIECE_BYTES = 2 << 20
 #: Trigrams of a text that count as independent at most; pseudo-counts of each smoothing step.
 EFFECTIVE, STRENGTH = 60.0, 5.0
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style)\b", re.I)
+_SHOWN = {0: re.compile("-->"), 6: re.compile(r"</script\s*>", re.I), 5: re.compile(r"</style\s*>", re.I)}  # by length of the name
 _TAG = re.compile(r"<[^>]*>")
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def visible_text(page: str) -> str:
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    """The text without comments, scripts, styles and tags; what is never closed stays. The time is linear in the page:
+    a kind that has no end ahead is not looked for again, and tags only before the last ``>``."""
+    parts, at, start, endless = [], 0, 0, set()
+    while opened := _HIDDEN.search(page, start):
+        kind = len(opened[1] or "")
+        closed = None if kind in endless else _SHOWN[kind].search(page, opened.end())
+        if closed:
+            parts += [page[at : opened.start()], " "]
+            at = start = closed.end()
+        else:
+            endless.add(kind)
+            start = opened.start() + 1
+    left = "".join([*parts, page[at:]])
+    last = left.rfind(">") + 1
+    return entities.unescape(_TAG.sub(" ", left[:last]) + left[last:])
 
 
 def trigram_buckets(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +172,9 @@ def fused(pages: DataFrame, profile: np.ndarray, languages: tuple[str, ...] = LA
     adding = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
     suffixes = hosts.groupBy("suffix").agg(*adding).select("suffix", smoothed(counts, size, globally).alias("above"))
     domains = hosts.groupBy("domain", "suffix").agg(*adding).join(suffixes, "suffix").select("domain", smoothed(counts, size, F.col("above")).alias("parent"))
-    hosts = hosts.join(domains, "domain").select("host", counts.alias("counts"), size.alias("size"), "parent")
+    hosts = lookup_join(hosts, domains, "domain", "inner").select("host", counts.alias("counts"), size.alias("size"), "parent")
 
-    at = rows.join(hosts, "host").join(trust, "declared")
+    at = lookup_join(rows, hosts, "host", "inner").join(trust, "declared")
     others = F.zip_with("counts", "post", lambda c, p: F.greatest(c - p, F.lit(0.0)))
     own = F.aggregate("post", F.lit(0.0), lambda s, p: s + p)
     prior = smoothed(others, F.greatest(F.col("size") - own, F.lit(0.0)), F.col("parent"))
