@@ -190,3 +190,36 @@ def test_languages_follow_the_labels_of_the_documents(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["page_id"]: r["lang"] for r in QUERIES["op9_language_fusion"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(said))
+
+
+def test_visible_text():
+    """As two passes of ``<!--.*?-->|<(script|style)\\b.*?</\\1\\s*>`` and ``<[^>]*>`` would leave it; hostile pages take linear time."""
+    import html
+    import random
+    import re
+    import time
+
+    hidden = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
+    rng = random.Random(5)
+    bits = ["<!--", "-->", "<script>", "</script >", "<STYLE a>", "</style>", "<scripted>", "<", ">", "a", " ", "<p>", "&amp;", "<script", "</Script>"]
+    for _ in range(3000):
+        page = "".join(rng.choices(bits, k=rng.randrange(12)))
+        want = html.unescape(re.sub(r"<[^>]*>", " ", hidden.sub(" ", page)))
+        assert langid.visible_text(page) == want, page
+    start = time.perf_counter()
+    for bit in ("<", "<script ", "<!--", "<style><script>", "<!-- <b"):
+        langid.visible_text(bit * 200_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_a_host_with_most_pages(spark, monkeypatch):
+    """The host that is joined by a broadcast gives the same rows as by the ordinary join."""
+    from loomline.operators import joins
+
+    rows = [(i, f"http://{'big.example.de' if i % 3 else f'h{i % 7}.example.fr'}/{i}", f"<html lang='{'de' if i % 2 else 'fr'}'>wort und der das {i}</html>") for i in range(120)]
+    rows += [(500, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    profile = np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS, np.float32))
+    plain = sorted(map(tuple, langid.fused(pages, profile, ("de", "fr")).collect()))
+    monkeypatch.setattr(langid, "lookup_join", lambda *a: joins.lookup_join(*a, share=10, least=5))
+    assert sorted(map(tuple, langid.fused(pages, profile, ("de", "fr")).collect())) == plain and len(plain) == 121

@@ -318,6 +318,54 @@ def test_quality_score_is_the_softmax_of_the_mean():
     assert one[0] == pytest.approx(two[0]) and one[1] == one[2] == pytest.approx(1 / (1 + np.exp(-m.offset)))
 
 
+@pytest.mark.parametrize("texts", [["a a b", "", "xyz  xyz", "\u00e9t\u00e9 -", "\t \n"], ["ab", "ab"], [""], ["word " * 50, "w"]])
+def test_quality_features_against_plain_python(texts):
+    """Features that are equal share a row, and n-grams are those of the word between two spaces."""
+    buf, at = common.text_buffer(pa.array(texts))
+    words_, pairs, *grams = list(quality.feature_rows(buf, at))
+    rows = {}
+    for i, t in enumerate(texts):
+        split = [w.encode() for w in re.findall(WORD, t)]
+        assert len(words_[0][words_[1][i] : words_[1][i + 1]]) == len(split)
+        for w, r in zip(split, words_[0][words_[1][i] : words_[1][i + 1]], strict=True):
+            assert rows.setdefault(w, r) == r
+        same = [int(j > 0 and split[j - 1] == w) for j, w in enumerate(split)]
+        assert [rows.setdefault(("same", x), r) == r for x, r in zip(same, pairs[0][pairs[1][i] : pairs[1][i + 1]], strict=True)] == [True] * len(split)
+        for n, (row, place) in zip(quality.NGRAMS, grams, strict=True):
+            whole = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", t.encode()) + b" "
+            want = [whole[j : j + n] for j in range(len(whole) - n + 1) if b" " not in whole[j + 1 : j + n - 1]]
+            got = row[place[i] : place[i + 1]]
+            assert [rows.setdefault((n, g), r) == r for g, r in zip(want, got, strict=True)] == [True] * len(want)
+    assert len(set(rows.values())) >= len(rows) - 1  # hashing into 262,144 rows
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, w * 300) for i, w in enumerate(["good fine ", "bad poor "] * 20)] + [(3, "zzz")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    taken = []
+
+    def spy(examples, **options):
+        taken.append(len(examples))
+        return quality.Model(np.zeros(quality.ROWS, np.float32), 0.0)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "train", spy)
+        for size in (quality.SAMPLE_BYTES, 9000, 0):
+            quality.fit(docs, labels, sample_bytes=size)
+    learned = sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(40))
+    assert taken[0] == learned and 2 <= taken[1] <= 4 and taken[2] == 0
+
+
+def test_candidates_for_pii_take_linear_time():
+    """As many strict spans as loose ones, in a text of a megabyte."""
+    import time
+
+    text = "mail ann.lee@example.com or bob (at) example (dot) org, 555 010 9999 or 999.999.999.999; " * 12_000
+    start = time.perf_counter()
+    strict, loose = pii.strict_and_loose(text)
+    assert len(strict) >= 12_000 and len(loose) >= 12_000 and time.perf_counter() - start < 20
+
+
 def test_quality_edges(spark):
     d = edge_docs(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, None, 0), (None, 1, 0), (5, 0, 0), (99, 0, 1), (9, 2, 0)], "doc_id long, quality int, toxic int")
