@@ -329,7 +329,7 @@ def test_quality_features_against_plain_python(texts):
         assert len(words_[0][words_[1][i] : words_[1][i + 1]]) == len(split)
         for w, r in zip(split, words_[0][words_[1][i] : words_[1][i + 1]], strict=True):
             assert rows.setdefault(w, r) == r
-        same = [int(j > 0 and split[j - 1] == w) for j, w in enumerate(split)]
+        same = [0 if j == 0 else 2 if split[j - 1] == w else 1 for j, w in enumerate(split)]  # first, other, the same
         assert [rows.setdefault(("same", x), r) == r for x, r in zip(same, pairs[0][pairs[1][i] : pairs[1][i + 1]], strict=True)] == [True] * len(split)
         for n, (row, place) in zip(quality.NGRAMS, grams, strict=True):
             whole = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", t.encode()) + b" "
