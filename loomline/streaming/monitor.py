@@ -285,7 +285,7 @@ class DailyLossStop(MinuteMonitor):
         day, open_, latched = self.kept.get() if self.kept.exists() else (-1, 0.0, False)
         days = g["minute"] // 1440
         base = g["open"].groupby(days).transform("first").where(days != day, open_)
-        change = (g["close"] / base - 1).where(base > 0)
+        change = g["close"] / base - 1  # infinite or no number on a day that opened at zero, as in SQL
         hit = (change <= -self.limit).astype(int).groupby(days).cummax().astype(bool) | (bool(latched) & (days == day))
         self.kept.update((int(days.iloc[-1]), float(base.iloc[-1]), bool(hit.iloc[-1])))
         return {"price": g["close"], "change": change, "stopped": hit}
@@ -338,12 +338,17 @@ def monitored(ticks: DataFrame, monitor: MinuteMonitor, lateness: str = LATENESS
         statefulProcessor=monitor, outputStructType=f"sym bigint, minute timestamp, {monitor.OUT}, late boolean", outputMode="Append", timeMode="EventTime")
 
 
+def _judged(rows: DataFrame, column: str) -> DataFrame:
+    """A judged minute always has a value, late rows have none: on the way from pandas NaN became null."""
+    return rows.withColumn(column, F.when(~F.col("late"), F.coalesce(column, F.lit(float("nan")))))
+
+
 def daily_loss_stop(ticks: DataFrame, limit: float = 0.02, lateness: str = LATENESS) -> DataFrame:
-    return monitored(ticks, DailyLossStop(limit), lateness)
+    return _judged(monitored(ticks, DailyLossStop(limit), lateness), "change")
 
 
 def drawdown_monitor(ticks: DataFrame, limit: float = 0.15, lateness: str = LATENESS) -> DataFrame:
-    return monitored(ticks, DrawdownMonitor(limit), lateness)
+    return _judged(monitored(ticks, DrawdownMonitor(limit), lateness), "drawdown")
 
 
 def limit_monitor(ticks: DataFrame, limit: float, lateness: str = LATENESS) -> DataFrame:

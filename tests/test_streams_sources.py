@@ -58,6 +58,19 @@ def test_latch_resets_next_day(spark):
     assert [x["stopped"] for x in d] == [False, True, True, False]
 
 
+def test_loss_stop_of_days_that_open_at_zero(spark):
+    t = dt.datetime
+    price = [(1, 0.0), (1, 5.0), (1, 0.0), (2, 0.0), (2, -1.0), (2, 3.0), (3, -4.0), (3, -3.0), (3, -5.0)]
+    rows = [(i, t(2024, 1, s, 9, i), 1, "view", p, "") for i, (s, p) in enumerate(price)] + [(99, t(2024, 1, 9, 9, 0), 2, "view", 1.0, "")]
+    root = new_path(spark, "zero")
+    spark.createDataFrame(rows, S.EVENT_SCHEMA).coalesce(1).write.parquet(root)
+    feed = S.feed_columns(spark.readStream.schema(S.EVENT_SCHEMA).parquet(root))
+    d = S.drain(S.daily_loss_stop(feed), "zero").where(F.col("sym") == 1).orderBy("minute").collect()
+    # in SQL 0 / 0 is no number, and any other price over zero is infinite
+    assert [str(x["change"]) for x in d] == ["nan", "inf", "nan", "nan", "-inf", "inf", "0.0", "-0.25", "0.25"]
+    assert [x["stopped"] for x in d] == [False, False, False, False, True, True, False, True, True]
+
+
 def test_rerun_changes_nothing(spark):
     path = new_path(spark, "again")
     n = S.drain(S.feed(spark, SF), "again", path=path).count()
