@@ -59,6 +59,16 @@ def test_pairs_stay_in_their_tasks(spark, rets):
     assert seen == {s: 11 for s in range(11)} and len(rows) <= 11 * 4
 
 
+def test_blocks_are_not_sent_to_their_partners(rets):
+    """Blocks are read where they are written: no shuffle of a copy for each partner block, none of pairs."""
+    def count(syms, others, weights, n, cov, var, other_var):
+        return syms, n.shape[1] * np.ones(len(syms), "int64")
+
+    for d in (P.over_blocks(rets, count, "sym bigint, others long", block=3), R.covariance(rets, block=3)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "CartesianProduct" in plan
+
+
 @pytest.mark.parametrize("block", [256, 2])
 def test_contributions_against_pandas(spark, rets, block):
     share = {0: 0.3, 1: 0.2, 2: 0.15, 3: 0.15, 4: 0.2}
