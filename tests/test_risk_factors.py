@@ -201,6 +201,23 @@ def test_unsolved_weights_are_an_error(spark):
     assert R.equal_risk_contribution(d.limit(0)).count() == 0 and R.min_variance(d.limit(0)).count() == 0
 
 
+def test_equal_risk_does_not_hang_on_rounded_values(spark, monkeypatch):
+    """Over very many symbols the values that the line search compares are rounded; here the old one is always too small."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 12)) + rng.normal(size=(30, 1))
+    d = spark.createDataFrame([(friday(i), j, float(x[i, j])) for i in range(30) for j in range(12)], "date date, sym bigint, ret double")
+    sums = R._Panel.sums
+
+    def rounded(self, of):
+        return {k: np.r_[v[0] - 1e-7, v[1:]] if k == "f" else v for k, v in sums(self, of).items()}
+
+    monkeypatch.setattr(R._Panel, "sums", rounded)
+    w = R.equal_risk_contribution(d).toPandas().set_index("sym")["weight"].sort_index().to_numpy()
+    c = np.cov(x.T)
+    c[np.diag_indices(12)] *= 1 + R.RIDGE
+    assert w * (c @ w) == pytest.approx(np.full(12, (w @ c @ w) / 12), rel=1e-5)
+
+
 @pytest.mark.parametrize("dates, symbols", [(40, 9), (15, 60)])
 def test_principal_components_against_numpy(spark, dates, symbols):
     rng = np.random.default_rng(4)
