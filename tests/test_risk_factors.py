@@ -28,6 +28,15 @@ def test_covariance_blocks(rets, block):
         assert x["var_a"] == pytest.approx(d[a].var()) and x["var_b"] == pytest.approx(d["y"].var())
 
 
+def test_covariance_gives_pairs_where_they_are_made(spark):
+    """Symbols are text, one pair has one date in common and one has none; no pair is shuffled."""
+    rows = [(friday(i), s, float(i * k)) for s, k, days in (("a", 1, range(5)), ("b", 2, range(4, 9)), ("c", 3, range(6, 9))) for i in days]
+    c = R.covariance(spark.createDataFrame(rows, "date date, sym string, ret double"), block=1)
+    assert "Exchange" not in c._jdf.queryExecution().executedPlan().toString()
+    got = {(x["a"], x["b"]): (x["n"], x["cov"]) for x in c.collect()}
+    assert got == {("a", "a"): (5, 2.5), ("a", "b"): (1, None), ("b", "b"): (5, 10.0), ("b", "c"): (3, 6.0), ("c", "c"): (3, 9.0)}
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_best_partners_over_blocks(rets, block):
     """One symbol equals another one, so that ties are decided; symbols without enough common dates have no partner."""
