@@ -4,20 +4,25 @@
 indicator to a bars panel. Windowed indicators are column expressions over
 the symbol's own bars and share window specs, so Catalyst folds them into one
 Window node. Recursive ones (exponential smoothing, trailing bands) are
-vectorised passes over one symbol's bars in ``applyInPandas``; several of them
-run in a single pass. A group is one symbol's bars, which the calendar bounds.
+vectorised passes over one symbol's bars in ``mapInArrow`` over sorted
+partitions; several of them run in a single pass. A task holds a batch and one
+symbol's bars, which the calendar bounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, NumericType, StructField, StructType
 
 from loomline.operators.panel import by_sym, last_rows, to_here
 from loomline.operators.ranking import correlation_of
@@ -104,22 +109,49 @@ def indicators(df: DataFrame, specs: list[tuple[str, str | None, dict]]) -> Data
     return _fold(df, todo_rec) if todo_rec else df
 
 
+def _symbols(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables of whole symbols, with the places where symbols begin."""
+    kept: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            kept.append(batch)
+        rows = pa.Table.from_batches(kept) if kept else None
+        if rows is None or not rows.num_rows:
+            continue
+        sym = rows.column("sym").combine_chunks()
+        same = pc.fill_null(pc.equal(sym[1:], sym[:-1]), False).to_numpy(zero_copy_only=False)
+        blank = sym.is_null().to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], ~(same | (blank[1:] & blank[:-1]))]))
+        if batch is None:
+            yield rows, starts
+        elif len(starts) > 1:
+            kept = rows.slice(starts[-1]).to_batches()
+            yield rows.slice(0, starts[-1]), starts[:-1]
+
+
 def _fold(df: DataFrame, todo) -> DataFrame:
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    """Symbols come sorted, many to a batch: a group of its own for each would cost more than its bars."""
     outs = [o for _, os, _ in todo for o in os]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        cols = {}
-        for ind, os, p in todo:
-            res = ind.fn(pdf, **p)
-            cols.update(zip(os, res if isinstance(res, tuple) else (res,)))
-        return pdf.assign(**{k: pd.Series(np.asarray(v, dtype=float)).replace([np.inf, -np.inf], np.nan)
-                             for k, v in cols.items()})
-
-    # float NaN marks "no value" inside pandas; outside it is SQL NULL
-    out = df.groupBy("sym").applyInPandas(run, schema + "".join(f", `{o}` double" for o in outs))
-    return out.select(*df.columns, *[F.nanvl(o, F.lit(None).cast("double")).alias(o) for o in outs])
+    values = [f.name for f in df.schema if isinstance(f.dataType, NumericType)]
+
+    def run(batches):
+        for rows, starts in _symbols(batches):
+            pdf = rows.select(values).to_pandas()
+            cols = {o: np.full(len(pdf), np.nan) for o in outs}
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                g = pdf.iloc[lo:hi].reset_index(drop=True)
+                for ind, os, p in todo:
+                    res = ind.fn(g, **p)
+                    for o, v in zip(os, res if isinstance(res, tuple) else (res,)):
+                        cols[o][lo:hi] = v
+            for o, v in cols.items():
+                # NaN marks "no value" inside pandas; outside it is SQL NULL
+                rows = rows.append_column(o, pa.array(v, mask=~np.isfinite(v)))
+            yield from rows.to_batches()
+
+    dealt = df.repartition("sym").sortWithinPartitions(F.asc("sym"), F.asc_nulls_last("date"))
+    schema = StructType([*df.schema.fields, *[StructField(o, DoubleType()) for o in outs]])
+    return dealt.mapInArrow(run, schema)
 
 
 # ---- window helpers ----------------------------------------------------

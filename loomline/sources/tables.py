@@ -29,6 +29,14 @@ def trade_order(order: str, line: str, part: str) -> Column:
     return (big.cast("decimal(29,0)") * F.lit(10**7).cast("decimal(8,0)") + last).cast("decimal(36,0)")
 
 
+def packed_order(keys: tuple[str, ...], bits: list[int]) -> Column:
+    """Keys of known numbers of bits in one long, in this order."""
+    out = F.lit(0).cast("bigint")
+    for c, n in zip(keys, bits, strict=True):
+        out = F.shiftleft(out, n).bitwiseOR(F.coalesce(F.col(c).cast("bigint"), F.lit(0)))
+    return out
+
+
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -41,17 +49,30 @@ class Tables:
     # ---- market panels -------------------------------------------------
 
     def ticks(self) -> DataFrame:
-        """Trade rows. ``seq`` orders the rows of one day by order, line and part (see ``trade_order``)."""
-        li = self.raw("lineitem")
+        """Trade rows. ``seq`` orders the rows of one day by order, line and part: bits of a long, or see ``trade_order``."""
+        li, keys = self.raw("lineitem"), ("l_orderkey", "l_linenumber", "l_partkey")
         return li.select(
             F.col("l_suppkey").alias("sym"),
             F.to_date("l_shipdate").alias("date"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("qty"),
             F.col("l_extendedprice").alias("amount"),
-            trade_order("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+            (trade_order(*keys) if self.seq_bits is None else packed_order(keys, self._key_bits)).alias("seq"),
         )
 
+    @cached_property
+    def _key_bits(self) -> list[int] | None:
+        """Bits of the largest order, line and part number; none if one is negative."""
+        keys = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
+        least, *largest = self.raw("lineitem").agg(F.min(F.least(*keys)), *[F.max(k) for k in keys]).first()
+        return None if least is not None and least < 0 else [int(k or 0).bit_length() for k in largest]
+
+    @cached_property
+    def seq_bits(self) -> int | None:
+        """Bits of ``seq`` where day and ``seq`` fit in one long, else none."""
+        bits = self._key_bits
+        return sum(bits) if bits is not None and sum(bits) <= 57 else None
+
     def bars(self, freq: str = "W", start: str | None = None, end: str | None = None) -> DataFrame:
         """Bars that end within a closed range of dates. The range, widened to
         whole periods, reaches the scan of the trade rows."""
@@ -60,7 +81,7 @@ class Tables:
             rows = rows.where(F.col("date") >= F.date_sub(F.lit(start).cast("date"), 31))
         if end:
             rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
-        b = bars_from_ticks(rows, freq)
+        b = bars_from_ticks(rows, freq, self.seq_bits)
         return b.where(F.col("date").between(start or "0001-01-01", end or "9999-12-31")) if start or end else b
 
     def last_date(self, freq: str = "W"):

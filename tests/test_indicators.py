@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from helpers import panel, values
+from helpers import friday, panel, values
 from pyspark.sql import functions as F
 
 from loomline.functions.indicators import indicator, indicators, names, output_columns
@@ -92,3 +92,43 @@ def test_adjust_counts_back(spark):
     b = panel(spark, {1: [10, 10, 5, 5]})
     f = spark.sql("select 1L as sym, date'2020-01-17' as date, 0.5D as factor")
     assert values(adjust(b, f, ["close"]), "adj_close") == [5.0, 5.0, 5.0, 5.0]
+
+
+def test_recursive_pass_takes_whole_symbols_of_many_batches(spark):
+    """Symbols that lie across batches, that share one, and that are null; no group of its own for each."""
+    import numpy as np
+    import pandas as pd
+
+    from loomline.functions.indicators import REGISTRY, indicators
+
+    rng = np.random.default_rng(5)
+    series = {s: list(rng.uniform(5, 9, n)) for s, n in ((1, 1), (2, 40), (3, 3), (4, 25), (5, 1))}
+    p = panel(spark, series).withColumn("sym", F.when(F.col("sym") != 4, F.col("sym")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = indicators(p, [("RSI", "rsi", {}), ("MACD", "macd", {})])
+        assert "InPandas" not in d._jdf.queryExecution().executedPlan().toString()
+        got = {(r["sym"], r["date"]): (r["rsi"], r["macd_hist"]) for r in d.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sum(map(len, series.values()))
+    for s, cs in series.items():
+        g = pd.DataFrame({"close": cs})
+        want = zip(REGISTRY["RSI"].fn(g, 14), REGISTRY["MACD"].fn(g, 12, 26, 9)[2])
+        for i, w in enumerate(want):
+            assert got[s if s != 4 else None, friday(i)] == tuple(None if np.isnan(x) else pytest.approx(x, abs=1e-12) for x in w)
+
+
+def test_all_indicators_do_not_share_one_row(spark, tables):
+    """Values per indicator as if all were columns of one row, by passes over narrow ones."""
+    from loomline.functions.indicators import indicators, names, output_columns
+    from loomline.plans.indicators_queries import x02b
+
+    some = ["SMA", "AROON", "RSI", "BBANDS"]
+    d = x02b(tables)
+    assert "Union" in d._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["indicator"]: r["n_values"] for r in d.collect()}
+    assert list(sorted(got)) == sorted(c for n in names() for c in output_columns(n, {}))
+    b = indicators(tables.bars("W"), [(n, None, {}) for n in some])
+    want = b.agg(*[F.count(c).alias(c) for n in some for c in output_columns(n, {})]).first().asDict()
+    assert {k: got[k] for k in want} == want

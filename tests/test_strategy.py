@@ -36,6 +36,23 @@ def test_bars_of_trade_rows_are_hash_aggregates(spark, tables):
         assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2 and plan.count("Exchange") == 1
 
 
+def test_trade_rows_are_ordered_by_one_long_where_it_fits(spark, tables, tmp_path):
+    """Small keys are packed; large and negative ones keep the decimal. Bars are the same."""
+    from loomline.sources.tables import Tables
+
+    assert dict(tables.ticks().dtypes)["seq"] == "bigint"
+    keys = [(1, 1, 2), (0, 9, 9), (1, 1, 1), (1, 0, 5), (2, 0, 0), (None, 3, 1), (2, None, 4)]
+    for name, add in (("small", 0), ("large", 2**60), ("negative", -5)):
+        rows = [(None if o is None else o + add, line, p, 7, dt.datetime(2020, 1, 2 + i % 2), float(i + 1), 1.0) for i, (o, line, p) in enumerate(keys)]
+        spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate timestamp, l_extendedprice double, l_quantity double").write.parquet(
+            f"{tmp_path}/{name}/lineitem.parquet")
+        t = Tables(spark, f"{tmp_path}/{name}")
+        assert dict(t.ticks().dtypes)["seq"] == ("bigint" if name == "small" else "decimal(36,0)")
+        want = sorted((r[4], r[0] or 0, r[1] or 0, r[2], r[5]) for r in rows)
+        m = t.bars("W").first()
+        assert (m["open"], m["close"]) == (want[0][4], want[-1][4])
+
+
 def test_trade_order_is_that_of_its_columns(spark):
     from loomline.sources.tables import trade_order
 
