@@ -185,85 +185,102 @@ def order_status(updates: DataFrame) -> DataFrame:
 
 # ---- minute monitors with late rows ------------------------------------------------
 
-_MINUTE = "minute bigint, first_us bigint, first_id bigint, open double, last_us bigint, last_id bigint, close double, high double, total double, n bigint"
+_MINUTE = "sym bigint, minute bigint, first_us bigint, first_id bigint, open double, last_us bigint, last_id bigint, close double, high double, total double, n bigint"
+_COLUMNS = [c.split()[0] for c in _MINUTE.split(", ")]
 _PER_MINUTE = 60_000_000
+#: Keys of a monitor's state, with the symbols dealt by hash: calls for state and timers cost more than rows do.
+KEYS = 1024
 
 
 class MinuteMonitor(StatefulProcessor):
-    """Ticks of a symbol become minutes, and a minute is judged once.
+    """Ticks of the symbols of a key become minutes, and a minute is judged once.
 
     Minutes that the watermark has not passed wait as one row each; chunks of
     ticks are folded into them as they come. A timer at the end of the earliest
     one fires when the watermark passes it; then all that have ended are judged
     in their order. A tick of an ended minute is late: it is emitted as it is,
-    marked, and changes nothing.
+    marked, and changes nothing. Rows without ``sym`` are of the symbol that is
+    the key.
     """
 
     OUT = ""  # columns of a judged minute, beside sym and minute
+    KEPT: str | None = None  # what is kept of a symbol, beside sym
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _MINUTE)
-        self.kept = handle.getValueState("kept", self.KEPT) if self.KEPT else None
+        self.kept = handle.getListState("kept", f"sym bigint, {self.KEPT}") if self.KEPT else None
 
-    KEPT: str | None = None
+    @staticmethod
+    def _read(state, columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([tuple(x) for x in state.get()] if state.exists() else [], columns=columns)
+
+    @staticmethod
+    def _write(state, rows: pd.DataFrame) -> None:
+        state.put(list(rows.itertuples(index=False, name=None)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ended = timerValues.getCurrentWatermarkInMs() * 1000
-        minutes = {int(m[0]): list(m) for m in self.waiting.get()} if self.waiting.exists() else {}
-        earliest = min(minutes, default=None)
+        found = [self._read(self.waiting, _COLUMNS)]
+        earliest = found[0]["minute"].min() if len(found[0]) else None
         for g in rows:
             g = g[g["price"].notna()]
             g = g.assign(event_id=g["event_id"].fillna(-1).astype("int64"), us=g["us"].astype("int64"))
+            if "sym" not in g:
+                g = g.assign(sym=key[0])
             m = g["us"] // _PER_MINUTE
             late = (m + 1) * _PER_MINUTE <= ended
             if late.any():
                 x = g[late]
-                yield self._frame(key, m[late], {**self.late_values(x), "late": True})
-            g = g[~late].assign(m=m[~late]).sort_values(["us", "event_id"])
-            by = g.groupby("m")
-            folded = pd.concat([by[["us", "event_id", "price"]].first(), by[["us", "event_id", "price"]].last(), by["price"].agg(["max", "sum", "size"])], axis=1)
-            for x in folded.itertuples(index=True, name=None):
-                old = minutes.get(x[0])
-                minutes[x[0]] = list(x) if old is None else self._merged(old, x)
-        if minutes:
-            self.waiting.put([self._plain(minutes[k]) for k in sorted(minutes)])
-            if earliest is None or min(minutes) < earliest:
-                self._wake(min(minutes))
+                yield self._frame(x["sym"], m[late], {**self.late_values(x), "late": True})
+            g, m = g[~late], m[~late]
+            found.append(self._folded(pd.DataFrame(dict(zip(_COLUMNS, (
+                g["sym"], m, g["us"], g["event_id"], g["price"], g["us"], g["event_id"], g["price"], g["price"], g["price"], 1), strict=True)))))
+        found = [x for x in found if len(x)]
+        if found:
+            minutes = self._folded(pd.concat(found, ignore_index=True))
+            self._write(self.waiting, minutes)
+            if earliest is None or minutes["minute"].min() < earliest:
+                self._wake(minutes["minute"].min())
 
     @staticmethod
-    def _merged(a: list, b: tuple) -> list:
-        out = [a[0], *min(a[1:4], list(b[1:4])), *max(a[4:7], list(b[4:7]))]
-        return [*out, max(a[7], b[7]), a[8] + b[8], a[9] + b[9]]
-
-    @staticmethod
-    def _plain(x) -> tuple:
-        return (int(x[0]), int(x[1]), int(x[2]), float(x[3]), int(x[4]), int(x[5]), float(x[6]), float(x[7]), float(x[8]), int(x[9]))
+    def _folded(x: pd.DataFrame) -> pd.DataFrame:
+        """One row a symbol and minute, by both."""
+        by = ["sym", "minute"]
+        first = x.sort_values(["first_us", "first_id", "open"]).groupby(by)[["first_us", "first_id", "open"]].first()
+        last = x.sort_values(["last_us", "last_id", "close"]).groupby(by)[["last_us", "last_id", "close"]].last()
+        return pd.concat([first, last, x.groupby(by).agg({"high": "max", "total": "sum", "n": "sum"})], axis=1).reset_index()
 
     def _wake(self, minute: int) -> None:
-        self.handle.registerTimer((minute + 1) * 60_000)
+        self.handle.registerTimer((int(minute) + 1) * 60_000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         ended = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = [self._plain(m) for m in self.waiting.get()] if self.waiting.exists() else []
-        done = [x for x in rows if (x[0] + 1) * _PER_MINUTE <= ended]
-        rest = rows[len(done):]
-        if not done:
+        rows = self._read(self.waiting, _COLUMNS)
+        over = (rows["minute"] + 1) * _PER_MINUTE <= ended
+        done, rest = rows[over].reset_index(drop=True), rows[~over]
+        if done.empty:
             return
-        if rest:
-            self.waiting.put(rest)
-            self._wake(rest[0][0])
+        if len(rest):
+            self._write(self.waiting, rest)
+            self._wake(rest["minute"].min())
         else:
             self.waiting.clear()
-        g = pd.DataFrame(done, columns=[c.split()[0] for c in _MINUTE.split(", ")])
-        yield self._frame(key, g["minute"], {**self.judge(g), "late": False})
-
-    def _frame(self, key, minute, values: dict) -> pd.DataFrame:
-        return pd.DataFrame({"sym": key[0], "minute": pd.to_datetime(minute.to_numpy() * 60, unit="s", utc=True), **{
+        kept = self._read(self.kept, ["sym", *(c.split()[0] for c in self.KEPT.split(", "))]).set_index("sym") if self.KEPT else None
+        values = self.judge(done, kept.reindex(done["sym"]).reset_index(drop=True) if self.KEPT else None)
+        if self.KEPT:
+            new = pd.DataFrame({c: values.get(c, done.get(c)) for c in kept.columns} | {"sym": done["sym"]}).groupby("sym").last()
+            old = kept[~kept.index.isin(new.index)].astype(new.dtypes.to_dict())
+            self._write(self.kept, (pd.concat([old, new]) if len(old) else new).reset_index())
+        outs = [c.split()[0] for c in self.OUT.split(", ")]
+        yield self._frame(done["sym"], done["minute"], {**{c: values[c] for c in outs}, "late": False})
+
+    def _frame(self, sym, minute, values: dict) -> pd.DataFrame:
+        return pd.DataFrame({"sym": sym.to_numpy(), "minute": pd.to_datetime(minute.to_numpy() * 60, unit="s", utc=True), **{
             k: v.to_numpy() if isinstance(v, pd.Series) else v for k, v in values.items()}})
 
-    def judge(self, g: pd.DataFrame) -> dict:
-        """The columns of OUT for minutes that follow one another."""
+    def judge(self, g: pd.DataFrame, kept: pd.DataFrame | None) -> dict:
+        """The columns of OUT and KEPT for minutes by symbol and time; ``kept`` has what is kept of each row's symbol."""
         raise NotImplementedError
 
     def late_values(self, x: pd.DataFrame) -> dict:
@@ -276,19 +293,18 @@ class MinuteMonitor(StatefulProcessor):
 class DailyLossStop(MinuteMonitor):
     """Loss from the day's open of at least ``limit`` stops the symbol until the next day."""
 
-    OUT, KEPT = "price double, change double, stopped boolean", "day int, open double, latched boolean"
+    OUT, KEPT = "price double, change double, stopped boolean", "day int, base double, stopped boolean"
 
     def __init__(self, limit: float = 0.02):
         self.limit = limit
 
-    def judge(self, g: pd.DataFrame) -> dict:
-        day, open_, latched = self.kept.get() if self.kept.exists() else (-1, 0.0, False)
+    def judge(self, g: pd.DataFrame, kept: pd.DataFrame | None) -> dict:
         days = g["minute"] // 1440
-        base = g["open"].groupby(days).transform("first").where(days != day, open_)
+        by, same = [g["sym"], days], days == kept["day"]
+        base = g["open"].groupby(by).transform("first").where(~same, kept["base"].astype(float))
         change = g["close"] / base - 1  # infinite or no number on a day that opened at zero, as in SQL
-        hit = (change <= -self.limit).astype(int).groupby(days).cummax().astype(bool) | (bool(latched) & (days == day))
-        self.kept.update((int(days.iloc[-1]), float(base.iloc[-1]), bool(hit.iloc[-1])))
-        return {"price": g["close"], "change": change, "stopped": hit}
+        hit = (change <= -self.limit).astype(int).groupby(by).cummax().astype(bool) | (same & (kept["stopped"] == True))  # noqa: E712
+        return {"price": g["close"], "change": change, "stopped": hit, "day": days, "base": base}
 
     def late_values(self, x: pd.DataFrame) -> dict:
         return {"price": x["price"], "change": float("nan"), "stopped": False}
@@ -302,9 +318,8 @@ class DrawdownMonitor(MinuteMonitor):
     def __init__(self, limit: float = 0.15):
         self.limit = limit
 
-    def judge(self, g: pd.DataFrame) -> dict:
-        run = g["high"].cummax().clip(lower=float(self.kept.get()[0]) if self.kept.exists() else float("-inf"))
-        self.kept.update((float(run.iloc[-1]),))
+    def judge(self, g: pd.DataFrame, kept: pd.DataFrame | None) -> dict:
+        run = g["high"].groupby(g["sym"]).cummax().clip(lower=kept["peak"].astype(float).fillna(float("-inf")))
         dd = g["close"] / run - 1
         return {"peak": run, "drawdown": dd, "breach": dd <= -self.limit}
 
@@ -320,7 +335,7 @@ class ExposureLimit(MinuteMonitor):
     def __init__(self, limit: float):
         self.limit = limit
 
-    def judge(self, g: pd.DataFrame) -> dict:
+    def judge(self, g: pd.DataFrame, kept: pd.DataFrame | None) -> dict:
         return {"exposure": g["total"], "n": g["n"], "over": g["total"] > self.limit}
 
     def late_values(self, x: pd.DataFrame) -> dict:
@@ -333,8 +348,9 @@ def monitored(ticks: DataFrame, monitor: MinuteMonitor, lateness: str = LATENESS
     # Rows without a symbol get a key, as the grouping mixes keys with null ones, but no price.
     known = F.col("sym").isNotNull()
     d = ticks.withWatermark("ts", lateness).select(
-        F.coalesce("sym", F.lit(-1)).alias("sym"), F.unix_micros("ts").alias("us"), "event_id", F.when(known, F.col("price")).alias("price"))
-    return d.groupBy("sym").transformWithStateInPandas(
+        F.pmod(F.xxhash64("sym"), F.lit(KEYS)).alias("key"), F.coalesce("sym", F.lit(-1)).alias("sym"), F.unix_micros("ts").alias("us"), "event_id",
+        F.when(known, F.col("price")).alias("price"))
+    return d.groupBy("key").transformWithStateInPandas(
         statefulProcessor=monitor, outputStructType=f"sym bigint, minute timestamp, {monitor.OUT}, late boolean", outputMode="Append", timeMode="EventTime")
 
 

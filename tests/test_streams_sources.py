@@ -269,3 +269,27 @@ def test_header_lines(spark, tmp_path):
     (p / "001.md").write_text("---\nname: a: b\nstate:open\nname: last\nno colon\n : x\n---\nBody: text")
     r = workspace.scan(spark, str(tmp_path)).first()
     assert (r["kind"], r["epic"], r["id"], r["attrs"], r["body"]) == ("epics", "pay", "001", {"name": "last", "state": "open"}, "Body: text")
+
+
+def test_symbols_of_one_key_do_not_mix(spark, monkeypatch):
+    """Two symbols in one key, over several timers: each has its own minutes, peak and day."""
+    import pandas as pd
+
+    def ticks(rows):
+        return pd.concat([_ticks([r[1:]]).assign(sym=r[0]) for r in rows], ignore_index=True)
+
+    d, s = S.DrawdownMonitor(0.15), S.DailyLossStop(0.02)
+    rows = [[(7, 2, 1, 0, 10.0), (8, 2, 1, 0, 40.0)], [(7, 2, 2, 0, 8.0), (8, 2, 2, 0, 39.9)], [(8, 2, 3, 0, 50.0)], [(7, 2, 4, 0, 9.0)]]
+    for m in (d, s):
+        m.init(_Handle())
+    found = {m: pd.concat([_run(m, [ticks(r)], None if i == 0 else (2, i, 1)) for i, r in enumerate(rows) if i] + [_run(m, [], (2, 4, 1))]) for m in (d, s)
+             if _run(m, [ticks(rows[0])], None) is None}
+    peaks = found[d].sort_values(["sym", "minute"])
+    assert peaks["sym"].tolist() == [7, 7, 7, 8, 8, 8] and peaks["peak"].tolist() == [10.0, 10.0, 10.0, 40.0, 40.0, 50.0]
+    assert peaks["breach"].tolist() == [False, True, False, False, False, False]
+    assert found[s].sort_values(["sym", "minute"])["stopped"].tolist() == [False, True, True, False, False, False]
+
+
+def test_monitor_state_is_keyed_by_groups_of_symbols(spark, tmp_path):
+    d = S.drawdown_monitor(S.feed(spark, SF))
+    assert "key" in d._jdf.queryExecution().analyzed().toString().split("TransformWithState")[1].splitlines()[0]
