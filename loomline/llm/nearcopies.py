@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import LOWER, lean_memory, mix, pieces, some_texts, text_buffer, window_hashes, word_hashes, words_of, written
+from loomline.llm.common import LOWER, give_back, lean_memory, mix, pieces, some_texts, text_buffer, window_hashes, word_hashes, words_of, written
 
 lean_memory()
 
@@ -86,7 +86,7 @@ def _sketches(size: int):
             yield pa.record_batch([
                 b.column("doc_id"), b.column("text_key"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sketch, pa.binary()),
             ], names=["doc_id", "text_key", "n_shingles", "class_id", "sketch"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -211,7 +211,7 @@ def _full_sets(size: int):
         for b in batches:
             sets = [s.tobytes() for s in shingle_sets(b.column("text"), size)]
             yield pa.record_batch([b.column("class_id"), b.column("cluster"), pa.array(sets, pa.binary())], names=["class_id", "cluster", "full"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean_memory, some_texts
+from loomline.llm.common import give_back, lean_memory, some_texts
 
 lean_memory()
 
@@ -383,8 +383,8 @@ def encoded(text: str | Column, model: bytes) -> Column:
         encoder = Encoder(model)
         for column in columns:
             yield _encoded_batch(encoder, column)
-        del encoder
-        pa.default_memory_pool().release_unused()
+        encoder = column = None
+        give_back()
 
     return encode(text)
 

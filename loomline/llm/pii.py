@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean_memory, written
+from loomline.llm.common import give_back, lean_memory, written
 
 lean_memory()
 
@@ -157,16 +157,19 @@ def candidates(text: str | Column) -> Column:
     """All candidate spans of a text with their vote patterns; code points, end exclusive."""
 
     @F.arrow_udf(_SPAN)
-    def find(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column:
-            t = value.as_py() or ""
-            strict, loose = strict_and_loose(t)
-            out.append([
-                {"kind": k, "start": s, "stop": e, "strict": ok, "pattern": _pattern(k, votes(t, k, s, e, ok))}
-                for spans, ok in ((strict, True), (loose, False)) for k, s, e in spans
-            ])
-        return pa.array(out, _SPAN_TYPE)
+    def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for value in column:
+                t = value.as_py() or ""
+                strict, loose = strict_and_loose(t)
+                out.append([
+                    {"kind": k, "start": s, "stop": e, "strict": ok, "pattern": _pattern(k, votes(t, k, s, e, ok))}
+                    for spans, ok in ((strict, True), (loose, False)) for k, s, e in spans
+                ])
+            yield pa.array(out, _SPAN_TYPE)
+        column = out = None
+        give_back()
 
     return find(text)
 
@@ -272,20 +275,23 @@ def masked(text: str | Column, accepted: list[int]) -> Column:
     fine = frozenset(accepted)
 
     @F.arrow_udf("string")
-    def replace(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column:
-            t = value.as_py()
-            strict, loose = strict_and_loose(t or "")
-            marks = strict + [x for x in loose if _pattern(x[0], votes(t, *x, False)) in fine]
-            if marks:
-                parts, last = [], 0
-                for kind, start, stop in sorted(marks, key=lambda x: (x[1], -x[2])):
-                    if start >= last:
-                        parts += [t[last:start], f"<{KINDS[kind].upper()}>"]
-                    last = max(last, stop)
-                t = "".join([*parts, t[last:]])
-            out.append(t)
-        return pa.array(out, pa.string())
+    def replace(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for value in column:
+                t = value.as_py()
+                strict, loose = strict_and_loose(t or "")
+                marks = strict + [x for x in loose if _pattern(x[0], votes(t, *x, False)) in fine]
+                if marks:
+                    parts, last = [], 0
+                    for kind, start, stop in sorted(marks, key=lambda x: (x[1], -x[2])):
+                        if start >= last:
+                            parts += [t[last:start], f"<{KINDS[kind].upper()}>"]
+                        last = max(last, stop)
+                    t = "".join([*parts, t[last:]])
+                out.append(t)
+            yield pa.array(out, pa.string())
+        column = out = None
+        give_back()
 
     return replace(text)

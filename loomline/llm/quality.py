@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import lean_memory, pieces, some_texts, text_buffer, word_hashes, words_of, written
+from loomline.llm.common import give_back, lean_memory, pieces, some_texts, text_buffer, word_hashes, words_of, written
 
 lean_memory()
 
@@ -102,8 +102,11 @@ class Model:
         score = self.score
 
         @F.arrow_udf("double")
-        def quality(column: pa.Array) -> pa.Array:
-            return pa.array(score(column), pa.float64())
+        def quality(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                yield pa.array(score(column), pa.float64())
+            column = None
+            give_back()
 
         return quality(text)
 
