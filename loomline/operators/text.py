@@ -62,13 +62,22 @@ def _bucket(word) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(w: Column) -> Column:
+    """``(word, tf)`` of the words of a sorted column of arrays: a count is the distance to the next other word."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, 2, F.size(w)), F.array(F.size(w) + 1))
+    single = F.arrays_zip(w.alias("word"), F.array_repeat(F.lit(1).cast("long"), F.size(w)).alias("tf"))  # mostly, and cheaper
+    return F.when(F.size(F.array_distinct(w)) == F.size(w), single).when(F.size(w) > 0, F.zip_with(starts, ends, lambda i, j: F.struct(F.element_at(w, i).alias("word"), (j - i).cast("long").alias("tf"))))
+
+
 def index_items(items: DataFrame, path: str, batch: int) -> None:
     """Add ``(kind, id, text)`` to the index at ``path``: how often each item holds each word, in a folder of the word's
-    bucket, sorted by word. A batch owns its folders, so a repeated one replaces itself."""
-    w = F.explode(F.split(F.lower("text"), WORD_GAP)).alias("word")
-    tf = items.select("kind", F.col("id").cast("string").alias("id"), w).where(F.col("word") != "")
-    tf = tf.groupBy("kind", "id", "word").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("word")))
-    dealt = tf.repartitionByRange("bucket", "word").sortWithinPartitions("bucket", "word")
+    bucket, sorted by word. Words are counted inside their row. Rows go to tasks by bucket, and Spark splits the buckets
+    of frequent words by size. A batch owns its folders, so a repeated one replaces itself."""
+    w = F.sort_array(F.array_remove(F.split(F.lower("text"), WORD_GAP), "")).alias("w")
+    tf = items.select("kind", F.col("id").cast("string").alias("id"), w).select("kind", "id", F.explode(_counted(F.col("w"))).alias("c"))
+    tf = tf.select("kind", "id", "c.word", "c.tf").withColumn("bucket", _bucket(F.col("word")))
+    dealt = tf.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     items.groupBy("kind").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/items/batch={batch}")
 
@@ -83,6 +92,7 @@ def search_index(spark: SparkSession, path: str, terms: list[str], kinds: list[s
     if kinds is not None:
         items, found = items.where(F.col("kind").isin(kinds)), found.where(F.col("kind").isin(kinds))
     n = items.agg(F.sum("n")).scalar()
+    found = found.groupBy("kind", "id", "word").agg(F.sum("tf").alias("tf"))  # an item may have several rows
     df = found.groupBy("word").agg(F.count("*").alias("df"))
     return found.join(df, "word").groupBy("kind", "id").agg(F.count("*").alias("n_terms"), F.sum(F.col("tf") * F.ln(n / F.col("df"))).alias("score"))
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import re
 
@@ -152,3 +153,25 @@ def test_index_reads_the_folders_of_its_terms(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and re.search(r"PushedFilters: \[[^\]]*In\(word", plan)
     assert {r["id"] for r in X.search_index(spark, path, ["red"], ["b"]).collect()} == {"4"}
+
+
+def test_index_counts_inside_rows_and_splits_a_frequent_word(spark):
+    from loomline.operators import text as X
+    from loomline.session import new_path
+
+    items = spark.range(0, 60000, 1, 8).select(F.lit("t").alias("kind"), F.col("id").cast("string").alias("id"), F.lit("open open now").alias("text"))
+    more = spark.createDataFrame([("t", "7", "open, OPEN soon"), ("t", "x", ""), ("t", "y", None)], "kind string, id string, text string")
+    path = new_path(spark, "index")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "64k")
+    try:
+        X.index_items(items.unionByName(more), path, 0)
+    finally:
+        spark.conf.set(size, before)
+    got = {r["id"]: (r["n_terms"], r["score"]) for r in X.search_index(spark, path, ["soon", "open"]).collect()}
+    often = math.log(60003 / 60000)
+    assert len(got) == 60000 and got["8"] == (1, pytest.approx(2 * often))
+    assert got["7"] == (2, pytest.approx(4 * often + math.log(60003)))
+    parts = spark.read.parquet(f"{path}/postings").where("word = 'open'").select(F.input_file_name()).distinct().count()
+    assert parts > 1  # all in one task before
