@@ -32,12 +32,12 @@ def estimator(model: str, n_estimators: int = 20, max_depth: int = 3, learning_r
 
 
 class MLEngine:
-    """Fit on time-ordered folds and predict their test dates."""
+    """Fit on time-ordered folds and predict their test dates. ``data`` is read twice."""
 
     def __init__(self, data: DataFrame, names: list[str], train_length: int, test_length: int, n_splits: int, lookahead: int):
-        # iterative fits read the rows many times: written once
+        # iterative fits read the rows many times: written once, a folder for each part of a fold, so that a fit reads its own
         folds = time_folds(data, train_length, test_length, n_splits, lookahead)
-        self.rows = written(data.join(folds, "date"), "folds")
+        self.rows = written(data.join(folds, "date"), "folds", "fold", "part")
         self.names, self.n_splits = names, n_splits
         self.models: list = []
 

@@ -34,6 +34,11 @@ def features(t):
                     F.round(F.col("sd") / F.col("close"), 9).alias("vol"), "label")
 
 
+def stored_features(t):
+    """The features written once: the windows are passed once, however often they are read."""
+    return t.once("features", lambda: features(t))
+
+
 def factor_rows(t):
     return E.long_factors(features(t), NAMES)
 

@@ -9,14 +9,14 @@ from loomline.operators.panel import holds, top
 from loomline.operators.ranking import correlation_of, tiles
 from loomline.operators.risk import principal_components
 from loomline.operators.text import frequent_lexicon, sentiment, words
-from loomline.plans.factors_queries import _FEAT, NAMES, features
+from loomline.plans.factors_queries import _FEAT, NAMES, features, stored_features
 from loomline.plans.registry import query, r, rd
 from loomline.plans.risk_queries import CORR, RIDGE, returns
 from loomline.plans.strategy_queries import report, stats_sql, wide
 
 
 def engine(t, n_splits=5):
-    return M.MLEngine(features(t).na.drop(), NAMES, 104, 26, n_splits, 4)
+    return M.MLEngine(stored_features(t).na.drop(), NAMES, 104, 26, n_splits, 4)
 
 
 def _rank_score(p):

@@ -66,9 +66,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, *folders: str) -> DataFrame:
     """The frame as a parquet table under the shared folder: cuts lineage and
-    keeps column pruning and size statistics for whoever reads it."""
+    keeps column pruning and size statistics for whoever reads it. Columns named
+    as ``folders`` become folders: who filters by them reads those alone."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if not folders:
+        df.write.parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

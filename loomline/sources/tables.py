@@ -91,12 +91,13 @@ class Tables:
     def stored(self, freq: str = "W") -> DataFrame:
         """Bars written once under the shared folder, for jobs that read them
         several times: the trade rows are scanned once."""
-        return self._store(f"bars-{freq}", lambda: self.bars(freq))
+        return self.once(f"bars-{freq}", lambda: self.bars(freq))
 
     def stored_tasks(self) -> DataFrame:
-        return self._store("tasks", self.tasks)
+        return self.once("tasks", self.tasks)
 
-    def _store(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build) -> DataFrame:
+        """A frame written at its first use, under a name."""
         if name not in self._stored:
             self._stored[name] = written(build(), name)
         return self._stored[name]
