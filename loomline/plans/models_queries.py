@@ -9,7 +9,7 @@ from loomline.operators.panel import holds, top
 from loomline.operators.ranking import correlation_of, tiles
 from loomline.operators.risk import principal_components
 from loomline.operators.text import frequent_lexicon, sentiment, words
-from loomline.plans.factors_queries import _FEAT, NAMES, features, stored_features
+from loomline.plans.factors_queries import _FEAT, NAMES, stored_features
 from loomline.plans.registry import query, r, rd
 from loomline.plans.risk_queries import CORR, RIDGE, returns
 from loomline.plans.strategy_queries import report, stats_sql, wide
@@ -80,7 +80,7 @@ def e08_new(t):
     """Scores of the last date, whose labels are not known yet."""
     e = engine(t, 1)
     e.train_predict("linear")
-    f = features(t)
+    f = stored_features(t)
     last = f.agg(F.max("date")).scalar()
     return e.predict(f.where(F.col("date") == last).select("sym", *NAMES)).select("sym", rd("prediction").alias("prediction"))
 
