@@ -116,22 +116,26 @@ def _tokens() -> RegexTokenizer:
     return RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD_GAP, toLowercase=True, minTokenLength=1)
 
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """(doc_id, words), written once: models read them many times and split no text again."""
+    return written(_tokens().transform(docs.select("doc_id", "text")).select("doc_id", "words"), "tokens")
+
+
 def topics(docs: DataFrame, k: int, vocab: int = 1 << 18, terms: int = 10, rounds: int = 10) -> DataFrame:
-    """Top terms of each topic. Every round reads all documents; ``vocab`` is
-    the number of most frequent terms that the model knows."""
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0)
+    """Top terms of each topic. Every round reads the stored word counts of all
+    documents; ``vocab`` is the number of most frequent terms that the model knows.
+    Of the vocabulary only the top terms go into the result's plan."""
+    w = tokens(docs)
+    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0).fit(w)
     lda = LDA(k=k, maxIter=rounds, seed=SEED, optimizer="online", subsamplingRate=1.0)
-    d = written(docs.select("doc_id", "text"), "docs")
-    m = Pipeline(stages=[_tokens(), cv, lda]).fit(d)
-    words = F.array(*[F.lit(w) for w in m.stages[1].vocabulary])
-    t = m.stages[2].describeTopics(terms)
-    return t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t")).select(
-        "topic", "rank", F.get(words, F.col("t.termIndices")).alias("term"), F.col("t.termWeights").alias("weight"))
-
-
-def word_vectors(docs: DataFrame, size: int = 16, min_count: int = 5, rounds: int = 1):
-    """Word vectors, trained on as many partitions as the input has and averaged
-    each round; words below ``min_count`` have none."""
-    d = written(docs.select("doc_id", "text"), "docs")
-    return Pipeline(stages=[_tokens(), Word2Vec(
-        numPartitions=max(1, d.rdd.getNumPartitions()), vectorSize=size, minCount=min_count, maxIter=rounds, seed=SEED, inputCol="words", outputCol="v")]).fit(d).stages[-1]
+    m = lda.fit(written(cv.transform(w).select("doc_id", "features"), "word-counts"))
+    known = cv.vocabulary
+    top = [(t["topic"], i, known[j], x) for t in m.describeTopics(terms).collect() for i, (j, x) in enumerate(zip(t["termIndices"], t["termWeights"]))]
+    return docs.sparkSession.createDataFrame(top, "topic int, rank int, term string, weight double")
+
+
+def word_vectors(words: DataFrame, size: int = 16, min_count: int = 5, rounds: int = 1):
+    """Word vectors of stored ``tokens``, trained on as many partitions as they have and
+    averaged each round; words below ``min_count`` have none."""
+    return Word2Vec(numPartitions=max(1, words.rdd.getNumPartitions()), vectorSize=size, minCount=min_count, maxIter=rounds, seed=SEED,
+                    inputCol="words", outputCol="v").fit(words)

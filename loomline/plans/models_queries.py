@@ -8,7 +8,7 @@ from loomline.operators import models as M
 from loomline.operators.panel import holds, top
 from loomline.operators.ranking import correlation_of, tiles
 from loomline.operators.risk import principal_components
-from loomline.operators.text import frequent_lexicon, sentiment, words
+from loomline.operators.text import frequent_lexicon, sentiment
 from loomline.plans.factors_queries import _FEAT, NAMES, stored_features
 from loomline.plans.registry import query, r, rd
 from loomline.plans.risk_queries import CORR, RIDGE, returns
@@ -175,8 +175,8 @@ def e22(t):
 
 @query("e23_word_vectors")
 def e23(t):
-    d = t.raw("documents")
-    m = M.word_vectors(d)
-    near = words(d).groupBy("word").agg(F.count("*").alias("c")).where(F.length("word") >= 3).orderBy(F.desc("c"), "word").limit(1)
-    word = near.first()["word"]
+    w = M.tokens(t.raw("documents"))
+    m = M.word_vectors(w)
+    near = w.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    word = near.where(F.length("word") >= 3).orderBy(F.desc("c"), "word").limit(1).first()["word"]
     return m.findSynonyms(word, 10).select(F.lit(word).alias("term"), F.col("word").alias("near"), rd("similarity", 4).alias("similarity"))

@@ -4,7 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from loomline.operators.models import MLEngine
+from loomline.operators.models import MLEngine, tokens, topics, word_vectors
 from loomline.plans.factors_queries import stored_features
 from loomline.sources.tables import Tables
 
@@ -33,3 +33,18 @@ def test_features_are_written_once(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     assert stored_features(t) is stored_features(t)
     assert "Window" not in stored_features(t)._jdf.queryExecution().toString()
+
+
+def test_topics_and_word_vectors_read_stored_words(spark):
+    text = ["Red apple, green apple", "green pear red plum", "blue sky grey sky", "grey sky blue sea"] * 4
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    w = tokens(docs)
+    assert w.where("doc_id = 0").first()["words"] == ["red", "apple", "green", "apple"]
+    assert "UDF" not in w._jdf.queryExecution().toString()
+    t = topics(docs, 2, terms=3, rounds=2)
+    assert len(t._jdf.queryExecution().toString()) < 2000  # the vocabulary is not in the plan
+    assert dict(t.dtypes) == {"topic": "int", "rank": "int", "term": "string", "weight": "double"}
+    found = t.toPandas()
+    assert sorted(zip(found["topic"], found["rank"])) == [(k, i) for k in range(2) for i in range(3)]
+    assert set(found["term"]) <= {x for line in text for x in line.lower().replace(",", "").split()}
+    assert word_vectors(w, size=4).getVectors().where("word = 'sky'").count() == 1
