@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler, Word2Vec
+from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,8 +137,124 @@ def topics(docs: DataFrame, k: int, vocab: int = 1 << 18, terms: int = 10, round
     return docs.sparkSession.createDataFrame(top, "topic int, rank int, term string, weight double")
 
 
-def word_vectors(words: DataFrame, size: int = 16, min_count: int = 5, rounds: int = 1):
-    """Word vectors of stored ``tokens``, trained on as many partitions as they have and
-    averaged each round; words below ``min_count`` have none."""
-    return Word2Vec(numPartitions=max(1, words.rdd.getNumPartitions()), vectorSize=size, minCount=min_count, maxIter=rounds, seed=SEED,
-                    inputCol="words", outputCol="v").fit(words)
+# ---- word vectors ---------------------------------------------------------------------
+
+#: Words of text that one task trains on, and that it takes at a step.
+PART_WORDS, STEP_WORDS = 1_000_000, 512
+#: Largest distance of two words that are trained as neighbours, other words drawn at a step, their weight, and the rate.
+WINDOW, DRAWN, NEGATIVES, RATE = 5, 64, 5.0, 0.25
+
+
+def _start(seeds: np.ndarray, size: int) -> np.ndarray:
+    """Small vectors that depend on the seeds alone, so that every task starts a word alike."""
+    with np.errstate(over="ignore"):
+        x = seeds.astype("uint64")[:, None] + np.arange(1, size + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (((x >> np.uint64(40)).astype("float32") / 2**24 - 0.5) / size).astype("float32")
+
+
+def _odds(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def _climb(v: np.ndarray, seen: np.ndarray, ids: np.ndarray, slope: np.ndarray) -> None:
+    """A step up the slopes, summed by word, in rates that fall with what a word has moved (Adagrad)."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+    at, g = ids[order][first], np.add.reduceat(slope[order], first, axis=0)
+    seen[at] += g * g
+    v[at] += RATE * g / np.sqrt(seen[at])
+
+
+def skip_grams(ids: np.ndarray, doc: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
+    """One pass of skip-gram with negative sampling over numbered words, in place. ``near`` has the vectors of words,
+    ``far`` those of neighbours. Distances are drawn up to WINDOW for each word, and the other words from the text itself."""
+    rng = np.random.default_rng(SEED)
+    seen_near, seen_far = np.ones_like(near), np.ones_like(far)
+    for lo in range(0, len(ids), STEP_WORDS):
+        i, d = ids[lo:lo + STEP_WORDS], doc[lo:lo + STEP_WORDS]
+        x, y, reach = near[i], far[i], rng.integers(1, WINDOW + 1, len(i))
+        dx, dy, pairs = np.zeros_like(x), np.zeros_like(y), np.zeros(len(i), "float32")
+        for k in range(1, min(WINDOW, len(i) - 1) + 1):
+            same = d[k:] == d[:-k]
+            for a, b in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
+                use = (same & (reach[a] >= k)).astype("float32")
+                e = (use * (1 - _odds(np.einsum("ij,ij->i", x[a], y[b]))))[:, None]
+                dx[a] += e * y[b]
+                dy[b] += e * x[a]
+                pairs[a] += use
+        other = ids[rng.integers(0, len(ids), DRAWN)]
+        z = far[other]
+        e = _odds(x @ z.T) * (pairs * (NEGATIVES / DRAWN))[:, None]
+        _climb(near, seen_near, i, dx - e @ z)
+        _climb(far, seen_far, np.concatenate([i, other]), np.concatenate([dy, -(e.T @ x)]))
+
+
+class WordVectors:
+    """A stored table ``(word, c, vector)``."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    def getVectors(self) -> DataFrame:
+        return self.table.select("word", "vector")
+
+    def findSynonyms(self, word: str, num: int) -> DataFrame:
+        """``(word, similarity)`` of the words with the largest cosine, ties to the smaller word."""
+        def inner(v, w):
+            return F.aggregate(F.zip_with(v, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+
+        one = self.table.where(F.col("word") == word).select(F.col("vector").alias("_v"))
+        v, w = F.col("vector"), F.col("_v")
+        d = self.table.where(F.col("word") != word).join(F.broadcast(one))
+        d = d.select("word", F.try_divide(inner(v, w), F.sqrt(inner(v, v) * inner(w, w))).alias("similarity"))
+        return d.orderBy(F.desc_nulls_last("similarity"), "word").limit(num)
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """(word, c) of stored ``tokens``, written."""
+    return written(words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c")), "word-frequencies")
+
+
+def word_vectors(words: DataFrame, size: int = 16, min_count: int = 5, rounds: int = 1, counts: DataFrame | None = None) -> WordVectors:
+    """Word vectors of stored ``tokens`` by skip-gram; words below ``min_count`` have none and are no neighbours.
+
+    The text is dealt to parts of bounded size. A part meets the vectors of its own words only, trains them, and gives
+    them back; each word's are averaged over its parts by how often it is there. No vocabulary is on the driver or in
+    one task as a whole.
+    """
+    counts = word_counts(words) if counts is None else counts
+    parts = max(1, -(-int(counts.agg(F.sum("c")).first()[0] or 0) // PART_WORDS))
+    dealt = words.select(F.pmod(F.xxhash64("doc_id", "words"), F.lit(parts)).cast("int").alias("part"), "words")
+    known = counts.where(F.col("c") >= min_count)
+    held = dealt.select("part", F.explode(F.array_distinct("words")).alias("word")).distinct().join(known, "word")
+    held = written(held.select("part", "word", F.xxhash64("word", F.lit(SEED)).alias("seed")), "words-of-parts")
+    a, b = ([f"{x}{i}" for i in range(size)] for x in "ab")
+
+    def train(text: pa.Table, local: pa.Table) -> pa.Table:
+        local = local.combine_chunks()
+        v = [_start(local["seed"].to_numpy(), size), np.zeros((local.num_rows, size), "float32")] if a[0] not in local.column_names else [
+            np.column_stack([local[c].to_numpy() for c in x]).astype("float32") for x in (a, b)]
+        ids, docs = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+        for n, chunk in enumerate(text["words"].chunks if local.num_rows else []):
+            at = pc.index_in(chunk.flatten(), value_set=local["word"].combine_chunks())
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(chunk)), pc.fill_null(pc.list_value_length(chunk), 0).to_numpy())
+            ids.append(at.drop_null().to_numpy().astype("int64"))
+            docs.append(of[has] + (n << 32))
+        ids = np.concatenate(ids)
+        if len(ids):
+            skip_grams(ids, np.concatenate(docs), *v)
+        n = np.bincount(ids, minlength=local.num_rows)
+        columns = {c: x[:, i] for names, x in ((a, v[0]), (b, v[1])) for i, c in enumerate(names)}
+        return pa.table({"word": local["word"], "n": pa.array(n, "int64"), **{c: pa.array(x) for c, x in columns.items()}})
+
+    schema = "word string, n long, " + ", ".join(f"{c} float" for c in a + b)
+    vectors = None
+    for _ in range(rounds):
+        local = held if vectors is None else held.join(vectors, "word")
+        trained = dealt.groupBy("part").cogroup(local.groupBy("part")).applyInArrow(train, schema)
+        mean = trained.groupBy("word").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in a + b))
+        vectors = written(mean, "trained") if rounds > 1 else mean
+    return WordVectors(written(vectors.join(known, "word").select("word", "c", F.array(*a).alias("vector")), "word-vectors"))

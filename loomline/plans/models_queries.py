@@ -176,7 +176,7 @@ def e22(t):
 @query("e23_word_vectors")
 def e23(t):
     w = M.tokens(t.raw("documents"))
-    m = M.word_vectors(w)
-    near = w.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    word = near.where(F.length("word") >= 3).orderBy(F.desc("c"), "word").limit(1).first()["word"]
+    counts = M.word_counts(w)
+    m = M.word_vectors(w, counts=counts)
+    word = counts.where(F.length("word") >= 3).orderBy(F.desc("c"), "word").limit(1).first()["word"]
     return m.findSynonyms(word, 10).select(F.lit(word).alias("term"), F.col("word").alias("near"), rd("similarity", 4).alias("similarity"))

@@ -1,9 +1,11 @@
 """Fits read their own part of the rows."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from loomline.operators import models
 from loomline.operators.models import MLEngine, tokens, topics, word_vectors
 from loomline.plans.factors_queries import stored_features
 from loomline.sources.tables import Tables
@@ -48,3 +50,28 @@ def test_topics_and_word_vectors_read_stored_words(spark):
     assert sorted(zip(found["topic"], found["rank"])) == [(k, i) for k in range(2) for i in range(3)]
     assert set(found["term"]) <= {x for line in text for x in line.lower().replace(",", "").split()}
     assert word_vectors(w, size=4).getVectors().where("word = 'sky'").count() == 1
+
+
+def test_word_vectors_are_trained_part_by_part(spark, monkeypatch):
+    rnd = random.Random(1)
+    groups = [[f"{g}{i}" for i in range(12)] for g in ("red", "blue", "green")]
+    text = [" ".join(rnd.choice(groups[i % 3] if rnd.random() < 0.7 else ["the", "of"]) for _ in range(60)) for i in range(300)]
+    w = tokens(spark.createDataFrame([*enumerate(text), (300, "seldom red1"), (301, "")], "doc_id long, text string"))
+    monkeypatch.setattr(models, "PART_WORDS", 6000)
+    seen = []
+    m = word_vectors(w, size=8)
+    words = m.getVectors().toPandas()["word"]
+    assert sorted(words) == sorted(["the", "of", *(x for g in groups for x in g)])  # "seldom" is there once
+    for g in groups:
+        near = [r["word"] for r in m.findSynonyms(g[1], 11).collect()]
+        seen.append(len(set(near) & set(g)))
+    assert min(seen) >= 10
+    again = word_vectors(w, size=8, rounds=2)
+    assert {r["word"] for r in again.findSynonyms("blue3", 11).collect()} == set(groups[1]) - {"blue3"}
+    assert "word-vectors" in m.table.inputFiles()[0]  # a stored table, where the model held all words on the driver before
+
+
+def test_word_vectors_of_nothing(spark):
+    w = tokens(spark.createDataFrame([(1, "one two")], "doc_id long, text string"))
+    assert word_vectors(w).getVectors().count() == 0 and word_vectors(w).findSynonyms("one", 3).count() == 0
+    assert word_vectors(w.limit(0)).getVectors().count() == 0
