@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -124,16 +124,149 @@ def tokens(docs: DataFrame) -> DataFrame:
     return written(_tokens().transform(docs.select("doc_id", "text")).select("doc_id", "words"), "tokens")
 
 
+# ---- topics ---------------------------------------------------------------------------
+
+#: Words of documents whose topics are found at once, and words whose sums are added up at once.
+WORDS_AT_ONCE, SUMS_AT_ONCE = 1 << 15, 1 << 20
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    y = x + 6
+    i = 1 / (y * y)
+    return np.log(y) - 0.5 / y - i * (1 / 12 - i * (1 / 120 - i / 252)) - sum(1 / (x + j) for j in range(6))
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    y = x + 6
+    i = 1 / (y * y)
+    return 1 / y + i / 2 + i / y * (1 / 6 - i * (1 / 30 - i / 42)) + sum(1 / (x + j) ** 2 for j in range(6))
+
+
+def _expected_logs(x: np.ndarray, axis: int = 0) -> np.ndarray:
+    """Expected logarithms of Dirichlet shares."""
+    return _digamma(x) - _digamma(x.sum(axis=axis, keepdims=True))
+
+
+def document_topics(ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray, beta: np.ndarray, alpha: np.ndarray):
+    """Shares of topics in some documents, whose terms and counts stand one after another, until they change by less than
+    a thousandth: the Dirichlet parameters, and for each term its count over its chance. After two steps a document goes on
+    from where they point to (SQUAREM), as the first round alone has thousands of small ones; documents that are done drop out."""
+    gamma, odds = np.ones((len(alpha), len(sizes))), np.zeros(len(ids), "float32")
+    live, at = np.arange(len(sizes)), np.arange(len(ids))
+    b, c, n, g, before = beta[:, ids], counts.astype("float32"), sizes, gamma, None
+    while len(live):
+        t = np.exp(_expected_logs(g)).astype("float32")
+        r = c / ((np.repeat(t, n, axis=1) * b).sum(axis=0) + np.float32(1e-30))
+        new = alpha[:, None] + t * np.add.reduceat(b * r, np.cumsum(n) - n, axis=1)
+        move = new - g
+        go = np.abs(move).mean(axis=0) > 1e-3
+        gamma[:, live], odds[at] = new, r
+        if before is None:
+            g, before = new, move
+        else:
+            bend = move - before
+            far = np.clip(np.sqrt((before**2).sum(axis=0) / np.maximum((bend**2).sum(axis=0), 1e-30)), 1, 256)
+            g, before = np.maximum(g - before + 2 * far * before + far * far * bend, alpha[:, None]), None
+        if not go.all():
+            keep = np.repeat(go, n)
+            live, n, at, b, c, g = live[go], n[go], at[keep], b[:, keep], c[keep], g[:, go]
+            before = None if before is None else before[:, go]
+    return gamma, odds
+
+
+def _encoded(words: DataFrame, known: list[str]) -> DataFrame:
+    """(ids, counts) of the known terms of each document that has any, written."""
+    terms = words.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        value_set = pa.array(terms.value, pa.string())
+        for batch in batches:
+            w = batch["words"]
+            at = pc.index_in(w.flatten(), value_set=value_set)
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            of = np.repeat(np.arange(len(w)), pc.fill_null(pc.list_value_length(w), 0).to_numpy())[has]
+            key, n = np.unique(of * len(value_set) + at.drop_null().to_numpy(), return_counts=True)
+            ends = np.append(np.flatnonzero(np.diff(key // len(value_set), prepend=-1)), len(key))
+            lists = (pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.array(x, "int32")) for x in (key % len(value_set), n))
+            yield pa.RecordBatch.from_arrays(list(lists), ["ids", "counts"])
+
+    return written(words.select("words").mapInArrow(run, "ids array<int>, counts array<int>"), "word-counts")
+
+
+def _round(docs: DataFrame, beta: np.ndarray, alpha: np.ndarray) -> np.ndarray:
+    """What all documents add to each term, a column a topic: a task's sums by term are added by Spark. Two more rows have
+    the sums of the documents' expected logarithms and the number of documents."""
+    k, terms = beta.shape
+    shared = docs.sparkSession.sparkContext.broadcast((beta.astype("float32"), alpha))
+
+    def run(batches):
+        b, a = shared.value
+        total, logs, n_docs, waiting = np.zeros((k, terms)), np.zeros(k), 0, [[], []]
+
+        def add():
+            ids = np.concatenate(waiting[0])
+            weights = np.concatenate(waiting[1], axis=1)
+            for i in range(k):
+                total[i] += np.bincount(ids, weights[i], minlength=terms)
+            waiting[0].clear(), waiting[1].clear()
+
+        for batch in batches:
+            ids, counts = (batch[x].flatten().to_numpy() for x in ("ids", "counts"))
+            sizes = pc.list_value_length(batch["ids"]).to_numpy()
+            ends = np.cumsum(sizes)
+            part = (ends - 1) // WORDS_AT_ONCE if len(ends) else ends
+            for lo, hi in zip(np.flatnonzero(np.diff(part, prepend=-1)), [*np.flatnonzero(np.diff(part)) + 1, len(part)], strict=True):
+                x = slice(ends[lo] - sizes[lo], ends[hi - 1])
+                gamma, odds = document_topics(ids[x], counts[x], sizes[lo:hi], b, a)
+                e = _expected_logs(gamma)
+                logs += e.sum(axis=1)
+                n_docs += hi - lo
+                waiting[0].append(ids[x])
+                waiting[1].append(np.repeat(np.exp(e).astype("float32"), sizes[lo:hi], axis=1) * odds)
+                if sum(map(len, waiting[0])) > SUMS_AT_ONCE:
+                    add()
+        if n_docs:
+            if waiting[0]:
+                add()
+            some = np.flatnonzero(total.any(axis=0))
+            values = np.column_stack([total[:, some], logs, np.full(k, n_docs)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [terms, terms + 1]), "int32"), *map(pa.array, values)], ["id", *names])
+
+    names = [f"s{i}" for i in range(k)]
+    sums = docs.mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in names)).groupBy("id").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    shared.unpersist()
+    out = np.zeros((terms + 2, k))
+    out[sums["id"].to_numpy()] = np.column_stack([sums[c].to_numpy() for c in names])
+    return out
+
+
+def _new_alpha(alpha: np.ndarray, logs: np.ndarray, n: float, rate: float) -> np.ndarray:
+    """A Newton step towards the likeliest parameters of the documents' shares, unless one would not stay above zero."""
+    slope = n * (logs - _expected_logs(alpha))
+    q = -n * _trigamma(alpha)
+    b = (slope / q).sum() / (1 / (n * _trigamma(alpha.sum())) + (1 / q).sum())
+    new = alpha - rate * (slope - b) / q
+    return new if (new > 0).all() else alpha
+
+
 def topics(docs: DataFrame, k: int, vocab: int = 1 << 18, terms: int = 10, rounds: int = 10) -> DataFrame:
-    """Top terms of each topic. Every round reads the stored word counts of all
-    documents; ``vocab`` is the number of most frequent terms that the model knows.
-    Of the vocabulary only the top terms go into the result's plan."""
+    """Top terms of each topic by online variational Bayes, every round over all documents, with the rates and first
+    values of ``pyspark.ml.clustering.LDA``. ``vocab`` is the number of most frequent terms that the model knows and bounds
+    what the driver holds; of the vocabulary only the top terms go into the result's plan. Documents begin a round with equal
+    shares, so the topics do not depend on how they are dealt to tasks, but for the order of sums."""
     w = tokens(docs)
-    cv = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0).fit(w)
-    lda = LDA(k=k, maxIter=rounds, seed=SEED, optimizer="online", subsamplingRate=1.0)
-    m = lda.fit(written(cv.transform(w).select("doc_id", "features"), "word-counts"))
-    known = cv.vocabulary
-    top = [(t["topic"], i, known[j], x) for t in m.describeTopics(terms).collect() for i, (j, x) in enumerate(zip(t["termIndices"], t["termWeights"]))]
+    known = sorted(CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocab, minDF=2.0).fit(w).vocabulary)
+    counts = _encoded(w, known)
+    weights, alpha = np.random.default_rng(SEED).gamma(100, 1 / 100, (k, len(known))), np.full(k, 1 / k)
+    for i in range(1, rounds + 1):
+        beta = np.exp(_expected_logs(weights, axis=1))
+        sums = _round(counts, beta, alpha)
+        rate, n = (1024 + i) ** -0.51, sums[-1, 0]
+        weights = (1 - rate) * weights + rate * (1 / k + sums[:-2].T * beta)
+        alpha = _new_alpha(alpha, sums[-2] / n, n, rate) if n else alpha
+    shares = weights / weights.sum(axis=1, keepdims=True)
+    best = np.argsort(-shares, axis=1, kind="stable")[:, :terms]
+    top = [(t, i, known[j], float(shares[t, j])) for t in range(k) for i, j in enumerate(best[t])]
     return docs.sparkSession.createDataFrame(top, "topic int, rank int, term string, weight double")
 
 

@@ -3,6 +3,8 @@
 import datetime
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import models
@@ -75,3 +77,28 @@ def test_word_vectors_of_nothing(spark):
     w = tokens(spark.createDataFrame([(1, "one two")], "doc_id long, text string"))
     assert word_vectors(w).getVectors().count() == 0 and word_vectors(w).findSynonyms("one", 3).count() == 0
     assert word_vectors(w.limit(0)).getVectors().count() == 0
+
+
+def test_topics_are_those_of_the_text_however_it_is_dealt(spark):
+    rnd = random.Random(1)
+    groups = [[f"{g}{i}" for i in range(12)] for g in ("red", "blue", "green")]
+    text = [" ".join(rnd.choice(groups[i % 3] if rnd.random() < 0.9 else groups[rnd.randrange(3)]) for _ in range(60)) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(text), (300, ""), (301, "alone")], "doc_id long, text string")
+    one, four = (topics(docs.repartition(n), 3, terms=8, rounds=20).toPandas().sort_values(["topic", "rank"], ignore_index=True) for n in (1, 4))
+    assert one["term"].tolist() == four["term"].tolist() and abs(one["weight"] - four["weight"]).max() < 1e-9  # began at random by task before
+    found = {frozenset(x.strip("0123456789") for x in g["term"]) for _, g in one.groupby("topic")}
+    assert found == {frozenset({"red"}), frozenset({"blue"}), frozenset({"green"})}
+
+
+def test_topics_of_documents_are_where_plain_steps_end():
+    rng = np.random.default_rng(3)
+    beta, alpha = np.exp(models._expected_logs(rng.gamma(100, 0.01, (4, 50)), axis=1)).astype("float32"), np.full(4, 0.25)
+    sizes = np.array([1, 20, 7, 50])
+    ids, counts = np.concatenate([rng.choice(50, n, replace=False) for n in sizes]), rng.integers(1, 9, sizes.sum())
+    gamma, odds = models.document_topics(ids, counts, sizes, beta, alpha)
+    again = models._expected_logs(gamma)
+    for d, (lo, hi) in enumerate(zip(np.cumsum(sizes) - sizes, np.cumsum(sizes))):
+        b, t = beta[:, ids[lo:hi]], np.exp(again[:, d])
+        step = alpha + t * (b * (counts[lo:hi] / (t @ b))).sum(axis=1)
+        assert abs(step - gamma[:, d]).mean() < 2e-3 and gamma[:, d].sum() == pytest.approx(1 + counts[lo:hi].sum(), rel=1e-4)
+    assert len(odds) == len(ids)
