@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.factors import time_folds
 from loomline.operators.text import WORD_GAP
-from loomline.session import written
+from loomline.session import batches_of, written
 
 SEED = 7
 
@@ -190,7 +190,8 @@ def _encoded(words: DataFrame, known: list[str]) -> DataFrame:
             lists = (pa.ListArray.from_arrays(pa.array(ends, "int32"), pa.array(x, "int32")) for x in (key % len(value_set), n))
             yield pa.RecordBatch.from_arrays(list(lists), ["ids", "counts"])
 
-    return written(words.select("words").mapInArrow(run, "ids array<int>, counts array<int>"), "word-counts")
+    with batches_of(words.sparkSession, "16m"):
+        return written(words.select("words").mapInArrow(run, "ids array<int>, counts array<int>"), "word-counts")
 
 
 def _round(docs: DataFrame, beta: np.ndarray, alpha: np.ndarray) -> np.ndarray:
@@ -233,7 +234,8 @@ def _round(docs: DataFrame, beta: np.ndarray, alpha: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [terms, terms + 1]), "int32"), *map(pa.array, values)], ["id", *names])
 
     names = [f"s{i}" for i in range(k)]
-    sums = docs.mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in names)).groupBy("id").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    with batches_of(docs.sparkSession, "16m"):
+        sums = docs.mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in names)).groupBy("id").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     shared.unpersist()
     out = np.zeros((terms + 2, k))
     out[sums["id"].to_numpy()] = np.column_stack([sums[c].to_numpy() for c in names])

@@ -304,7 +304,8 @@ def f02_all(t):
     """Documents first; epics, tasks and comments are a second batch of the same index, written twice."""
     e = t.epics().select(F.lit("epic").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(
         " ", F.lit("epic"), "id", "state", F.lit("priority"), "priority", F.lit("owner"), "owner").alias("text"))
-    k = t.stored_tasks().select(F.lit("task").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(" ", "state", F.concat_ws(" ", "labels")).alias("text"))
+    k = t.once("task-texts", lambda: t.tasks().select(
+        F.lit("task").alias("kind"), F.col("id").cast("string").alias("id"), F.concat_ws(" ", "state", F.concat_ws(" ", "labels")).alias("text")))
     c = t.comments().select(F.lit("comment").alias("kind"), F.concat_ws("/", "item", "turn").alias("id"), F.concat_ws(" ", "actor", "text").alias("text"))
     path = new_path(t.spark, "index")
     X.index_items(t.raw("documents").select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("id"), "text"), path, 0)

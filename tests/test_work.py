@@ -175,3 +175,21 @@ def test_index_counts_inside_rows_and_splits_a_frequent_word(spark):
     assert got["7"] == (2, pytest.approx(4 * often + math.log(60003)))
     parts = spark.read.parquet(f"{path}/postings").where("word = 'open'").select(F.input_file_name()).distinct().count()
     assert parts > 1  # all in one task before
+
+
+def test_index_lists_items_by_word_and_groups_matches_once(spark):
+    from loomline.operators import text as X
+    from loomline.session import new_path
+
+    rows = [("a", str(i), "common word common" if i % 2 else "common only") for i in range(3000)] + [("b", "7", "word"), ("a", "7", "word common"), ("a", None, "word"), (None, "9", "word")]
+    items = spark.createDataFrame(rows, "kind string, id string, text string").repartition(2)
+    path = new_path(spark, "index")
+    X.index_items(items, path, 0)
+    postings = spark.read.parquet(f"{path}/postings")
+    assert postings.where("word = 'common'").count() <= 4 and postings.where("word = 'common'").selectExpr("sum(size(ids))").first()[0] == 3001  # a row an item before
+    found = X.search_index(spark, path, ["word", "common", "nowhere"])
+    got = {(r["kind"], r["id"]): (r["n_terms"], r["score"]) for r in found.collect()}
+    word, common = math.log(3004 / 1503), math.log(3004 / 3000)  # item 7 has two rows of either and counts once
+    assert got["a", "7"] == (2, pytest.approx(2 * word + 3 * common)) and got["b", "7"] == (1, pytest.approx(word)) and got["a", "8"] == (1, pytest.approx(common))
+    assert got["a", None] == got[None, "9"] == (1, pytest.approx(word)) and len(got) == 3003
+    assert X.search_index(spark, path, ["nowhere"]).count() == X.search_index(spark, path, []).count() == 0
